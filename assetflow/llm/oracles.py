@@ -59,4 +59,19 @@ o AS (SELECT z.doc_id, z.source, z.size, x.source_size, x.target, x.epochs, x.ex
 SELECT doc_id, size, source_size, target, (epochs * size + greatest(0, least(size, extra - before)))::BIGINT AS taken FROM o
 """
 
-ORACLES = {"op1_url_filter": OP1, "op4_host_quality": OP4, "op7_mix": OP7}
+_NEAR = r"""
+sw AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM {docs}),
+sh AS (SELECT DISTINCT doc_id, s FROM (
+    SELECT doc_id, list_aggregate(ws[i:i+4], 'string_agg', ' ') AS s FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM sw WHERE len(ws) >= 5)
+    UNION ALL SELECT doc_id, list_aggregate(ws, 'string_agg', ' ') FROM sw WHERE len(ws) BETWEEN 1 AND 4)),
+sn AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+lk AS (SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS o FROM sh x JOIN sh y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY 1, 2)
+  JOIN sn p ON p.doc_id = a JOIN sn q ON q.doc_id = b WHERE 100 * o >= 75 * (p.n + q.n - o)),
+rc(doc_id, c) AS (SELECT doc_id, doc_id FROM {docs} UNION SELECT lk.b, rc.c FROM rc JOIN lk ON lk.a = rc.doc_id WHERE rc.c < lk.b),
+nc AS (SELECT doc_id, min(c) AS component_id FROM rc GROUP BY doc_id)
+"""
+
+OP10 = f"""WITH RECURSIVE {_NEAR.format(docs="documents")}
+SELECT d.doc_id, coalesce(sn.n, 0)::BIGINT AS n_shingles, nc.component_id FROM documents d LEFT JOIN sn USING (doc_id) JOIN nc USING (doc_id)"""
+
+ORACLES = {"op10_jaccard_join": OP10, "op1_url_filter": OP1, "op4_host_quality": OP4, "op7_mix": OP7}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, quality, sharding, url_filter
+from . import jaccard_join, mixing, quality, sharding, url_filter
 from .common import table
 
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -32,9 +32,14 @@ def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(docs, mixing.ranked_weights(docs, MIX_CYCLE), MIX_SHARE, MIX_EPOCHS)
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op3_ring_shards": op3_ring_shards,
     "op4_host_quality": op4_host_quality,
     "op7_mix": op7_mix,
+    "op10_jaccard_join": op10_jaccard_join,
 }

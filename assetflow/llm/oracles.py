@@ -74,4 +74,21 @@ nc AS (SELECT doc_id, min(c) AS component_id FROM rc GROUP BY doc_id)
 OP10 = f"""WITH RECURSIVE {_NEAR.format(docs="documents")}
 SELECT d.doc_id, coalesce(sn.n, 0)::BIGINT AS n_shingles, nc.component_id FROM documents d LEFT JOIN sn USING (doc_id) JOIN nc USING (doc_id)"""
 
-ORACLES = {"op10_jaccard_join": OP10, "op1_url_filter": OP1, "op4_host_quality": OP4, "op7_mix": OP7}
+_HITS = r"""
+dw AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ws FROM {docs}),
+iw AS (SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ws FROM benchmark),
+iv AS (SELECT item_id, least(13, len(ws)) AS k, list_aggregate(ws[i:i+least(13, len(ws))-1], 'string_agg', ' ') AS s
+  FROM (SELECT item_id, ws, unnest(range(1, greatest(len(ws) - 12, 1) + 1)) AS i FROM iw WHERE len(ws) > 0)),
+ks AS (SELECT DISTINCT k FROM iv),
+dv AS (SELECT doc_id, k, i, list_aggregate(ws[i:i+k-1], 'string_agg', ' ') AS s
+  FROM (SELECT doc_id, k, ws, unnest(range(1, len(ws) - k + 2)) AS i FROM dw, ks WHERE len(ws) >= k)),
+mt AS (SELECT dv.doc_id, dv.k, dv.i, iv.item_id FROM dv JOIN iv ON dv.k = iv.k AND dv.s = iv.s),
+hw AS (SELECT doc_id, count(DISTINCT i + o) AS n_hit FROM mt, range(13) r(o) WHERE o < k GROUP BY doc_id),
+hi AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS items FROM mt GROUP BY doc_id),
+ht AS (SELECT dw.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated FROM dw LEFT JOIN hw USING (doc_id) LEFT JOIN hi USING (doc_id))
+"""
+
+OP9 = f"WITH {_HITS.format(docs='documents')} SELECT * FROM ht"
+
+ORACLES = {"op9_winnow": OP9, "op10_jaccard_join": OP10, "op1_url_filter": OP1, "op4_host_quality": OP4, "op7_mix": OP7}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard_join, mixing, quality, sharding, url_filter
+from . import decontaminate, jaccard_join, mixing, quality, sharding, url_filter
 from .common import table
 
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -32,6 +32,11 @@ def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(docs, mixing.ranked_weights(docs, MIX_CYCLE), MIX_SHARE, MIX_EPOCHS)
 
 
+def op9_winnow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
 
@@ -41,5 +46,6 @@ QUERIES = {
     "op3_ring_shards": op3_ring_shards,
     "op4_host_quality": op4_host_quality,
     "op7_mix": op7_mix,
+    "op9_winnow": op9_winnow,
     "op10_jaccard_join": op10_jaccard_join,
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard_join, mixing, quality, sharding, url_filter
+from . import decontaminate, jaccard_join, mixing, quality, sharding, suffix_dedup, url_filter
 from .common import table
 
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -27,6 +27,10 @@ def op4_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, ("doc_id",)).drop("host_rate")
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return mixing.mix_sources(docs, mixing.ranked_weights(docs, MIX_CYCLE), MIX_SHARE, MIX_EPOCHS)
@@ -45,6 +49,7 @@ QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op3_ring_shards": op3_ring_shards,
     "op4_host_quality": op4_host_quality,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op7_mix": op7_mix,
     "op9_winnow": op9_winnow,
     "op10_jaccard_join": op10_jaccard_join,

@@ -91,4 +91,13 @@ ht AS (SELECT dw.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT
 
 OP9 = f"WITH {_HITS.format(docs='documents')} SELECT * FROM ht"
 
-ORACLES = {"op9_winnow": OP9, "op10_jaccard_join": OP10, "op1_url_filter": OP1, "op4_host_quality": OP4, "op7_mix": OP7}
+OP6 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+q AS (SELECT page_id, strlen(html)::BIGINT AS n, sha1(html) AS d, max(page_id) OVER (PARTITION BY html) AS top FROM p)
+SELECT page_id, n AS payload_bytes, d AS payload_digest,
+  CASE WHEN n >= 1000 AND page_id <> top THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n >= 1000 AND page_id <> top THEN top END AS refers_to
+FROM q
+"""
+
+ORACLES = {"op6_warc": OP6, "op9_winnow": OP9, "op10_jaccard_join": OP10, "op1_url_filter": OP1, "op4_host_quality": OP4, "op7_mix": OP7}

@@ -106,3 +106,13 @@ def ranked_weights(docs: DataFrame, cycle: tuple[float, ...], source: str = "sou
     names = docs.groupBy(F.col(source).alias("__source")).agg(F.lit(1).alias("__one"))
     at = F.row_number().over(Window.orderBy(F.col("__source").asc_nulls_last())) - 1
     return names.select("__source", F.element_at(F.array(*[F.lit(float(w)) for w in cycle]), (at % len(cycle) + 1).cast("int")).alias("weight"))
+
+
+def mixed_documents(docs: DataFrame, cycle: tuple[float, ...], share: float, max_epochs: float = 2.0, id: str = "doc_id", text: str = "text", source: str = "source", seed: str = SEED) -> DataFrame:
+    """The mix as rows of ``docs``: each document as often as its taken words come to, rounded to whole documents."""
+    names = docs.columns
+    plain = docs.toDF(*[f"__c{i}" for i in range(len(names))])
+    own = lambda c: f"__c{names.index(c)}"
+    mixed = mix_sources(plain, ranked_weights(plain, cycle, own(source)), share, max_epochs, tuple(plain.columns), own(id), own(text), own(source), seed)
+    copies = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(F.lit(0)).cast("int")
+    return mixed.where(copies > 0).withColumn("__copy", F.explode(F.sequence(F.lit(1), copies))).select(*plain.columns).toDF(*names)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 MASK = (1 << 64) - 1
 BASE = 0x9E3779B97F4A7C15 | 1
 #: Bytes of text that one vectorised step handles; a longer document is a step of its own.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:

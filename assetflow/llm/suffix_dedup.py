@@ -30,16 +30,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, arrays, as_signed, cut, mix, text_chunks
+from .common import CHUNK_BYTES, Rolling, arrays, as_signed, cut, mix, text_chunks
 
 SPAN = 100
 GRAM = 32
 KEEP_FROM = SPAN - GRAM + 1
-BUCKET_ANCHORS = 1_000_000
+BUCKET_ANCHORS = 500_000
 #: Edge contexts of one anchor that one task sorts together.
 MOST_CONTEXTS = 4096
 #: Suffixes that one sort takes, a bucket at least.
-PIECE_SUFFIXES = 400_000
+PIECE_SUFFIXES = 200_000
 
 
 def sliding_minimum(x: np.ndarray, width: int) -> np.ndarray:
@@ -54,6 +54,19 @@ def sliding_minimum(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[: n - width + 1], ahead[width - 1 : n])
 
 
+def anchors_in_pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+    """``anchors`` of a chunk; a document longer than a chunk goes by pieces that overlap by a string less one byte, so each
+    start is seen once. A run of starts that a piece parts is two contexts, which meet at their anchor like others."""
+    if len(offsets) > 2 or len(data) <= 2 * CHUNK_BYTES:
+        return anchors(data, offsets)
+    parts = []
+    for at in range(0, len(data) - SPAN + 1, CHUNK_BYTES):
+        piece = data[at : at + CHUNK_BYTES + SPAN - 1]
+        row, lo, hi, anchor, h, context = anchors(piece, np.array([0, len(piece)]))
+        parts.append((row, lo + at, hi + at, anchor + at, h, context))
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
 def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     """Per anchor: row, first and last start it stands for and its own place (all in ``data``), anchor hash, context hash."""
     length = np.maximum(np.diff(offsets) - SPAN + 1, 0)
@@ -107,7 +120,7 @@ def block_maker(buckets: int) -> Callable:
             for base, data, offsets in text_chunks(batch.column(1)):
                 ids = arrays(batch, 0)[0][base : base + len(offsets) - 1]
                 ties = text_keys(data, offsets)
-                row, lo, hi, anchor, h, context = anchors(data, offsets)
+                row, lo, hi, anchor, h, context = anchors_in_pieces(data, offsets)
                 span, reach, lo = hi - lo, anchor - lo, lo - offsets[row]
                 order = np.lexsort((lo, ties[row], ids[row], context, h))
                 first = np.zeros(len(row), bool)
@@ -175,23 +188,30 @@ def class_maker(most: int) -> Callable:
     return classes
 
 
+EDGES = "hash long, id long, tie long, lo long, reach long, hot boolean, bytes binary"
+
+
 def edge_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents with their edges: the bytes of each edge's context."""
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary())
+    names = [x.split()[0] for x in EDGES.split(", ")]
     for batch in batches:
-        edges = batch.column(2).to_pylist()
+        out: list[tuple] = []
         for base, data, offsets in text_chunks(batch.column(1)):
             ids, ties = arrays(batch, 0)[0][base:], text_keys(data, offsets)
-            out = []
             for r in range(len(offsets) - 1):
-                for e in edges[base + r]:
+                text = data[offsets[r] : offsets[r + 1]].tobytes()
+                for e in batch.column(2)[base + r].as_py():
                     if e["tie"] != ties[r]:
                         continue
-                    lo, hi = np.frombuffer(e["lo"], np.int32), np.frombuffer(e["hi"], np.int32)
-                    for h, a, b, d in zip(np.frombuffer(e["hash"], np.int64).tolist(), lo.tolist(), hi.tolist(), np.frombuffer(e["reach"], np.uint8).tolist(), strict=True):
-                        out.append((h, int(ids[r]), int(ties[r]), a, d, e["hot"], data[offsets[r] + a : offsets[r] + b + SPAN].tobytes()))
-            cols = list(zip(*out, strict=True)) or [()] * 7
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["hash", "id", "tie", "lo", "reach", "hot", "bytes"])
+                    lo, hi, reach = np.frombuffer(e["lo"], np.int32).tolist(), np.frombuffer(e["hi"], np.int32).tolist(), np.frombuffer(e["reach"], np.uint8).tolist()
+                    for h, a, b, d in zip(np.frombuffer(e["hash"], np.int64).tolist(), lo, hi, reach, strict=True):
+                        out.append((h, int(ids[r]), int(ties[r]), a, d, e["hot"], text[a : b + SPAN]))
+                if len(out) >= 5000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
+                    out = []
+        cols = list(zip(*out, strict=True)) or [()] * len(kinds)
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
 
 
 class Suffixes:
@@ -315,13 +335,12 @@ def _pieces(h: np.ndarray) -> Iterator[tuple[int, int]]:
 def cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents with their repeats: what is removed, and what is left."""
     for batch in batches:
-        spans = batch.column(2).to_pylist()
         for base, data, offsets in text_chunks(batch.column(1)):
             ties = text_keys(data, offsets)
             out = []
             for r in range(len(offsets) - 1):
                 text = data[offsets[r] : offsets[r + 1]]
-                own = [s for s in spans[base + r] or () if s["tie"] == ties[r]]
+                own = [s for s in batch.column(2)[base + r].as_py() or () if s["tie"] == ties[r]]
                 if not own:
                     out.append((len(text), 0, 0, text.tobytes()))
                     continue
@@ -349,7 +368,7 @@ def suffix_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", most_c
     edges = listed(found.where("length(hash) > 0"), "hash", "reach", "hot")
     contexts = cut(
         own.select("key", "text").join(edges, F.col("key") == F.col("id")).select("key", "text", "spans")
-        .mapInArrow(edge_contexts, "hash long, id long, tie long, lo long, reach long, hot boolean, bytes binary")
+        .mapInArrow(edge_contexts, EDGES)
     )
     plain = contexts.where("NOT hot").drop("hot").repartition("hash").sortWithinPartitions("hash").mapInArrow(sort_edges, REMOVED)
     # Anchors with too many contexts for one task: each 100-byte string by itself, reduced to its first by a grouped minimum.

@@ -92,6 +92,17 @@ def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 BLOCK = "bucket long, sets binary, counts binary, held binary, shingles binary"
 
 
+def packed(hashes: np.ndarray) -> bytes:
+    """The low six bytes of each: with the bucket's number, as good as the whole within a bucket of some million shingles."""
+    return np.ascontiguousarray(hashes).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def unpacked(raw: np.ndarray, bucket: int) -> np.ndarray:
+    out = np.zeros((len(raw) // 6, 8), np.uint8)
+    out[:, :6] = raw.reshape(-1, 6)
+    return mix(out.view("<u8").ravel() + np.uint64(bucket) * np.uint64(0x9E3779B97F4A7C15))
+
+
 def _runs(x: np.ndarray) -> np.ndarray:
     """Starts of runs of equal values, and the end."""
     return np.concatenate([np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])), [len(x)]]) if len(x) else np.zeros(1, np.int64)
@@ -109,7 +120,7 @@ def block_maker(buckets: int) -> Callable:
                 for a, b in zip(at[:-1], at[1:], strict=True):
                     cut_at = _runs(rows[a:b])
                     held = rows[a:b][cut_at[:-1]]
-                    out.append((int(bucket[a]), k1[held].tobytes(), counts[held].astype(np.int32).tobytes(), np.diff(cut_at).astype(np.int32).tobytes(), hashes[a:b].tobytes()))
+                    out.append((int(bucket[a]), k1[held].tobytes(), counts[held].astype(np.int32).tobytes(), np.diff(cut_at).astype(np.int32).tobytes(), packed(hashes[a:b])))
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], ["bucket", "sets", "counts", "held", "shingles"])
 
@@ -126,7 +137,7 @@ def shared_maker(parts: int) -> Callable:
         held = _joined(group.column("held"), np.int32)
         keys = np.repeat(_joined(group.column("sets"), np.int64), held)
         counts = np.repeat(_joined(group.column("counts"), np.int32), held)
-        hashes = _joined(group.column("shingles"), np.uint64)
+        hashes = unpacked(_joined(group.column("shingles"), np.uint8), group.column("bucket")[0].as_py())
         order = np.lexsort((keys, hashes))
         keys, counts, hashes = keys[order], counts[order], hashes[order]
         fresh = np.ones(len(keys), bool)

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BLANKS, LOWER, Rolling, arrays, as_signed, cut, mix, text_chunks, word_hashes, words
+from .common import BLANKS, LOWER, MASK, Rolling, as_signed, cut, mix, text_chunks, word_hashes, words
 from .components import components
 
 GRAM = 5
@@ -100,7 +100,7 @@ def packed(hashes: np.ndarray) -> bytes:
 def unpacked(raw: np.ndarray, bucket: int) -> np.ndarray:
     out = np.zeros((len(raw) // 6, 8), np.uint8)
     out[:, :6] = raw.reshape(-1, 6)
-    return mix(out.view("<u8").ravel() + np.uint64(bucket) * np.uint64(0x9E3779B97F4A7C15))
+    return mix(out.view("<u8").ravel() + np.uint64(bucket * 0x9E3779B97F4A7C15 & MASK))
 
 
 def _runs(x: np.ndarray) -> np.ndarray:

@@ -32,40 +32,43 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(text, BLANK), "")
 
 
-def repeated_words(words: Column) -> Column:
-    """Words inside 5-word windows that occur twice or more: window starts are sorted by hash, neighbours compared, and the
-    lengths of the windows' union summed over the sorted starts."""
+def _window_hashes(words: Column) -> Column:
+    """One 64-bit hash for each 5-word window, in order; none if there are fewer than two windows."""
     last = F.size(words) - GRAM
-    grams = F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(F.xxhash64(*[F.get(words, i + k) for k in range(GRAM)]).alias("h"), i.alias("i")))
-    in_order = F.sort_array(grams)
-    starts = F.sort_array(
-        F.transform(
-            F.filter(
-                F.zip_with(
-                    in_order,
-                    F.zip_with(F.concat(F.array(F.lit(None).cast("long")), in_order["h"]), F.concat(F.slice(in_order["h"], 2, 1 << 30), F.array(F.lit(None).cast("long"))), lambda a, b: F.struct(a.alias("a"), b.alias("b"))),
-                    lambda g, n: F.struct(g["i"].alias("i"), ((g["h"] == n["a"]) | (g["h"] == n["b"])).alias("twice")),
-                ),
-                lambda g: g["twice"],
-            ),
-            lambda g: g["i"],
-        )
-    )
-    return starts
+    hashes = F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(GRAM)]))
+    return F.when(last > 0, hashes).otherwise(F.array().cast("array<long>"))
 
 
-def covered(starts: Column) -> Column:
+def _covered(starts: Column) -> Column:
     """Length of the union of [s, s + 5) over sorted starts."""
     n = F.size(starts)
     gaps = F.zip_with(F.slice(starts, 2, 1 << 30), F.slice(starts, F.lit(1), F.greatest(n - 1, F.lit(0))), lambda b, a: F.least(b - a, F.lit(GRAM)))
     return F.when(n == 0, F.lit(0)).otherwise(F.aggregate(gaps, F.lit(GRAM), lambda acc, g: acc + g)).cast("long")
 
 
+def with_repeats(docs: DataFrame, words: str) -> DataFrame:
+    """``docs`` with n_repeat_words: the words inside 5-word windows that occur twice or more.
+
+    Where all windows differ, which a hash set tells, that is all. Else windows are sorted by hash and each is compared with
+    its neighbours; the union of those that have an equal one is measured over their sorted starts. Each step is a column of
+    its own, so it is computed once."""
+    pair = F.transform("__h", lambda h, i: F.struct(h.alias("h"), i.alias("i")))
+    twice = F.filter("__pairs", lambda p, i: F.coalesce(p["h"] == F.get("__sorted", i - 1), F.lit(False)) | F.coalesce(p["h"] == F.get("__sorted", i + 1), F.lit(False)))
+    return (
+        docs.withColumn("__h", _window_hashes(F.col(words)))
+        .withColumn("__pairs", F.when(F.size(F.array_distinct("__h")) < F.size("__h"), F.sort_array(pair)).otherwise(F.array().cast("array<struct<h: long, i: int>>")))
+        .withColumn("__sorted", F.transform("__pairs", lambda p: p["h"]))  # not a field access, which would be repeated per element
+        .withColumn("__starts", F.sort_array(F.transform(twice, lambda p: p["i"])))
+        .withColumn("n_repeat_words", _covered(F.col("__starts")))
+        .drop("__h", "__pairs", "__sorted", "__starts")
+    )
+
+
 def with_metrics(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with the five counts and base_failed."""
     body = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(body, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    return (
+    counted = (
         docs.drop(*METRICS)
         .withColumn("__words", words_of(body))
         .withColumn("n_words", F.size("__words").cast("long"))
@@ -73,10 +76,11 @@ def with_metrics(docs: DataFrame, text: str = "text") -> DataFrame:
         .withColumn("n_symbols", F.regexp_count(body, F.lit(r"[#*$%&|<>]")).cast("long"))
         .withColumn("__lines", lines)
         .withColumn("n_dup_lines", (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"))
-        .withColumn("__starts", F.when(F.size("__words") > GRAM, repeated_words(F.col("__words"))).otherwise(F.array().cast("array<int>")))
-        .withColumn("n_repeat_words", covered(F.col("__starts")))
+    )
+    return (
+        with_repeats(counted, "__words")
         .withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (F.lit(100) * F.col("n_repeat_words") > F.lit(round(100 * MAX_REPEATED)) * F.col("n_words")))
-        .drop("__words", "__lines", "__starts")
+        .drop("__words", "__lines")
     )
 
 

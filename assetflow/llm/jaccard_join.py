@@ -16,7 +16,8 @@ A document's set is its distinct 5-word shingles (64-bit hashes). Jaccard distan
 Equal sets are one class before anything is joined. Components of the links are built by star contraction.
 
 Scale: shingles travel as packed arrays in blocks by shingle hash, once; what comes back and what is joined are the
-shingles that two or more different sets share.
+shingles that two or more different sets share. A chunk of text sends a set or a hot shingle once, whatever its number of
+holders there: holders of hot shingles go by set, so no task gathers all that hold one.
 
 Defined results: null and empty texts have no shingles and link with nothing; a document's component is the smallest id
 reachable, itself included; equal rows get equal results; rows of one id with different texts are sets of their own that
@@ -29,10 +30,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  used as pa.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BLANKS, LOWER, MASK, Rolling, as_signed, cut, mix, text_chunks, word_hashes, words
+from .common import BLANKS, LOWER, Rolling, as_signed, cut, mix, text_chunks, word_hashes, words
 from .components import components
 
 GRAM = 5
@@ -40,6 +42,9 @@ GRAM = 5
 SIMILARITY = 75
 RADIUS = 1 - SIMILARITY / 100
 BUCKET_SHINGLES = 2_000_000
+#: A shingle that so many different sets of one chunk hold is common; its order among common ones is its hash.
+HOT_SETS = 32
+COMMON = np.iinfo(np.int32).max
 #: A region beyond either limit is split.
 REGION_SETS = 4096
 REGION_SHINGLES = 4_000_000
@@ -90,6 +95,7 @@ def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 BLOCK = "bucket long, sets binary, counts binary, held binary, shingles binary"
+PART = "part long, sets binary, counts binary, shingles binary, df binary"
 
 
 def packed(hashes: np.ndarray) -> bytes:
@@ -97,10 +103,10 @@ def packed(hashes: np.ndarray) -> bytes:
     return np.ascontiguousarray(hashes).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
 
 
-def unpacked(raw: np.ndarray, bucket: int) -> np.ndarray:
+def unpacked(raw: np.ndarray, bucket: int | np.ndarray) -> np.ndarray:
     out = np.zeros((len(raw) // 6, 8), np.uint8)
     out[:, :6] = raw.reshape(-1, 6)
-    return mix(out.view("<u8").ravel() + np.uint64(bucket * 0x9E3779B97F4A7C15 & MASK))
+    return mix(out.view("<u8").ravel() + np.atleast_1d(bucket).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
 def _runs(x: np.ndarray) -> np.ndarray:
@@ -108,25 +114,73 @@ def _runs(x: np.ndarray) -> np.ndarray:
     return np.concatenate([np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])), [len(x)]]) if len(x) else np.zeros(1, np.int64)
 
 
+def _different(batch: pa.RecordBatch) -> Iterator[tuple]:
+    """Chunks of a batch without the sets that the chunk has before: counts, digests, row and shingle; and which shingles
+    many sets of the chunk hold."""
+    for _, counts, (k1, _), rows, hashes in _sets(batch):
+        first = np.zeros(len(k1), bool)
+        first[np.unique(k1, return_index=True)[1]] = True
+        keep = first[rows]
+        rows, hashes = rows[keep], hashes[keep]
+        _, inverse, holders = np.unique(hashes, return_inverse=True, return_counts=True)
+        yield counts, k1, rows, hashes, (holders >= HOT_SETS)[inverse]
+
+
 def block_maker(buckets: int) -> Callable:
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Shingles by bucket with the sets that hold them. Of a shingle that is hot in the chunk only the fact goes there
+        (a row without sets); its holders go by ``hot_maker``."""
         for batch in batches:
-            for _, counts, (k1, _), rows, hashes in _sets(batch):
-                bucket = ((hashes >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
-                order = np.lexsort((rows, bucket))
-                bucket, rows, hashes = bucket[order], rows[order], hashes[order]
-                at = _runs(bucket)
+            for counts, k1, rows, hashes, hot in _different(batch):
+                bucket = _bucket(hashes, buckets)
                 out = []
-                for a, b in zip(at[:-1], at[1:], strict=True):
-                    cut_at = _runs(rows[a:b])
-                    held = rows[a:b][cut_at[:-1]]
-                    out.append((int(bucket[a]), k1[held].tobytes(), counts[held].astype(np.int32).tobytes(), np.diff(cut_at).astype(np.int32).tobytes(), packed(hashes[a:b])))
+                for facts in (False, True):
+                    own = np.flatnonzero(hot == facts)
+                    if facts:
+                        own = own[np.unique(hashes[own], return_index=True)[1]]
+                    order = own[np.lexsort((rows[own], bucket[own]))]
+                    at = _runs(bucket[order])
+                    for a, b in zip(at[:-1], at[1:], strict=True):
+                        i = order[a:b]
+                        cut_at = _runs(rows[i])
+                        held = rows[i][cut_at[:-1]]
+                        sets = (b"", b"", b"") if facts else (k1[held].tobytes(), counts[held].astype(np.int32).tobytes(), np.diff(cut_at).astype(np.int32).tobytes())
+                        out.append((int(bucket[i[0]]), *sets, packed(hashes[i])))
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], ["bucket", "sets", "counts", "held", "shingles"])
 
     return blocks
 
 
+def hot_maker(buckets: int, parts: int) -> Callable:
+    def hot_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Holders of the chunk's hot shingles, straight to the sets' parts: they are common, whatever their number."""
+        for batch in batches:
+            for counts, k1, rows, hashes, hot in _different(batch):
+                rows, hashes = rows[hot], hashes[hot]
+                ids = unpacked(np.frombuffer(packed(hashes), np.uint8), _bucket(hashes, buckets))
+                yield from _by_part(k1[rows], counts[rows].astype(np.int32), ids, np.full(len(ids), COMMON, np.int32), parts).to_batches()
+
+    return hot_lists
+
+
+def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    return ((hashes >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
+
+
+def _by_part(keys: np.ndarray, counts: np.ndarray, hashes: np.ndarray, df: np.ndarray, parts: int) -> pa.Table:
+    part = (keys.view(np.uint64) % np.uint64(parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    at = _runs(part[order])
+    out = [[], [], [], [], []]
+    for a, b in zip(at[:-1], at[1:], strict=True):
+        i = order[a:b]
+        for c, v in zip(out, (int(part[i[0]]), keys[i].tobytes(), counts[i].tobytes(), hashes[i].tobytes(), df[i].astype(np.int32).tobytes()), strict=True):
+            c.append(v)
+    kinds = (pa.int64(), *[pa.binary()] * 4)
+    return pa.table([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["part", "sets", "counts", "shingles", "df"])
+
+
 def _joined(column: pa.ChunkedArray, kind: type) -> np.ndarray:
     return np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in column] or [np.zeros(0, kind)])
 
@@ -134,10 +188,14 @@ def _joined(column: pa.ChunkedArray, kind: type) -> np.ndarray:
 def shared_maker(parts: int) -> Callable:
     def shared(group: pa.Table) -> pa.Table:
         """Of a bucket's shingles those that two or more sets hold, with that number, in blocks by set."""
+        bucket = group.column("bucket")[0].as_py()
+        facts = pa.compute.equal(pa.compute.binary_length(group.column("sets")), 0)
+        hot = np.unique(unpacked(_joined(group.filter(facts).column("shingles"), np.uint8), bucket))
+        group = group.filter(pa.compute.invert(facts))
         held = _joined(group.column("held"), np.int32)
         keys = np.repeat(_joined(group.column("sets"), np.int64), held)
         counts = np.repeat(_joined(group.column("counts"), np.int32), held)
-        hashes = unpacked(_joined(group.column("shingles"), np.uint8), group.column("bucket")[0].as_py())
+        hashes = unpacked(_joined(group.column("shingles"), np.uint8), bucket)
         order = np.lexsort((keys, hashes))
         keys, counts, hashes = keys[order], counts[order], hashes[order]
         fresh = np.ones(len(keys), bool)
@@ -145,18 +203,9 @@ def shared_maker(parts: int) -> Callable:
         keys, counts, hashes = keys[fresh], counts[fresh], hashes[fresh]
         at = _runs(hashes)
         df = np.repeat(np.diff(at), np.diff(at))
+        df[np.isin(hashes, hot)] = COMMON  # hot in some chunk: common everywhere, so the order is the same for all sets
         more = df > 1
-        keys, counts, hashes, df = keys[more], counts[more], hashes[more], df[more]
-        part = (keys.view(np.uint64) % np.uint64(parts)).astype(np.int64)
-        order = np.argsort(part, kind="stable")
-        at = _runs(part[order])
-        out = [[], [], [], [], []]
-        for a, b in zip(at[:-1], at[1:], strict=True):
-            i = order[a:b]
-            for c, v in zip(out, (int(part[i[0]]), keys[i].tobytes(), counts[i].tobytes(), hashes[i].tobytes(), df[i].astype(np.int32).tobytes()), strict=True):
-                c.append(v)
-        kinds = (pa.int64(), *[pa.binary()] * 4)
-        return pa.table([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["part", "sets", "counts", "shingles", "df"])
+        return _by_part(keys[more], counts[more], hashes[more], df[more], parts)
 
     return shared
 
@@ -167,6 +216,9 @@ def prefixes(group: pa.Table) -> pa.Table:
     hashes, df = _joined(group.column("shingles"), np.uint64), _joined(group.column("df"), np.int32)
     order = np.lexsort((hashes, df, counts, keys))
     keys, counts, hashes = keys[order], counts[order], hashes[order]
+    fresh = np.ones(len(keys), bool)  # a set that several chunks have comes with its hot shingles from each
+    fresh[1:] = (keys[1:] != keys[:-1]) | (counts[1:] != counts[:-1]) | (hashes[1:] != hashes[:-1])
+    keys, counts, hashes = keys[fresh], counts[fresh], hashes[fresh]
     new = np.ones(len(keys), bool)
     new[1:] = (keys[1:] != keys[:-1]) | (counts[1:] != counts[:-1])
     at = np.concatenate([np.flatnonzero(new), [len(keys)]])
@@ -324,7 +376,9 @@ def jaccard_components(
     classes = cut(made.where("n > 0 AND __id IS NOT NULL").groupBy("k1", "k2", "n").agg(F.min("__id").alias("rep")))
     total = classes.agg(F.sum("n")).first()[0] or 0
     buckets = max(8, -(-total // bucket_shingles))
-    shared = own.where("__id IS NOT NULL").mapInArrow(block_maker(buckets), BLOCK).groupBy("bucket").applyInArrow(shared_maker(max(8, buckets // 2)), "part long, sets binary, counts binary, shingles binary, df binary")
+    parts, named = max(8, buckets // 2), own.where("__id IS NOT NULL")
+    shared = named.mapInArrow(block_maker(buckets), BLOCK).groupBy("bucket").applyInArrow(shared_maker(parts), PART)
+    shared = shared.unionByName(named.mapInArrow(hot_maker(buckets, parts), PART))
     sets = cut(shared.groupBy("part").applyInArrow(prefixes, "set long, n long, prefix array<long>, shingles binary"))
     held = sets.select("set", F.explode("prefix").alias("shingle"))
     pivots = cut(held.groupBy("shingle").agg(F.min("set").alias("region"), F.max("set").alias("last")).where("region <> last").select("shingle", "region"))
@@ -338,9 +392,9 @@ def jaccard_components(
     reps = classes.select("k1", "rep")
     linked = links.join(reps.select(F.col("k1").alias("a"), F.col("rep").alias("x")), "a").join(reps.select(F.col("k1").alias("b"), F.col("rep").alias("y")), "b")
     found = components(linked.select(F.col("x").alias("a"), F.col("y").alias("b")))
-    named = cut(classes.join(found, F.col("rep") == F.col("node"), "left").select("k1", "k2", "n", F.coalesce("component", "rep").alias("component")))
+    labelled = cut(classes.join(found, F.col("rep") == F.col("node"), "left").select("k1", "k2", "n", F.coalesce("component", "rep").alias("component")))
     return (
-        made.join(named.withColumnsRenamed({"k1": "c1", "k2": "c2", "n": "cn"}), (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2")) & (F.col("n") == F.col("cn")), "left")
+        made.join(labelled.withColumnsRenamed({"k1": "c1", "k2": "c2", "n": "cn"}), (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2")) & (F.col("n") == F.col("cn")), "left")
         .select(F.col("__id").alias(id), F.col("n").alias("n_shingles"), F.when(F.col("__id").isNotNull(), F.coalesce("component", "__id")).alias("component_id"))
     )
 

@@ -1,35 +1,22 @@
-"""Helpers that several operators share: recovery, Arrow text access and vectorised hashing."""
+"""Helpers that several operators share: recovery points, Arrow text access and vectorised hashing."""
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.store import checkpointed as cut  # noqa: F401
+from ..sources.store import shared_folder as shared_dir  # noqa: F401
+
 MASK = (1 << 64) - 1
 BASE = 0x9E3779B97F4A7C15 | 1
 #: Bytes of text that one vectorised step handles; a longer document is a step of its own.
 CHUNK_BYTES = 1 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder from spark.checkpoint.dir; a temporary one where it is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="assetflow-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint: later reads survive lost executors and don't repeat the work."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

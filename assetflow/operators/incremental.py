@@ -85,6 +85,8 @@ def dag_level(edges: DataFrame, most_rounds: int = 10_000) -> DataFrame:
         if not front.limit(1).count():
             break
         levels = levels.unionByName(front.withColumn("level", F.lit(level)))
+    else:
+        raise ValueError(f"the graph has a cycle or a way of over {most_rounds} steps")
     return levels.groupBy("node").agg(F.max("level").alias("level"))
 
 

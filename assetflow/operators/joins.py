@@ -69,10 +69,16 @@ def with_exists(df: DataFrame, assets: DataFrame, value: str, name: str = "exist
 
 
 def with_pattern_exists(patterns: DataFrame, assets: DataFrame, pattern: str = "pattern", name: str = "rexists") -> DataFrame:
-    """Does any asset match the row's own pattern, whole? Patterns are text of the pipeline and few; each asset is tried on
-    each once, and what is shuffled is one flag a pattern and task."""
-    tried = patterns.select(F.col(pattern).alias("__pattern")).distinct()
-    hit = assets.select("path").join(tried, F.expr(r"path rlike concat('(?s)\\A(?:', __pattern, ')\\z')")).groupBy("__pattern").agg(F.lit(1).alias("__hit"))
+    """Does any asset match the row's own pattern, whole? A pattern is tried on the assets below its literal directories, which
+    is a join on the directory; only patterns that begin with no literal directory are tried on all assets."""
+    literal = F.regexp_extract("__pattern", r"\A((?:[A-Za-z0-9_-]+/)*)", 1)
+    tried = patterns.select(F.col(pattern).alias("__pattern")).distinct().withColumn("__below", literal)
+    fits = F.expr(r"path rlike concat('(?s)\\A(?:', __pattern, ')\\z')")
+    parts = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.concat(F.array_join(F.slice(parts, F.lit(1), n), "/"), F.lit("/")))
+    rooted = assets.where(F.size(parts) > 1).select("path", F.explode(above).alias("__below")).join(tried.where("__below <> ''"), "__below").where(fits)
+    anywhere = assets.select("path").join(tried.where("__below = ''"), fits)
+    hit = rooted.select("__pattern").unionByName(anywhere.select("__pattern")).groupBy("__pattern").agg(F.lit(1).alias("__hit"))
     return patterns.join(hit, F.col(pattern) == F.col("__pattern"), "left").withColumn(name, F.when(F.col("__hit").isNotNull(), "true").otherwise("false")).drop("__pattern", "__hit")
 
 

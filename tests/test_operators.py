@@ -188,3 +188,16 @@ def test_throttled_stream_equals_batch(spark, tmp_path):
     got = {tuple(r) for r in spark.sql("SELECT * FROM throttled").collect()}
     want = {tuple(r) for r in throttled_progress(df).where(F.col("second") < F.lit(at(100))).collect()}
     assert got == want
+
+
+def test_patterns_with_and_without_literal_directories(spark):
+    a = spark.createDataFrame([("a/b/c1.txt",), ("d.txt",)], "path string")
+    p = spark.createDataFrame([(r"a/b/c[0-9]\.txt",), (r"a/x/.*",), (r".*\.txt",), (r"[d]\.txt",), ("d.txt",), ("b/.*",)], "pattern string")
+    got = {r["pattern"]: r["rexists"] for r in joins.with_pattern_exists(p, a).collect()}
+    assert [got[r[0]] for r in p.collect()] == ["true", "false", "true", "true", "true", "false"]
+
+
+def test_cycles_are_an_error(spark):
+    edges = spark.createDataFrame([("a", "r"), ("b", "a"), ("a", "b")], "output string, dependency string")
+    with pytest.raises(ValueError, match="cycle"):
+        incremental.dag_level(edges, most_rounds=6)

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..sources.store import checkpointed as cut  # noqa: F401
 from ..sources.store import shared_folder as shared_dir  # noqa: F401
@@ -17,6 +18,15 @@ BASE = 0x9E3779B97F4A7C15 | 1
 CHUNK_BYTES = 1 << 20
 
 
+#: Rows of a few numbers or short names that are sent to every executor; what has more is joined by shuffle.
+MOST_BROADCAST = 200_000
+
+
+def sent_if_small(df: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
+    """``df`` marked for broadcast after its rows have been counted, or as it is. Give a table that is cheap to read twice."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, Rolling, as_signed, cut, mix, text_chunks, word_hashes, word_table, words
+from .common import LOWER, Rolling, as_signed, cut, mix, sent_if_small, text_chunks, word_hashes, word_table, words
 
 WINDOW = 13
 GRAM = 5
@@ -159,4 +159,4 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", t
     """``docs`` without the contaminated ones; rows without an id stay or go by their own text only if another row of that id
     does, so give ids."""
     bad = cut(hits(docs, benchmark, id, text).where("contaminated").select(F.col(id).alias("__bad")).distinct())
-    return docs.join(bad, F.col(id).eqNullSafe(F.col("__bad")), "left_anti").select(*docs.columns)
+    return docs.join(sent_if_small(bad), F.col(id).eqNullSafe(F.col("__bad")), "left_anti").select(*docs.columns)

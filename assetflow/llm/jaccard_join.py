@@ -34,7 +34,7 @@ import pyarrow.compute  # noqa: F401  used as pa.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BLANKS, LOWER, Rolling, as_signed, cut, mix, text_chunks, word_hashes, words
+from .common import BLANKS, LOWER, Rolling, as_signed, cut, mix, sent_if_small, text_chunks, word_hashes, words
 from .components import components
 
 GRAM = 5
@@ -404,7 +404,7 @@ def one_of_each(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Data
     checksum. Documents without an id stay."""
     found = jaccard_components(docs, id, text)
     gone = cut(found.where(F.col("component_id") < F.col(id)).select(id).distinct())
-    left = docs.join(gone, id, "left_anti").select(*docs.columns)
+    left = docs.join(sent_if_small(gone), id, "left_anti").select(*docs.columns)
     again = cut(docs.groupBy(id).agg(F.count("*").alias("__n")).where(F.col(id).isNotNull() & (F.col("__n") > 1)).select(F.col(id).alias("__again")))
     if not again.limit(1).count():
         return left

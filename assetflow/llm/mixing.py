@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, sent_if_small
 
 SEED = "mix-1"
 SLICES = 4096
@@ -92,7 +92,7 @@ def mix_sources(
             F.greatest(F.lit(0), F.least("__words", F.col("__extra") - F.col("__before"))).alias("__left"), "__words",
         )
     )
-    known = based.join(dealt, F.col("__source").eqNullSafe(F.col("__s")) & (F.col("__slice") == F.col("__k")))
+    known = based.join(sent_if_small(cut(dealt)), F.col("__source").eqNullSafe(F.col("__s")) & (F.col("__slice") == F.col("__k")))
     border = (F.col("__left") > 0) & (F.col("__left") < F.col("__words"))
     order = Window.partitionBy("__source", "__slice").orderBy("__hash", "__id", "size", "__crc").rowsBetween(Window.unboundedPreceding, -1)
     whole = known.where(~border).withColumn("__more", F.when(F.col("__left") > 0, F.col("size")).otherwise(F.lit(0)))

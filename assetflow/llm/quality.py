@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, sent_if_small
 
 MIN_WORDS = 10
 MAX_REPEATED = 0.20
@@ -108,7 +108,7 @@ def judge(docs: DataFrame, keep: tuple[str, ...], text: str = "text", host: str
     cols = tuple(dict.fromkeys(c for c in keep if c not in METRICS and c not in ("kept", "host_rate")))
     rest = [c for c in {text, host} if c not in cols]
     judged = cut(with_metrics(docs.select(*cols, *rest), text).select(*cols, *METRICS, F.col(host).alias("__of")))
-    rates = host_rates(judged, "__of").select("__host", "shrunk_rate")
+    rates = sent_if_small(host_rates(judged, "__of").select("__host", "shrunk_rate"))
     return judged.join(rates, judged["__of"].eqNullSafe(rates["__host"]), "left").select(
         *cols, *METRICS, F.col("shrunk_rate").alias("host_rate"), (~F.col("base_failed") & (F.col("shrunk_rate") <= max_host_rate)).alias("kept")
     )

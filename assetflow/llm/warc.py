@@ -27,13 +27,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, shared_dir
+from .common import cut, sent_if_small, shared_dir
 
 LEAST_REVISIT = 1000
 PACKAGE_BYTES = 128 << 20
 READ_BYTES = 4 << 20
-#: Digest groups that are sent to all executors; more are joined by shuffle.
-MOST_BROADCAST = 100_000
 
 
 def opened(uri: str) -> tuple[fs.FileSystem, str]:
@@ -220,7 +218,7 @@ def write_packages(pages: DataFrame, folder: str, id: str = "page_id", url: str
     own = pages.select(F.col(id).alias("__id"), F.col(url).cast("string").alias("__url"), F.coalesce(F.col(html), F.lit("")).alias("__html"))
     own = own.withColumn("__digest", F.sha1("__html")).withColumn("__n", F.octet_length("__html").cast("long"))
     groups = cut(own.where(F.col("__n") >= least).groupBy("__digest").agg(F.count("*").alias("k"), F.max("__id").alias("__first")).where("k > 1 AND __first IS NOT NULL").select(F.col("__digest").alias("__of"), "__first"))
-    known = F.broadcast(groups) if groups.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else groups
+    known = sent_if_small(groups)
     revisit = F.col("__first").isNotNull() & ~F.col("__id").eqNullSafe(F.col("__first"))
     rows = own.join(known, F.col("__digest") == F.col("__of"), "left").select(
         F.col("__id").cast("string").alias("page"), "__url", "__digest", F.when(revisit, "revisit").otherwise("response").alias("type"),

@@ -5,28 +5,18 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import flags as fl
-from ..functions import paths as pa
-from ..functions import text as tx
-from ..functions import times as tm
 from ..operators import aggregates as ag
 from ..operators import blocks as bl
-from ..operators import incremental as inc
 from ..operators import joins as jn
 from ..operators import manifest as mf
 from ..operators import predicates as pr
 from ..operators import sets as st
 from ..operators import windows as wn
-from ..operators import work as wk
-from ..schema import EXISTS, MODIFIED
 from ..sources import scan, store
-from ..streaming.progress import incremental_arrivals, throttled_progress
 from . import views as v
-from .pipeline import decide, incremental_run
 from .template import Template, assign, unset
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}

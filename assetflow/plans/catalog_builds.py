@@ -16,11 +16,10 @@ from ..operators import incremental as inc
 from ..operators import joins as jn
 from ..operators import manifest as mf
 from ..operators import work as wk
-from ..operators.aggregates import needs_build_any
 from ..sources import store
 from ..streaming.progress import incremental_arrivals, throttled_progress
 from . import views as v
-from .catalog import directories_of, files_of, full, manifest_of, query, seconds
+from .catalog import directories_of, full, manifest_of, query, seconds
 from .pipeline import incremental_run
 
 # ---- scalar functions

@@ -15,7 +15,6 @@ empty table. Spans are in code points, the end exclusive.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache

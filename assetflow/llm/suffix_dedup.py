@@ -16,7 +16,7 @@ Scale: contexts are dealt as packed hashes, once. Buckets of edges that are too
 hash of each 100-byte string, after equal strings have been reduced to their first by a grouped minimum.
 
 Defined results: a null text is empty; texts under 100 bytes lose nothing; rows are ordered by id, then by a checksum of
-the text (rows of one id are different documents unless all is equal); a null id comes before all others; an empty table
+the text (rows of one id and text are one document, others are different ones); a null id comes before all others; an empty table
 gives an empty table. Bytes are removed without regard to characters.
 """
 
@@ -90,10 +90,6 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     return row[at], lo, hi, anchor, h[anchor], mix(roll.of(lo, hi + SPAN) + (hi - lo).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25) + (anchor - lo).astype(np.uint64))
 
 
-def text_keys(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    return as_signed(mix(Rolling(data).of(offsets[:-1], offsets[1:]) + np.diff(offsets).astype(np.uint64)))
-
-
 BLOCK = "bucket long, ids binary, ties binary, held binary, hash binary, context binary, lo binary, span binary, reach binary"
 REMOVED = "id long, tie long, hot boolean, hash binary, lo binary, hi binary, reach binary"
 
@@ -117,9 +113,9 @@ def _firsts(*keys: np.ndarray) -> np.ndarray:
 def block_maker(buckets: int) -> Callable:
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for base, data, offsets in text_chunks(batch.column(1)):
-                ids = arrays(batch, 0)[0][base : base + len(offsets) - 1]
-                ties = text_keys(data, offsets)
+            every_id, every_tie = arrays(batch, 0, 1)
+            for base, data, offsets in text_chunks(batch.column(2)):
+                ids, ties = (x[base : base + len(offsets) - 1] for x in (every_id, every_tie))
                 row, lo, hi, anchor, h, context = anchors_in_pieces(data, offsets)
                 span, reach, lo = hi - lo, anchor - lo, lo - offsets[row]
                 order = np.lexsort((lo, ties[row], ids[row], context, h))
@@ -188,25 +184,23 @@ def class_maker(most: int) -> Callable:
     return classes
 
 
-EDGES = "hash long, id long, tie long, lo long, reach long, hot boolean, bytes binary"
+EDGES = "hash long, id long, tie long, lo long, reach long, bytes binary"
 
 
 def edge_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents with their edges: the bytes of each edge's context."""
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary())
+    kinds = (*[pa.int64()] * 5, pa.binary())
     names = [x.split()[0] for x in EDGES.split(", ")]
     for batch in batches:
         out: list[tuple] = []
-        for base, data, offsets in text_chunks(batch.column(1)):
-            ids, ties = arrays(batch, 0)[0][base:], text_keys(data, offsets)
+        ids, ties = (x.tolist() for x in arrays(batch, 0, 1))
+        for base, data, offsets in text_chunks(batch.column(2)):
             for r in range(len(offsets) - 1):
                 text = data[offsets[r] : offsets[r + 1]].tobytes()
-                for e in batch.column(2)[base + r].as_py():
-                    if e["tie"] != ties[r]:
-                        continue
+                for e in batch.column(3)[base + r].as_py():
                     lo, hi, reach = np.frombuffer(e["lo"], np.int32).tolist(), np.frombuffer(e["hi"], np.int32).tolist(), np.frombuffer(e["reach"], np.uint8).tolist()
                     for h, a, b, d in zip(np.frombuffer(e["hash"], np.int64).tolist(), lo, hi, reach, strict=True):
-                        out.append((h, int(ids[r]), int(ties[r]), a, d, e["hot"], text[a : b + SPAN]))
+                        out.append((h, ids[base + r], ties[base + r], a, d, text[a : b + SPAN]))
                 if len(out) >= 5000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
                     out = []
@@ -335,12 +329,11 @@ def _pieces(h: np.ndarray) -> Iterator[tuple[int, int]]:
 def cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents with their repeats: what is removed, and what is left."""
     for batch in batches:
-        for base, data, offsets in text_chunks(batch.column(1)):
-            ties = text_keys(data, offsets)
+        for base, data, offsets in text_chunks(batch.column(2)):
             out = []
             for r in range(len(offsets) - 1):
                 text = data[offsets[r] : offsets[r + 1]]
-                own = [s for s in batch.column(2)[base + r].as_py() or () if s["tie"] == ties[r]]
+                own = batch.column(3)[base + r].as_py()
                 if not own:
                     out.append((len(text), 0, 0, text.tobytes()))
                     continue
@@ -351,7 +344,7 @@ def cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 out.append((len(text), int(gone.sum()), edges, text[~gone].tobytes()))
             n, removed, count, left = zip(*out, strict=True)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(3).slice(base, len(n)), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(count, pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in left]), pa.array(left, pa.binary())],
+                [batch.column(4).slice(base, len(n)), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(count, pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in left]), pa.array(left, pa.binary())],
                 ["__id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"],
             )
 
@@ -359,28 +352,36 @@ def cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def suffix_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", most_contexts: int = MOST_CONTEXTS, bucket_anchors: int = BUCKET_ANCHORS) -> DataFrame:
     """(``id``, n_bytes, n_removed, n_spans, kept_sha256, kept) per row; ``kept`` is what is left, as bytes. Ids are integers."""
     kind = docs.schema[id].dataType.simpleString()
-    own = docs.select(F.coalesce(F.col(id).cast("long"), F.lit(-(1 << 63))).alias("key"), F.col(text).alias("text"), F.col(id).alias("__id"))
+    own = docs.select(F.coalesce(F.col(id).cast("long"), F.lit(-(1 << 63))).alias("key"), F.xxhash64(text).alias("check"), F.col(text).alias("text"), F.col(id).alias("__id"))
     total = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(8, -(-total * 2 // (KEEP_FROM + 1) // bucket_anchors))
-    blocks = own.select("key", "text").mapInArrow(block_maker(buckets), BLOCK)
+    blocks = own.select("key", "check", "text").mapInArrow(block_maker(buckets), BLOCK)
     found = cut(blocks.groupBy("bucket").applyInArrow(class_maker(most_contexts), REMOVED))
-    listed = lambda df, *more: df.groupBy("id").agg(F.collect_list(F.struct("tie", "lo", "hi", *more)).alias("spans"))
-    edges = listed(found.where("length(hash) > 0"), "hash", "reach", "hot")
-    contexts = cut(
-        own.select("key", "text").join(edges, F.col("key") == F.col("id")).select("key", "text", "spans")
-        .mapInArrow(edge_contexts, EDGES)
-    )
-    plain = contexts.where("NOT hot").drop("hot").repartition("hash").sortWithinPartitions("hash").mapInArrow(sort_edges, REMOVED)
-    # Anchors with too many contexts for one task: each 100-byte string by itself, reduced to its first by a grouped minimum.
-    start = F.explode(F.sequence(F.lit(0), F.length("bytes") - SPAN))
-    hot = cut(contexts.where("hot").select("id", "tie", "lo", "bytes", start.alias("k")).select("id", "tie", (F.col("lo") + F.col("k")).alias("lo"), F.expr(f"substring(bytes, k + 1, {SPAN})").alias("s")))
-    firsts = cut(hot.groupBy("s").agg(F.min(F.struct("id", "tie", "lo")).alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("s").alias("t"), "first"))
-    pack = lambda c: F.unhex(F.regexp_replace(F.lpad(F.hex(c), 8, "0"), "(..)(..)(..)(..)", "$4$3$2$1"))  # noqa: E731  little-endian 32 bits
-    hot = hot.join(firsts, F.col("s") == F.col("t")).where(F.struct("id", "tie", "lo") > F.col("first"))
-    hot = hot.select("id", "tie", pack(F.col("lo")).alias("lo"), pack(F.col("lo") + SPAN).alias("hi"))
-    repeats = found.where("length(hash) = 0").select("id", "tie", "lo", "hi").unionByName(plain.select("id", "tie", "lo", "hi")).unionByName(hot)
+    listed = lambda df, *more: df.groupBy("id", "tie").agg(F.collect_list(F.struct("lo", "hi", *more)).alias("spans"))
+    same_document = (F.col("key") == F.col("id")) & (F.col("check") == F.col("tie"))
+
+    def contexts(which: str) -> DataFrame:
+        edges = listed(found.where(f"length(hash) > 0 AND {which}"), "hash", "reach")
+        # The same columns as in the last join, so that Spark shuffles the texts once for both.
+        return own.join(edges, same_document).select("key", "check", "text", "spans", "__id").mapInArrow(edge_contexts, EDGES)
+
+    plain = contexts("NOT hot").repartition("hash").sortWithinPartitions("hash").mapInArrow(sort_edges, REMOVED)
+    repeats = found.where("length(hash) = 0").select("id", "tie", "lo", "hi").unionByName(plain.select("id", "tie", "lo", "hi"))
+    if found.where("hot").limit(1).count():
+        repeats = repeats.unionByName(_hot_repeats(contexts("hot")))
     return (
-        own.join(listed(repeats), F.col("key") == F.col("id"), "left").select("key", "text", "spans", "__id")
+        own.join(listed(repeats), same_document, "left").select("key", "check", "text", "spans", "__id")
         .mapInArrow(cleaned, f"__id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
         .withColumnRenamed("__id", id)
     )
+
+
+def _hot_repeats(contexts: DataFrame) -> DataFrame:
+    """Repeats at anchors with too many contexts for one task: each 100-byte string by itself, reduced to its first by a
+    grouped minimum, and the others found by a join that Spark may split."""
+    start = F.explode(F.sequence(F.lit(0), F.length("bytes") - SPAN))
+    strings = cut(contexts.select("id", "tie", "lo", "bytes", start.alias("k")).select("id", "tie", (F.col("lo") + F.col("k")).alias("lo"), F.expr(f"substring(bytes, k + 1, {SPAN})").alias("s")))
+    firsts = cut(strings.groupBy("s").agg(F.min(F.struct("id", "tie", "lo")).alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("s").alias("t"), "first"))
+    pack = lambda c: F.unhex(F.regexp_replace(F.lpad(F.hex(c), 8, "0"), "(..)(..)(..)(..)", "$4$3$2$1"))  # noqa: E731  little-endian 32 bits
+    later = strings.join(firsts, F.col("s") == F.col("t")).where(F.struct("id", "tie", "lo") > F.col("first"))
+    return later.select("id", "tie", pack(F.col("lo")).alias("lo"), pack(F.col("lo") + SPAN).alias("hi"))

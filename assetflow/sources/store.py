@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,20 +25,28 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def _pointers(spark: SparkSession, root: str) -> DataFrame | None:
+    try:
+        return spark.read.schema("number long, name string").parquet(f"{root}/pointer")
+    except AnalysisException:  # nothing has been written yet
+        return None
+
+
 def write_manifest(files: DataFrame, directories: DataFrame, root: str) -> str:
     """Writes a new snapshot and then points to it; a run that breaks off before leaves the old one in place."""
     spark, name = files.sparkSession, f"snapshot-{uuid.uuid4().hex}"
     files.write.parquet(f"{root}/{name}/file")
     directories.write.parquet(f"{root}/{name}/directory")
-    spark.createDataFrame([(name,)], "name string").coalesce(1).write.mode("append").parquet(f"{root}/pointer")
+    known = _pointers(spark, root)
+    number = 0 if known is None else (known.agg(F.max("number")).first()[0] or 0) + 1
+    spark.createDataFrame([(number, name)], "number long, name string").coalesce(1).write.mode("append").parquet(f"{root}/pointer")
     return name
 
 
 def newest_snapshot(spark: SparkSession, root: str) -> str | None:
-    """Name of the snapshot that was pointed to last; pointers are ordered by the time of their file."""
-    pointers = spark.read.parquet(f"{root}/pointer").select("name", "_metadata.file_modification_time")
-    row = pointers.orderBy(F.col("file_modification_time").desc(), F.col("name").desc()).first()
-    return row["name"] if row else None
+    """Name of the snapshot that was pointed to last."""
+    known = _pointers(spark, root)
+    return known.agg(F.max_by("name", F.struct("number", "name"))).first()[0] if known is not None else None
 
 
 def read_manifest(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:

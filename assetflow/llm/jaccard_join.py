@@ -41,13 +41,13 @@ GRAM = 5
 #: Percent of the union.
 SIMILARITY = 75
 RADIUS = 1 - SIMILARITY / 100
-BUCKET_SHINGLES = 2_000_000
+BUCKET_SHINGLES = 1_000_000
 #: A shingle that so many different sets of one chunk hold is common; its order among common ones is its hash.
 HOT_SETS = 32
 COMMON = np.iinfo(np.int32).max
 #: A region beyond either limit is split.
 REGION_SETS = 4096
-REGION_SHINGLES = 4_000_000
+REGION_SHINGLES = 2_000_000
 CELLS = 16
 WORD_BASE = 0xC2B2AE3D27D4EB4F
 

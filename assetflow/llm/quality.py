@@ -4,9 +4,9 @@ Five counts per document decide its base verdict. The failures are then summed b
 towards the mean of all hosts by a beta prior whose strength is fitted to the spread of the hosts' rates (moments), so
 that a host with few documents isn't judged on chance. A host whose shrunk rate is above the limit is rejected whole.
 
-Scale: the texts are read once. Repeats are found inside each row by sorting its own 5-word hashes (64 bits), so no text
-or word is shuffled; only the counts are checkpointed and summed by host, with partial sums before the shuffle, and the
-host table is joined back to them.
+Scale: repeats are found inside each row by sorting its own 5-word hashes (64 bits), so no text
+or word is shuffled; the counts are summed by host, with partial sums before the shuffle, and the host table is joined
+back to them.
 
 Defined results: a null text has no words and fails; a null host is a host of its own; documents repeated or with equal ids
 are judged each; an empty table gives an empty table; columns named like the results are replaced.
@@ -104,10 +104,13 @@ def host_rates(judged: DataFrame, host: str = "source") -> DataFrame:
 
 def judge(docs: DataFrame, keep: tuple[str, ...], text: str = "text", host: str = "source", max_host_rate: float = MAX_HOST_RATE) -> DataFrame:
     """The columns ``keep``, the counts, base_failed, host_rate and kept, one row per document. The text isn't kept unless
-    named; what is kept is checkpointed, since two steps read it."""
+    named. Two steps read the counts: without the text they are checkpointed, with it they are counted again, which is less than
+to write all texts once more."""
     cols = tuple(dict.fromkeys(c for c in keep if c not in METRICS and c not in ("kept", "host_rate")))
     rest = [c for c in {text, host} if c not in cols]
-    judged = cut(with_metrics(docs.select(*cols, *rest), text).select(*cols, *METRICS, F.col(host).alias("__of")))
+    judged = with_metrics(docs.select(*cols, *rest), text).select(*cols, *METRICS, F.col(host).alias("__of"))
+    if text not in cols:
+        judged = cut(judged)
     rates = sent_if_small(host_rates(judged, "__of").select("__host", "shrunk_rate"))
     return judged.join(rates, judged["__of"].eqNullSafe(rates["__host"]), "left").select(
         *cols, *METRICS, F.col("shrunk_rate").alias("host_rate"), (~F.col("base_failed") & (F.col("shrunk_rate") <= max_host_rate)).alias("kept")

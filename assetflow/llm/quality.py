@@ -4,9 +4,8 @@ Five counts per document decide its base verdict. The failures are then summed b
 towards the mean of all hosts by a beta prior whose strength is fitted to the spread of the hosts' rates (moments), so
 that a host with few documents isn't judged on chance. A host whose shrunk rate is above the limit is rejected whole.
 
-Scale: repeats are found inside each row by sorting its own 5-word hashes (64 bits), so no text
-or word is shuffled; the counts are summed by host, with partial sums before the shuffle, and the host table is joined
-back to them.
+Scale: repeats are found inside each row by sorting its own 5-word hashes (64 bits), so no text or word is shuffled; the
+counts are summed by host, with partial sums before the shuffle, and the host table is joined back to them.
 
 Defined results: a null text has no words and fails; a null host is a host of its own; documents repeated or with equal ids
 are judged each; an empty table gives an empty table; columns named like the results are replaced.

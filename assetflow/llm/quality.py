@@ -102,23 +102,25 @@ def host_rates(judged: DataFrame, host: str = "source") -> DataFrame:
 
 
 def judge(docs: DataFrame, keep: tuple[str, ...], text: str = "text", host: str = "source", max_host_rate: float = MAX_HOST_RATE) -> DataFrame:
-    """The columns ``keep``, the counts, base_failed, host_rate and kept, one row per document. The text isn't kept unless
-    named. Two steps read the counts: without the text they are checkpointed, with it they are counted again, which is less than
-to write all texts once more."""
+    """The columns ``keep``, the counts, base_failed, host_rate and kept, one row per document. What is kept is checkpointed,
+    since two steps read it; so it should be keys rather than texts."""
     cols = tuple(dict.fromkeys(c for c in keep if c not in METRICS and c not in ("kept", "host_rate")))
     rest = [c for c in {text, host} if c not in cols]
-    judged = with_metrics(docs.select(*cols, *rest), text).select(*cols, *METRICS, F.col(host).alias("__of"))
-    if text not in cols:
-        judged = cut(judged)
+    judged = cut(with_metrics(docs.select(*cols, *rest), text).select(*cols, *METRICS, F.col(host).alias("__of")))
     rates = sent_if_small(host_rates(judged, "__of").select("__host", "shrunk_rate"))
     return judged.join(rates, judged["__of"].eqNullSafe(rates["__host"]), "left").select(
         *cols, *METRICS, F.col("shrunk_rate").alias("host_rate"), (~F.col("base_failed") & (F.col("shrunk_rate") <= max_host_rate)).alias("kept")
     )
 
 
-def kept_documents(docs: DataFrame, text: str = "text", host: str = "source", max_host_rate: float = MAX_HOST_RATE) -> DataFrame:
-    """The documents that pass, with their own columns, whatever those are called."""
+def kept_documents(docs: DataFrame, id: str = "doc_id", text: str = "text", host: str = "source", max_host_rate: float = MAX_HOST_RATE) -> DataFrame:
+    """The documents that pass, with their own columns, whatever those are called. The texts are read twice and shuffled only
+    if the rejected documents are too many to be sent: rows are told apart by id and a checksum of id, text and host."""
     names = docs.columns
     plain = docs.toDF(*[f"__c{i}" for i in range(len(names))])
-    judged = judge(plain, tuple(plain.columns), f"__c{names.index(text)}", f"__c{names.index(host)}", max_host_rate)
-    return judged.where("kept").select(*plain.columns).toDF(*names)
+    own = lambda c: f"__c{names.index(c)}"
+    marked = plain.withColumn("__check", F.xxhash64(own(id), own(text), own(host)))
+    judged = judge(marked, (own(id), "__check"), own(text), own(host), max_host_rate)
+    bad = cut(judged.where(~F.col("kept")).select(F.col(own(id)).alias("__bad"), F.col("__check").alias("__bad_check")).distinct())
+    same = F.col(own(id)).eqNullSafe(F.col("__bad")) & (F.col("__check") == F.col("__bad_check"))
+    return marked.join(sent_if_small(bad), same, "left_anti").select(*plain.columns).toDF(*names)

@@ -23,6 +23,8 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import cut
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the public pattern that parts text before the merges of this vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -61,7 +63,7 @@ def length_histogram(docs: DataFrame, text: str = "text", vocabulary: str = VOCA
 def context_table(histogram: DataFrame) -> DataFrame:
     """Per length: docs; docs_over and tokens_over (documents longer than it, and their tokens); truncated_total (tokens left
     if every document is cut at this length); total_tokens; quantile (share of documents up to it)."""
-    h = histogram.withColumn("__block", F.floor(F.col("n_tokens") / BLOCK)).withColumn("__tokens", F.col("n_tokens") * F.col("docs"))
+    h = cut(histogram).withColumn("__block", F.floor(F.col("n_tokens") / BLOCK)).withColumn("__tokens", F.col("n_tokens") * F.col("docs"))
     sums = h.groupBy("__block").agg(F.sum("docs").alias("d"), F.sum("__tokens").alias("t"))
     # One row for each 1,024 lengths.
     after = Window.orderBy(F.col("__block").desc()).rowsBetween(Window.unboundedPreceding, -1)

@@ -18,6 +18,19 @@ BASE = 0x9E3779B97F4A7C15 | 1
 CHUNK_BYTES = 1 << 20
 
 
+#: Rows of text in one Arrow batch, unless the session says otherwise: Spark's default of 10,000 holds hundreds of MB of long
+#: texts in the JVM and in Python at once.
+BATCH_ROWS = 1000
+
+
+def to_python(docs: DataFrame) -> DataFrame:
+    """``docs``, on its way to Python: the session's Arrow batches are made small if it has the default."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if docs.sparkSession.conf.get(key) == "10000":
+        docs.sparkSession.conf.set(key, str(BATCH_ROWS))
+    return docs
+
+
 #: Rows of a few numbers or short names that are sent to every executor; what has more is joined by shuffle.
 MOST_BROADCAST = 200_000
 

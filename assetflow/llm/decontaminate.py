@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, Rolling, as_signed, cut, mix, sent_if_small, text_chunks, word_hashes, word_table, words
+from .common import LOWER, Rolling, as_signed, cut, mix, sent_if_small, text_chunks, to_python, word_hashes, word_table, words
 
 WINDOW = 13
 GRAM = 5
@@ -121,7 +121,7 @@ def scanner(bits: np.ndarray, sizes: list[int]) -> Callable:
 
 def hits(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", share: int = SHARE) -> DataFrame:
     """(``id``, n_words, n_hit, n_items, items, contaminated) per document; items is a sorted array of the ids as strings."""
-    items = benchmark.select(F.col(item).cast("string").alias("item"), F.col(item_text).alias("t"))
+    items = to_python(benchmark).select(F.col(item).cast("string").alias("item"), F.col(item_text).alias("t"))
     made = cut(items.mapInArrow(windows_of, "item string, hash long, size long, lead boolean"))
     # The bit table has a fixed size: 64-bit words of FILTER_BITS bits come to the driver, not the fingerprints.
     bit = F.pmod(F.shiftrightunsigned("hash", 13), F.lit(FILTER_BITS))

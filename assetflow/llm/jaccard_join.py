@@ -34,7 +34,7 @@ import pyarrow.compute  # noqa: F401  used as pa.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BLANKS, LOWER, Rolling, as_signed, cut, mix, sent_if_small, text_chunks, word_hashes, words
+from .common import BLANKS, LOWER, Rolling, as_signed, cut, mix, sent_if_small, text_chunks, to_python, word_hashes, words
 from .components import components
 
 GRAM = 5
@@ -370,7 +370,7 @@ def jaccard_components(
     docs: DataFrame, id: str = "doc_id", text: str = "text", region_sets: int = REGION_SETS, region_shingles: int = REGION_SHINGLES, bucket_shingles: int = BUCKET_SHINGLES
 ) -> DataFrame:
     """(``id``, n_shingles, component_id), one row per row of ``docs``."""
-    own = docs.select(F.col(id).alias("__id"), F.col(text).alias("__text"))
+    own = to_python(docs).select(F.col(id).alias("__id"), F.col(text).alias("__text"))
     kind = own.schema["__id"].dataType.simpleString()
     made = cut(own.mapInArrow(digests, f"__id {kind}, n long, k1 long, k2 long"))
     classes = cut(made.where("n > 0 AND __id IS NOT NULL").groupBy("k1", "k2", "n").agg(F.min("__id").alias("rep")))

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .automaton import bytes_of, compile_rules, reverse, word
+from .common import to_python
 
 LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 
@@ -111,5 +112,5 @@ def scanner(rules: tuple[Rule, ...]) -> Callable:
 def scan_secrets(docs: DataFrame, id: str = "doc_id", text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """(``id``, spans) per row: an array of (kind, start, end) by start, then by the order of the rules."""
     kind = docs.schema[id].dataType.simpleString()
-    own = docs.select(F.col(id).alias("__id"), F.col(text).cast("string").alias("__text"))
+    own = to_python(docs).select(F.col(id).alias("__id"), F.col(text).cast("string").alias("__text"))
     return own.mapInArrow(scanner(rules), f"__id {kind}, spans array<struct<kind: string, start: long, end: long>>").withColumnRenamed("__id", id)

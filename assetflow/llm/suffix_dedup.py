@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, Rolling, arrays, as_signed, cut, mix, text_chunks
+from .common import CHUNK_BYTES, Rolling, arrays, as_signed, cut, mix, text_chunks, to_python
 
 SPAN = 100
 GRAM = 32
@@ -352,7 +352,7 @@ def cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def suffix_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", most_contexts: int = MOST_CONTEXTS, bucket_anchors: int = BUCKET_ANCHORS) -> DataFrame:
     """(``id``, n_bytes, n_removed, n_spans, kept_sha256, kept) per row; ``kept`` is what is left, as bytes. Ids are integers."""
     kind = docs.schema[id].dataType.simpleString()
-    own = docs.select(F.coalesce(F.col(id).cast("long"), F.lit(-(1 << 63))).alias("key"), F.xxhash64(text).alias("check"), F.col(text).alias("text"), F.col(id).alias("__id"))
+    own = to_python(docs).select(F.coalesce(F.col(id).cast("long"), F.lit(-(1 << 63))).alias("key"), F.xxhash64(text).alias("check"), F.col(text).alias("text"), F.col(id).alias("__id"))
     total = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(8, -(-total * 2 // (KEEP_FROM + 1) // bucket_anchors))
     blocks = own.select("key", "check", "text").mapInArrow(block_maker(buckets), BLOCK)

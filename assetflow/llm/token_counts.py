@@ -23,7 +23,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, to_python
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the public pattern that parts text before the merges of this vocabulary.
@@ -56,7 +56,7 @@ def length_histogram(docs: DataFrame, text: str = "text", vocabulary: str = VOCA
     context = docs.sparkSession.sparkContext
     context.addFile(vocabulary)
     name = vocabulary.rstrip("/").rpartition("/")[2]
-    counts = docs.select(text).mapInArrow(_counter(name, pattern, True), "n_tokens long, docs long")
+    counts = to_python(docs).select(text).mapInArrow(_counter(name, pattern, True), "n_tokens long, docs long")
     return counts.groupBy("n_tokens").agg(F.sum("docs").alias("docs"))
 
 

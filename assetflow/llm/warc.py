@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, sent_if_small, shared_dir
+from .common import cut, sent_if_small, shared_dir, to_python
 
 LEAST_REVISIT = 1000
 PACKAGE_BYTES = 128 << 20
@@ -215,7 +215,7 @@ def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def write_packages(pages: DataFrame, folder: str, id: str = "page_id", url: str = "url", html: str = "html", least: int = LEAST_REVISIT, package_bytes: int = PACKAGE_BYTES) -> DataFrame:
     """Writes a record for each row and returns (path, records) of the packages."""
-    own = pages.select(F.col(id).alias("__id"), F.col(url).cast("string").alias("__url"), F.coalesce(F.col(html), F.lit("")).alias("__html"))
+    own = to_python(pages).select(F.col(id).alias("__id"), F.col(url).cast("string").alias("__url"), F.coalesce(F.col(html), F.lit("")).alias("__html"))
     own = own.withColumn("__digest", F.sha1("__html")).withColumn("__n", F.octet_length("__html").cast("long"))
     groups = cut(own.where(F.col("__n") >= least).groupBy("__digest").agg(F.count("*").alias("k"), F.max("__id").alias("__first")).where("k > 1 AND __first IS NOT NULL").select(F.col("__digest").alias("__of"), "__first"))
     known = sent_if_small(groups)

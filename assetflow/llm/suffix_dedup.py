@@ -110,6 +110,17 @@ def _firsts(*keys: np.ndarray) -> np.ndarray:
     return first
 
 
+def _later(keys: tuple[np.ndarray, ...], place: tuple[np.ndarray, ...]) -> np.ndarray:
+    """Of rows sorted by class and place: those whose place comes after the first of their class. Rows of one id and text
+    are one document, so the place of a class's first may come several times."""
+    at = _runs(*keys)
+    begin = np.repeat(at[:-1], np.diff(at))
+    later = np.zeros(len(keys[0]), bool)
+    for c in place:
+        later |= c != c[begin]
+    return later
+
+
 def block_maker(buckets: int) -> Callable:
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -119,12 +130,14 @@ def block_maker(buckets: int) -> Callable:
                 row, lo, hi, anchor, h, context = anchors_in_pieces(data, offsets)
                 span, reach, lo = hi - lo, anchor - lo, lo - offsets[row]
                 order = np.lexsort((lo, ties[row], ids[row], context, h))
-                first = np.zeros(len(row), bool)
+                first, later = np.zeros(len(row), bool), np.zeros(len(row), bool)
                 first[order] = _firsts(h[order], context[order])
+                later[order] = _later((h[order], context[order]), (ids[row][order], ties[row][order], lo[order]))
                 # Contexts that the chunk has before are repeats; they go by document and carry no hashes.
                 bucket = np.where(first, (h >> np.uint64(20)) % np.uint64(buckets), (ids[row].view(np.uint64) % np.uint64(buckets)))
                 bucket = np.where(first, bucket.astype(np.int64), -1 - bucket.astype(np.int64))
                 order = np.lexsort((row, bucket))
+                order = order[(first | later)[order]]
                 at = _runs(bucket[order])
                 out = []
                 for a, b in zip(at[:-1], at[1:], strict=True):
@@ -175,10 +188,10 @@ def class_maker(most: int) -> Callable:
         h, context = _joined(group.column("hash"), np.uint64), _joined(group.column("context"), np.uint64)
         order = np.lexsort((lo, ties, ids, context, h))
         ids, ties, lo, hi, reach, h, context = (x[order] for x in (ids, ties, lo, hi, reach, h, context))
-        first = _firsts(h, context)
+        first, later = _firsts(h, context), _later((h, context), (ids, ties, lo))
         at = _runs(h)
         kinds = np.repeat(np.add.reduceat(first.astype(np.int64), at[:-1]), np.diff(at)) if len(h) else np.zeros(0, np.int64)
-        keep = ~first | (kinds > 1)
+        keep = later | first & (kinds > 1)
         return _by_document(ids[keep], ties[keep], (kinds > most)[keep] & first[keep], h[keep], lo[keep], np.where(first, hi, hi + SPAN)[keep], reach[keep], first[keep])
 
     return classes
@@ -284,7 +297,7 @@ def repeats_among(h: np.ndarray, ids: np.ndarray, ties: np.ndarray, lo: np.ndarr
     run = np.concatenate([[0], np.cumsum(~same)]) if len(order) else np.zeros(0, np.int64)
     c, p = context[order], lo[context[order]] + step[order]
     by = np.lexsort((p, ties[c], ids[c], run))
-    later = ~_firsts(run[by]) if len(by) else np.zeros(0, bool)
+    later = _later((run[by],), (ids[c][by], ties[c][by], p[by]))
     return c[by][later], p[by][later]
 
 

@@ -165,3 +165,18 @@ def test_dedup_of_odd_tables(spark):
     t = "z" * 60 + "y" * 60
     got = suffix_dedup.suffix_dedup(docs_of(spark, [(1, t), (1, t), (None, t)]))
     assert sorted(r["n_removed"] for r in got.collect()) == [0, 120, 120]
+
+
+@pytest.mark.parametrize("most", [4096, 2])
+def test_dedup_keeps_rows_that_come_twice(spark, most):
+    t = "z" * 60 + "y" * 60
+    for rows in ([(1, t), (1, t)], [(None, t), (None, t)]):
+        got = suffix_dedup.suffix_dedup(docs_of(spark, rows), most_contexts=most).collect()
+        assert [(r["n_removed"], bytes(r["kept"]).decode()) for r in got] == [(0, t)] * 2
+    # Against the same rows taken once: chunks and edges of their own, and passages that others repeat.
+    rng = random.Random(7)
+    text = lambda n: "".join(rng.choice("abc") for _ in range(n))
+    passage = [text(150) for _ in range(3)]
+    once = [(i, text(130) + rng.choice(passage) + text(40) + rng.choice(passage)[20:]) for i in range(30)]
+    got = suffix_dedup.suffix_dedup(docs_of(spark, once * 2).repartition(3), most_contexts=most).drop("kept")
+    assert sorted(tuple(r) for r in got.collect()) == sorted(brute_dedup(once) * 2)

@@ -37,6 +37,11 @@ def f4(spark, sf):
     return v.read(spark, sf, "documents").select("doc_id", F.upper(t).alias("up"), F.lower(t).alias("low"))
 
 
+@query("f4_upper_lower_whole", "SELECT doc_id, upper(replace(text, 'ß', 'SS')) AS up, lower(text) AS low FROM documents")
+def f4_whole(spark, sf):
+    return v.read(spark, sf, "documents").select("doc_id", F.upper("text").alias("up"), F.lower("text").alias("low"))
+
+
 @query("f5_replace", r"SELECT page_id, regexp_replace(path, '/([a-z]+)/', '<\1$>', 'g') AS path FROM v_paths")
 def f5(spark, sf):
     return v.paths(spark, sf).select("page_id", tx.replace_delimited(F.col("path"), r"|/([a-z]+)/|<\1$>|").alias("path"))

@@ -53,6 +53,12 @@ def f6(spark, sf):
     return v.read(spark, sf, "documents").select("doc_id", tx.substr(t, 1).alias("a"), tx.substr(t, -3).alias("b"), tx.substr(t, 3, 2).alias("c"), tx.substr(t, 3, -2).alias("d"), tx.substr(t, -3, -2).alias("e"))
 
 
+@query("f6_substr_whole", "SELECT doc_id, t[2:] AS a, CASE WHEN length(t) < 3 THEN t ELSE right(t, 3) END AS b, substring(t, 4, 2) AS c, substring(t, 2, 2) AS d, substring(t, greatest(length(t) - 3 + 1 - 2, 1), least(2, greatest(length(t) - 3, 0))) AS e FROM (SELECT doc_id, text AS t FROM documents)")
+def f6_whole(spark, sf):
+    t = F.col("text")
+    return v.read(spark, sf, "documents").select("doc_id", tx.substr(t, 1).alias("a"), tx.substr(t, -3).alias("b"), tx.substr(t, 3, 2).alias("c"), tx.substr(t, 3, -2).alias("d"), tx.substr(t, -3, -2).alias("e"))
+
+
 @query("f7_f10_path_parts", r"SELECT page_id, CASE WHEN ends_with(path, '/') THEN rtrim(path, '/') ELSE regexp_extract(path, '^(.*)/[^/]*$', 1) END AS directory, CASE WHEN ends_with(path, '/') THEN '.' ELSE regexp_extract(path, '([^/]*)$', 1) END AS filename, CASE WHEN ends_with(path, '/') THEN '.' ELSE regexp_replace(regexp_extract(path, '([^/]*)$', 1), '\.[^.]*$', '') END AS file, CASE WHEN ends_with(path, '/') THEN '' ELSE regexp_extract(regexp_extract(path, '([^/]*)$', 1), '(\.[^.]*)$', 1) END AS extension FROM v_paths")
 def f7(spark, sf):
     p = F.col("path")

@@ -13,3 +13,9 @@ def test_case_of_whole_texts(spark, tmp_path):
     rows = [(1, "Straße " * 60 + "ÄÖé Ende ß"), (2, ""), (3, None)]
     got = {r["doc_id"]: (r["up"], r["low"]) for r in of_documents(spark, tmp_path, rows, "f4_upper_lower_whole").collect()}
     assert got == {i: (t and t.upper(), t and t.lower()) if t else (t, t) for i, t in rows}
+
+
+def test_substr_of_whole_texts(spark, tmp_path):
+    rows = [(1, "".join(chr(0x100 + k) for k in range(300))), (2, "ab"), (3, "")]
+    got = {r["doc_id"]: tuple(r)[1:] for r in of_documents(spark, tmp_path, rows, "f6_substr_whole").collect()}
+    assert got == {i: (t[1:], t[-3:], t[3:5], t[1:3], t[max(len(t) - 5, 0) : max(len(t) - 3, 0)]) for i, t in rows}

@@ -87,6 +87,11 @@ def f17(spark, sf):
     return v.read(spark, sf, "documents").select("doc_id", tx.size_step(b).alias("step"), F.when(b <= 1024, tx.human_size(b)).alias("small"))
 
 
+@query("f17_human_size_whole", "SELECT doc_id, CASE WHEN b = 1 THEN '1 byte' WHEN b <= 1024 THEN b || ' bytes' WHEN b <= 1048576 THEN printf('%.1f KiB', b / 1024::DOUBLE) WHEN b <= 1073741824 THEN printf('%.1f MiB', b / 1048576::DOUBLE) WHEN b <= 1099511627776 THEN printf('%.1f GiB', b / 1073741824::DOUBLE) ELSE printf('%.1f TiB', b / 1099511627776::DOUBLE) END AS size FROM (SELECT doc_id, n_chars * n_chars AS b FROM documents)")
+def f17_whole(spark, sf):
+    return v.read(spark, sf, "documents").select("doc_id", tx.human_size(F.col("n_chars") * F.col("n_chars")).alias("size"))
+
+
 @query("f18_f20_times", "SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S.') || strftime(ts, '%g') AS text, epoch(date_trunc('second', ts))::BIGINT AS unix, epoch(date_trunc('second', ts))::BIGINT + 2208988800 AS sql, epoch(date_trunc('second', ts))::BIGINT AS back FROM events")
 def f18(spark, sf):
     t = F.col("ts").cast("timestamp")

@@ -19,3 +19,16 @@ def test_substr_of_whole_texts(spark, tmp_path):
     rows = [(1, "".join(chr(0x100 + k) for k in range(300))), (2, "ab"), (3, "")]
     got = {r["doc_id"]: tuple(r)[1:] for r in of_documents(spark, tmp_path, rows, "f6_substr_whole").collect()}
     assert got == {i: (t[1:], t[-3:], t[3:5], t[1:3], t[max(len(t) - 5, 0) : max(len(t) - 3, 0)]) for i, t in rows}
+
+
+def test_human_size_of_every_document(spark, tmp_path):
+    def brute(b):
+        step, x = 0, float(b)
+        while x > 1024:
+            step, x = step + 1, x / 1024
+        return f"{x:.{min(step, 1)}f} " + ("byte" if b == 1 else ("bytes", "KiB", "MiB", "GiB", "TiB")[step])
+
+    # 48 * 48 / 1024 = 2.25 and 80 * 80 / 1024 = 6.25 lie between two tenths.
+    rows = [(n, "x" * n) for n in (0, 1, 31, 32, 33, 48, 80, 112, 1000, 1024, 1025, 20000, 40000)]
+    got = {r["doc_id"]: r["size"] for r in of_documents(spark, tmp_path, rows, "f17_human_size_whole").collect()}
+    assert got == {n: brute(n * n) for n, _ in rows}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -60,16 +62,19 @@ def build_plan(reasons: DataFrame) -> DataFrame:
     return reasons.where("reason <> 0").withColumn("text", F.concat(F.lit("["), reason_string(F.col("reason")), F.lit("]")))
 
 
-def propagate_forced(nodes: DataFrame, edges: DataFrame, most_rounds: int = 10_000) -> DataFrame:
+def propagate_forced(nodes: DataFrame, edges: DataFrame, most_rounds: int | None = None) -> DataFrame:
     """(path, forced): everything that depends on a forced asset is forced. ``nodes``: path, forced; ``edges``: output,
-    dependency. Each round joins only the assets that the round before has reached."""
+    dependency. Each round joins only the assets that the round before has reached, until there are none; a walk that isn't
+    over after ``most_rounds``, if given, is an error."""
     reached = checkpointed(nodes.where("forced").select("path").distinct())
     front = reached
-    for _ in range(most_rounds):
+    for done in count():
         front = edges.join(front, edges["dependency"] == front["path"], "left_semi").select(F.col("output").alias("path")).distinct()
         front = checkpointed(front.join(reached, "path", "left_anti"))
         if not front.limit(1).count():
             break
+        if done == most_rounds:
+            raise ValueError(f"forced assets reach further than {most_rounds} steps")
         reached = checkpointed(reached.unionByName(front))
     return nodes.select("path").join(reached.withColumn("__f", F.lit(True)), "path", "left").select("path", F.coalesce("__f", F.lit(False)).alias("forced"))
 

@@ -1,5 +1,8 @@
 """Queries over whole texts and all rows, on small tables of their own."""
 
+import pytest
+
+from assetflow.operators import incremental as inc
 from assetflow.plans import catalog, catalog_builds  # noqa: F401  registers
 
 
@@ -32,3 +35,14 @@ def test_human_size_of_every_document(spark, tmp_path):
     rows = [(n, "x" * n) for n in (0, 1, 31, 32, 33, 48, 80, 112, 1000, 1024, 1025, 20000, 40000)]
     got = {r["doc_id"]: r["size"] for r in of_documents(spark, tmp_path, rows, "f17_human_size_whole").collect()}
     assert got == {n: brute(n * n) for n, _ in rows}
+
+
+def test_forced_flags_reach_the_end_of_a_chain(spark):
+    nodes = spark.createDataFrame([(f"n{k}", k == 0) for k in range(6)] + [("other", False)], "path string, forced boolean")
+    chain = [(f"n{k + 1}", f"n{k}") for k in range(5)]
+    edges = spark.createDataFrame([*chain, ("n0", "n5")], "output string, dependency string")
+    want = {f"n{k}": True for k in range(6)} | {"other": False}
+    assert {r["path"]: r["forced"] for r in inc.propagate_forced(nodes, edges).collect()} == want
+    assert {r["path"]: r["forced"] for r in inc.propagate_forced(nodes, edges, most_rounds=5).collect()} == want
+    with pytest.raises(ValueError, match="further than 4"):
+        inc.propagate_forced(nodes, edges, most_rounds=4)

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import secrets
+import uuid
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +27,8 @@ BATCH_ROWS = 1000
 
 
 def to_python(docs: DataFrame) -> DataFrame:
-    """``docs``, on its way to Python: the session's Arrow batches are made small if it has the default."""
+    """``docs``, on its way to Python. Spark bounds a batch by bytes (64 MB unless the session says otherwise); its rows are
+    bounded here, for the whole session, if that has Spark's default. A plan can't carry the setting itself."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if docs.sparkSession.conf.get(key) == "10000":
         docs.sparkSession.conf.set(key, str(BATCH_ROWS))
@@ -40,6 +44,19 @@ def sent_if_small(df: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def kept_table(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet to the shared folder and read again: a recovery point for large tables, since Parquet is
+    compressed and a checkpoint isn't."""
+    path = f"{shared_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def secret() -> int:
+    """A key for one call's hashes. Results don't depend on it; texts that collide under it can't be made beforehand."""
+    return secrets.randbits(64)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -62,6 +79,8 @@ def powers(n: int, base: int = BASE) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64 for i below n, kept between calls."""
     have = _powers.get(base)
     if have is None or len(have[0]) < n:
+        while len(_powers) > 2:  # a worker serves many calls, each with a base of its own
+            _powers.pop(next(iter(_powers)))
         n = max(n, CHUNK_BYTES + 4096)
         both = []
         for b in (base & MASK, pow(base, -1, 1 << 64)):
@@ -136,8 +155,30 @@ def words(data: np.ndarray, offsets: np.ndarray, parting: np.ndarray) -> tuple[n
     return start, end, np.searchsorted(offsets, start, "right") - 1
 
 
-def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    return mix(Rolling(data).of(start, end) + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+_LANES = 32
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, key: int = 0) -> np.ndarray:
+    """Keyed 64-bit hash of each word: its bytes are mixed in eight at a time, one step after the other, from a state that
+    only the key's holder knows. Words over 256 bytes are digested one by one."""
+    size = end - start
+    keyed = (key * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019) & MASK
+    h = mix(size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(key & MASK))
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    at = np.flatnonzero(size <= 8 * _LANES)
+    left = size[at]
+    for lane in range(_LANES):
+        if not len(at):
+            break
+        h[at] = mix((h[at] ^ (eight[start[at] + 8 * lane] & _MASKS[np.minimum(left, 8)])) + np.uint64(keyed))
+        more = left > 8
+        at, left = at[more], left[more] - 8
+    secret_key = (key & MASK).to_bytes(8, "little")
+    for i in np.flatnonzero(size > 8 * _LANES).tolist():
+        h[i] = int.from_bytes(blake2b(data[start[i] : end[i]].tobytes(), digest_size=8, key=secret_key).digest(), "little")
+    return h
 
 
 def arrays(batch_or_table, *names: str) -> list[np.ndarray]:

@@ -3,26 +3,33 @@
 1. *Anchors.* Of every ``KEEP_FROM`` neighbouring 32-byte hashes the smallest is an anchor (winnowing), so every 100-byte
    string holds an anchor that depends on its own bytes alone: equal strings meet at equal anchors, at equal offsets.
    An anchor stands for the run of string starts that fall to it; the bytes they span are its context.
-2. *Classes.* Anchors are dealt by hash. Of equal contexts all but the first (smallest id, then start) are repeats whole,
-   so long copies are settled without looking at single starts. Within a task's chunk this is done before the shuffle,
-   which leaves one context a chunk of any passage, however common.
+2. *Classes.* Anchors are dealt by hash. Contexts are equal if their anchors and the keyed BLAKE2b digests of all their bytes
+   are; of equal ones all but the first (smallest id, then start) are repeats whole, so long copies are settled without
+   looking at single starts. Within a task's chunk this is done before the shuffle, which leaves one context a chunk of any
+   passage, however common.
 3. *Suffix sort.* First contexts that share an anchor but differ somewhere (the edges of passages) are fetched, and the
    suffixes that start in them are sorted by a mergesort whose comparisons find the common extension of two suffixes by
    binary search over prefix polynomial hashes, in a logarithmic number of steps. Neighbours that agree on 100 bytes are
    verified byte by byte; of each run of equals the earliest stays.
 4. The repeats of each document are united and cut out.
 
-Scale: contexts are dealt as packed hashes, once. Buckets of edges that are too many for one task are dealt again by the
-hash of each 100-byte string, after equal strings have been reduced to their first by a grouped minimum.
+The hashes are keyed anew in each call, so no text can be made to collide; results don't depend on the key.
 
-Defined results: a null text is empty; texts under 100 bytes lose nothing; rows are ordered by id, then by a checksum of
-the text (rows of one id and text are one document, others are different ones); a null id comes before all others; an empty table
-gives an empty table. Bytes are removed without regard to characters.
+Scale: contexts are dealt as packed hashes, once, and texts are shuffled once, for the edges and for the cutting. An anchor
+that too many different contexts share (one passage with ever other surroundings) isn't sorted in one task: the strings
+around it are dealt by their own keyed digest, eight bytes each and never the strings, after equal ones of a batch have been
+reduced to their first. Tables in between are Parquet in the shared folder.
+
+Defined results: a null text is empty; texts under 100 bytes lose nothing; a text of any length is taken whole, in pieces of
+``CHUNK_BYTES`` that overlap; rows are ordered by id, then by a checksum of the text (rows of one id and text are one
+document, others are different ones); a null id comes before all others; an empty table gives an empty table; other columns
+of ``docs``, whatever their names, are neither read nor returned. Bytes are removed without regard to characters.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -30,15 +37,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, Rolling, arrays, as_signed, cut, mix, text_chunks, to_python
+from .common import CHUNK_BYTES, MASK, Rolling, arrays, as_signed, kept_table, mix, secret, text_chunks, to_python
 
 SPAN = 100
 GRAM = 32
 KEEP_FROM = SPAN - GRAM + 1
 BUCKET_ANCHORS = 500_000
-#: Edge contexts of one anchor that one task sorts together.
+#: Edge contexts of one anchor that one task sorts together; what has more goes by the strings' digests.
 MOST_CONTEXTS = 4096
-#: Suffixes that one sort takes, a bucket at least.
+#: Suffixes that one sort takes, a bucket at least, and strings of one bucket of digests.
 PIECE_SUFFIXES = 200_000
 
 
@@ -54,27 +61,33 @@ def sliding_minimum(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[: n - width + 1], ahead[width - 1 : n])
 
 
-def anchors_in_pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+def anchors_in_pieces(data: np.ndarray, offsets: np.ndarray, key: int = 0) -> tuple[np.ndarray, ...]:
     """``anchors`` of a chunk; a document longer than a chunk goes by pieces that overlap by a string less one byte, so each
     start is seen once. A run of starts that a piece parts is two contexts, which meet at their anchor like others."""
     if len(offsets) > 2 or len(data) <= 2 * CHUNK_BYTES:
-        return anchors(data, offsets)
+        return anchors(data, offsets, key)
     parts = []
     for at in range(0, len(data) - SPAN + 1, CHUNK_BYTES):
         piece = data[at : at + CHUNK_BYTES + SPAN - 1]
-        row, lo, hi, anchor, h, context = anchors(piece, np.array([0, len(piece)]))
+        row, lo, hi, anchor, h, context = anchors(piece, np.array([0, len(piece)]), key)
         parts.append((row, lo + at, hi + at, anchor + at, h, context))
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Per anchor: row, first and last start it stands for and its own place (all in ``data``), anchor hash, context hash."""
+def _digests(data: np.ndarray, lo: np.ndarray, hi: np.ndarray, key: int) -> np.ndarray:
+    """Keyed 64-bit digests of the bytes from ``lo`` to ``hi``."""
+    raw, k = memoryview(data.tobytes()), (key & MASK).to_bytes(8, "little")
+    return np.frombuffer(b"".join([hashlib.blake2b(raw[a:b], digest_size=8, key=k).digest() for a, b in zip(lo.tolist(), hi.tolist(), strict=True)]), np.uint64)
+
+
+def anchors(data: np.ndarray, offsets: np.ndarray, key: int = 0) -> tuple[np.ndarray, ...]:
+    """Per anchor: row, first and last start it stands for and its own place (all in ``data``), anchor hash, context digest."""
     length = np.maximum(np.diff(offsets) - SPAN + 1, 0)
     total = int(length.sum())
     if not total:
         none = np.zeros(0, np.int64)
         return none, none, none, none, none.astype(np.uint64), none.astype(np.uint64)
-    roll = Rolling(data)
+    roll = Rolling(data, key | 1)
     g = np.arange(len(data) - GRAM + 1)
     h = mix(roll.of(g, g + GRAM))
     # Upper half hash, lower half place: the minimum is the leftmost gram with the least hash, whatever the chunk.
@@ -87,7 +100,8 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     at = np.flatnonzero(new)
     lo, hi = start[at], start[np.concatenate([at[1:], [total]]) - 1]
     anchor = anchor[at]
-    return row[at], lo, hi, anchor, h[anchor], mix(roll.of(lo, hi + SPAN) + (hi - lo).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25) + (anchor - lo).astype(np.uint64))
+    # The anchor's place in its context is part of what has to be equal.
+    return row[at], lo, hi, anchor, h[anchor], _digests(data, lo, hi + SPAN, key) + (anchor - lo).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25)
 
 
 BLOCK = "bucket long, ids binary, ties binary, held binary, hash binary, context binary, lo binary, span binary, reach binary"
@@ -121,13 +135,13 @@ def _later(keys: tuple[np.ndarray, ...], place: tuple[np.ndarray, ...]) -> np.nd
     return later
 
 
-def block_maker(buckets: int) -> Callable:
+def block_maker(buckets: int, key: int) -> Callable:
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             every_id, every_tie = arrays(batch, 0, 1)
             for base, data, offsets in text_chunks(batch.column(2)):
                 ids, ties = (x[base : base + len(offsets) - 1] for x in (every_id, every_tie))
-                row, lo, hi, anchor, h, context = anchors_in_pieces(data, offsets)
+                row, lo, hi, anchor, h, context = anchors_in_pieces(data, offsets, key)
                 span, reach, lo = hi - lo, anchor - lo, lo - offsets[row]
                 order = np.lexsort((lo, ties[row], ids[row], context, h))
                 first, later = np.zeros(len(row), bool), np.zeros(len(row), bool)
@@ -197,28 +211,94 @@ def class_maker(most: int) -> Callable:
     return classes
 
 
-EDGES = "hash long, id long, tie long, lo long, reach long, bytes binary"
+#: ``kind`` is CONTEXT (one context with its bytes), STRINGS (packed digests of strings around hot anchors; ``lo`` is their
+#: number) or KNOWN (a repeat that the batch itself has shown, from ``lo``, ``reach`` bytes long).
+EDGES = "hash long, kind int, id long, tie long, lo long, reach long, bytes binary"
+CONTEXT, STRINGS, KNOWN = 0, 1, 2
 
 
-def edge_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents with their edges: the bytes of each edge's context."""
-    kinds = (*[pa.int64()] * 5, pa.binary())
-    names = [x.split()[0] for x in EDGES.split(", ")]
-    for batch in batches:
-        out: list[tuple] = []
-        ids, ties = (x.tolist() for x in arrays(batch, 0, 1))
-        for base, data, offsets in text_chunks(batch.column(2)):
-            for r in range(len(offsets) - 1):
-                text = data[offsets[r] : offsets[r + 1]].tobytes()
-                for e in batch.column(3)[base + r].as_py():
-                    lo, hi, reach = np.frombuffer(e["lo"], np.int32).tolist(), np.frombuffer(e["hi"], np.int32).tolist(), np.frombuffer(e["reach"], np.uint8).tolist()
-                    for h, a, b, d in zip(np.frombuffer(e["hash"], np.int64).tolist(), lo, hi, reach, strict=True):
-                        out.append((h, ids[base + r], ties[base + r], a, d, text[a : b + SPAN]))
-                if len(out) >= 5000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
-                    out = []
-        cols = list(zip(*out, strict=True)) or [()] * len(kinds)
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
+def _edge_batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int32(), *[pa.int64()] * 4, pa.binary())
+    cols = list(zip(*rows, strict=True)) or [()] * len(kinds)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], [x.split()[0] for x in EDGES.split(", ")])
+
+
+def edge_maker(string_buckets: int, key: int) -> Callable:
+    def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Documents with their edges: the bytes of each edge's context, and for hot anchors the digests of its strings."""
+        for batch in batches:
+            out: list[tuple] = []
+            hot: list[tuple] = []
+            ids, ties = (x.tolist() for x in arrays(batch, 0, 1))
+            for base, data, offsets in text_chunks(batch.column(2)):
+                for r in range(len(offsets) - 1):
+                    i, t, own = ids[base + r], ties[base + r], data[offsets[r] : offsets[r + 1]]
+                    text = own.tobytes()
+                    for e in batch.column(3)[base + r].as_py():
+                        lo, hi, reach = (np.frombuffer(e[c], k) for c, k in (("lo", np.int32), ("hi", np.int32), ("reach", np.uint8)))
+                        h = np.frombuffer(e["hash"], np.int64)
+                        if e["hot"]:
+                            n = (hi - lo + 1).astype(np.int64)
+                            start = np.repeat(lo.astype(np.int64) - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+                            hot.append((np.full(len(start), i), np.full(len(start), t), start, np.repeat(h, n), _digests(own, start, start + SPAN, key)))
+                        else:
+                            out.extend((x, CONTEXT, i, t, a, d, text[a : b + SPAN]) for x, a, b, d in zip(h.tolist(), lo.tolist(), hi.tolist(), reach.tolist(), strict=True))
+                    if len(out) >= 5000:
+                        yield _edge_batch(out)
+                        out = []
+            yield _edge_batch(out + _hot_rows(hot, string_buckets))
+
+    return edges
+
+
+def _hot_rows(hot: list[tuple], buckets: int) -> list[tuple]:
+    """A batch's strings around hot anchors by bucket of their digests; those that the batch has before are known repeats."""
+    if not hot:
+        return []
+    ids, ties, lo, h, digest = (np.concatenate(c) for c in zip(*hot, strict=True))
+    order = np.lexsort((lo, ties, ids, digest, h))
+    ids, ties, lo, h, digest = (c[order] for c in (ids, ties, lo, h, digest))
+    first, later = _firsts(h, digest), _later((h, digest), (ids, ties, lo))
+    out = [(i, KNOWN, i, t, a, b - a, b"") for i, t, a, b in _merged(ids[later], ties[later], lo[later])]
+    ids, ties, lo, h, digest = (c[first] for c in (ids, ties, lo, h, digest))
+    bucket = digest % np.uint64(buckets)
+    order = np.lexsort((lo, ties, ids, bucket))
+    at = _runs(bucket[order])
+    for a, b in zip(at[:-1], at[1:], strict=True):
+        k = order[a:b]
+        # Buckets have hashes of their own, which spread them over tasks like anchors.
+        name = int(as_signed(mix(bucket[k[:1]] + np.uint64(0xD1B54A32D192ED03)))[0])
+        out.append((name, STRINGS, 0, 0, b - a, 0, b"".join(c[k].astype(d).tobytes() for c, d in zip((ids, ties, h, digest, lo), ("<i8", "<i8", "<i8", "<u8", "<i4"), strict=True))))
+    return out
+
+
+def _merged(ids: np.ndarray, ties: np.ndarray, lo: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """(id, tie, from, to) of the strings that start at ``lo``, overlapping ones united."""
+    if not len(ids):
+        return []
+    order = np.lexsort((lo, ties, ids))
+    ids, ties, lo = ids[order], ties[order], lo[order]
+    new = np.ones(len(ids), bool)
+    new[1:] = (ids[1:] != ids[:-1]) | (ties[1:] != ties[:-1]) | (lo[1:] > lo[:-1] + SPAN)
+    at = np.flatnonzero(new)
+    last = np.concatenate([at[1:], [len(ids)]]) - 1
+    return list(zip(ids[at].tolist(), ties[at].tolist(), lo[at].tolist(), (lo[last] + SPAN).tolist(), strict=True))
+
+
+def repeats_of_strings(packs: list[tuple[int, bytes]]) -> list[tuple[int, int, int, int]]:
+    """Repeats among a bucket's packed strings."""
+    parts = []
+    for n, raw in packs:
+        cols, at = [], 0
+        for kind, width in (("<i8", 8), ("<i8", 8), ("<i8", 8), ("<u8", 8), ("<i4", 4)):
+            cols.append(np.frombuffer(raw, kind, n, at))
+            at += n * width
+        parts.append(cols)
+    ids, ties, h, digest, lo = (np.concatenate(c) for c in zip(*parts, strict=True))
+    order = np.lexsort((lo, ties, ids, digest, h))
+    ids, ties, lo, h, digest = (c[order] for c in (ids, ties, lo, h, digest))
+    later = _later((h, digest), (ids, ties, lo))
+    return _merged(ids[later], ties[later], lo[later].astype(np.int64))
 
 
 class Suffixes:
@@ -301,40 +381,72 @@ def repeats_among(h: np.ndarray, ids: np.ndarray, ties: np.ndarray, lo: np.ndarr
     return c[by][later], p[by][later]
 
 
-def sort_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by anchor hash, whole buckets at a time, in pieces of bounded size."""
-    kept: list[pa.RecordBatch] = []
+REPEATS = "id long, tie long, lo binary, hi binary"
 
-    def settle(t: pa.Table) -> pa.RecordBatch:
-        h, ids, ties, lo, reach = arrays(t, "hash", "id", "tie", "lo", "reach")
-        c, p = repeats_among(h, ids, ties, lo, reach, t.column("bytes").to_pylist())
-        none = np.zeros(len(c), bool)
-        out = _by_document(ids[c], ties[c], none, p, p, p + SPAN, none.astype(np.uint8), none)
-        return out.combine_chunks().to_batches()[0] if len(out) else pa.RecordBatch.from_pylist([], schema=out.schema)
 
+def _repeat_batch(spans: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
+    """Rows of REPEATS, one a document."""
+    ids, ties, lo, hi = (np.array(c, np.int64) for c in (zip(*spans, strict=True) if spans else [()] * 4))
+    order = np.lexsort((lo, ties, ids))
+    at = _runs(ids[order], ties[order])
+    out = [(int(ids[k[0]]), int(ties[k[0]]), lo[k].astype(np.int32).tobytes(), hi[k].astype(np.int32).tobytes()) for k in (order[a:b] for a, b in zip(at[:-1], at[1:], strict=True))]
+    cols = list(zip(*out, strict=True)) or [()] * 4
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["id", "tie", "lo", "hi"])
+
+
+def sort_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by hash, whole buckets at a time, in pieces of bounded size."""
+    kept: list[pa.RecordBatch] = []
     held = 0
     for batch in batches:
+        known = [(i, t, a, a + n) for k, i, t, a, n in zip(*[batch.column(c).to_pylist() for c in ("kind", "id", "tie", "lo", "reach")], strict=True) if k == KNOWN]
+        if known:
+            yield _repeat_batch(known)
         kept.append(batch)
-        held += batch.num_rows
-        if held * (KEEP_FROM // 2) > PIECE_SUFFIXES:
+        held += int(_weights(batch).sum())
+        if held > PIECE_SUFFIXES:
             t = pa.Table.from_batches(kept)
             h = arrays(t, "hash")[0]
             last = int(_runs(h)[-2])  # the last bucket may go on
-            for a, b in _pieces(h[:last]):
-                yield settle(t.slice(a, b - a))
-            kept, held = t.slice(last).to_batches(), len(h) - last
+            for a, b in _pieces(h[:last], _weights(t)[:last]):
+                yield _settle(t.slice(a, b - a))
+            t = t.slice(last)
+            kept, held = t.to_batches(), int(_weights(t).sum())
     if held:
         t = pa.Table.from_batches(kept)
-        for a, b in _pieces(arrays(t, "hash")[0]):
-            yield settle(t.slice(a, b - a))
+        for a, b in _pieces(arrays(t, "hash")[0], _weights(t)):
+            yield _settle(t.slice(a, b - a))
+
+
+def _settle(t: pa.Table) -> pa.RecordBatch:
+    """Repeats among the rows of whole buckets."""
+    kind = arrays(t, "kind")[0]
+    spans = []
+    if (kind == STRINGS).any():
+        packs = t.filter(pa.array(kind == STRINGS))
+        # Strings of several buckets don't meet by their digests, so they go together.
+        spans += repeats_of_strings(list(zip(packs.column("lo").to_pylist(), packs.column("bytes").to_pylist(), strict=True)))
+    if (kind == CONTEXT).any():
+        t = t.filter(pa.array(kind == CONTEXT))
+        h, ids, ties, lo, reach = arrays(t, "hash", "id", "tie", "lo", "reach")
+        c, p = repeats_among(h, ids, ties, lo, reach, t.column("bytes").to_pylist())
+        spans += _merged(ids[c], ties[c], p)
+    return _repeat_batch(spans)
+
 
+def _weights(t) -> np.ndarray:
+    """Suffixes, about, in each row."""
+    kind, n = arrays(t, "kind", "lo")
+    return np.where(kind == STRINGS, n, np.where(kind == CONTEXT, KEEP_FROM // 2, 1))
 
-def _pieces(h: np.ndarray) -> Iterator[tuple[int, int]]:
+
+def _pieces(h: np.ndarray, weight: np.ndarray) -> Iterator[tuple[int, int]]:
     """Runs of whole buckets of about PIECE_SUFFIXES suffixes."""
-    at, most = _runs(h), PIECE_SUFFIXES // (KEEP_FROM // 2)
+    at, total = _runs(h), np.concatenate([[0], np.cumsum(weight)])
     a = 0
     while a < len(h):
-        b = int(at[max(np.searchsorted(at, a + most, "right") - 1, np.searchsorted(at, a, "right"))])
+        fits = int(np.searchsorted(total, total[a] + PIECE_SUFFIXES, "right")) - 1
+        b = int(at[max(np.searchsorted(at, fits, "right") - 1, np.searchsorted(at, a, "right"))])
         yield a, b
         a = b
 
@@ -364,37 +476,23 @@ def cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def suffix_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", most_contexts: int = MOST_CONTEXTS, bucket_anchors: int = BUCKET_ANCHORS) -> DataFrame:
     """(``id``, n_bytes, n_removed, n_spans, kept_sha256, kept) per row; ``kept`` is what is left, as bytes. Ids are integers."""
-    kind = docs.schema[id].dataType.simpleString()
+    kind, hidden = docs.schema[id].dataType.simpleString(), secret()
     own = to_python(docs).select(F.coalesce(F.col(id).cast("long"), F.lit(-(1 << 63))).alias("key"), F.xxhash64(text).alias("check"), F.col(text).alias("text"), F.col(id).alias("__id"))
     total = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(8, -(-total * 2 // (KEEP_FROM + 1) // bucket_anchors))
-    blocks = own.select("key", "check", "text").mapInArrow(block_maker(buckets), BLOCK)
-    found = cut(blocks.groupBy("bucket").applyInArrow(class_maker(most_contexts), REMOVED))
+    blocks = own.select("key", "check", "text").mapInArrow(block_maker(buckets, hidden), BLOCK)
+    found = kept_table(blocks.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(class_maker(most_contexts), REMOVED))
     listed = lambda df, *more: df.groupBy("id", "tie").agg(F.collect_list(F.struct("lo", "hi", *more)).alias("spans"))
     same_document = (F.col("key") == F.col("id")) & (F.col("check") == F.col("tie"))
-
-    def contexts(which: str) -> DataFrame:
-        edges = listed(found.where(f"length(hash) > 0 AND {which}"), "hash", "reach")
-        # The same columns as in the last join, so that Spark shuffles the texts once for both.
-        return own.join(edges, same_document).select("key", "check", "text", "spans", "__id").mapInArrow(edge_contexts, EDGES)
-
-    plain = contexts("NOT hot").repartition("hash").sortWithinPartitions("hash").mapInArrow(sort_edges, REMOVED)
-    repeats = found.where("length(hash) = 0").select("id", "tie", "lo", "hi").unionByName(plain.select("id", "tie", "lo", "hi"))
-    if found.where("hot").limit(1).count():
-        repeats = repeats.unionByName(_hot_repeats(contexts("hot")))
+    hot = found.where("hot").agg(F.sum(F.length("hash") / 8)).first()[0] or 0
+    string_buckets = math.ceil(hot * KEEP_FROM / PIECE_SUFFIXES) or 1
+    edges = listed(found.where("length(hash) > 0"), "hash", "reach", "hot")
+    # The same columns as in the last join, so that Spark shuffles the texts once for both.
+    contexts = own.join(edges, same_document).select("key", "check", "text", "spans", "__id").mapInArrow(edge_maker(string_buckets, hidden), EDGES)
+    sorted_edges = contexts.repartition("hash").sortWithinPartitions("hash").mapInArrow(sort_edges, REPEATS)
+    repeats = found.where("length(hash) = 0").select("id", "tie", "lo", "hi").unionByName(sorted_edges)
     return (
         own.join(listed(repeats), same_document, "left").select("key", "check", "text", "spans", "__id")
         .mapInArrow(cleaned, f"__id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
         .withColumnRenamed("__id", id)
     )
-
-
-def _hot_repeats(contexts: DataFrame) -> DataFrame:
-    """Repeats at anchors with too many contexts for one task: each 100-byte string by itself, reduced to its first by a
-    grouped minimum, and the others found by a join that Spark may split."""
-    start = F.explode(F.sequence(F.lit(0), F.length("bytes") - SPAN))
-    strings = cut(contexts.select("id", "tie", "lo", "bytes", start.alias("k")).select("id", "tie", (F.col("lo") + F.col("k")).alias("lo"), F.expr(f"substring(bytes, k + 1, {SPAN})").alias("s")))
-    firsts = cut(strings.groupBy("s").agg(F.min(F.struct("id", "tie", "lo")).alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("s").alias("t"), "first"))
-    pack = lambda c: F.unhex(F.regexp_replace(F.lpad(F.hex(c), 8, "0"), "(..)(..)(..)(..)", "$4$3$2$1"))  # noqa: E731  little-endian 32 bits
-    later = strings.join(firsts, F.col("s") == F.col("t")).where(F.struct("id", "tie", "lo") > F.col("first"))
-    return later.select("id", "tie", pack(F.col("lo")).alias("lo"), pack(F.col("lo") + SPAN).alias("hi"))

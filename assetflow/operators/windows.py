@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.store import checkpointed
+
 
 def _samples(series: str, ts: str) -> Window:
     return Window.partitionBy(series).orderBy(ts, "event_id")
@@ -67,3 +69,15 @@ def first_reason(reasons: DataFrame, by: str = "transition_id") -> DataFrame:
     flagged = F.col("bits") != 0
     first = lambda role: F.min_by(F.when(flagged & (F.col("role") == role), F.col("bits")), F.when(flagged & (F.col("role") == role), F.col("ord")))
     return reasons.groupBy(by).agg(F.coalesce(first("dependency"), first("output"), F.lit(0)).alias("reason"), F.bit_or("bits").alias("all_reasons"))
+
+
+def ranked(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """``df`` with each row's place, from 0, in the order of the whole table. Ranges of the order are counted and each is
+    ranked by itself, so no task sorts all rows; rows that ``order`` doesn't tell apart share a range."""
+    dealt = checkpointed(df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()))
+    before = Window.orderBy("__of").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
+    sizes = dealt.groupBy(F.col("__range").alias("__of")).agg(F.count("*").alias("__n"))
+    starts = F.broadcast(sizes.select("__of", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before")))
+    within = Window.partitionBy("__range").orderBy(*order)
+    placed = dealt.withColumn(name, F.row_number().over(within).cast("long") - 1).join(starts, F.col("__range") == F.col("__of"))
+    return placed.withColumn(name, F.col(name) + F.col("__before")).drop("__range", "__of", "__n", "__before")

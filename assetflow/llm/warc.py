@@ -6,11 +6,14 @@ place and length for each. The reader asks the file system for ranges only: the
 is extracted. Packages live in a folder that all executors share, by any file system that pyarrow opens.
 
 Scale: payload groups are settled on digests and ids; payloads are written where they are read. A task writes packages of
-bounded size; place lists are dealt anew for reading, so one package is read by many tasks.
-
-Defined results: a null html is an empty payload; of equal payloads of ``least`` bytes or more the largest id's rows are
-responses, the others revisits; if all ids of such a group are null, all are responses; repeated rows are records each; an
-empty table gives an empty table; line breaks in a url are escaped.
+bounded size. For reading, the packages' bytes decide on the number of tasks: runs of neighbouring records, ``READ_BYTES``
+long, are dealt to them one by one, so one package is read by many tasks and a small one by few.
+
+Defined results: a null html is an empty payload; one of any size is one record, which is a run and, beyond
+``package_bytes``, a package of its own; of equal payloads of ``least`` bytes or more the largest id's rows are responses,
+the others revisits; if all ids of such a group are null, all are responses; repeated rows are records each; an empty table
+gives an empty table; line breaks in a url are escaped; other columns of ``pages``, whatever their names, are neither
+written nor returned. The packages stay in their folder, which is the caller's to delete: the result reads them when it runs.
 """
 
 from __future__ import annotations
@@ -31,7 +34,9 @@ from .common import cut, sent_if_small, shared_dir, to_python
 
 LEAST_REVISIT = 1000
 PACKAGE_BYTES = 128 << 20
+#: Bytes of neighbouring records that are read at once, and of all that one task reads, about.
 READ_BYTES = 4 << 20
+TASK_BYTES = 32 << 20
 
 
 def opened(uri: str) -> tuple[fs.FileSystem, str]:
@@ -100,7 +105,7 @@ def writer(folder: str, package_bytes: int) -> Callable:
             nonlocal held, size, number
             # A task that is tried again writes names of its own; only what the task that ended lists is read.
             name = f"{base}/part-{context.partitionId():05d}-{context.taskAttemptId()}-{number}.zip"
-            made.append((f"{folder}/{name.rpartition('/')[2]}", _write_package(system, name, held)))
+            made.append((f"{folder}/{name.rpartition('/')[2]}", _write_package(system, name, held), size))
             held, size, number = [], 0, number + 1
 
         for batch in batches:
@@ -112,8 +117,8 @@ def writer(folder: str, package_bytes: int) -> Callable:
                     close()
         if held:
             close()
-        paths, counts = zip(*made, strict=True) if made else ((), ())
-        yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(counts, pa.int64())], ["path", "records"])
+        paths, counts, sizes = zip(*made, strict=True) if made else ((), (), ())
+        yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(counts, pa.int64()), pa.array(sizes, pa.int64())], ["path", "records", "bytes"])
 
     return write
 
@@ -214,7 +219,7 @@ def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def write_packages(pages: DataFrame, folder: str, id: str = "page_id", url: str = "url", html: str = "html", least: int = LEAST_REVISIT, package_bytes: int = PACKAGE_BYTES) -> DataFrame:
-    """Writes a record for each row and returns (path, records) of the packages."""
+    """Writes a record for each row and returns (path, records, bytes) of the packages."""
     own = to_python(pages).select(F.col(id).alias("__id"), F.col(url).cast("string").alias("__url"), F.coalesce(F.col(html), F.lit("")).alias("__html"))
     own = own.withColumn("__digest", F.sha1("__html")).withColumn("__n", F.octet_length("__html").cast("long"))
     groups = cut(own.where(F.col("__n") >= least).groupBy("__digest").agg(F.count("*").alias("k"), F.max("__id").alias("__first")).where("k > 1 AND __first IS NOT NULL").select(F.col("__digest").alias("__of"), "__first"))
@@ -224,13 +229,17 @@ def write_packages(pages: DataFrame, folder: str, id: str = "page_id", url: str
         F.col("__id").cast("string").alias("page"), "__url", "__digest", F.when(revisit, "revisit").otherwise("response").alias("type"),
         F.when(revisit, F.col("__first").cast("string")).alias("refers"), "__n", "__html",
     )
-    return cut(rows.mapInArrow(writer(folder, package_bytes), "path string, records long"))
+    return cut(rows.mapInArrow(writer(folder, package_bytes), "path string, records long, bytes long"))
 
 
 def read_packages(packages: DataFrame) -> DataFrame:
-    """(page, type, digest, refers, size, payload) of every record of the packages in ``packages`` (path)."""
-    found = packages.select("path").repartition(F.col("path")).mapInArrow(places, "path string, start long, lengths array<long>")
-    return found.repartition("path", "start").mapInArrow(records, "page string, type string, digest string, refers string, size long, payload binary")
+    """(page, type, digest, refers, size, payload) of every record of the packages in ``packages`` (path, bytes)."""
+    n = packages.agg(F.count("*").alias("n"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes")).first()
+    least = packages.sparkSession.sparkContext.defaultParallelism
+    # Explicit numbers: by size alone, lists of paths and places would all fall to one task.
+    found = cut(packages.select("path").repartition(max(1, min(n["n"], 4 * least + n["n"] // 16))).mapInArrow(places, "path string, start long, lengths array<long>"))
+    tasks = max(least, -(-n["bytes"] // TASK_BYTES))
+    return found.repartition(tasks).mapInArrow(records, "page string, type string, digest string, refers string, size long, payload binary")
 
 
 def round_trip(pages: DataFrame, id: str = "page_id") -> DataFrame:

@@ -7,12 +7,13 @@ clockwise to the next virtual node of a shard that has room. Adding a shard move
 the overflow, not everything.
 
 Scale: documents are counted by arc (shards x virtual nodes numbers, whatever the number of documents), the overflow is
-settled on those counts, and each document finds its place by its rank within its arc. Arcs are cut into sub-buckets by
-the hash of the id, so that an arc which holds a third of all rows is still ranked in many tasks. Texts aren't shuffled
-unless ``keep`` names them.
+settled on those counts, and each document finds its place by its rank within its arc. Arcs are cut by the hash of the id
+into as many parts as their counts ask for, ``PART_ROWS`` rows each, so that an arc which holds a third of all rows is still
+ranked in many tasks. Texts aren't shuffled unless ``keep`` names them.
 
-Defined results: a null text has size 8 and the checksum 0, like an empty one; equal rows get different slots; null ids
-are placed like others; an empty table gives an empty table; columns named like the results are replaced.
+Defined results: a null text has size 8 and the checksum 0, like an empty one; a text's length doesn't matter; equal rows get
+different slots, in an order that is theirs alone; rows of one id and different texts are placed by their texts; null ids are
+placed like others; an empty table gives an empty table; columns named like the results are replaced.
 """
 
 from __future__ import annotations
@@ -23,10 +24,11 @@ from bisect import bisect_left
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, sent_if_small
 
 VIRTUAL_NODES = 64
-SUB_BUCKETS = 64
+#: Rows of an arc that one task ranks, about.
+PART_ROWS = 200_000
 #: Positions on the ring; a fixed number, so tables of ring slots have a fixed size.
 SLOTS = 1 << 16
 MADE = ("size", "text_crc32", "law", "shard", "slot", "grown_shard")
@@ -83,7 +85,7 @@ def assign_shards(
     id: str = "doc_id",
     text: str = "text",
     virtual_nodes: int = VIRTUAL_NODES,
-    sub_buckets: int = SUB_BUCKETS,
+    part_rows: int = PART_ROWS,
 ) -> DataFrame:
     """The columns ``keep`` with size, text_crc32, law, shard, slot and grown_shard (null under this law). ``docs`` is read
     twice: once for the counts, once to place the documents."""
@@ -94,6 +96,7 @@ def assign_shards(
         spark.createDataFrame(arc_of_slot(SLOTS, points), "__arc int, lo int, hi int").select("__arc", F.explode(F.sequence("lo", "hi")).alias("__slot"))
     )
     body = F.coalesce(F.col(text), F.lit(""))
+    fine = max(64, -(-docs.count() // part_rows))
     based = (
         docs.select(
             *kept,
@@ -103,11 +106,11 @@ def assign_shards(
             F.xxhash64(F.lit("order"), F.col(id)).alias("__order"),
             F.col(id).alias("__id"),
         )
-        .withColumn("__sub", F.pmod("__order", F.lit(sub_buckets)).cast("int"))
+        .withColumn("__fine", F.pmod("__order", F.lit(fine)))
         .join(arcs, "__slot")
         .drop("__slot")
     )
-    counts = cut(based.groupBy("__arc", "__sub").agg(F.count("*").alias("__n")))
+    counts = cut(based.groupBy("__arc", "__fine").agg(F.count("*").alias("__n")))
     by_arc = dict(counts.groupBy("__arc").agg(F.sum("__n")).collect())  # one number for each arc of the ring
     settled = settle(points, [by_arc.get(a, 0) for a in range(len(points))], capacities(sum(by_arc.values()), shards))
     filled = [0] * shards
@@ -118,12 +121,16 @@ def assign_shards(
             plan.append((a, s, rank, rank + n, filled[s] - rank))
             rank, filled[s] = rank + n, filled[s] + n
     plan = F.broadcast(spark.createDataFrame(plan, "__arc int, shard int, __from long, __to long, __shift long"))
-    before = Window.partitionBy("__arc").orderBy("__sub").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = F.broadcast(  # arcs x sub-buckets rows at most
-        counts.select("__arc", "__sub", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    )
-    within = Window.partitionBy("__arc", "__sub").orderBy("__order", "__id", "text_crc32", "size")
-    ranked = based.withColumn("__rank", F.row_number().over(within).cast("long") - 1).join(offsets, ["__arc", "__sub"])
+    # An arc's parts: runs of its fine buckets. One row for each arc, and one for each part, of which there are as many as
+    # the rows ask for.
+    split = F.broadcast(spark.createDataFrame([(a, max(1, -(-n // part_rows))) for a, n in by_arc.items()], "__arc int, __parts long"))
+    part = F.floor(F.col("__fine") * F.col("__parts") / F.lit(fine)).cast("long")
+    before = Window.partitionBy("__arc").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    sized = counts.join(split, "__arc").groupBy("__arc", part.alias("__part")).agg(F.sum("__n").alias("__n"))
+    offsets = sent_if_small(cut(sized.select("__arc", "__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))))
+    within = Window.partitionBy("__arc", "__part").orderBy("__order", "__id", "text_crc32", "size")
+    dealt = based.join(split, "__arc").withColumn("__part", part)
+    ranked = dealt.withColumn("__rank", F.row_number().over(within).cast("long") - 1).join(offsets, ["__arc", "__part"])
     ranked = ranked.withColumn("__rank", F.col("__rank") + F.col("__before"))
     placed = ranked.join(plan, (ranked["__arc"] == plan["__arc"]) & (F.col("__rank") >= F.col("__from")) & (F.col("__rank") < F.col("__to")))
     return placed.select(

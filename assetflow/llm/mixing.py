@@ -5,13 +5,13 @@ is cut off there goes to the others by weight, again and again until no target i
 every document as often as its whole epochs say, and for the fraction left the documents that come first in a seeded
 order of hashes, up to the exact number of words; the document on the border is taken in part.
 
-Scale: the sources are a small aggregate, and each step of the filling is one sum over it. The order within a source is
-cut into ``SLICES`` by the leading hash bits; only the slice that holds the border is ranked, so a source with a third of
-all rows isn't sorted as a whole. Ids and sizes are shuffled, never texts.
+Scale: the sources are an aggregate, ranked by ranges of names, and each step of the filling is one sum over it. The order
+within a source is cut into ``SLICES`` by the leading hash bits; only the slice that holds the border is ranked, so a source
+with a third of all rows isn't sorted as a whole. Ids and sizes are shuffled, never texts.
 
-Defined results: a null text has size 0 and takes 0; null is a source of its own (last); rows repeated or with equal ids
-are mixed each, in the order of their ids, sizes and text checksums; an empty table gives an empty table; columns named
-like the results are replaced.
+Defined results: a null text has size 0 and takes 0; a text of any length is counted whole; null is a source of its own
+(last); rows repeated or with equal ids are mixed each, in the order of their ids, sizes and text checksums; an empty table
+gives an empty table; columns named like the results are replaced.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.windows import ranked
 from .common import cut, sent_if_small
 
 SEED = "mix-1"
@@ -102,10 +103,10 @@ def mix_sources(
 
 def ranked_weights(docs: DataFrame, cycle: tuple[float, ...], source: str = "source") -> DataFrame:
     """(__source, weight): the weights repeat over the sources in code-point order, null last. The sources' names alone are
-    ranked, one row for each source."""
+    ranked, one row for each source, in ranges."""
     names = docs.groupBy(F.col(source).alias("__source")).agg(F.lit(1).alias("__one"))
-    at = F.row_number().over(Window.orderBy(F.col("__source").asc_nulls_last())) - 1
-    return names.select("__source", F.element_at(F.array(*[F.lit(float(w)) for w in cycle]), (at % len(cycle) + 1).cast("int")).alias("weight"))
+    placed = ranked(names, [F.col("__source").asc_nulls_last()], "__at")
+    return placed.select("__source", F.element_at(F.array(*[F.lit(float(w)) for w in cycle]), (F.col("__at") % len(cycle) + 1).cast("int")).alias("weight"))
 
 
 def mixed_documents(docs: DataFrame, cycle: tuple[float, ...], share: float, max_epochs: float = 2.0, id: str = "doc_id", text: str = "text", source: str = "source", seed: str = SEED) -> DataFrame:

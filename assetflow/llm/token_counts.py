@@ -7,13 +7,16 @@ tokens they have, and what a corpus truncated at the limit holds. The vocabulary
 Scale: the shuffle carries one row per task chunk and distinct length. Suffix sums are taken in two levels, blocks of
 1,024 lengths and lengths within a block, so no task holds all lengths.
 
-Defined results: null and empty texts have 0 tokens and are counted; strings of special tokens are ordinary text;
-repeated rows count each; an empty table gives an empty histogram.
+Defined results: null and empty texts have 0 tokens and are counted; strings of special tokens are ordinary text; texts of
+any length are encoded whole (long runs of blanks, on which the encoder's pattern fails, are cut out as the pieces that the
+pattern makes of them); repeated rows count each, and documents of equal length are one row of the histogram; an empty table
+gives an empty histogram; other columns of ``docs``, whatever their names, aren't read.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -29,6 +32,10 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the public pattern that parts text before the merges of this vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 BLOCK = 1024
+#: Runs of this many blanks or more don't go through the pattern, whose look-ahead goes back over all of them.
+LONG_BLANKS = 4096
+#: The characters that the pattern takes for blanks (Unicode's White_Space).
+_BLANKS = re.compile(f"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{{{LONG_BLANKS},}}")
 
 
 @lru_cache(maxsize=2)
@@ -41,11 +48,22 @@ def encoder(path: str, pattern: str):
     return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
+def encoded_length(encoding, text: str) -> int:
+    """Number of tokens of ``text``. A run of blanks is a piece of its own but for its last character, which may belong to
+    what follows; at the end of the text it is a piece whole."""
+    total, at = 0, 0
+    for run in _BLANKS.finditer(text):
+        end = run.end() if run.end() == len(text) else run.end() - 1
+        total += len(encoding.encode_ordinary(text[at : run.start()])) + len(encoding._encode_single_piece(text[run.start() : end]))
+        at = end
+    return total + len(encoding.encode_ordinary(text[at:]))
+
+
 def _counter(path: str, pattern: str, shipped: bool) -> Callable:
     def lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(SparkFiles.get(path) if shipped else path, pattern).encode_ordinary
+        encoding = encoder(SparkFiles.get(path) if shipped else path, pattern)
         for batch in batches:
-            found = Counter(len(encode(t.as_py())) if t.is_valid else 0 for t in batch.column(0))
+            found = Counter(encoded_length(encoding, t.as_py()) if t.is_valid else 0 for t in batch.column(0))
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.int64())], ["n_tokens", "docs"])
 
     return lengths
@@ -88,14 +106,24 @@ def context_table(histogram: DataFrame) -> DataFrame:
 
 
 def at_limits(table: DataFrame, limits: DataFrame) -> DataFrame:
-    """(context_limit, docs_over, truncated_total) for any limits: the answer at the longest length up to the limit, with what
-    the longer documents gain by the difference. ``limits`` has context_limit; one row of bounds serves each limit."""
-    l = limits.select("context_limit").distinct()
-    near = l.join(table, F.col("n_tokens") <= F.col("context_limit"), "left").groupBy("context_limit").agg(F.max_by(F.struct("n_tokens", "docs_over", "truncated_total"), "n_tokens").alias("b"))
+    """(context_limit, docs_over, truncated_total) for any limits (``context_limit``): the answer at the longest length up to
+    the limit, with what the longer documents gain by the difference. Lengths and limits are sorted together, by blocks: a
+    limit takes the last length before it in its block or, if there is none, the last of the blocks before."""
+    facts = F.struct("n_tokens", "docs_over", "truncated_total")
+    both = table.select(F.col("n_tokens").alias("at"), facts.alias("b"), F.lit(None).cast("long").alias("context_limit")).unionByName(
+        limits.select("context_limit").distinct().where("context_limit IS NOT NULL").select(F.col("context_limit").alias("at"), F.lit(None).cast(table.select(facts.alias("b")).schema["b"].dataType).alias("b"), F.col("context_limit").cast("long").alias("context_limit"))
+    )
+    both = cut(both.withColumn("block", F.floor(F.col("at") / BLOCK)))
+    last = both.groupBy("block").agg(F.max_by("b", F.when(F.col("b").isNotNull(), F.col("at"))).alias("b"))
+    before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # one row for each 1,024 lengths
+    carried = last.select(F.col("block").alias("of"), F.last("b", ignorenulls=True).over(before).alias("carried"))
+    within = Window.partitionBy("block").orderBy("at", F.col("context_limit").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    near = both.withColumn("own", F.last("b", ignorenulls=True).over(within)).where("context_limit IS NOT NULL").join(carried, F.col("block") == F.col("of"))
+    near = near.select("context_limit", F.coalesce("own", "carried").alias("b"))
     n = table.agg(F.sum("docs").alias("__all"))
     over = F.coalesce("b.docs_over", "__all", F.lit(0))
     gain = (F.col("context_limit") - F.coalesce("b.n_tokens", F.lit(0))) * over
-    return near.crossJoin(F.broadcast(n)).select("context_limit", over.alias("docs_over"), (F.coalesce("b.truncated_total", F.lit(0)) + gain).alias("truncated_total"))
+    return near.crossJoin(F.broadcast(n)).select("context_limit", over.alias("docs_over"), (F.coalesce("b.truncated_total", F.lit(0)) + gain).alias("truncated_total"))  # one row
 
 
 def quantiles(table: DataFrame, shares: list[float]) -> DataFrame:

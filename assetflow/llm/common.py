@@ -159,7 +159,7 @@ _LANES = 32
 _MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
-def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, key: int = 0) -> np.ndarray:
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, key: int) -> np.ndarray:
     """Keyed 64-bit hash of each word: its bytes are mixed in eight at a time, one step after the other, from a state that
     only the key's holder knows. Words over 256 bytes are digested one by one."""
     size = end - start

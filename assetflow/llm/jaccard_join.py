@@ -1,17 +1,23 @@
 """Exact n-gram Jaccard join in metric space.
 
-A document's set is its distinct 5-word shingles (64-bit hashes, of which 48 bits and the bucket's are compared). Jaccard distance is a metric, so:
+A document's set is its distinct 5-word shingles, told apart by keyed 64-bit hashes. Jaccard distance is a metric, so:
 
-1. *Regions around pivots.* Shingles are ordered from rare to common by the number of different sets that hold them. Two
+1. *Pivots and regions.* Shingles are ordered from rare to common by the number of different sets that hold them. Two
    sets at distance 0.25 or less must share one of the rarest ``n - ceil(0.75 n) + 1`` shingles of each. All sets that
    hold a shingle there are neighbours of the smallest of them, their pivot; a pivot's region is the union over its
-   shingles. Sets that share nothing fall out here, most documents among them.
-2. *Windows.* A region too large for one task is split at sub-pivots into Voronoi cells. A set ``y`` of a later cell is
-   replicated to an earlier cell when ``d(y, q) <= radius(q) + 0.25``, the triangle inequality's bound for a link into it.
-   Cells that are still too large are split again; where the metric no longer separates them (dense groups), they are
-   joined as pairs of hashed blocks, so no task ever holds more than the limit.
-3. *Exact join.* Within a region, overlaps are counted on posting lists and linked sets are united at once; only a
-   spanning forest of links leaves the task, never all pairs of a group.
+   shingles. Sets that share nothing fall out here, most documents among them: they are at distance 1 from every pivot, so
+   distances alone would leave them all in one region.
+2. *Cells, links and windows.* A region of more than ``REGION_SETS`` sets gets sub-pivots, and each set its exact distance to
+   each. Sets within 0.25 of a sub-pivot are linked to it at once; a dense group of near copies becomes a few stars and is
+   done. The nearest sub-pivot's Voronoi cell takes the set; a set ``y`` of another cell is replicated to that of ``q`` when
+   ``d(y, q) <= radius(q) + 0.25``, the triangle inequality's bound for a link into it. Cells whose sets are connected
+   already need no comparison and are left out; cells that are too large are split again.
+3. *Exact join.* Within a region or cell, overlaps are counted on posting lists and linked sets are united at once, from the
+   components known so far; only a spanning forest of links leaves the task, never all pairs of a group.
+
+Sets that are close to each other and to all sub-pivots without being linked are the case in which a metric can't separate:
+cells that are still too large after three levels are joined as pairs of hashed blocks, exactly and within a task's limits,
+at a cost that grows with the square of their number.
 
 Equal sets are one class before anything is joined. Components of the links are built by star contraction.
 
@@ -19,9 +25,15 @@ Scale: shingles travel as packed arrays in blocks by shingle hash, once; what co
 shingles that two or more different sets share. A chunk of text sends a set or a hot shingle once, whatever its number of
 holders there: holders of hot shingles go by set, so no task gathers all that hold one.
 
-Defined results: null and empty texts have no shingles and link with nothing; a document's component is the smallest id
-reachable, itself included; equal rows get equal results; rows of one id with different texts are sets of their own that
-share the id as name; a null id joins nothing and has a null component; an empty table gives an empty table.
+Defined results: null and empty texts have no shingles and link with nothing; texts of any length are taken whole; a
+document's component is the smallest id reachable, itself included; equal rows get equal results; rows of one id with
+different texts are documents of their own; a null id joins nothing and has a null component; an empty table gives an empty
+table; other columns of ``docs``, whatever their names, are neither read nor returned.
+
+The hashes are keyed anew in each call, so no text can be made to collide; results don't depend on the key. Seven bytes of a
+shingle's hash are sent with the number of its bucket, which is of the high bits and of which there is one for each million
+shingles: n shingles make about n / 10^11 pairs that are taken for equal by chance, up to 256 million; beyond, all 64 bits
+count. Sets are named by 64 bits, with about n^2 / 2^65 pairs of the same name among n different sets.
 """
 
 from __future__ import annotations
@@ -34,7 +46,7 @@ import pyarrow.compute  # noqa: F401  used as pa.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BLANKS, LOWER, Rolling, as_signed, cut, mix, sent_if_small, text_chunks, to_python, word_hashes, words
+from .common import BLANKS, LOWER, Rolling, as_signed, cut, mix, secret, sent_if_small, text_chunks, to_python, word_hashes, words
 from .components import components
 
 GRAM = 5
@@ -44,22 +56,22 @@ RADIUS = 1 - SIMILARITY / 100
 BUCKET_SHINGLES = 1_000_000
 #: A shingle that so many different sets of one chunk hold is common; its order among common ones is its hash.
 HOT_SETS = 32
-COMMON = np.iinfo(np.int32).max
+COMMON = np.iinfo(np.uint16).max
 #: A region beyond either limit is split.
-REGION_SETS = 4096
+REGION_SETS = 1024
 REGION_SHINGLES = 2_000_000
 CELLS = 16
 WORD_BASE = 0xC2B2AE3D27D4EB4F
 
 
-def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def shingles(data: np.ndarray, offsets: np.ndarray, key: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """(row, shingle) sorted by row and shingle, without repeats."""
     n = len(offsets) - 1
     low = LOWER[data]
     start, end, row = words(low, offsets, BLANKS)
     if not len(start):
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    roll = Rolling(word_hashes(low, start, end), WORD_BASE)
+    roll = Rolling(word_hashes(low, start, end, key), WORD_BASE)
     first = np.arange(max(0, len(start) - GRAM + 1))
     first = first[row[first] == row[first + GRAM - 1]]
     count = np.bincount(row, minlength=n)
@@ -74,11 +86,11 @@ def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return rows[fresh], hashes[fresh]
 
 
-def _sets(batch: pa.RecordBatch) -> Iterator[tuple]:
+def _sets(batch: pa.RecordBatch, key: int) -> Iterator[tuple]:
     """Chunks of a batch: first row, counts, two digests of each set, and the shingles in order."""
     for first, data, offsets in text_chunks(batch.column(1)):
         n = len(offsets) - 1
-        rows, hashes = shingles(data, offsets)
+        rows, hashes = shingles(data, offsets, key)
         counts = np.bincount(rows, minlength=n)
         ends = np.concatenate([[0], np.cumsum(counts)])
         digests = []
@@ -88,25 +100,31 @@ def _sets(batch: pa.RecordBatch) -> Iterator[tuple]:
         yield first, counts, digests, rows, hashes
 
 
-def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for first, counts, (k1, k2), _, _ in _sets(batch):
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(counts)), pa.array(counts.astype(np.int64)), pa.array(k1), pa.array(k2)], ["__id", "n", "k1", "k2"])
+def digest_maker(key: int) -> Callable:
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, counts, (k1, k2), _, _ in _sets(batch, key):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(counts)), pa.array(counts.astype(np.int64)), pa.array(k1), pa.array(k2)], ["__id", "n", "k1", "k2"])
+
+    return digests
 
 
 BLOCK = "bucket long, sets binary, counts binary, held binary, shingles binary"
-PART = "part long, sets binary, counts binary, shingles binary, df binary"
+PART = "part long, sets binary, counts binary, held binary, shingles binary, df binary"
+
+
+#: Bytes of a shingle that are sent.
+SENT = 7
 
 
 def packed(hashes: np.ndarray) -> bytes:
-    """The low six bytes of each. With the bucket's number, which is of the high bits, at least 51 bits tell shingles apart
-    (8 buckets), 60 with 4,096 buckets, all 64 from 65,536 on."""
-    return np.ascontiguousarray(hashes).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+    """The low seven bytes of each. The bucket's number is of the high bits: from 256 buckets on it tells all that is left."""
+    return np.ascontiguousarray(hashes).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :SENT].tobytes()
 
 
 def unpacked(raw: np.ndarray, bucket: int | np.ndarray) -> np.ndarray:
-    out = np.zeros((len(raw) // 6, 8), np.uint8)
-    out[:, :6] = raw.reshape(-1, 6)
+    out = np.zeros((len(raw) // SENT, 8), np.uint8)
+    out[:, :SENT] = raw.reshape(-1, SENT)
     return mix(out.view("<u8").ravel() + np.atleast_1d(bucket).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
@@ -115,10 +133,10 @@ def _runs(x: np.ndarray) -> np.ndarray:
     return np.concatenate([np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])), [len(x)]]) if len(x) else np.zeros(1, np.int64)
 
 
-def _different(batch: pa.RecordBatch) -> Iterator[tuple]:
+def _different(batch: pa.RecordBatch, key: int) -> Iterator[tuple]:
     """Chunks of a batch without the sets that the chunk has before: counts, digests, row and shingle; and which shingles
     many sets of the chunk hold."""
-    for _, counts, (k1, _), rows, hashes in _sets(batch):
+    for _, counts, (k1, _), rows, hashes in _sets(batch, key):
         first = np.zeros(len(k1), bool)
         first[np.unique(k1, return_index=True)[1]] = True
         keep = first[rows]
@@ -127,12 +145,12 @@ def _different(batch: pa.RecordBatch) -> Iterator[tuple]:
         yield counts, k1, rows, hashes, (holders >= HOT_SETS)[inverse]
 
 
-def block_maker(buckets: int) -> Callable:
+def block_maker(buckets: int, key: int) -> Callable:
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Shingles by bucket with the sets that hold them. Of a shingle that is hot in the chunk only the fact goes there
         (a row without sets); its holders go by ``hot_maker``."""
         for batch in batches:
-            for counts, k1, rows, hashes, hot in _different(batch):
+            for counts, k1, rows, hashes, hot in _different(batch, key):
                 bucket = _bucket(hashes, buckets)
                 out = []
                 for facts in (False, True):
@@ -153,34 +171,40 @@ def block_maker(buckets: int) -> Callable:
     return blocks
 
 
-def hot_maker(buckets: int, parts: int) -> Callable:
+def hot_maker(buckets: int, parts: int, key: int) -> Callable:
     def hot_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Holders of the chunk's hot shingles, straight to the sets' parts: they are common, whatever their number."""
         for batch in batches:
-            for counts, k1, rows, hashes, hot in _different(batch):
+            for counts, k1, rows, hashes, hot in _different(batch, key):
                 rows, hashes = rows[hot], hashes[hot]
                 ids = unpacked(np.frombuffer(packed(hashes), np.uint8), _bucket(hashes, buckets))
-                yield from _by_part(k1[rows], counts[rows].astype(np.int32), ids, np.full(len(ids), COMMON, np.int32), parts).to_batches()
+                yield from _by_part(k1[rows], counts[rows].astype(np.int32), ids, np.full(len(ids), COMMON), parts).to_batches()
 
     return hot_lists
 
 
 def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
-    """By the high bits, which aren't sent: each doubling of the buckets adds a bit to the 48 that are."""
+    """By the high bits: each doubling of the buckets adds a bit to those that are sent."""
     return ((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
 def _by_part(keys: np.ndarray, counts: np.ndarray, hashes: np.ndarray, df: np.ndarray, parts: int) -> pa.Table:
+    """Rows of PART: a set's key and count stand once for all of its shingles."""
     part = (keys.view(np.uint64) % np.uint64(parts)).astype(np.int64)
-    order = np.argsort(part, kind="stable")
+    order = np.lexsort((counts, keys, part))
     at = _runs(part[order])
-    out = [[], [], [], [], []]
+    out = [[] for _ in range(6)]
     for a, b in zip(at[:-1], at[1:], strict=True):
         i = order[a:b]
-        for c, v in zip(out, (int(part[i[0]]), keys[i].tobytes(), counts[i].tobytes(), hashes[i].tobytes(), df[i].astype(np.int32).tobytes()), strict=True):
+        own = np.ones(len(i), bool)
+        own[1:] = (keys[i][1:] != keys[i][:-1]) | (counts[i][1:] != counts[i][:-1])
+        begin = np.flatnonzero(own)
+        held = np.diff(np.concatenate([begin, [len(i)]])).astype(np.int32)
+        row = (int(part[i[0]]), keys[i][begin].tobytes(), counts[i][begin].tobytes(), held.tobytes(), hashes[i].tobytes(), np.minimum(df[i], COMMON).astype(np.uint16).tobytes())
+        for c, v in zip(out, row, strict=True):
             c.append(v)
-    kinds = (pa.int64(), *[pa.binary()] * 4)
-    return pa.table([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["part", "sets", "counts", "shingles", "df"])
+    kinds = (pa.int64(), *[pa.binary()] * 5)
+    return pa.table([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["part", "sets", "counts", "held", "shingles", "df"])
 
 
 def _joined(column: pa.ChunkedArray, kind: type) -> np.ndarray:
@@ -214,8 +238,9 @@ def shared_maker(parts: int) -> Callable:
 
 def prefixes(group: pa.Table) -> pa.Table:
     """Per set that may have a neighbour: its shared shingles from rare to common, and those within its prefix."""
-    keys, counts = _joined(group.column("sets"), np.int64), _joined(group.column("counts"), np.int32)
-    hashes, df = _joined(group.column("shingles"), np.uint64), _joined(group.column("df"), np.int32)
+    held = _joined(group.column("held"), np.int32)
+    keys, counts = (np.repeat(_joined(group.column(c), k), held) for c, k in (("sets", np.int64), ("counts", np.int32)))
+    hashes, df = _joined(group.column("shingles"), np.uint64), _joined(group.column("df"), np.uint16)
     order = np.lexsort((hashes, df, counts, keys))
     keys, counts, hashes = keys[order], counts[order], hashes[order]
     fresh = np.ones(len(keys), bool)  # a set that several chunks have comes with its hot shingles from each
@@ -235,10 +260,12 @@ def prefixes(group: pa.Table) -> pa.Table:
     return pa.table([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["set", "n", "prefix", "shingles"])
 
 
-def forest(n: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+def forest(n: np.ndarray, sets: list[np.ndarray], known: list[int] | None = None) -> list[tuple[int, int]]:
     """Links of a spanning forest of the sets' exact join. A row of overlaps is counted for every set outside the component
-    that is largest when its turn comes, until no set outside it is left uncounted."""
-    parent = list(range(len(sets)))
+    that is largest when its turn comes, until no set outside it is left uncounted. Sets with equal ``known`` numbers are
+    connected from the start."""
+    firsts: dict[int, int] = {}
+    parent = [firsts.setdefault(c, i) for i, c in enumerate(known if known is not None else range(len(sets)))]
 
     def find(x: int) -> int:
         while parent[x] != x:
@@ -246,12 +273,12 @@ def forest(n: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
             x = parent[x]
         return x
 
-    size = [1] * len(sets)
+    size = np.bincount(parent, minlength=len(sets)).tolist()
     row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     flat = np.concatenate(sets)
     order = np.argsort(flat, kind="stable")
     posted, values = row[order], flat[order]
-    links, todo, largest = [], list(range(len(sets) - 1, -1, -1)), 0
+    links, todo, largest = [], list(range(len(sets) - 1, -1, -1)), int(np.argmax(size))
     skipped: list[int] = []
     while todo or skipped:
         if not todo:
@@ -281,21 +308,23 @@ def forest(n: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
 
 
 def join_regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by region; each region is joined when its last row is in."""
-    region, keys, ns, sets = None, [], [], []
+    """Rows (region, set, component known so far, n, shingles) come sorted by region; each region is joined when its last row
+    is in."""
+    region, keys, known, ns, sets = None, [], [], [], []
 
     def flush() -> pa.RecordBatch:
-        links = forest(np.array(ns, np.int64), sets) if len(keys) > 1 else []
+        links = forest(np.array(ns, np.int64), sets, known) if len(keys) > 1 else []
         return pa.RecordBatch.from_arrays([pa.array([keys[a] for a, _ in links], pa.int64()), pa.array([keys[b] for _, b in links], pa.int64())], ["a", "b"])
 
     done: list[pa.RecordBatch] = []
     for batch in batches:
-        for r, k, n, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
+        for r, k, c, n, s in zip(*[batch.column(i).to_pylist() for i in range(4)], batch.column(4), strict=True):
             if r != region:
                 if len(keys) > 1:
                     done.append(flush())
-                region, keys, ns, sets = r, [], [], []
+                region, keys, known, ns, sets = r, [], [], [], []
             keys.append(k)
+            known.append(c)
             ns.append(n)
             sets.append(np.frombuffer(s.as_buffer(), np.uint64))
         yield from done
@@ -304,7 +333,8 @@ def join_regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by region, salt and kind: a region's sub-pivots, then members; gives each member's distance to each."""
+    """Rows sorted by region, salt and kind: a region's sub-pivots, then members; gives each member's distance to each
+    sub-pivot, and which of them it is linked to."""
     here, pivots = None, []
     for batch in batches:
         out = []
@@ -313,38 +343,43 @@ def distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if (r, salt) != here:
                 here, pivots = (r, salt), []
             if kind == 0:
-                pivots.append((n, own))
+                pivots.append((k, n, own))
                 continue
-            d = []
-            for m, p in pivots:
+            d, near = [], []
+            for q, m, p in pivots:
                 o = len(np.intersect1d(p, own, assume_unique=True))
                 d.append(1 - o / (n + m - o))
-            out.append((r, k, d))
-        cols = list(zip(*out, strict=True)) or [(), (), ()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.list_(pa.float64())), strict=True)], ["region", "set", "d"])
+                if q != k and 100 * o >= SIMILARITY * (n + m - o):
+                    near.append(q)
+            out.append((r, k, d, near))
+        cols = list(zip(*out, strict=True)) or [()] * 4
+        kinds = (pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["region", "set", "d", "near"])
 
 
 def _sizes(members: DataFrame, sets: DataFrame) -> DataFrame:
     return members.join(sets.select("set", F.size("prefix").alias("p"), (F.length("shingles") / 8).alias("w")), "set").groupBy("region").agg(F.count("*").alias("members"), F.sum("w").alias("weight"))
 
 
-def split_regions(members: DataFrame, sets: DataFrame, most_sets: int, most_shingles: int, cells: int = CELLS, levels: int = 3) -> DataFrame:
-    """(region, set) with every region within the limits. Voronoi cells at ``cells`` sub-pivots, ``levels`` times at most;
-    what is still too large becomes pairs of hashed blocks."""
-    done = None
+def split_regions(members: DataFrame, sets: DataFrame, most_sets: int, most_shingles: int, cells: int = CELLS, levels: int = 3) -> tuple[DataFrame, DataFrame | None]:
+    """((region, set, known) with every region within the limits, links found on the way). Voronoi cells at ``cells``
+    sub-pivots, ``levels`` times at most; ``known`` is the set's component by the links so far. What is still too large
+    becomes pairs of hashed blocks."""
+    done: list[DataFrame] = []
+    links = labels = None
     for level in range(levels + 1):
         sized = cut(_sizes(members, sets))
         large = sized.where((F.col("members") > most_sets) | (F.col("weight") > most_shingles))
         if not large.limit(1).count():
+            done.append(members)
             break
-        small = members.join(large, "region", "left_anti")
-        done = small if done is None else done.unionByName(small)
+        done.append(members.join(large, "region", "left_anti"))
         large = members.join(large, "region")
         if level == levels:
             blocks = F.ceil(F.greatest(F.col("members") / F.lit(most_sets / 3), F.col("weight") / F.lit(most_shingles / 3))).cast("long") + 1
             own = large.withColumn("k", blocks).withColumn("i", F.pmod(F.xxhash64("set", F.lit("block")), "k"))
             both = own.select("region", "set", "i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("j"))
-            members = both.select(F.xxhash64("region", F.least("i", "j"), F.greatest("i", "j"), F.lit("pair")).alias("region"), "set")
+            done.append(both.select(F.xxhash64("region", F.least("i", "j"), F.greatest("i", "j"), F.lit("pair")).alias("region"), "set"))
             break
         by = Window.partitionBy("region").orderBy("rank", "set")
         # Sub-pivots: the first of a thinned, seeded order, so the ranking sees about 8 x cells rows of a region.
@@ -357,60 +392,77 @@ def split_regions(members: DataFrame, sets: DataFrame, most_sets: int, most_shin
         )
         measured = cut(
             dealt.unionByName(rest).repartition("region", "salt").sortWithinPartitions("region", "salt", "kind", "q")
-            .select("region", "salt", "kind", "set", "n", "shingles").mapInArrow(distances, "region long, set long, d array<double>")
+            .select("region", "salt", "kind", "set", "n", "shingles").mapInArrow(distances, "region long, set long, d array<double>, near array<long>")
             .withColumn("home", F.coalesce(F.array_position("d", F.array_min("d")), F.lit(1)).cast("int"))
         )
+        stars = measured.select(F.col("set").alias("a"), F.explode("near").alias("b"))
+        links = cut(stars.distinct() if links is None else links.unionByName(stars).distinct())
+        labels = cut(components(links).select(F.col("node").alias("set"), F.col("component").alias("known")))
         radius = measured.where(F.size("d") > 0).groupBy("region", "home").agg(F.max(F.expr("d[home - 1]")).alias("r"))
         reach = measured.select("region", "set", "home", F.posexplode("d").alias("i", "di")).where("i + 1 < home").withColumn("i", F.col("i") + 1)
         guests = reach.join(radius.withColumnRenamed("home", "i"), ["region", "i"]).where(F.col("di") <= F.col("r") + F.lit(RADIUS + 1e-9))
         cells_of = lambda c: F.xxhash64("region", c, F.lit(level))
-        members = cut(measured.select(cells_of("home").alias("region"), "set").unionByName(guests.select(cells_of("i").alias("region"), "set")))
-    return members if done is None else done.unionByName(members)
+        dealt = cut(measured.select(cells_of("home").alias("region"), "set").unionByName(guests.select(cells_of("i").alias("region"), "set")))
+        known = dealt.join(labels, "set", "left").groupBy("region").agg(F.min(F.coalesce("known", "set")).alias("lo"), F.max(F.coalesce("known", "set")).alias("hi"))
+        members = cut(dealt.join(known.where("lo <> hi").select("region"), "region", "left_semi"))
+    members = done[0]
+    for more in done[1:]:
+        members = members.unionByName(more)
+    if labels is None:
+        return members.withColumn("known", F.col("set")), None
+    return members.join(labels, "set", "left").select("region", "set", F.coalesce("known", "set").alias("known")), links
 
 
 def jaccard_components(
     docs: DataFrame, id: str = "doc_id", text: str = "text", region_sets: int = REGION_SETS, region_shingles: int = REGION_SHINGLES, bucket_shingles: int = BUCKET_SHINGLES
 ) -> DataFrame:
     """(``id``, n_shingles, component_id), one row per row of ``docs``."""
-    own = to_python(docs).select(F.col(id).alias("__id"), F.col(text).alias("__text"))
+    own, key = to_python(docs).select(F.col(id).alias("__id"), F.col(text).alias("__text")), secret()
     kind = own.schema["__id"].dataType.simpleString()
-    made = cut(own.mapInArrow(digests, f"__id {kind}, n long, k1 long, k2 long"))
+    made = cut(own.mapInArrow(digest_maker(key), f"__id {kind}, n long, k1 long, k2 long"))
     classes = cut(made.where("n > 0 AND __id IS NOT NULL").groupBy("k1", "k2", "n").agg(F.min("__id").alias("rep")))
     total = classes.agg(F.sum("n")).first()[0] or 0
     buckets = max(8, -(-total // bucket_shingles))
     parts, named = max(8, buckets // 2), own.where("__id IS NOT NULL")
-    shared = named.mapInArrow(block_maker(buckets), BLOCK).groupBy("bucket").applyInArrow(shared_maker(parts), PART)
-    shared = shared.unionByName(named.mapInArrow(hot_maker(buckets, parts), PART))
-    sets = cut(shared.groupBy("part").applyInArrow(prefixes, "set long, n long, prefix array<long>, shingles binary"))
+    shared = named.mapInArrow(block_maker(buckets, key), BLOCK).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(shared_maker(parts), PART)
+    shared = shared.unionByName(named.mapInArrow(hot_maker(buckets, parts, key), PART))
+    sets = cut(shared.repartition(parts, "part").groupBy("part").applyInArrow(prefixes, "set long, n long, prefix array<long>, shingles binary"))
     held = sets.select("set", F.explode("prefix").alias("shingle"))
     pivots = cut(held.groupBy("shingle").agg(F.min("set").alias("region"), F.max("set").alias("last")).where("region <> last").select("shingle", "region"))
     members = cut(held.join(pivots, "shingle").select("region", "set").distinct())
-    members = split_regions(members, sets, region_sets, region_shingles)
+    members, stars = split_regions(members, sets, region_sets, region_shingles)
     links = (
-        members.join(sets.select("set", "n", "shingles"), "set").select("region", "set", "n", "shingles")
+        members.join(sets.select("set", "n", "shingles"), "set").select("region", "set", "known", "n", "shingles")
         .repartition("region").sortWithinPartitions("region", "set").mapInArrow(join_regions, "a long, b long")
     )
-    links = cut(links.distinct())
-    reps = classes.select("k1", "rep")
-    linked = links.join(reps.select(F.col("k1").alias("a"), F.col("rep").alias("x")), "a").join(reps.select(F.col("k1").alias("b"), F.col("rep").alias("y")), "b")
-    found = components(linked.select(F.col("x").alias("a"), F.col("y").alias("b")))
-    labelled = cut(classes.join(found, F.col("rep") == F.col("node"), "left").select("k1", "k2", "n", F.coalesce("component", "rep").alias("component")))
+    found = components(links if stars is None else links.unionByName(stars))
+    # Components are of sets; each is named by the smallest id of its documents.
+    walked = cut(classes.join(found, F.col("k1") == F.col("node"), "left").select("k1", "k2", "n", "rep", F.coalesce("component", "k1").alias("component")))
+    names = walked.groupBy("component").agg(F.min("rep").alias("name"))
+    labelled = walked.join(names, "component").select(F.col("k1").alias("c1"), F.col("k2").alias("c2"), F.col("n").alias("cn"), "name")
     return (
-        made.join(labelled.withColumnsRenamed({"k1": "c1", "k2": "c2", "n": "cn"}), (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2")) & (F.col("n") == F.col("cn")), "left")
-        .select(F.col("__id").alias(id), F.col("n").alias("n_shingles"), F.when(F.col("__id").isNotNull(), F.coalesce("component", "__id")).alias("component_id"))
+        made.join(labelled, (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2")) & (F.col("n") == F.col("cn")), "left")
+        .select(F.col("__id").alias(id), F.col("n").alias("n_shingles"), F.when(F.col("__id").isNotNull(), F.coalesce("name", "__id")).alias("component_id"))
     )
 
 
 def one_of_each(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` without the documents whose component has a smaller id; of rows with equal ids one stays, the first by text
-    checksum. Documents without an id stay."""
-    found = jaccard_components(docs, id, text)
-    gone = cut(found.where(F.col("component_id") < F.col(id)).select(id).distinct())
-    left = docs.join(sent_if_small(gone), id, "left_anti").select(*docs.columns)
-    again = cut(docs.groupBy(id).agg(F.count("*").alias("__n")).where(F.col(id).isNotNull() & (F.col("__n") > 1)).select(F.col(id).alias("__again")))
+    """``docs`` with one row of each component, whatever its columns are called: that with the smallest id (null last) and, of
+    rows with that id, the smallest text checksum. Rows are told apart by id and checksum, so different texts under one id
+    are judged each, and rows without an id take part. Documents without words stay."""
+    names = docs.columns
+    plain = docs.toDF(*[f"__c{i}" for i in range(len(names))])
+    own = lambda c: f"__c{names.index(c)}"
+    who = F.struct(F.col(own(id)).isNull().alias("nameless"), F.col(own(id)).alias("name"), F.xxhash64(own(text)).alias("check"))
+    found = cut(jaccard_components(plain.select(who.alias("__who"), F.col(own(text)).alias("__body")), "__who", "__body"))
+    gone = cut(found.where(F.col("component_id") < F.col("__who")).select(F.col("__who").alias("__gone")).distinct())
+    marked = plain.withColumn("__who", who)
+    left = marked.join(sent_if_small(gone), F.col("__who") == F.col("__gone"), "left_anti")
+    again = cut(found.where((F.col("component_id") == F.col("__who")) & (F.col("n_shingles") > 0)).groupBy(F.col("__who").alias("__again")).agg(F.count("*").alias("__n")).where("__n > 1").select("__again"))
     if not again.limit(1).count():
-        return left
-    marked = left.join(again, F.col(id) == F.col("__again"), "left")
-    first = Window.partitionBy("__again").orderBy(F.xxhash64(text))
-    some = marked.where("__again IS NOT NULL").withColumn("__at", F.row_number().over(first)).where("__at = 1")
-    return marked.where("__again IS NULL").select(*docs.columns).unionByName(some.select(*docs.columns))
+        return left.select(*plain.columns).toDF(*names)
+    repeated = left.join(sent_if_small(again), F.col("__who") == F.col("__again"), "left")
+    # Rows of one id and text: the smallest by a hash of all columns, reduced before the shuffle.
+    order = F.xxhash64(*[c for c, k in plain.dtypes if "map<" not in k])
+    some = repeated.where("__again IS NOT NULL").groupBy("__who").agg(F.min_by(F.struct(*plain.columns), order).alias("row")).select("row.*")
+    return repeated.where("__again IS NULL").select(*plain.columns).unionByName(some).toDF(*names)

@@ -8,16 +8,17 @@ A document's set is its distinct 5-word shingles, told apart by keyed 64-bit has
    shingles. Sets that share nothing fall out here, most documents among them: they are at distance 1 from every pivot, so
    distances alone would leave them all in one region.
 2. *Cells, links and windows.* A region of more than ``REGION_SETS`` sets gets sub-pivots, and each set its exact distance to
-   each. Sets within 0.25 of a sub-pivot are linked to it at once; a dense group of near copies becomes a few stars and is
-   done. The nearest sub-pivot's Voronoi cell takes the set; a set ``y`` of another cell is replicated to that of ``q`` when
-   ``d(y, q) <= radius(q) + 0.25``, the triangle inequality's bound for a link into it. Cells whose sets are connected
-   already need no comparison and are left out; cells that are too large are split again.
+   each. Sets within 0.25 of a sub-pivot are linked to it at once. The nearest sub-pivot's Voronoi cell takes the set; a set
+   ``y`` of another cell is replicated to that of ``q`` when ``d(y, q) <= radius(q) + 0.25``, the triangle inequality's bound
+   for a link into it. Cells whose sets are connected already need no comparison and are left out; cells that are too large
+   are split again. Where windows would replicate everything (a dense group of near copies), the region stays whole for
+   another round of sub-pivots, taken from the sets that aren't in its largest component yet.
 3. *Exact join.* Within a region or cell, overlaps are counted on posting lists and linked sets are united at once, from the
    components known so far; only a spanning forest of links leaves the task, never all pairs of a group.
 
-Sets that are close to each other and to all sub-pivots without being linked are the case in which a metric can't separate:
-cells that are still too large after three levels are joined as pairs of hashed blocks, exactly and within a task's limits,
-at a cost that grows with the square of their number.
+A region that is still too large after three rounds is joined in blocks: the sets outside its largest component with all of
+its sets. If its sets are close to each other without being linked, that is most of them, at a cost that grows with the
+square of their number; no bound of a metric can tell such sets apart.
 
 Equal sets are one class before anything is joined. Components of the links are built by star contraction.
 
@@ -39,6 +40,7 @@ count. Sets are named by 64 bits, with about n^2 / 2^65 pairs of the same name a
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -361,56 +363,78 @@ def _sizes(members: DataFrame, sets: DataFrame) -> DataFrame:
     return members.join(sets.select("set", F.size("prefix").alias("p"), (F.length("shingles") / 8).alias("w")), "set").groupBy("region").agg(F.count("*").alias("members"), F.sum("w").alias("weight"))
 
 
-def split_regions(members: DataFrame, sets: DataFrame, most_sets: int, most_shingles: int, cells: int = CELLS, levels: int = 3) -> tuple[DataFrame, DataFrame | None]:
-    """((region, set, known) with every region within the limits, links found on the way). Voronoi cells at ``cells``
-    sub-pivots, ``levels`` times at most; ``known`` is the set's component by the links so far. What is still too large
-    becomes pairs of hashed blocks."""
+def _measured(pivots: DataFrame, large: DataFrame, sets: DataFrame, most_sets: int) -> DataFrame:
+    """(region, set, d, near, home): distances of all sets of the regions ``large`` (region, set, members) to their sub-pivots
+    (region, q, set, members). A region's sets are dealt over tasks, each with the sub-pivots."""
+    salts = F.ceil(F.col("members") / most_sets).cast("long")
+    with_sets = sets.select("set", "n", "shingles")
+    dealt = pivots.join(with_sets, "set").select("region", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)).alias("salt"), F.lit(0).alias("kind"), "q", "set", "n", "shingles")
+    rest = large.join(with_sets, "set").select("region", F.pmod(F.xxhash64("set"), salts).alias("salt"), F.lit(1).alias("kind"), F.lit(0).alias("q"), "set", "n", "shingles")
+    return cut(
+        dealt.unionByName(rest).repartition("region", "salt").sortWithinPartitions("region", "salt", "kind", "q")
+        .select("region", "salt", "kind", "set", "n", "shingles").mapInArrow(distances, "region long, set long, d array<double>, near array<long>")
+        .withColumn("home", F.coalesce(F.array_position("d", F.array_min("d")), F.lit(1)).cast("int"))
+    )
+
+
+def _cells(measured: DataFrame, level: int) -> DataFrame:
+    """(parent, region, set): Voronoi cells with the sets that the windows replicate to earlier cells."""
+    radius = measured.where(F.size("d") > 0).groupBy("region", "home").agg(F.max(F.expr("d[home - 1]")).alias("r"))
+    reach = measured.select("region", "set", "home", F.posexplode("d").alias("i", "di")).where("i + 1 < home").withColumn("i", F.col("i") + 1)
+    guests = reach.join(radius.withColumnRenamed("home", "i"), ["region", "i"]).where(F.col("di") <= F.col("r") + F.lit(RADIUS + 1e-9))
+    named = lambda df, c: df.select(F.col("region").alias("parent"), F.xxhash64("region", c, F.lit(level)).alias("region"), "set")
+    return cut(named(measured, "home").unionByName(named(guests, "i")))
+
+
+def _blocks(large: DataFrame, most_sets: int, most_shingles: int) -> DataFrame:
+    """(region, set): blocks of the sets outside each region's largest component, each with blocks of all its sets. ``large``:
+    region, set, known, main, members, outside, weight."""
+    width = F.least(F.lit(most_sets / 2), F.lit(most_shingles / 2) * F.col("members") / F.greatest("weight", F.lit(1)))
+    dealt = large.withColumn("k", F.ceil(F.col("members") / width).cast("long")).withColumn("m", F.ceil(F.col("outside") / width).cast("long"))
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    own = lambda n, what: F.pmod(F.xxhash64("set", F.lit(what)), F.col(n))
+    everything = dealt.select("region", "set", own("k", "all").alias("i"), upto(F.col("m")).alias("j"))
+    outside = dealt.where("known <> main").select("region", "set", own("m", "out").alias("j"), upto(F.col("k")).alias("i"))
+    return everything.unionByName(outside).select(F.xxhash64("region", "i", "j", F.lit("block")).alias("region"), "set").distinct()
+
+
+def split_regions(members: DataFrame, sets: DataFrame, most_sets: int, most_shingles: int, cells: int = CELLS, rounds: int = 3) -> tuple[DataFrame, DataFrame | None]:
+    """((region, set, known) with every region within the limits, links found on the way). ``known`` is the set's component by
+    the links so far."""
     done: list[DataFrame] = []
     links = labels = None
-    for level in range(levels + 1):
+    labelled = lambda df: df.withColumn("known", F.col("set")) if labels is None else df.join(labels, "set", "left").withColumn("known", F.coalesce("known", "set"))
+    for level in range(rounds + 1):
         sized = cut(_sizes(members, sets))
         large = sized.where((F.col("members") > most_sets) | (F.col("weight") > most_shingles))
         if not large.limit(1).count():
             done.append(members)
             break
         done.append(members.join(large, "region", "left_anti"))
-        large = members.join(large, "region")
-        if level == levels:
-            blocks = F.ceil(F.greatest(F.col("members") / F.lit(most_sets / 3), F.col("weight") / F.lit(most_shingles / 3))).cast("long") + 1
-            own = large.withColumn("k", blocks).withColumn("i", F.pmod(F.xxhash64("set", F.lit("block")), "k"))
-            both = own.select("region", "set", "i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("j"))
-            done.append(both.select(F.xxhash64("region", F.least("i", "j"), F.greatest("i", "j"), F.lit("pair")).alias("region"), "set"))
+        mine = labelled(members.join(large, "region"))
+        main = mine.groupBy("region", "known").agg(F.count("*").alias("k")).groupBy("region").agg(F.max_by("known", F.struct("k", "known")).alias("main"), F.max("k").alias("k"))
+        mine = mine.join(main, "region").withColumn("outside", F.col("members") - F.col("k")).drop("k").where("outside > 0")
+        mine = cut(mine)
+        if level == rounds:
+            done.append(_blocks(mine, most_sets, most_shingles))
             break
-        by = Window.partitionBy("region").orderBy("rank", "set")
         # Sub-pivots: the first of a thinned, seeded order, so the ranking sees about 8 x cells rows of a region.
-        thin = large.withColumn("rank", F.pmod(F.xxhash64("set", F.lit(level)), F.lit(1 << 30))).where(F.col("rank") <= F.lit(8.0 * cells * (1 << 30)) / F.col("members"))
-        pivots = cut(thin.withColumn("q", F.row_number().over(by) - 1).where(F.col("q") < cells).select("region", "q", "set", F.ceil(F.col("members") / most_sets).cast("long").alias("salts")))
-        with_sets = sets.select("set", "n", "shingles")
-        dealt = pivots.join(with_sets, "set").select("region", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("kind"), "q", "set", "n", "shingles")
-        rest = large.join(with_sets, "set").select(
-            "region", F.pmod(F.xxhash64("set"), F.ceil(F.col("members") / most_sets).cast("long")).alias("salt"), F.lit(1).alias("kind"), F.lit(0).alias("q"), "set", "n", "shingles"
-        )
-        measured = cut(
-            dealt.unionByName(rest).repartition("region", "salt").sortWithinPartitions("region", "salt", "kind", "q")
-            .select("region", "salt", "kind", "set", "n", "shingles").mapInArrow(distances, "region long, set long, d array<double>, near array<long>")
-            .withColumn("home", F.coalesce(F.array_position("d", F.array_min("d")), F.lit(1)).cast("int"))
-        )
+        rank = F.pmod(F.xxhash64("set", F.lit(level)), F.lit(1 << 30))
+        thin = mine.where("known <> main").withColumn("rank", rank).where(F.col("rank") <= F.lit(8.0 * cells * (1 << 30)) / F.col("outside"))
+        by = Window.partitionBy("region").orderBy("rank", "set")
+        pivots = cut(thin.withColumn("q", F.row_number().over(by) - 1).where(F.col("q") < cells).select("region", "q", "set", "members"))
+        measured = _measured(pivots, mine, sets, most_sets)
         stars = measured.select(F.col("set").alias("a"), F.explode("near").alias("b"))
         links = cut(stars.distinct() if links is None else links.unionByName(stars).distinct())
         labels = cut(components(links).select(F.col("node").alias("set"), F.col("component").alias("known")))
-        radius = measured.where(F.size("d") > 0).groupBy("region", "home").agg(F.max(F.expr("d[home - 1]")).alias("r"))
-        reach = measured.select("region", "set", "home", F.posexplode("d").alias("i", "di")).where("i + 1 < home").withColumn("i", F.col("i") + 1)
-        guests = reach.join(radius.withColumnRenamed("home", "i"), ["region", "i"]).where(F.col("di") <= F.col("r") + F.lit(RADIUS + 1e-9))
-        cells_of = lambda c: F.xxhash64("region", c, F.lit(level))
-        dealt = cut(measured.select(cells_of("home").alias("region"), "set").unionByName(guests.select(cells_of("i").alias("region"), "set")))
-        known = dealt.join(labels, "set", "left").groupBy("region").agg(F.min(F.coalesce("known", "set")).alias("lo"), F.max(F.coalesce("known", "set")).alias("hi"))
-        members = cut(dealt.join(known.where("lo <> hi").select("region"), "region", "left_semi"))
-    members = done[0]
-    for more in done[1:]:
-        members = members.unionByName(more)
-    if labels is None:
-        return members.withColumn("known", F.col("set")), None
-    return members.join(labels, "set", "left").select("region", "set", F.coalesce("known", "set").alias("known")), links
+        dealt = _cells(measured, level)
+        # Cells are taken where the windows replicate little; elsewhere the region stays for other sub-pivots.
+        parted = dealt.groupBy("parent").agg(F.count("*").alias("rows")).join(sized.select(F.col("region").alias("parent"), "members"), "parent").where("rows <= 2 * members").select("parent")
+        inside = labelled(dealt.join(parted, "parent", "left_semi").select("region", "set"))
+        open_ = inside.groupBy("region").agg(F.min("known").alias("lo"), F.max("known").alias("hi")).where("lo <> hi").select("region")
+        dense = mine.join(parted, F.col("region") == F.col("parent"), "left_anti").select("region", "set")
+        members = cut(inside.join(open_, "region", "left_semi").select("region", "set").unionByName(dense))
+    return labelled(reduce(DataFrame.unionByName, done)).select("region", "set", "known"), links
 
 
 def jaccard_components(

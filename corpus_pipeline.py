@@ -1,7 +1,12 @@
 """The corpus pipeline: documents to sharded training data, one operator a stage.
 
 Each stage's result is written as Parquet and read again as the next one's documents, so a lost executor costs one stage's
-tasks at most.
+tasks at most. The written stages stay in the shared folder, which is the caller's to clear.
+
+Defined results of every stage: rows are told apart by their contents, never by id alone; a null text has no words (quality
+rules reject it; the later stages keep it, the mix takes it zero times); a null id or source is a value like others; texts of
+any length are judged whole; repeated rows are near copies of each other, of which one stays; an empty table gives an empty
+table; further columns, whatever their names, are kept but by the last stage, which returns the digest of the ring.
 """
 
 from __future__ import annotations
@@ -21,7 +26,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies the document with the smallest id."""
+    """Of each component of near copies the document with the smallest id, null last, and of its rows the smallest text checksum."""
     return jaccard_join.one_of_each(docs)
 
 
@@ -48,7 +53,8 @@ STAGES = [
     ("ring_sharding", ring_sharding),
 ]
 
-#: The ring's positions are hashes that SQL doesn't share; tests hold the pipeline against a plain version.
+#: The ring's positions are hashes that SQL doesn't share. Tests hold the first three stages against plain versions, the mix
+#: against its bounds, and the ring against a walk of each key.
 ORACLE_SQL = None
 
 

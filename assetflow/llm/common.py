@@ -44,6 +44,16 @@ def sent_if_small(df: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+#: Rows of a few numbers that one partition of a small table holds.
+PARTITION_ROWS = 100_000
+
+
+def small(df: DataFrame, most_rows: int) -> DataFrame:
+    """A recovery point of a table that is known to have ``most_rows`` rows at most, in as few partitions as those need: walks
+    take many steps over such tables, and each would write files for every partition."""
+    return cut(df.coalesce(1 + most_rows // PARTITION_ROWS))
+
+
 def kept_table(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again: a recovery point for large tables, since Parquet is
     compressed and a checkpoint isn't."""

@@ -48,7 +48,7 @@ import pyarrow.compute  # noqa: F401  used as pa.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BLANKS, LOWER, Rolling, as_signed, cut, mix, secret, sent_if_small, text_chunks, to_python, word_hashes, words
+from .common import BLANKS, LOWER, Rolling, as_signed, cut, mix, secret, sent_if_small, small, text_chunks, to_python, word_hashes, words
 from .components import components
 
 GRAM = 5
@@ -383,7 +383,7 @@ def _cells(measured: DataFrame, level: int) -> DataFrame:
     reach = measured.select("region", "set", "home", F.posexplode("d").alias("i", "di")).where("i + 1 < home").withColumn("i", F.col("i") + 1)
     guests = reach.join(radius.withColumnRenamed("home", "i"), ["region", "i"]).where(F.col("di") <= F.col("r") + F.lit(RADIUS + 1e-9))
     named = lambda df, c: df.select(F.col("region").alias("parent"), F.xxhash64("region", c, F.lit(level)).alias("region"), "set")
-    return cut(named(measured, "home").unionByName(named(guests, "i")))
+    return named(measured, "home").unionByName(named(guests, "i"))
 
 
 def _blocks(large: DataFrame, most_sets: int, most_shingles: int) -> DataFrame:
@@ -398,42 +398,49 @@ def _blocks(large: DataFrame, most_sets: int, most_shingles: int) -> DataFrame:
     return everything.unionByName(outside).select(F.xxhash64("region", "i", "j", F.lit("block")).alias("region"), "set").distinct()
 
 
-def split_regions(members: DataFrame, sets: DataFrame, most_sets: int, most_shingles: int, cells: int = CELLS, rounds: int = 3) -> tuple[DataFrame, DataFrame | None]:
+def split_regions(members: DataFrame, sets: DataFrame, most_sets: int, most_shingles: int, cells: int = CELLS, rounds: int = 4) -> tuple[DataFrame, DataFrame | None]:
     """((region, set, known) with every region within the limits, links found on the way). ``known`` is the set's component by
     the links so far."""
     done: list[DataFrame] = []
-    links = labels = None
+    links = labels = whole = None
     labelled = lambda df: df.withColumn("known", F.col("set")) if labels is None else df.join(labels, "set", "left").withColumn("known", F.coalesce("known", "set"))
     for level in range(rounds + 1):
         sized = cut(_sizes(members, sets))
         large = sized.where((F.col("members") > most_sets) | (F.col("weight") > most_shingles))
-        if not large.limit(1).count():
+        rows = large.agg(F.sum("members")).first()[0]
+        if not rows:
             done.append(members)
             break
         done.append(members.join(large, "region", "left_anti"))
         mine = labelled(members.join(large, "region"))
         main = mine.groupBy("region", "known").agg(F.count("*").alias("k")).groupBy("region").agg(F.max_by("known", F.struct("k", "known")).alias("main"), F.max("k").alias("k"))
-        mine = mine.join(main, "region").withColumn("outside", F.col("members") - F.col("k")).drop("k").where("outside > 0")
-        mine = cut(mine)
-        if level == rounds:
-            done.append(_blocks(mine, most_sets, most_shingles))
-            break
+        mine = small(mine.join(main, "region").withColumn("outside", F.col("members") - F.col("k")).drop("k").where("outside > 0"), rows)
+        # A region that a round has left whole gets another one only if its links unite it and much is left outside: few sets
+        # are cheap to compare with all, and where half of them stay outside, further sub-pivots won't help either.
+        through = (F.col("outside") <= most_sets) | (2 * F.col("outside") > F.col("members"))
+        stuck = mine if level == rounds else mine.join(whole, "region", "left_semi").where(through) if whole is not None else None
+        if stuck is not None:
+            done.append(_blocks(stuck, most_sets, most_shingles))
+            mine = mine.join(stuck.select("region").distinct(), "region", "left_anti")
+            if not mine.limit(1).count():
+                break
         # Sub-pivots: the first of a thinned, seeded order, so the ranking sees about 8 x cells rows of a region.
         rank = F.pmod(F.xxhash64("set", F.lit(level)), F.lit(1 << 30))
         thin = mine.where("known <> main").withColumn("rank", rank).where(F.col("rank") <= F.lit(8.0 * cells * (1 << 30)) / F.col("outside"))
         by = Window.partitionBy("region").orderBy("rank", "set")
-        pivots = cut(thin.withColumn("q", F.row_number().over(by) - 1).where(F.col("q") < cells).select("region", "q", "set", "members"))
+        pivots = thin.withColumn("q", F.row_number().over(by) - 1).where(F.col("q") < cells).select("region", "q", "set", "members")
         measured = _measured(pivots, mine, sets, most_sets)
         stars = measured.select(F.col("set").alias("a"), F.explode("near").alias("b"))
-        links = cut(stars.distinct() if links is None else links.unionByName(stars).distinct())
+        links = small(stars if links is None else links.unionByName(stars), cells * rows)
         labels = cut(components(links).select(F.col("node").alias("set"), F.col("component").alias("known")))
-        dealt = _cells(measured, level)
+        dealt = small(_cells(measured, level), cells * rows)
         # Cells are taken where the windows replicate little; elsewhere the region stays for other sub-pivots.
         parted = dealt.groupBy("parent").agg(F.count("*").alias("rows")).join(sized.select(F.col("region").alias("parent"), "members"), "parent").where("rows <= 2 * members").select("parent")
         inside = labelled(dealt.join(parted, "parent", "left_semi").select("region", "set"))
         open_ = inside.groupBy("region").agg(F.min("known").alias("lo"), F.max("known").alias("hi")).where("lo <> hi").select("region")
-        dense = mine.join(parted, F.col("region") == F.col("parent"), "left_anti").select("region", "set")
-        members = cut(inside.join(open_, "region", "left_semi").select("region", "set").unionByName(dense))
+        whole = mine.join(parted, F.col("region") == F.col("parent"), "left_anti").select("region", "set")
+        members = small(inside.join(open_, "region", "left_semi").select("region", "set").unionByName(whole), cells * rows)
+        whole = members.join(mine.select("region").distinct(), "region", "left_semi").select("region").distinct()
     return labelled(reduce(DataFrame.unionByName, done)).select("region", "set", "known"), links
 
 

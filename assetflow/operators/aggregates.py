@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from ..functions.flags import has_flags
 from ..functions.text import escape
@@ -75,7 +76,9 @@ def reject_duplicates(paths: DataFrame) -> DataFrame:
 
 
 def count_commands(transitions: DataFrame, commands: str = "commands") -> DataFrame:
-    return transitions.agg(F.coalesce(F.sum(F.size(commands)), F.lit(0)).cast("long").alias("n_commands"))
+    """The commands of all transitions; ``commands`` is a transition's list of them or their number."""
+    many = F.size(commands) if isinstance(transitions.schema[commands].dataType, ArrayType) else F.col(commands)
+    return transitions.agg(F.coalesce(F.sum(many), F.lit(0)).cast("long").alias("n_commands"))
 
 
 def run_summary(log: DataFrame, process: str = "process") -> DataFrame:

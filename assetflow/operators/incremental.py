@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import count
 
 from pyspark.sql import Column, DataFrame
@@ -62,37 +63,63 @@ def build_plan(reasons: DataFrame) -> DataFrame:
     return reasons.where("reason <> 0").withColumn("text", F.concat(F.lit("["), reason_string(F.col("reason")), F.lit("]")))
 
 
+class _Rounds:
+    """What the rounds of a walk have found. Each round adds its own rows; eight tables of about one size become one, so rows
+    are written again as often as the logarithm of the number of rounds says, and plans stay short."""
+
+    def __init__(self, first: DataFrame):
+        self.parts: list[tuple[int, DataFrame]] = [(0, first)]
+
+    def add(self, found: DataFrame) -> None:
+        self.parts.append((0, found))
+        while len(self.parts) >= 8 and len({size for size, _ in self.parts[-8:]}) == 1:
+            size, last = self.parts[-1][0] + 1, self.parts[-8:]
+            self.parts[-8:] = [(size, checkpointed(reduce(DataFrame.unionByName, [df for _, df in last])))]
+
+    def all(self) -> DataFrame:
+        return reduce(DataFrame.unionByName, [df for _, df in self.parts])
+
+
 def propagate_forced(nodes: DataFrame, edges: DataFrame, most_rounds: int | None = None) -> DataFrame:
     """(path, forced): everything that depends on a forced asset is forced. ``nodes``: path, forced; ``edges``: output,
     dependency. Each round joins only the assets that the round before has reached, until there are none; a walk that isn't
     over after ``most_rounds``, if given, is an error."""
-    reached = checkpointed(nodes.where("forced").select("path").distinct())
-    front = reached
+    front = checkpointed(nodes.where("forced").select("path").distinct())
+    reached = _Rounds(front)
     for done in count():
         front = edges.join(front, edges["dependency"] == front["path"], "left_semi").select(F.col("output").alias("path")).distinct()
-        front = checkpointed(front.join(reached, "path", "left_anti"))
+        front = checkpointed(front.join(reached.all(), "path", "left_anti"))
         if not front.limit(1).count():
             break
         if done == most_rounds:
             raise ValueError(f"forced assets reach further than {most_rounds} steps")
-        reached = checkpointed(reached.unionByName(front))
-    return nodes.select("path").join(reached.withColumn("__f", F.lit(True)), "path", "left").select("path", F.coalesce("__f", F.lit(False)).alias("forced"))
-
-
-def dag_level(edges: DataFrame, most_rounds: int = 10_000) -> DataFrame:
-    """(node, level): the longest way from a node without dependencies. Each round extends the ways that are longest so far."""
-    all_nodes = edges.select(F.col("output").alias("node")).unionByName(edges.select(F.col("dependency").alias("node"))).distinct()
-    roots = all_nodes.join(edges, F.col("node") == F.col("output"), "left_anti")
-    front = checkpointed(roots.select("node"))
-    levels = front.withColumn("level", F.lit(0))
-    for level in range(1, most_rounds):
+        reached.add(front)
+    return nodes.select("path").join(reached.all().withColumn("__f", F.lit(True)), "path", "left").select("path", F.coalesce("__f", F.lit(False)).alias("forced"))
+
+
+def dag_level(edges: DataFrame, most_rounds: int | None = None) -> DataFrame:
+    """(node, level): the longest way from a node without dependencies. Each round extends the ways that are longest so far.
+    A way with as many steps as there are nodes is a cycle, which is an error, as is a graph without such a node or one that
+    goes on after ``most_rounds``, if given."""
+    all_nodes = checkpointed(edges.select(F.col("output").alias("node")).unionByName(edges.select(F.col("dependency").alias("node"))).distinct())
+    front = checkpointed(all_nodes.join(edges, F.col("node") == F.col("output"), "left_anti"))
+    n = all_nodes.count()
+    if n and not front.limit(1).count():
+        raise ValueError("the graph is a cycle")
+    levels = _Rounds(front.withColumn("level", F.lit(0)))
+    for level in count(1):
         front = checkpointed(edges.join(front, F.col("dependency") == F.col("node"), "left_semi").select(F.col("output").alias("node")).distinct())
         if not front.limit(1).count():
             break
-        levels = levels.unionByName(front.withColumn("level", F.lit(level)))
-    else:
-        raise ValueError(f"the graph has a cycle or a way of over {most_rounds} steps")
-    return levels.groupBy("node").agg(F.max("level").alias("level"))
+        if level >= n:
+            raise ValueError("the graph has a cycle")
+        if most_rounds is not None and level >= most_rounds:
+            raise ValueError(f"the graph has a cycle or a way of over {most_rounds} steps")
+        levels.add(front.withColumn("level", F.lit(level)))
+    found = levels.all().groupBy("node").agg(F.max("level").alias("level"))
+    if found.count() < n:  # nodes that no way from a root reaches
+        raise ValueError("the graph has a cycle")
+    return found
 
 
 def _closure(edges: DataFrame, start: str, end: str) -> DataFrame:

@@ -50,10 +50,13 @@ def cascade_delete(files: DataFrame, deleted: DataFrame) -> DataFrame:
     return files.join(deleted.select("dir_id"), "dir_id", "left_anti")
 
 
-def depends_on_all(transitions: DataFrame, assets: DataFrame) -> DataFrame:
-    """Each transition with the one aggregate of all filtered assets: their number, newest change and ordered digest. The
-    edges themselves would be the square of the rows, so they aren't made."""
-    one = assets.agg(F.count("*").alias("n_dependencies"), F.max("mtime").alias("newest_dependency"))
+def depends_on_all(transitions: DataFrame, assets: DataFrame, edges: bool = False) -> DataFrame:
+    """Each transition with the one aggregate of all filtered assets: their number, newest change and a digest of their paths
+    and places. On demand the edges themselves (transition, dependency, dep_ord), which are the product of both tables."""
+    if edges:
+        return transitions.crossJoin(assets.select(F.col("path").alias("dependency"), F.col("ord").alias("dep_ord")))
+    digest = F.bit_xor(F.xxhash64("path", "ord")).alias("digest")
+    one = assets.agg(F.count("*").alias("n_dependencies"), F.max("mtime").alias("newest_dependency"), digest)
     return transitions.crossJoin(F.broadcast(one))  # one row
 
 
@@ -68,11 +71,21 @@ def with_exists(df: DataFrame, assets: DataFrame, value: str, name: str = "exist
     return df.join(seen, F.col(value) == F.col("__path"), "left").withColumn(name, F.when(F.col("__path").isNotNull(), "true").otherwise("false")).drop("__path")
 
 
+def _literal_directory(pattern: Column) -> Column:
+    """The directories that every match of the pattern begins with: plain elements whose slash isn't repeated or optional, and
+    none if the pattern has alternatives at its top level (what is left without escapes, classes and groups has a bar)."""
+    bare = F.regexp_replace(F.regexp_replace(pattern, r"(?s)\\.", ""), r"\[\^?\]?[^\]]*\]", "")
+    for _ in range(8):  # groups in groups; what is nested deeper counts as top level, which only costs speed
+        bare = F.regexp_replace(bare, r"\([^()]*\)", "")
+    plain = F.regexp_extract(pattern, r"\A((?:[A-Za-z0-9_-]+/(?![?*+{]))*)", 1)
+    return F.when(bare.contains("|"), "").otherwise(plain)
+
+
 def with_pattern_exists(patterns: DataFrame, assets: DataFrame, pattern: str = "pattern", name: str = "rexists") -> DataFrame:
     """Does any asset match the row's own pattern, whole? A pattern is tried on the assets below its literal directories, which
-    is a join on the directory; only patterns that begin with no literal directory are tried on all assets."""
-    literal = F.regexp_extract("__pattern", r"\A((?:[A-Za-z0-9_-]+/)*)", 1)
-    tried = patterns.select(F.col(pattern).alias("__pattern")).distinct().withColumn("__below", literal)
+    is a join on the directory. Patterns that begin with no literal directory are tried on all assets, each on each: keep them
+    few."""
+    tried = patterns.select(F.col(pattern).alias("__pattern")).distinct().withColumn("__below", _literal_directory(F.col("__pattern")))
     fits = F.expr(r"path rlike concat('(?s)\\A(?:', __pattern, ')\\z')")
     parts = F.split("path", "/")
     above = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.concat(F.array_join(F.slice(parts, F.lit(1), n), "/"), F.lit("/")))

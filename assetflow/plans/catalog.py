@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable
 
@@ -77,6 +78,23 @@ def s3(spark, sf):
     return seconds(scan.as_assets(v.assets(spark, sf).select("path", "ord", "size", "mtime"), pr.wildcard_regex("*/e?/doc_##.txt")).drop("captures"), "mtime")
 
 
+@query("s1_s3_scan_files", "SELECT k AS scan, source, lang FROM (SELECT DISTINCT source, lang FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL), (VALUES ('regex'), ('recursive'), ('wildcard')) s(k) WHERE k <> 'wildcard' OR lang = 'en'")
+def s1_files(spark, sf):
+    # Real files: one or more for each source and language, found again by each kind of scan.
+    root = f"{store.shared_folder(spark).rstrip('/')}/files-{uuid.uuid4().hex}"
+    v.read(spark, sf, "documents").where("source IS NOT NULL AND lang IS NOT NULL").select("doc_id", "source", "lang").repartition("source", "lang").write.partitionBy("source", "lang").parquet(root)
+    below = r"source=(?<source>.+)/lang=(?<lang>.+)/.*\.parquet"
+    plain = scan.plain_path(F.lit(root))
+    named = spark.range(1).select(plain.alias("p")).first()[0]
+    out = {
+        "regex": scan.scan_regex(spark, re.sub(r"([^A-Za-z0-9/])", r"\\\1", named) + "/" + below),
+        "recursive": scan.scan_recursive(spark, root, below),
+        "wildcard": scan.scan_wildcard(spark, root, "source=*/lang=en/*.parquet").withColumn("captures", F.create_map(F.lit("source"), F.regexp_extract("path", "source=([^/]+)", 1), F.lit("lang"), F.lit("en"))),
+    }
+    made = [df.select(F.lit(k).alias("scan"), F.col("captures")["source"].alias("source"), F.col("captures")["lang"].alias("lang")) for k, df in out.items()]
+    return made[0].unionByName(made[1]).unionByName(made[2]).distinct()
+
+
 @query("s4_scan_list", f"SELECT {_ASSET} FROM v_assets WHERE path IN (SELECT replace(path, '.out', '.txt') FROM v_outputs)")
 def s4(spark, sf):
     lines = v.outputs(spark, sf).select(F.concat(F.lit("  "), F.regexp_replace("path", r"\.out$", ".txt"), F.lit(" ")).alias("value"))
@@ -270,7 +288,7 @@ def j7(spark, sf):
 @query("j8_depends_on_all", "SELECT ord AS transition_id, (SELECT count(*) FROM v_assets WHERE lang = 'en') AS n_dependencies, (SELECT max(mtime) FROM v_assets WHERE lang = 'en') AS newest_dependency FROM v_assets")
 def j8(spark, sf):
     a = v.assets(spark, sf)
-    return seconds(jn.depends_on_all(a.select(F.col("ord").alias("transition_id")), a.where("lang = 'en'")), "newest_dependency")
+    return seconds(jn.depends_on_all(a.select(F.col("ord").alias("transition_id")), a.where("lang = 'en'")).drop("digest"), "newest_dependency")
 
 
 @query("j9_remains", "SELECT path, size FROM v_manifest_old WHERE path NOT IN (SELECT path FROM v_manifest_new)")
@@ -289,6 +307,18 @@ def j11(spark, sf):
     return jn.with_pattern_exists(patterns, v.manifest_old(spark, sf)).drop("pattern")
 
 
+@query("j11_rexists_alternatives", """
+WITH p AS (SELECT DISTINCT source, lang FROM v_assets),
+q AS (SELECT source || '/' || lang || '/gone|' || source || '/' || lang || '/doc_[0-9]+\\.txt' AS pattern FROM p UNION ALL SELECT source || '/?' || lang || '/+doc_[0-9]*7\\.txt' FROM p UNION ALL SELECT source || '/' || lang || '/(doc|x|y/z)_[0-9]{2}\\.txt' FROM p)
+SELECT pattern, CASE WHEN EXISTS (SELECT 1 FROM v_manifest_old m WHERE regexp_full_match(m.path, q.pattern)) THEN 'true' ELSE 'false' END AS rexists FROM q""")
+def j11_alternatives(spark, sf):
+    # Alternatives and repeated slashes undo what looks like a literal directory.
+    kinds = ["%1$s/%2$s/gone|%1$s/%2$s/doc_[0-9]+\\.txt", "%1$s/?%2$s/+doc_[0-9]*7\\.txt", "%1$s/%2$s/(doc|x|y/z)_[0-9]{2}\\.txt"]
+    pairs = v.assets(spark, sf).select("source", "lang").distinct()
+    patterns = pairs.select(F.explode(F.array(*[F.format_string(k, "source", "lang") for k in kinds])).alias("pattern"))
+    return jn.with_pattern_exists(patterns, v.manifest_old(spark, sf))
+
+
 # ---- aggregates
 
 
@@ -336,7 +366,7 @@ def a9(spark, sf):
 
 @query("a10_count_commands", "SELECT count(*) AS n_commands FROM lineitem")
 def a10(spark, sf):
-    return ag.count_commands(v.commands(spark, sf).groupBy("transition_id").agg(F.collect_list("exit_code").alias("commands")))
+    return ag.count_commands(v.commands(spark, sf).groupBy("transition_id").agg(F.count("*").alias("commands")))
 
 
 @query("a11_run_summary", "SELECT process, CASE WHEN count(*) FILTER (state = 'FAILED') > 0 THEN 'FAILED' WHEN bool_and(state = 'FINISHED') THEN 'FINISHED' ELSE 'RUNNING' END AS state, count(*) AS n_commands, count(*) FILTER (state = 'FAILED') AS n_failed, count(*) FILTER (NOT output_exists) AS n_missing_outputs, sum(seconds)::BIGINT AS seconds FROM v_commands GROUP BY process")

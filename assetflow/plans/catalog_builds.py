@@ -20,7 +20,7 @@ from ..sources import store
 from ..streaming.progress import incremental_arrivals, throttled_progress
 from . import views as v
 from .catalog import directories_of, full, manifest_of, query, seconds
-from .pipeline import incremental_run
+from .pipeline import foreach_step, incremental_run, pipeline_run
 
 # ---- scalar functions
 
@@ -31,14 +31,12 @@ def f1(spark, sf):
     return v.paths(spark, sf).select("page_id", w.alias("win"), tx.unix(w).alias("unix"), tx.escape(F.concat(w, F.lit('"'))).alias("esc"))
 
 
-@query("f4_upper_lower", "SELECT doc_id, upper(translate(left(text, 200), 'ß', 's')) AS up, lower(translate(left(text, 200), 'ß', 's')) AS low FROM documents")
-def f4(spark, sf):
-    t = F.translate(F.substring("text", 1, 200), "ß", "s")
-    return v.read(spark, sf, "documents").select("doc_id", F.upper(t).alias("up"), F.lower(t).alias("low"))
+_CASES = "SELECT doc_id, upper(replace(text, 'ß', 'SS')) AS up, lower(text) AS low FROM documents"
 
 
-@query("f4_upper_lower_whole", "SELECT doc_id, upper(replace(text, 'ß', 'SS')) AS up, lower(text) AS low FROM documents")
-def f4_whole(spark, sf):
+@query("f4_upper_lower", _CASES)
+@query("f4_upper_lower_whole", _CASES)
+def f4(spark, sf):
     return v.read(spark, sf, "documents").select("doc_id", F.upper("text").alias("up"), F.lower("text").alias("low"))
 
 
@@ -47,14 +45,12 @@ def f5(spark, sf):
     return v.paths(spark, sf).select("page_id", tx.replace_delimited(F.col("path"), r"|/([a-z]+)/|<\1$>|").alias("path"))
 
 
-@query("f6_substr", "SELECT doc_id, t[2:] AS a, CASE WHEN length(t) < 3 THEN t ELSE right(t, 3) END AS b, substring(t, 4, 2) AS c, substring(t, 2, 2) AS d, substring(t, greatest(length(t) - 3 + 1 - 2, 1), least(2, greatest(length(t) - 3, 0))) AS e FROM (SELECT doc_id, left(text, 40) AS t FROM documents)")
-def f6(spark, sf):
-    t = F.substring("text", 1, 40)
-    return v.read(spark, sf, "documents").select("doc_id", tx.substr(t, 1).alias("a"), tx.substr(t, -3).alias("b"), tx.substr(t, 3, 2).alias("c"), tx.substr(t, 3, -2).alias("d"), tx.substr(t, -3, -2).alias("e"))
+_PARTS = "SELECT doc_id, t[2:] AS a, CASE WHEN length(t) < 3 THEN t ELSE right(t, 3) END AS b, substring(t, 4, 2) AS c, substring(t, 2, 2) AS d, substring(t, greatest(length(t) - 3 + 1 - 2, 1), least(2, greatest(length(t) - 3, 0))) AS e FROM (SELECT doc_id, text AS t FROM documents)"
 
 
-@query("f6_substr_whole", "SELECT doc_id, t[2:] AS a, CASE WHEN length(t) < 3 THEN t ELSE right(t, 3) END AS b, substring(t, 4, 2) AS c, substring(t, 2, 2) AS d, substring(t, greatest(length(t) - 3 + 1 - 2, 1), least(2, greatest(length(t) - 3, 0))) AS e FROM (SELECT doc_id, text AS t FROM documents)")
-def f6_whole(spark, sf):
+@query("f6_substr", _PARTS)
+@query("f6_substr_whole", _PARTS)
+def f6(spark, sf):
     t = F.col("text")
     return v.read(spark, sf, "documents").select("doc_id", tx.substr(t, 1).alias("a"), tx.substr(t, -3).alias("b"), tx.substr(t, 3, 2).alias("c"), tx.substr(t, 3, -2).alias("d"), tx.substr(t, -3, -2).alias("e"))
 
@@ -65,14 +61,14 @@ def f7(spark, sf):
     return v.paths(spark, sf).select("page_id", pa.directory(p).alias("directory"), pa.filename(p).alias("filename"), pa.stem(p).alias("file"), pa.extension(p).alias("extension"))
 
 
-@query("f11_f15_path_forms", r"SELECT page_id, path AS separated, path AS reduced, rtrim(path, '/') AS normal, starts_with(path || '/', 'blog.') AS based, CASE WHEN starts_with(path, split_part(path, '/', 1) || '/') THEN './' || regexp_replace(rtrim(path, '/'), '^[^/]*/', '') ELSE path END AS rest FROM v_paths")
+@query("f11_f15_path_forms", r"SELECT page_id, path AS separated, path AS reduced, rtrim(path, '/') AS normal, path = split_part(path, '/', 1) || '/en' OR starts_with(path, split_part(path, '/', 1) || '/en/') AS based, CASE WHEN starts_with(path, split_part(path, '/', 1) || '/') THEN './' || regexp_replace(rtrim(path, '/'), '^[^/]*/', '') ELSE path END AS rest FROM v_paths")
 def f11(spark, sf):
     p = F.col("path")
     messy = F.regexp_replace(p, "/", "//")
     host = F.split(p, "/")[0]
     return v.paths(spark, sf).select(
         "page_id", pa.correct_separator(F.regexp_replace(p, "/", r"\\\\/")).alias("separated"), pa.reduce_slashes(messy).alias("reduced"),
-        pa.normalize(F.concat(F.lit("./x/../"), p)).alias("normal"), (pa.has_base(p, host) & host.startswith("blog.")).alias("based"), pa.remove_base(p, host, relative=True).alias("rest"),
+        pa.normalize(F.concat(F.lit("./x/../"), p)).alias("normal"), pa.has_base(p, F.concat(host, F.lit("//x/../en/"))).alias("based"), pa.remove_base(p, host, relative=True).alias("rest"),
     )
 
 
@@ -81,13 +77,16 @@ def f16(spark, sf):
     return v.read(spark, sf, "labels").select("doc_id", tx.to_bool(F.when(F.col("quality") == 1, "TRUE").otherwise("false")).alias("flag"))
 
 
-@query("f17_human_size", "SELECT doc_id, CASE WHEN b > 1073741824 THEN 3 WHEN b > 1048576 THEN 2 WHEN b > 1024 THEN 1 ELSE 0 END AS step, CASE WHEN b = 1 THEN '1 byte' WHEN b <= 1024 THEN b || ' bytes' END AS small FROM (SELECT doc_id, n_chars * n_chars AS b FROM documents)")
+_SIZE = "CASE WHEN b = 1 THEN '1 byte' WHEN b <= 1024 THEN b || ' bytes' WHEN b <= 1048576 THEN printf('%.1f KiB', b / 1024::DOUBLE) WHEN b <= 1073741824 THEN printf('%.1f MiB', b / 1048576::DOUBLE) WHEN b <= 1099511627776 THEN printf('%.1f GiB', b / 1073741824::DOUBLE) ELSE printf('%.1f TiB', b / 1099511627776::DOUBLE) END"
+
+
+@query("f17_human_size", f"SELECT doc_id, CASE WHEN b > 1073741824 THEN 3 WHEN b > 1048576 THEN 2 WHEN b > 1024 THEN 1 ELSE 0 END AS step, {_SIZE} AS size FROM (SELECT doc_id, n_chars * n_chars AS b FROM documents)")
 def f17(spark, sf):
     b = F.col("n_chars") * F.col("n_chars")
-    return v.read(spark, sf, "documents").select("doc_id", tx.size_step(b).alias("step"), F.when(b <= 1024, tx.human_size(b)).alias("small"))
+    return v.read(spark, sf, "documents").select("doc_id", tx.size_step(b).alias("step"), tx.human_size(b).alias("size"))
 
 
-@query("f17_human_size_whole", "SELECT doc_id, CASE WHEN b = 1 THEN '1 byte' WHEN b <= 1024 THEN b || ' bytes' WHEN b <= 1048576 THEN printf('%.1f KiB', b / 1024::DOUBLE) WHEN b <= 1073741824 THEN printf('%.1f MiB', b / 1048576::DOUBLE) WHEN b <= 1099511627776 THEN printf('%.1f GiB', b / 1073741824::DOUBLE) ELSE printf('%.1f TiB', b / 1099511627776::DOUBLE) END AS size FROM (SELECT doc_id, n_chars * n_chars AS b FROM documents)")
+@query("f17_human_size_whole", f"SELECT doc_id, {_SIZE} AS size FROM (SELECT doc_id, n_chars * n_chars AS b FROM documents)")
 def f17_whole(spark, sf):
     return v.read(spark, sf, "documents").select("doc_id", tx.human_size(F.col("n_chars") * F.col("n_chars")).alias("size"))
 
@@ -319,6 +318,30 @@ def i15(spark, sf):
     return run.manifest.select("path").join(built, "path", "left").join(kept, "path", "left").select("path", F.coalesce("b", F.lit(False)).alias("built"), F.coalesce("s", F.lit(False)).alias("existed"))
 
 
+_CHAIN = """
+WITH s AS (SELECT source, min_by(path, ord) AS first FROM v_assets GROUP BY source),
+j AS (SELECT a.path, a.mtime AS im, o.mtime AS om, f.mtime AS dm FROM v_assets a LEFT JOIN v_outputs o ON o.ord = a.ord JOIN s ON s.source = a.source JOIN v_assets f ON f.path = s.first),
+k AS (SELECT *, om IS NULL OR im >= om + 1 OR dm >= om + 1 AS due FROM j)
+SELECT replace(path, '.txt', '.out') AS path, due AS built, 16::BIGINT AS flags, false AS deleted FROM k UNION ALL SELECT replace(path, '.txt', '.tmp'), due, 2::BIGINT, due FROM k
+"""
+
+
+@query("i15_pipeline_run", _CHAIN)
+def i15_chain(spark, sf):
+    # Two steps: a temporary of each document, and its output, which also depends on the source's first document.
+    a = v.assets(spark, sf)
+    tmp = bl.foreach(a, {"destination": "{?:directory}/{?:file}.tmp"}, temporary=frozenset({"destination"}))
+    first = a.groupBy("source").agg(F.min_by("path", "ord").alias("first"))
+    out = foreach_step("out", bl.foreach(bl.as_inputs(tmp), {"destination": "{?:directory}/{?:file}.out"}))
+    own = out.select("transition_id", "output", "out_ord", "flags", F.split("output", "/")[0].alias("source")).join(first, "source")
+    more = own.select("transition_id", F.col("first").alias("dependency"), F.lit(1).cast("long").alias("dep_ord"), "output", "out_ord", "flags")
+    there = v.outputs(spark, sf).select("path", "mtime", F.lit(16).cast("long").alias("flags"))
+    run = pipeline_run(foreach_step("tmp", tmp).unionByName(out).unionByName(more), a.select("path", "mtime", "flags").unionByName(there), there.select("path", "flags"), lambda row: len(row.outputs))
+    built = run.log.select(F.explode("outputs").alias("path"), F.lit(True).alias("b"))
+    gone = run.deletable.select("path", F.lit(True).alias("d"))
+    return run.manifest.select("path", "flags").join(built, "path", "left").join(gone, "path", "left").select("path", F.coalesce("b", F.lit(False)).alias("built"), "flags", F.coalesce("d", F.lit(False)).alias("deleted"))
+
+
 # ---- manifest
 
 

@@ -1,18 +1,25 @@
-"""A whole incremental run: decide, work, log, sweep and store."""
+"""Whole incremental runs: decide, work, log, sweep and store.
+
+``incremental_run`` is one step of rows with one dependency each. ``pipeline_run`` takes the transitions of a whole pipeline,
+with any number of dependencies and outputs, in chains, with temporaries.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.flags import add_flags, has_flags
 from ..operators import incremental, joins
-from ..operators.aggregates import reject_duplicates
-from ..operators.work import run_foreach
-from ..schema import EXISTS
-from ..sources.store import checkpointed
+from ..operators.aggregates import needs_build, reject_duplicates
+from ..operators.manifest import extend_directories, split_path
+from ..operators.work import LOG, run_foreach
+from ..schema import EXISTS, FORCED, MODIFIED, TEMPORARY
+from ..sources.store import checkpointed, write_manifest
 
 
 @dataclass
@@ -48,6 +55,167 @@ def incremental_run(transitions: DataFrame, assets: DataFrame, stored: DataFrame
         return Run(plan, plan.limit(0), stored, stored.limit(0))
     log = checkpointed(run_foreach(plan, work))
     made = log.where("state = 'FINISHED'").select(F.col("output").alias("path"), F.col("ended").alias("mtime"), F.lit(EXISTS).cast("long").alias("flags"))
+    failed = log.where("state <> 'FINISHED'").select(F.col("output").alias("path"), F.lit(True).alias("__failed"))
     current = decided.select(F.col("output").alias("path"))
-    kept = stored.join(made.select("path"), "path", "left_anti").join(current, "path", "left_semi").select("path", "mtime", "flags")
-    return Run(plan, log, kept.unionByName(made), joins.remains(stored, current))
+    kept = stored.join(made.select("path"), "path", "left_anti").join(current, "path", "left_semi").join(failed, "path", "left")
+    # What broke off may be half written: it doesn't count as there, so it is built again.
+    flags = F.when(F.col("__failed"), F.col("flags").bitwiseAND(F.lit(~EXISTS))).otherwise(F.col("flags"))
+    return Run(plan, log, kept.select("path", "mtime", flags.alias("flags")).unionByName(made), joins.remains(stored, current))
+
+
+def foreach_step(name: str, made: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
+    """The transitions of ``blocks.foreach`` as rows of ``pipeline_run``, named by their step, with the block's ``extra``
+    dependencies after the input."""
+    return _rows(name, made.withColumn("dependency", F.explode(F.array("dependency", *[F.lit(x) for x in extra]))), F.when(F.col("dependency").isin(*extra), 1).otherwise(0) if extra else F.lit(0))
+
+
+def all_step(name: str, made: DataFrame, inputs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """The transitions of ``blocks.all_of`` with an edge to each of their inputs. Without ``by`` there is one transition, whose
+    few outputs are sent to the inputs."""
+    members = inputs.select(*by, F.col("path").alias("dependency"), F.col("ord").alias("__place"))
+    own = made.select(*by, "transition_id", "output", "out_ord", "flags")
+    joined = members.join(own, list(by)) if by else members.crossJoin(F.broadcast(own))
+    return _rows(name, joined, F.col("__place"))
+
+
+def none_step(name: str, made: DataFrame) -> DataFrame:
+    """The transition of ``blocks.none``, which depends on nothing."""
+    return _rows(name, made.withColumn("dependency", F.lit(None).cast("string")), F.lit(0))
+
+
+def _rows(name: str, df: DataFrame, place: Column) -> DataFrame:
+    step = F.concat(F.lit(f"{name}/"), F.col("transition_id").cast("string"))
+    return df.select(step.alias("transition_id"), "dependency", place.cast("long").alias("dep_ord"), "output", F.col("out_ord").cast("long").alias("out_ord"), F.col("flags").cast("long").alias("flags"))
+
+
+@dataclass
+class PipelineRun:
+    """Tables of a pipeline's run. ``plan``: transition_id, level, reason, all_reasons; ``log``: transition_id, dependencies,
+    outputs and the outcome; ``manifest``: path, mtime, flags of the current outputs; ``remains``, ``deletable`` (temporaries)
+    and ``incomplete`` (outputs of work that broke off or wasn't begun) are to be removed; ``missing`` are errors: outputs of
+    work that was due and isn't there."""
+
+    plan: DataFrame
+    log: DataFrame
+    manifest: DataFrame
+    remains: DataFrame
+    deletable: DataFrame
+    incomplete: DataFrame
+    missing: DataFrame
+
+
+def _levels(ids: DataFrame, deps: DataFrame, outs: DataFrame) -> DataFrame:
+    """(transition_id, level): a transition comes after all that make its dependencies."""
+    above = outs.select(F.col("output").alias("dependency"), F.col("transition_id").alias("above"))
+    links = deps.join(above, "dependency").where("transition_id <> above").select(F.col("transition_id").alias("output"), F.col("above").alias("dependency")).distinct()
+    found = incremental.dag_level(links).select(F.col("node").alias("transition_id"), "level")
+    return checkpointed(ids.join(found, "transition_id", "left").select("transition_id", F.coalesce("level", F.lit(0)).cast("long").alias("level")))
+
+
+def _states(deps: DataFrame, outs: DataFrame, levels: DataFrame, depth: int, assets: DataFrame, force: bool) -> DataFrame:
+    """(path, flags, mtime) of all assets and outputs before the run, level by level: what an output takes over from its
+    dependencies is known when its own level comes. There are as many rounds as the pipeline has steps."""
+    there = assets.select(F.col("path").alias("output"), F.col("mtime").alias("out_mtime"))
+    known = assets.join(outs.select(F.col("output").alias("path")), "path", "left_anti").select("path", add_flags(F.col("flags"), EXISTS).alias("flags"), "mtime")
+    for level in range(depth + 1):
+        now = levels.where(F.col("level") == level).select("transition_id")
+        seen = deps.join(now, "transition_id").join(known, F.col("dependency") == F.col("path"), "left")
+        flags = F.coalesce("flags", F.lit(0))
+        took = seen.groupBy("transition_id").agg(F.max("mtime").alias("in_mtime"), F.bool_or(needs_build(flags)).alias("__build"), F.bool_or(has_flags(flags, FORCED)).alias("__forced"))
+        own = outs.join(now, "transition_id").join(took, "transition_id", "left").join(there, "output", "left").withColumn("dep_mtime", F.lit(None).cast("timestamp"))
+        in_flags = F.when(F.col("__build"), MODIFIED).otherwise(EXISTS) + F.when(F.col("__forced"), FORCED).otherwise(0)
+        own = own.withColumn("in_flags", in_flags.cast("long"))
+        marked = incremental.mark_outputs(own.where("__build IS NOT NULL"), force)
+        marked = marked.unionByName(incremental.mark_outputs(own.where("__build IS NULL"), force, "none"))
+        known = checkpointed(known.unionByName(marked.select(F.col("output").alias("path"), "flags", "mtime")))
+    return known
+
+
+def _with_temporaries(known: DataFrame, edges: DataFrame) -> DataFrame:
+    """``known`` with the temporaries that have to be made again, and all that depends on them, forced."""
+    temporary = known.where(has_flags(F.col("flags"), TEMPORARY))
+    if not temporary.limit(1).count():
+        return known
+    marks = temporary.select("path", F.lit(True).alias("__temp"))
+    both = edges.join(marks.withColumnsRenamed({"path": "output", "__temp": "out_temp"}), "output", "left").join(marks.withColumnsRenamed({"path": "dependency", "__temp": "dep_temp"}), "dependency", "left")
+    both = checkpointed(both.select("output", "dependency", *[F.coalesce(c, F.lit(False)).alias(c) for c in ("out_temp", "dep_temp")]))
+    decided = incremental.decide_temporaries(temporary, incremental.temporary_inputs(both, known), incremental.temporary_outputs(both, known))
+    known = known.join(decided.select("path", F.col("flags").alias("__flags")), "path", "left").select("path", F.coalesce("__flags", "flags").alias("flags"), "mtime")
+    known = checkpointed(known)
+    reached = incremental.propagate_forced(known.select("path", has_flags(F.col("flags"), FORCED).alias("forced")), edges)
+    return checkpointed(known.join(reached, "path").select("path", F.when(F.col("forced"), add_flags(F.col("flags"), FORCED)).otherwise(F.col("flags")).alias("flags"), "mtime"))
+
+
+def pipeline_run(transitions: DataFrame, assets: DataFrame, stored: DataFrame, work: Callable, force: bool = False, dry: bool = False, checking: bool = True, root: str | None = None) -> PipelineRun:
+    """One run of a pipeline. ``transitions``: transition_id, dependency (null for none), dep_ord, output, out_ord, flags, a row
+    for each pair (see ``foreach_step``, ``all_step``, ``none_step``); ``assets``: path, mtime, flags of what exists, outputs of
+    earlier runs among it; ``stored``: path, flags of the last manifest. ``work`` gets a row with ``dependencies`` and
+    ``outputs`` in their order. Levels run one after the other; under ``checking`` a failure leaves the later ones idle. With
+    ``root`` the manifest is written there."""
+    t = checkpointed(transitions.select("transition_id", "dependency", "dep_ord", "output", "out_ord", "flags").distinct())
+    outs = t.where("output IS NOT NULL").select("transition_id", "output", "out_ord", "flags").distinct()
+    deps = t.where("dependency IS NOT NULL").groupBy("transition_id", "dependency").agg(F.min("dep_ord").alias("dep_ord"))
+    reject_duplicates(outs.select(F.lit("run").alias("process"), F.lit("output").alias("role"), F.col("output").alias("path")))
+    ids = t.select("transition_id").distinct()
+    levels = _levels(ids, deps, outs)
+    depth = levels.agg(F.max("level")).first()[0] or 0
+    edges = checkpointed(outs.select("transition_id", "output").join(deps.select("transition_id", "dependency"), "transition_id"))
+    known = _with_temporaries(_states(deps, outs, levels, depth, assets, force), edges.select("output", "dependency"))
+
+    flags = known.select(F.col("path").alias("__path"), F.col("flags").alias("__flags"))
+    needed = deps.join(flags, F.col("dependency") == F.col("__path"), "left").select("transition_id", "dependency", "dep_ord", F.coalesce("__flags", F.lit(0).cast("long")).alias("flags"))
+    marked = outs.join(flags, F.col("output") == F.col("__path")).select("transition_id", "output", "out_ord", F.col("__flags").alias("flags"))
+    members = needed.select("transition_id", F.lit("dependency").alias("role"), F.col("dep_ord").alias("ord"), "flags").unionByName(marked.select("transition_id", F.lit("output").alias("role"), F.col("out_ord").alias("ord"), "flags"))
+    due = checkpointed(incremental.needs_build_reasons(ids, members, force).where("reason <> 0").join(levels, "transition_id"))
+    plan = due.select("transition_id", "level", "reason", "all_reasons")
+
+    in_order = lambda df, what, by: df.groupBy("transition_id").agg(F.transform(F.sort_array(F.collect_list(F.struct(by, what))), lambda x: x[what]).alias(what))
+    rows = due.select("transition_id", "level").join(in_order(deps, "dependency", "dep_ord"), "transition_id", "left").join(in_order(outs, "output", "out_ord"), "transition_id", "left")
+    rows = checkpointed(rows.select("transition_id", "level", F.col("dependency").alias("dependencies"), F.col("output").alias("outputs")))
+    exists, logs, lost, idle = assets.select("path", "mtime"), [], [], dry
+    for level in range(depth + 1):
+        now = rows.where(F.col("level") == level).drop("level")
+        missing = joins.missing_inputs(needed.join(now.select("transition_id"), "transition_id", "left_semi"), exists)
+        lost.append(checkpointed(missing.select("transition_id").distinct()))
+        now = now.join(lost[-1], "transition_id", "left_anti")
+        if idle:
+            now = now.withColumns({c.split()[0]: F.lit("IDLE" if c.startswith("state") else None).cast(c.split()[1]) for c in LOG.split(", ")})
+            logs.append(now)
+            continue
+        log = checkpointed(run_foreach(now, work, checking))
+        logs.append(log)
+        made = log.where("state = 'FINISHED'").select(F.explode("outputs").alias("path"), F.col("ended").alias("mtime"))
+        exists = checkpointed(exists.join(made.select("path"), "path", "left_anti").unionByName(made))
+        idle = bool(checking and log.where("state = 'FAILED'").limit(1).count())
+    log, without = reduce(DataFrame.unionByName, logs), reduce(DataFrame.unionByName, lost)
+    if dry:
+        none = outs.select(F.col("output").alias("path")).limit(0)
+        return PipelineRun(plan, log, stored, none, none, none, none)
+
+    asked = outs.join(due.select("transition_id"), "transition_id", "left_semi")
+    finished = edges.join(log.where("state = 'FINISHED'").select("transition_id"), "transition_id", "left_semi")
+    pending = incremental.settle_dependents(edges.join(due.select("transition_id"), "transition_id", "left_semi").select("output", "dependency"), finished)
+    temporary = known.join(exists.select("path"), "path", "left_semi").where(has_flags(F.col("flags"), TEMPORARY))
+    deletable = checkpointed(incremental.deletable_temporaries(temporary, pending))
+    # A transition's work stands for all its commands: one that fails leaves the rest of them idle.
+    states = log.select("transition_id", F.when(F.col("state") == "FAILED", "IDLE").otherwise(F.col("state")).alias("state"))
+    incomplete = checkpointed(incremental.incomplete_outputs(asked, states, without).select(F.col("output").alias("path")))
+    absent = incremental.missing_outputs(asked, exists, without).select("transition_id", F.col("output").alias("path"))
+
+    left = exists.join(deletable.unionByName(incomplete), "path", "left_anti")
+    current = outs.select(F.col("output").alias("path"), F.col("flags").bitwiseAND(F.lit(TEMPORARY)).alias("__own")).join(left, "path", "left")
+    current = checkpointed(current.select("path", "mtime", F.when(F.col("mtime").isNotNull(), add_flags(F.col("__own"), EXISTS)).otherwise(F.col("__own")).cast("long").alias("flags")))
+    remains, swept = incremental.sweep_remains(stored, current)
+    manifest = current.select("path", "mtime").join(swept, "path")
+    if root is not None:
+        store_manifest(manifest, root)
+    return PipelineRun(plan, log, manifest, remains, deletable, incomplete, absent)
+
+
+def store_manifest(manifest: DataFrame, root: str) -> str:
+    """Writes (path, mtime, flags) as a snapshot of files and directories."""
+    spark = manifest.sparkSession
+    directories = checkpointed(extend_directories(spark.range(0).select(F.col("id").alias("dir_id"), F.lit("").alias("dir")), manifest))
+    dir, file = split_path(F.col("path"))
+    files = manifest.select(dir.alias("dir"), file.alias("file"), F.lit(None).cast("long").alias("size"), F.col("mtime").alias("last_modified"), "flags")
+    return write_manifest(files.join(directories, "dir").select("dir_id", "file", "size", "last_modified", "flags"), directories, root)

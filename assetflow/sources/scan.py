@@ -1,13 +1,18 @@
-"""Scans of files by pattern, wildcard or list. Only metadata is read, never content."""
+"""Scans of files by pattern, wildcard or list. Only metadata is read, never content.
+
+Paths come without scheme and host, as patterns name them, whatever file system they are on; ``uri`` keeps both. The order of
+assets is that of their paths.
+"""
 
 from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.predicates import named_captures, overlay, positional_captures, whole, wildcard_regex
+from ..operators.windows import ranked
 from ..schema import EXISTS, PERMANENT
 
 _SPECIAL = re.compile(r"[\\.^$*+?()\[\]{}|]")
@@ -24,18 +29,25 @@ def literal_prefix(pattern: str) -> str:
     return "/".join(out) or ("/" if pattern.startswith("/") else ".")
 
 
+def plain_path(uri: Column) -> Column:
+    """Without the scheme and the host of a file system."""
+    return F.regexp_replace(uri, r"\A[A-Za-z][A-Za-z0-9+.-]*:(?://[^/]*)?/*", "/")
+
+
 def listing(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:
-    """(path, size, mtime) of the files under ``root``; the content column is pruned from the scan."""
+    """(path, size, mtime, uri) of the files under ``root``; the content column is pruned from the scan."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(root)
-    return files.select(F.regexp_replace("path", r"^file:/*", "/").alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"))
+    return files.select(plain_path(F.col("path")).alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), F.col("path").alias("uri"))
 
 
 def as_assets(found: DataFrame, pattern: str, subject: str = "path") -> DataFrame:
-    """Asset rows of files whose ``subject`` matches whole, with captures by number and name."""
+    """Asset rows of files whose ``subject`` matches whole, with captures by number and name. Their order is that of their paths,
+    unless ``found`` has one."""
     hit = found.where(F.col(subject).rlike(whole(pattern)))
-    ord = F.xxhash64("path") if "ord" not in found.columns else F.col("ord")
+    if "ord" not in found.columns:
+        hit = ranked(hit, [F.col("path")], "ord")
     return hit.select(
-        "path", ord.alias("ord"), "size", "mtime", F.lit(PERMANENT | EXISTS).cast("long").alias("flags"),
+        "path", "ord", "size", "mtime", F.lit(PERMANENT | EXISTS).cast("long").alias("flags"),
         overlay(positional_captures(F.col(subject), pattern), named_captures(F.col(subject), pattern)).alias("captures"),
     )
 
@@ -55,18 +67,28 @@ def match_elements(found: DataFrame, pattern: str) -> DataFrame:
 
 
 def scan_regex(spark: SparkSession, pattern: str) -> DataFrame:
-    return match_elements(listing(spark, literal_prefix(pattern)), pattern)
+    """Files whose path matches ``pattern`` element by element. Below the literal directories, only the pattern's last element
+    can be a file: if no other is a pattern, no directory below is listed."""
+    root = literal_prefix(pattern)
+    flat = pattern.count("/") == len([x for x in root.split("/") if x]) + pattern.startswith("/")
+    return match_elements(listing(spark, root, not flat), pattern)
+
+
+def _below(spark: SparkSession, root: str) -> DataFrame:
+    """Files with their path below ``root``, which may be a URI."""
+    plain = re.sub(r"\A[A-Za-z][A-Za-z0-9+.-]*:(?://[^/]*)?/*", "/", root).rstrip("/")
+    return listing(spark, root).withColumn("below", F.regexp_replace("path", "^" + re.escape(plain) + "/", ""))
 
 
 def scan_recursive(spark: SparkSession, root: str, pattern: str) -> DataFrame:
     """The path below ``root`` is matched as a whole, at any depth."""
-    found = listing(spark, root).withColumn("below", F.regexp_replace("path", "^" + re.escape(root.rstrip("/")) + "/", ""))
+    found = _below(spark, root)
     return as_assets(found, pattern, "below")
 
 
 def scan_wildcard(spark: SparkSession, root: str, pattern: str, match_all: bool = True) -> DataFrame:
     """``*``, ``?`` and ``#`` on the path below ``root``; without ``match_all`` anywhere in it."""
-    found = listing(spark, root).withColumn("below", F.regexp_replace("path", "^" + re.escape(root.rstrip("/")) + "/", ""))
+    found = _below(spark, root)
     return as_assets(found, wildcard_regex(pattern, not match_all), "below")
 
 

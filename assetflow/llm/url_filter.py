@@ -5,11 +5,12 @@ it starts at the path and ends just past every path that begins with it. URLs ar
 markers and points keeps the stack of nested rules that are open at each point: slot d of the stack is the last rule
 that opened at depth d. Only built-in functions run.
 
-Scale: a URL becomes one point per parent host that has a rule; hot hosts are salted, and each salt gets the (few)
-markers of its host again, so that no window partition grows with a host's share.
+Scale: a URL becomes one point per parent host that has a rule. Points are counted by host, and a host gets a salt for each
+``SALT_ROWS`` of them; each salt gets the (few) markers of its host again, so that no window partition grows with a host's
+share of the table.
 
-Defined results: a null URL or one without ``://`` has an empty host and path and no rule; repeated URLs and rows get the
-same verdict; an empty table gives an empty table; rules with a null or empty host are ignored; of equal rules, block
+Defined results: a null URL or one without ``://`` has an empty host and path and no rule; a URL of any length is judged
+whole; repeated URLs and rows get the same verdict; an empty table gives an empty table; rules with a null or empty host are ignored; of equal rules, block
 wins; of two fitting rules of the same length, the one of the longer host; columns named like the results are replaced.
 """
 
@@ -18,7 +19,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SALTS = 64
+from .common import cut, sent_if_small
+
+#: Least number of salts of a host, and URLs of one salt, about.
+SALTS = 8
+SALT_ROWS = 20_000
 
 
 def _lower(c: Column) -> Column:
@@ -44,7 +49,7 @@ def _labels(host: Column) -> Column:
     return F.reverse(F.split(host, r"\."))
 
 
-def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "allow", salts: int = SALTS) -> DataFrame:
+def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "allow", salts: int = SALTS, salt_rows: int = SALT_ROWS) -> DataFrame:
     """``pages`` with host, path, rule and verdict. ``rules``: host, path, verdict (``block`` or ``allow``)."""
     made = ("host", "path", "rule", "verdict")
     kept = (
@@ -83,10 +88,12 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: s
         .select(
             "__site", "__key", F.lit(1).alias("__kind"), F.lit(0).alias("__step"),
             F.lit(None).cast(markers.schema["__rule"].dataType).alias("__rule"), "__url",
-            F.pmod(F.xxhash64("__url"), F.lit(salts)).alias("__salt"),
         )
     )
-    dealt = markers.select("*", F.lit(None).cast("string").alias("__url"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("__salt"))
+    sites = cut(points.groupBy("__site").agg(F.greatest(F.lit(salts), F.ceil(F.count("*") / salt_rows)).cast("long").alias("__salts")))
+    sized = sent_if_small(sites)  # at most one row for each rule
+    points = points.join(sized, "__site").withColumn("__salt", F.pmod(F.xxhash64("__url"), "__salts")).drop("__salts")
+    dealt = markers.join(sized, "__site").select(*markers.columns, F.lit(None).cast("string").alias("__url"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("__salts") - 1)).alias("__salt"))
     sweep = Window.partitionBy("__site", "__salt").orderBy("__key", "__kind")
     open_now = points.unionByName(dealt).withColumn("__depth", F.sum("__step").over(sweep))
     stack = F.array(*[F.last(F.when((F.col("__kind") == 0) & (F.col("__depth") == d), F.col("__rule")), ignorenulls=True).over(sweep) for d in range(1, deepest + 1)])

@@ -56,6 +56,15 @@ def test_url_filter_without_rules_or_rows(spark):
     assert url_filter.filter_urls(df.limit(0), rules).collect() == []
 
 
+def test_hot_hosts_are_parted_by_their_urls(spark):
+    rules = spark.createDataFrame(queries.URL_RULES, "host string, path string, verdict string")
+    df = spark.range(3000).select(F.col("id").alias("page_id"), F.concat(F.lit("http://hot.example.net/"), F.when(F.col("id") % 3 == 0, "en/").otherwise("x"), "id").alias("url"))
+    for rows in (20_000, 70):
+        got = url_filter.filter_urls(df, rules, salts=1, salt_rows=rows).collect()
+        assert len(got) == 3000
+        assert all((r["rule"], r["verdict"]) == (("example.net/en/", "allow") if r["page_id"] % 3 == 0 else ("net/", "block")) for r in got)
+
+
 # ---- op2
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
@@ -9,6 +11,7 @@ from pyspark.sql.types import ArrayType
 from ..functions.flags import has_flags
 from ..functions.text import escape
 from ..schema import EXISTS, MODIFIED, TEMPORARY
+from .windows import ranked
 
 
 def _in_order(value: Column, ord: Column) -> Column:
@@ -24,6 +27,20 @@ def combine_all_quoted(path: Column, ord: Column) -> Column:
     return F.array_join(_in_order(F.concat(F.lit('"'), escape(path), F.lit('"')), ord), " ")
 
 
+def combined_parts(inputs: DataFrame, by: list[str], part_rows: int = 10_000, path: str = "path", ord: str = "ord", quoted: bool = False) -> DataFrame:
+    """(``by``, part, n, inputs): the list of ``combine_all`` in pieces of ``part_rows`` paths, for groups that don't fit one
+    value. Pieces joined as paths are, in their order, give the whole. Places come from ranges of the table's order, so no task
+    holds a group."""
+    placed = ranked(inputs.select(*by, path, ord), [F.col(c) for c in (*by, ord, path)], "__at").withColumn("__start", F.lit(0))
+    if by:
+        begin = placed.groupBy(*[F.col(c).alias(f"__of_{c}") for c in by]).agg(F.min("__at").alias("__start"))
+        same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"__of_{c}")) for c in by])
+        placed = placed.drop("__start").join(begin, same)
+    part = F.floor((F.col("__at") - F.col("__start")) / part_rows).cast("long")
+    joined = combine_all_quoted if quoted else combine_all
+    return placed.groupBy(*by, part.alias("part")).agg(F.count("*").alias("n"), joined(F.col(path), F.col(ord)).alias("inputs"))
+
+
 def first_input(path: Column, ord: Column) -> Column:
     return F.min_by(path, ord)
 

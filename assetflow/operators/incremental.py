@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from itertools import count
 
@@ -126,15 +127,15 @@ def _closure(edges: DataFrame, start: str, end: str) -> DataFrame:
     """(temporary, end): what each temporary ``start`` reaches through temporaries. ``edges``: output, dependency, out_temp,
     dep_temp."""
     pairs = edges.where(F.col(f"{start[:3]}_temp")).select(F.col(start).alias("temporary"), F.col(end).alias("end"), F.col(f"{end[:3]}_temp").alias("end_temp")).distinct()
-    steps = checkpointed(pairs)
-    seen = front = steps
+    steps = front = checkpointed(pairs)
+    seen = _Rounds(steps)
     hop = steps.select(F.col("temporary").alias("end"), F.col("end").alias("next"), F.col("end_temp").alias("next_temp"))
     while True:
         front = front.where("end_temp").join(hop, "end").select("temporary", F.col("next").alias("end"), F.col("next_temp").alias("end_temp")).distinct()
-        front = checkpointed(front.join(seen, ["temporary", "end"], "left_anti"))
+        front = checkpointed(front.join(seen.all(), ["temporary", "end"], "left_anti"))
         if not front.limit(1).count():
-            return seen
-        seen = checkpointed(seen.unionByName(front))
+            return seen.all()
+        seen.add(front)
 
 
 def temporary_inputs(edges: DataFrame, assets: DataFrame) -> DataFrame:
@@ -163,6 +164,38 @@ def temporary_outputs(edges: DataFrame, assets: DataFrame) -> DataFrame:
     )
 
 
+def _folded(edges: DataFrame, assets: DataFrame, start: str, end: str, time: Callable, due: Column) -> DataFrame:
+    """(temporary, time, exist, due) over all that each temporary ``start`` reaches through temporaries. Each takes over from
+    those next to it when their own values are whole, level by level, so rows are as many as edges and not as pairs."""
+    mine = edges.where(F.col(f"{start[:3]}_temp")).select(F.col(start).alias("temporary"), F.col(end).alias("end"), F.col(f"{end[:3]}_temp").alias("end_temp")).distinct()
+    fold = lambda df: df.groupBy("temporary").agg(time("time").alias("time"), F.bool_and("exist").alias("exist"), F.bool_or("due").alias("due"))
+    seen = mine.join(assets, F.col("end") == F.col("path"), "left")
+    exists = F.coalesce(has_flags(F.col("flags"), EXISTS), F.lit(False))
+    own = checkpointed(fold(seen.select("temporary", F.col("mtime").alias("time"), (F.col("end_temp") | exists).alias("exist"), (~F.col("end_temp") & due).alias("due"))))
+    links = checkpointed(mine.where("end_temp").select(F.col("temporary").alias("output"), F.col("end").alias("dependency")))
+    levels = checkpointed(dag_level(links).withColumnRenamed("node", "temporary"))
+    depth = levels.agg(F.max("level")).first()[0] or 0
+    found = _Rounds(checkpointed(own.join(levels.where("level > 0"), "temporary", "left_anti")))
+    for level in range(1, depth + 1):
+        now = levels.where(F.col("level") == level).select("temporary")
+        below = links.join(now, F.col("output") == F.col("temporary"), "left_semi").join(found.all(), F.col("dependency") == F.col("temporary"))
+        taken = below.select(F.col("output").alias("temporary"), "time", "exist", "due")
+        found.add(checkpointed(fold(taken.unionByName(own.join(now, "temporary", "left_semi")))))
+    return found.all()
+
+
+def temporary_states(edges: DataFrame, assets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(inputs, outputs) for ``decide_temporaries``: those of ``temporary_inputs`` and ``temporary_outputs`` without their sets.
+    A cycle of temporaries is an error."""
+    has = lambda bit: F.coalesce(has_flags(F.col("flags"), bit), F.lit(False))
+    inputs = _folded(edges, assets, "output", "dependency", F.max, has(MODIFIED))
+    outputs = _folded(edges, assets, "dependency", "output", F.min, has(MODIFIED) | has(FORCED))
+    return (
+        inputs.withColumnsRenamed({"time": "newest_input", "exist": "all_input_exists", "due": "input_was_modified"}),
+        outputs.withColumnsRenamed({"time": "oldest_output", "exist": "all_output_exists", "due": "output_will_be_modified"}),
+    )
+
+
 def decide_temporaries(temporaries: DataFrame, inputs: DataFrame, outputs: DataFrame) -> DataFrame:
     """(path, flags): temporaries that have to be made again are FORCED, and MODIFIED if a change is the reason."""
     all_of = temporaries.join(inputs, F.col("path") == inputs["temporary"], "left").drop("temporary").join(outputs, F.col("path") == outputs["temporary"], "left")

@@ -58,9 +58,12 @@ def keep_latest(df: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
 
 
 def stop_at_first_failure(commands: DataFrame, order: list[str], transition: str = "transition_id", exit_code: str = "exit_code") -> DataFrame:
-    """executed: no command before this one in its transition failed."""
-    before = Window.partitionBy(transition).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return commands.withColumn("executed", ~F.coalesce(F.bool_or(F.col(exit_code) != 0).over(before), F.lit(False)))
+    """executed: no command before this one in its transition failed. The first failure is a minimum by transition, reduced
+    before the shuffle, so a transition's commands aren't sorted in one task; commands of one place run together."""
+    place = F.struct(*order)
+    first = commands.where(F.col(exit_code) != 0).groupBy(F.col(transition).alias("__of")).agg(F.min(place).alias("__first"))
+    joined = commands.join(first, F.col(transition).eqNullSafe(F.col("__of")), "left")
+    return joined.withColumn("executed", F.col("__first").isNull() | (place <= F.col("__first"))).drop("__of", "__first")
 
 
 def first_reason(reasons: DataFrame, by: str = "transition_id") -> DataFrame:

@@ -49,3 +49,22 @@ def run_all(inputs: DataFrame, by: list[str], work: Callable, checking: bool = T
         return pd.DataFrame([dict(zip(by, key, strict=True)) | _attempt(work, rows, checking)])
 
     return inputs.groupBy(*by).applyInPandas(run, schema)
+
+
+def run_all_merged(inputs: DataFrame, by: list[str], part: Callable, merge: Callable, checking: bool = True) -> DataFrame:
+    """``run_all`` for groups that don't fit one task, where the work can be parted: ``part`` gets the rows of a group in each
+    Arrow batch where they lie, and ``merge`` the list of the parts' results as strings, in no order. Rows aren't shuffled. A
+    part that fails is its group's outcome."""
+    schema = ", ".join([f"`{k}` {inputs.schema[k].dataType.simpleString()}" for k in by] + [LOG])
+
+    def parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            out = [{k: None if pd.isna(v) else v for k, v in zip(by, key, strict=True)} | _attempt(part, own, checking) for key, own in rows.groupby(by, dropna=False, sort=False)]
+            yield pd.DataFrame(out, columns=[*by, *(x.split()[0] for x in LOG.split(", "))])
+
+    def whole(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        failed = rows[rows["state"] == "FAILED"].sort_values("started")
+        outcome = failed.iloc[0].to_dict() if len(failed) else _attempt(merge, rows["result"].tolist(), checking)
+        return pd.DataFrame([outcome | dict(zip(by, key, strict=True)) | {"started": rows["started"].min()}])
+
+    return inputs.mapInPandas(parts, schema).groupBy(*by).applyInPandas(whole, schema)

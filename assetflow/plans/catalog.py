@@ -329,6 +329,11 @@ def a1(spark, sf):
     return seconds(out, "newest")
 
 
+@query("a1_combined_parts", "SELECT source, part, count(*) AS n, string_agg(path, ' ' ORDER BY ord) AS inputs FROM (SELECT *, (row_number() OVER (PARTITION BY source ORDER BY ord, path) - 1) // 1000 AS part FROM v_assets) GROUP BY source, part")
+def a1_parts(spark, sf):
+    return ag.combined_parts(v.assets(spark, sf), ["source"], 1000)
+
+
 @query("a5_oldest_output", "SELECT split_part(path, '/', 1) AS source, min(mtime) FILTER ((flags & 2) = 0) AS oldest FROM v_outputs GROUP BY 1")
 def a5(spark, sf):
     out = v.outputs(spark, sf).groupBy(F.split("path", "/")[0].alias("source")).agg(ag.oldest_output_change(F.col("mtime"), F.col("flags")).alias("oldest"))

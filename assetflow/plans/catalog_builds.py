@@ -250,12 +250,21 @@ def i8(spark, sf):
     return seconds(inc.temporary_outputs(v.chain(spark, sf), v.chain_assets(spark, sf)), "oldest_output")
 
 
-@query("i9_decide_temporaries", _CLOSE + "SELECT path, (CASE WHEN NOT (coalesce(all_input_exists, true) AND coalesce(all_output_exists, true)) THEN flags | 8 WHEN coalesce(newest_input >= oldest_output + 1, false) OR coalesce(input_was_modified, false) OR coalesce(output_will_be_modified, false) THEN flags | 12 ELSE flags END)::BIGINT AS flags FROM v_chain_assets LEFT JOIN ti ON ti.temporary = path LEFT JOIN tu ON tu.temporary = path WHERE flags & 2 <> 0", recursive=True)
+_DECIDED = _CLOSE + "SELECT path, (CASE WHEN NOT (coalesce(all_input_exists, true) AND coalesce(all_output_exists, true)) THEN flags | 8 WHEN coalesce(newest_input >= oldest_output + 1, false) OR coalesce(input_was_modified, false) OR coalesce(output_will_be_modified, false) THEN flags | 12 ELSE flags END)::BIGINT AS flags FROM v_chain_assets LEFT JOIN ti ON ti.temporary = path LEFT JOIN tu ON tu.temporary = path WHERE flags & 2 <> 0"
+
+
+@query("i9_decide_temporaries", _DECIDED, recursive=True)
 def i9(spark, sf):
     edges, assets = v.chain(spark, sf), v.chain_assets(spark, sf)
     return inc.decide_temporaries(assets.where(fl.has_flags(F.col("flags"), 2)), inc.temporary_inputs(edges, assets), inc.temporary_outputs(edges, assets))
 
 
+@query("i9_temporary_states", _DECIDED, recursive=True)
+def i9_states(spark, sf):
+    edges, assets = v.chain(spark, sf), v.chain_assets(spark, sf)
+    return inc.decide_temporaries(assets.where(fl.has_flags(F.col("flags"), 2)), *inc.temporary_states(edges, assets))
+
+
 _DONE = "d AS (SELECT transition_id FROM v_commands GROUP BY transition_id HAVING bool_and(state = 'FINISHED' AND output_exists))"
 
 
@@ -406,6 +415,12 @@ def v2(spark, sf):
     return wk.run_all(docs, ["source"], lambda rows: int(rows["n_chars"].sum())).select("source", "state", "result")
 
 
+@query("v2_run_all_merged", "SELECT source, 'FINISHED' AS state, sum(n_chars)::VARCHAR AS result FROM documents GROUP BY source")
+def v2_merged(spark, sf):
+    docs = v.read(spark, sf, "documents").select("source", "n_chars")
+    return wk.run_all_merged(docs, ["source"], lambda rows: int(rows["n_chars"].sum()), lambda sums: sum(map(int, sums))).select("source", "state", "result")
+
+
 @query("x1_throttled_progress", "SELECT series, epoch(date_trunc('second', ts))::BIGINT AS second, count(*) AS n, sum(value) AS value FROM v_progress GROUP BY 1, 2")
 def x1(spark, sf):
     return seconds(throttled_progress(v.progress(spark, sf)), "second")

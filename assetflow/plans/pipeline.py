@@ -139,7 +139,7 @@ def _with_temporaries(known: DataFrame, edges: DataFrame) -> DataFrame:
     marks = temporary.select("path", F.lit(True).alias("__temp"))
     both = edges.join(marks.withColumnsRenamed({"path": "output", "__temp": "out_temp"}), "output", "left").join(marks.withColumnsRenamed({"path": "dependency", "__temp": "dep_temp"}), "dependency", "left")
     both = checkpointed(both.select("output", "dependency", *[F.coalesce(c, F.lit(False)).alias(c) for c in ("out_temp", "dep_temp")]))
-    decided = incremental.decide_temporaries(temporary, incremental.temporary_inputs(both, known), incremental.temporary_outputs(both, known))
+    decided = incremental.decide_temporaries(temporary, *incremental.temporary_states(both, known))
     known = known.join(decided.select("path", F.col("flags").alias("__flags")), "path", "left").select("path", F.coalesce("__flags", "flags").alias("flags"), "mtime")
     known = checkpointed(known)
     reached = incremental.propagate_forced(known.select("path", has_flags(F.col("flags"), FORCED).alias("forced")), edges)

@@ -129,6 +129,50 @@ def test_temporaries_between_unchanged_files_stay_unbuilt(spark):
     assert decide(0, 10, out_flags=1) == 10
 
 
+def test_temporary_states_are_those_of_the_closure(spark):
+    pairs = [("t1", "in"), ("t2", "t1"), ("t2", "gone"), ("t3", "t1"), ("t3", "t2"), ("out", "t3"), ("t4", "in2"), ("late", "t4"), ("none", "t5")]
+    temp = lambda x: x.startswith("t")
+    edges = spark.createDataFrame([(o, d, temp(o), temp(d)) for o, d in pairs], "output string, dependency string, out_temp boolean, dep_temp boolean")
+    rows = [("in", 21, at(5)), ("in2", 17, at(9)), ("t1", 2, at(7)), ("t3", 2, None), ("out", 17, at(1)), ("late", 25, at(3))]
+    a = spark.createDataFrame(rows, "path string, flags long, mtime timestamp")
+    for got, want in zip(incremental.temporary_states(edges, a), (incremental.temporary_inputs(edges, a), incremental.temporary_outputs(edges, a)), strict=True):
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.select(*got.columns).collect()))
+    cycle = spark.createDataFrame([("t1", "t2", True, True), ("t2", "t1", True, True)], edges.schema)
+    with pytest.raises(ValueError, match="cycle"):
+        incremental.temporary_states(cycle, a)
+
+
+def test_commands_up_to_the_first_failure(spark):
+    rows = [("a", 1, 0), ("a", 2, 3), ("a", 2, 0), ("a", 3, 0), ("b", 1, 0), ("b", 2, None), (None, 1, 1), (None, 2, 0)]
+    got = windows.stop_at_first_failure(spark.createDataFrame(rows, "transition_id string, cmd_ord int, exit_code int"), ["cmd_ord"])
+    assert {(r["transition_id"], r["cmd_ord"]): r["executed"] for r in got.collect()} == {("a", 1): True, ("a", 2): True, ("a", 3): False, ("b", 1): True, ("b", 2): True, (None, 1): True, (None, 2): False}
+
+
+def test_combined_parts_are_pieces_of_the_whole(spark):
+    rows = [("x" if k % 3 else None, k, f"p{k}" + " " * (k % 2)) for k in range(40)]
+    df = spark.createDataFrame(rows, "g string, ord long, path string")
+    join = lambda parts: "".join(p if k == 0 or parts[k - 1].endswith(" ") else " " + p for k, p in enumerate(parts))
+    for g in ("x", None):
+        parts = [r for r in aggregates.combined_parts(df, ["g"], 4).orderBy("part").collect() if r["g"] == g]
+        assert [r["part"] for r in parts] == list(range(len(parts))) and all(r["n"] == 4 for r in parts[:-1])
+        assert join([r["inputs"] for r in parts]) == join([p for h, _, p in rows if h == g])
+    quoted = aggregates.combined_parts(df, [], 100, quoted=True).collect()
+    assert [(r["part"], r["n"]) for r in quoted] == [(0, 40)] and quoted[0]["inputs"].startswith('"p0" "p1 " "p2"')
+
+
+def test_work_on_groups_in_parts(spark):
+    df = spark.createDataFrame([(("a", "b", None)[k % 3], k) for k in range(300)], "g string, n long").repartition(5)
+
+    def part(rows):
+        if rows["g"].iloc[0] == "b" and (rows["n"] == 100).any():
+            raise ValueError("broken")
+        return int(rows["n"].sum())
+
+    got = {r["g"]: r for r in work.run_all_merged(df, ["g"], part, lambda sums: sum(map(int, sums))).collect()}
+    assert {g: r["result"] for g, r in got.items() if g != "b"} == {"a": str(sum(range(0, 300, 3))), None: str(sum(range(2, 300, 3)))}
+    assert got["b"]["state"] == "FAILED" and got["b"]["exit_code"] == -1 and "broken" in got["b"]["error"]
+
+
 def test_all_compares_every_input(spark):
     row = spark.createDataFrame([("o", 0, at(5), 17, at(9), None, False)], "output string, flags long, out_mtime timestamp, in_flags long, in_mtime timestamp, dep_mtime timestamp, any_build boolean")
     assert incremental.mark_outputs(row, kind="all").first()["flags"] == 20

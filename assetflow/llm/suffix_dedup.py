@@ -3,8 +3,8 @@
 1. *Anchors.* Of every ``KEEP_FROM`` neighbouring 32-byte hashes the smallest is an anchor (winnowing), so every 100-byte
    string holds an anchor that depends on its own bytes alone: equal strings meet at equal anchors, at equal offsets.
    An anchor stands for the run of string starts that fall to it; the bytes they span are its context.
-2. *Classes.* Anchors are dealt by hash. Contexts are equal if their anchors and the keyed BLAKE2b digests of all their bytes
-   are; of equal ones all but the first (smallest id, then start) are repeats whole, so long copies are settled without
+2. *Classes.* Anchors are dealt by hash. Anchor hashes propose that contexts are equal, and keyed BLAKE2b digests of all their
+   bytes, 128 bits, decide it; of equal ones all but the first (smallest id, then start) are repeats whole, so long copies are settled without
    looking at single starts. Within a task's chunk this is done before the shuffle, which leaves one context a chunk of any
    passage, however common.
 3. *Suffix sort.* First contexts that share an anchor but differ somewhere (the edges of passages) are fetched, and the
@@ -17,7 +17,7 @@ The hashes are keyed anew in each call, so no text can be made to collide; resul
 
 Scale: contexts are dealt as packed hashes, once, and texts are shuffled once, for the edges and for the cutting. An anchor
 that too many different contexts share (one passage with ever other surroundings) isn't sorted in one task: the strings
-around it are dealt by their own keyed digest, eight bytes each and never the strings, after equal ones of a batch have been
+around it are dealt by their own keyed digest, 16 bytes each and never the strings, after equal ones of a batch have been
 reduced to their first. Tables in between are Parquet in the shared folder.
 
 Defined results: a null text is empty; texts under 100 bytes lose nothing; a text of any length is taken whole, in pieces of
@@ -75,9 +75,9 @@ def anchors_in_pieces(data: np.ndarray, offsets: np.ndarray, key: int = 0) -> tu
 
 
 def _digests(data: np.ndarray, lo: np.ndarray, hi: np.ndarray, key: int) -> np.ndarray:
-    """Keyed 64-bit digests of the bytes from ``lo`` to ``hi``."""
+    """Keyed 128-bit digests of the bytes from ``lo`` to ``hi``, two numbers each."""
     raw, k = memoryview(data.tobytes()), (key & MASK).to_bytes(8, "little")
-    return np.frombuffer(b"".join([hashlib.blake2b(raw[a:b], digest_size=8, key=k).digest() for a, b in zip(lo.tolist(), hi.tolist(), strict=True)]), np.uint64)
+    return np.frombuffer(b"".join([hashlib.blake2b(raw[a:b], digest_size=16, key=k).digest() for a, b in zip(lo.tolist(), hi.tolist(), strict=True)]), np.uint64).reshape(-1, 2)
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, key: int = 0) -> tuple[np.ndarray, ...]:
@@ -86,7 +86,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray, key: int = 0) -> tuple[np.nda
     total = int(length.sum())
     if not total:
         none = np.zeros(0, np.int64)
-        return none, none, none, none, none.astype(np.uint64), none.astype(np.uint64)
+        return none, none, none, none, none.astype(np.uint64), np.zeros((0, 2), np.uint64)
     roll = Rolling(data, key | 1)
     g = np.arange(len(data) - GRAM + 1)
     h = mix(roll.of(g, g + GRAM))
@@ -101,10 +101,10 @@ def anchors(data: np.ndarray, offsets: np.ndarray, key: int = 0) -> tuple[np.nda
     lo, hi = start[at], start[np.concatenate([at[1:], [total]]) - 1]
     anchor = anchor[at]
     # The anchor's place in its context is part of what has to be equal.
-    return row[at], lo, hi, anchor, h[anchor], _digests(data, lo, hi + SPAN, key) + (anchor - lo).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25)
+    return row[at], lo, hi, anchor, h[anchor], _digests(data, lo, hi + SPAN, key) + (anchor - lo).astype(np.uint64)[:, None] * np.uint64(0x9FB21C651E98DF25)
 
 
-BLOCK = "bucket long, ids binary, ties binary, held binary, hash binary, context binary, lo binary, span binary, reach binary"
+BLOCK = "bucket long, ids binary, ties binary, held binary, hash binary, context binary, proof binary, lo binary, span binary, reach binary"
 REMOVED = "id long, tie long, hot boolean, hash binary, lo binary, hi binary, reach binary"
 
 
@@ -141,12 +141,13 @@ def block_maker(buckets: int, key: int) -> Callable:
             every_id, every_tie = arrays(batch, 0, 1)
             for base, data, offsets in text_chunks(batch.column(2)):
                 ids, ties = (x[base : base + len(offsets) - 1] for x in (every_id, every_tie))
-                row, lo, hi, anchor, h, context = anchors_in_pieces(data, offsets, key)
+                row, lo, hi, anchor, h, digest = anchors_in_pieces(data, offsets, key)
+                context, proof = np.ascontiguousarray(digest.T)
                 span, reach, lo = hi - lo, anchor - lo, lo - offsets[row]
-                order = np.lexsort((lo, ties[row], ids[row], context, h))
+                order = np.lexsort((lo, ties[row], ids[row], proof, context, h))
                 first, later = np.zeros(len(row), bool), np.zeros(len(row), bool)
-                first[order] = _firsts(h[order], context[order])
-                later[order] = _later((h[order], context[order]), (ids[row][order], ties[row][order], lo[order]))
+                first[order] = _firsts(h[order], context[order], proof[order])
+                later[order] = _later((h[order], context[order], proof[order]), (ids[row][order], ties[row][order], lo[order]))
                 # Contexts that the chunk has before are repeats; they go by document and carry no hashes.
                 bucket = np.where(first, (h >> np.uint64(20)) % np.uint64(buckets), (ids[row].view(np.uint64) % np.uint64(buckets)))
                 bucket = np.where(first, bucket.astype(np.int64), -1 - bucket.astype(np.int64))
@@ -159,10 +160,10 @@ def block_maker(buckets: int, key: int) -> Callable:
                     begin = _runs(row[i])
                     own = row[i][begin[:-1]]
                     if bucket[i[0]] < 0:
-                        i_h = i_c = b""
+                        i_h = i_c = i_p = b""
                     else:
-                        i_h, i_c = h[i].tobytes(), context[i].tobytes()
-                    out.append((int(bucket[i[0]]), ids[own].tobytes(), ties[own].tobytes(), np.diff(begin).astype(np.int32).tobytes(), i_h, i_c, lo[i].astype(np.int32).tobytes(), span[i].astype(np.uint8).tobytes(), reach[i].astype(np.uint8).tobytes()))
+                        i_h, i_c, i_p = h[i].tobytes(), context[i].tobytes(), proof[i].tobytes()
+                    out.append((int(bucket[i[0]]), ids[own].tobytes(), ties[own].tobytes(), np.diff(begin).astype(np.int32).tobytes(), i_h, i_c, i_p, lo[i].astype(np.int32).tobytes(), span[i].astype(np.uint8).tobytes(), reach[i].astype(np.uint8).tobytes()))
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], BLOCK.replace(" binary", "").replace(" long", "").split(", "))
 
@@ -199,10 +200,10 @@ def class_maker(most: int) -> Callable:
         if group.column("bucket")[0].as_py() < 0:
             none = np.zeros(len(lo), bool)
             return _by_document(ids, ties, none, lo, lo, hi + SPAN, reach, none)
-        h, context = _joined(group.column("hash"), np.uint64), _joined(group.column("context"), np.uint64)
-        order = np.lexsort((lo, ties, ids, context, h))
-        ids, ties, lo, hi, reach, h, context = (x[order] for x in (ids, ties, lo, hi, reach, h, context))
-        first, later = _firsts(h, context), _later((h, context), (ids, ties, lo))
+        h, context, proof = (_joined(group.column(c), np.uint64) for c in ("hash", "context", "proof"))
+        order = np.lexsort((lo, ties, ids, proof, context, h))
+        ids, ties, lo, hi, reach, h, context, proof = (x[order] for x in (ids, ties, lo, hi, reach, h, context, proof))
+        first, later = _firsts(h, context, proof), _later((h, context, proof), (ids, ties, lo))
         at = _runs(h)
         kinds = np.repeat(np.add.reduceat(first.astype(np.int64), at[:-1]), np.diff(at)) if len(h) else np.zeros(0, np.int64)
         keep = later | first & (kinds > 1)
@@ -215,6 +216,8 @@ def class_maker(most: int) -> Callable:
 #: number) or KNOWN (a repeat that the batch itself has shown, from ``lo``, ``reach`` bytes long).
 EDGES = "hash long, kind int, id long, tie long, lo long, reach long, bytes binary"
 CONTEXT, STRINGS, KNOWN = 0, 1, 2
+#: Of each packed string: id, tie, anchor hash, digest in two halves, start.
+PACK = ("<i8", "<i8", "<i8", "<u8", "<u8", "<i4")
 
 
 def _edge_batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -226,13 +229,19 @@ def _edge_batch(rows: list[tuple]) -> pa.RecordBatch:
 def edge_maker(string_buckets: int, key: int) -> Callable:
     def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Documents with their edges: the bytes of each edge's context, and for hot anchors the digests of its strings."""
+        last = None
         for batch in batches:
             out: list[tuple] = []
             hot: list[tuple] = []
+            seen = {last}  # rows of one id and text come together, and are one document
             ids, ties = (x.tolist() for x in arrays(batch, 0, 1))
             for base, data, offsets in text_chunks(batch.column(2)):
                 for r in range(len(offsets) - 1):
                     i, t, own = ids[base + r], ties[base + r], data[offsets[r] : offsets[r + 1]]
+                    last = (i, t)
+                    if last in seen:
+                        continue
+                    seen.add(last)
                     text = own.tobytes()
                     for e in batch.column(3)[base + r].as_py():
                         lo, hi, reach = (np.frombuffer(e[c], k) for c, k in (("lo", np.int32), ("hi", np.int32), ("reach", np.uint8)))
@@ -256,11 +265,12 @@ def _hot_rows(hot: list[tuple], buckets: int) -> list[tuple]:
     if not hot:
         return []
     ids, ties, lo, h, digest = (np.concatenate(c) for c in zip(*hot, strict=True))
-    order = np.lexsort((lo, ties, ids, digest, h))
-    ids, ties, lo, h, digest = (c[order] for c in (ids, ties, lo, h, digest))
-    first, later = _firsts(h, digest), _later((h, digest), (ids, ties, lo))
+    digest, proof = np.ascontiguousarray(digest.T)
+    order = np.lexsort((lo, ties, ids, proof, digest, h))
+    ids, ties, lo, h, digest, proof = (c[order] for c in (ids, ties, lo, h, digest, proof))
+    first, later = _firsts(h, digest, proof), _later((h, digest, proof), (ids, ties, lo))
     out = [(i, KNOWN, i, t, a, b - a, b"") for i, t, a, b in _merged(ids[later], ties[later], lo[later])]
-    ids, ties, lo, h, digest = (c[first] for c in (ids, ties, lo, h, digest))
+    ids, ties, lo, h, digest, proof = (c[first] for c in (ids, ties, lo, h, digest, proof))
     bucket = digest % np.uint64(buckets)
     order = np.lexsort((lo, ties, ids, bucket))
     at = _runs(bucket[order])
@@ -268,7 +278,7 @@ def _hot_rows(hot: list[tuple], buckets: int) -> list[tuple]:
         k = order[a:b]
         # Buckets have hashes of their own, which spread them over tasks like anchors.
         name = int(as_signed(mix(bucket[k[:1]] + np.uint64(0xD1B54A32D192ED03)))[0])
-        out.append((name, STRINGS, 0, 0, b - a, 0, b"".join(c[k].astype(d).tobytes() for c, d in zip((ids, ties, h, digest, lo), ("<i8", "<i8", "<i8", "<u8", "<i4"), strict=True))))
+        out.append((name, STRINGS, 0, 0, b - a, 0, b"".join(c[k].astype(d).tobytes() for c, d in zip((ids, ties, h, digest, proof, lo), PACK, strict=True))))
     return out
 
 
@@ -290,14 +300,14 @@ def repeats_of_strings(packs: list[tuple[int, bytes]]) -> list[tuple[int, int, i
     parts = []
     for n, raw in packs:
         cols, at = [], 0
-        for kind, width in (("<i8", 8), ("<i8", 8), ("<i8", 8), ("<u8", 8), ("<i4", 4)):
+        for kind in PACK:
             cols.append(np.frombuffer(raw, kind, n, at))
-            at += n * width
+            at += n * np.dtype(kind).itemsize
         parts.append(cols)
-    ids, ties, h, digest, lo = (np.concatenate(c) for c in zip(*parts, strict=True))
-    order = np.lexsort((lo, ties, ids, digest, h))
-    ids, ties, lo, h, digest = (c[order] for c in (ids, ties, lo, h, digest))
-    later = _later((h, digest), (ids, ties, lo))
+    ids, ties, h, digest, proof, lo = (np.concatenate(c) for c in zip(*parts, strict=True))
+    order = np.lexsort((lo, ties, ids, proof, digest, h))
+    ids, ties, lo, h, digest, proof = (c[order] for c in (ids, ties, lo, h, digest, proof))
+    later = _later((h, digest, proof), (ids, ties, lo))
     return _merged(ids[later], ties[later], lo[later].astype(np.int64))
 
 

@@ -100,4 +100,22 @@ SELECT page_id, n AS payload_bytes, d AS payload_digest,
 FROM q
 """
 
-ORACLES = {"op6_warc": OP6, "op9_winnow": OP9, "op10_jaccard_join": OP10, "op1_url_filter": OP1, "op4_host_quality": OP4, "op7_mix": OP7}
+OP11 = r"""
+WITH pc AS (SELECT coalesce(lang, 'und') AS lang,
+    unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents),
+pw AS (SELECT lang, list_filter(regexp_split_to_array(p, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM pc),
+nn AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM pw GROUP BY lang),
+g AS (SELECT lang, k, ws[i:i+k-1] AS ph FROM (SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM pw, range(1, 6) r(k) WHERE len(ws) >= k)),
+f AS (SELECT lang, k, ph, count(*) AS f FROM g GROUP BY lang, k, ph HAVING count(*) >= 100),
+c AS (SELECT lang, k, ph, f AS a FROM f WHERE k > 1),
+inside AS (SELECT DISTINCT s.lang, s.ph FROM c s JOIN c b ON s.lang = b.lang AND b.k > s.k AND 100 * b.a >= 100 * s.a
+  AND list_contains(list_transform(range(1, b.k - s.k + 2), lambda i: b.ph[i:i+s.k-1]), s.ph)),
+cuts AS (SELECT c.lang, c.ph, c.a, j, x.f AS l, y.f AS r, nn.n, ((1000::HUGEINT * c.a * nn.n) // (x.f::HUGEINT * y.f))::BIGINT AS score
+  FROM (SELECT *, unnest(range(1, k)) AS j FROM c) c JOIN f x ON x.lang = c.lang AND x.ph = c.ph[1:j] JOIN f y ON y.lang = c.lang AND y.ph = c.ph[j+1:c.k] JOIN nn ON nn.lang = c.lang),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, ph ORDER BY score, j) = 1),
+kept AS (SELECT best.lang, list_aggregate(best.ph, 'string_agg', ' ') AS phrase, a, l, r, n, score FROM best ANTI JOIN inside ON inside.lang = best.lang AND inside.ph = best.ph)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase)::BIGINT AS rank, phrase, a, l, r, n, score FROM kept
+QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) <= 2000
+"""
+
+ORACLES = {"op11_collocations": OP11, "op6_warc": OP6, "op9_winnow": OP9, "op10_jaccard_join": OP10, "op1_url_filter": OP1, "op4_host_quality": OP4, "op7_mix": OP7}

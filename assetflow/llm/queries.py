@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard_join, mixing, quality, secret_scan, sharding, suffix_dedup, token_counts, url_filter, warc
+from . import collocations, decontaminate, jaccard_join, mixing, quality, secret_scan, sharding, suffix_dedup, token_counts, url_filter, warc
 from .common import table
 
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -61,6 +61,10 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_token_lengths": op2_token_lengths,
@@ -72,4 +76,5 @@ QUERIES = {
     "op8_secrets": op8_secrets,
     "op9_winnow": op9_winnow,
     "op10_jaccard_join": op10_jaccard_join,
+    "op11_collocations": op11_collocations,
 }

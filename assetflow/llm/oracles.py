@@ -118,4 +118,58 @@ SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, p
 QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) <= 2000
 """
 
-ORACLES = {"op11_collocations": OP11, "op6_warc": OP6, "op9_winnow": OP9, "op10_jaccard_join": OP10, "op1_url_filter": OP1, "op4_host_quality": OP4, "op7_mix": OP7}
+_ENC = "coalesce(strlen({0}::VARCHAR)::VARCHAR || ':' || {0}::VARCHAR, '-')"
+_LEAF = "sha256(" + " || ".join(_ENC.format(c) for c in ("doc_id", "source", "lang", "n_chars", "{text}")) + ")"
+_CRC = """xor(4294967295::BIGINT, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(doc_id::VARCHAR) + 1), lambda i: ascii((doc_id::VARCHAR)[i])::BIGINT)),
+  lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda v, k: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384::BIGINT) ELSE v >> 1 END)))"""
+
+OP12 = f"""
+WITH RECURSIVE
+d AS (SELECT doc_id, source, {_LEAF.format(text="text")} AS leaf, CASE WHEN ({_CRC}) % 2 = 0 THEN {_LEAF.format(text="replace(text, chr(10), '')")} END AS altered FROM documents),
+o AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY source) AS n FROM d),
+s AS (SELECT source, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS tree, count(*) OVER () AS trees FROM (SELECT DISTINCT source FROM d)),
+l AS (SELECT o.*, s.tree FROM o JOIN s ON o.source IS NOT DISTINCT FROM s.source),
+nd(lv, tree, idx, h, n) AS (SELECT 0, tree, idx, leaf, n FROM l
+  UNION ALL SELECT lv + 1, tree, idx // 3, sha256(string_agg(h, '' ORDER BY idx)), (max(n) + 2) // 3 FROM nd WHERE n > 1 GROUP BY lv, tree, idx // 3),
+tp(lv, idx, h, n) AS (SELECT 0, nd.tree, h, trees FROM nd JOIN s ON s.tree = nd.tree WHERE n = 1
+  UNION ALL SELECT lv + 1, idx // 3, sha256(string_agg(h, '' ORDER BY idx)), (max(n) + 2) // 3 FROM tp WHERE n > 1 GROUP BY lv, idx // 3),
+fl(tree, leaf_idx, lv, idx, h, proof) AS (SELECT tree, idx, 0, idx, coalesce(altered, leaf), '' FROM l
+  UNION ALL SELECT f.tree, f.leaf_idx, f.lv + 1, f.idx // 3,
+    sha256(string_agg(CASE WHEN nd.idx = f.idx THEN f.h ELSE nd.h END, '' ORDER BY nd.idx)), f.proof || coalesce(string_agg(nd.h, '' ORDER BY nd.idx) FILTER (nd.idx <> f.idx), '')
+  FROM fl f JOIN nd ON nd.tree = f.tree AND nd.lv = f.lv AND nd.idx // 3 = f.idx // 3 AND nd.n > 1 GROUP BY f.tree, f.leaf_idx, f.lv, f.idx, f.h, f.proof),
+sub AS (SELECT * FROM fl QUALIFY row_number() OVER (PARTITION BY tree, leaf_idx ORDER BY lv DESC) = 1),
+ft(tree, leaf_idx, lv, idx, h, proof) AS (SELECT tree, leaf_idx, 0, tree, h, proof FROM sub
+  UNION ALL SELECT f.tree, f.leaf_idx, f.lv + 1, f.idx // 3,
+    sha256(string_agg(CASE WHEN tp.idx = f.idx THEN f.h ELSE tp.h END, '' ORDER BY tp.idx)), f.proof || coalesce(string_agg(tp.h, '' ORDER BY tp.idx) FILTER (tp.idx <> f.idx), '')
+  FROM ft f JOIN tp ON tp.lv = f.lv AND tp.idx // 3 = f.idx // 3 AND tp.n > 1 GROUP BY f.tree, f.leaf_idx, f.lv, f.idx, f.h, f.proof),
+fin AS (SELECT * FROM ft QUALIFY row_number() OVER (PARTITION BY tree, leaf_idx ORDER BY lv DESC) = 1),
+rt AS (SELECT h AS root FROM tp WHERE n = 1)
+SELECT l.doc_id, l.leaf, nd.h AS subroot, root, sha256(fin.proof) AS proof_sha256, fin.h AS folded_root, fin.h = root AS verified
+FROM l JOIN fin ON fin.tree = l.tree AND fin.leaf_idx = l.idx JOIN nd ON nd.tree = l.tree AND nd.n = 1, rt
+"""
+
+OP13 = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+x AS (SELECT doc_id, text, length(text) AS n, coalesce(lead(text) OVER (ORDER BY doc_id), first(text) OVER (ORDER BY doc_id)) AS next FROM t),
+e AS (SELECT doc_id, n, text, substr(text, 1, n - n // 2) || substr(next, 1, n // 2) AS edited FROM x),
+v AS (SELECT doc_id, 'own' AS what, text FROM e UNION ALL SELECT doc_id, 'edited', edited FROM e),
+w AS (SELECT doc_id, what, unnest(list_distinct(regexp_split_to_array(lower(text), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'))) AS term FROM v),
+lex AS (SELECT term, ('0x' || substr(md5(term), 1, 15))::BIGINT AS num FROM (SELECT term, count(*) AS df FROM w WHERE what = 'own' AND term <> '' GROUP BY term)
+  WHERE df * 500 >= (SELECT count(*) FROM t) AND df * 20 <= (SELECT count(*) FROM t)),
+pl AS (SELECT k * 7 + b AS place, b, (1 << (2 * (k + 1))) - 1 AS mask FROM range(4) q(k), range(7) r(b)),
+h AS (SELECT doc_id, what, place, substr(md5(string_agg(term, ' ' ORDER BY term)), 1, 8) AS h
+  FROM w JOIN lex USING (term) JOIN pl ON (num >> (8 * b)) & mask = 0 GROUP BY doc_id, what, place),
+f AS (SELECT v.doc_id, v.what, string_agg(coalesce(h, '--------'), '' ORDER BY place) AS f
+  FROM v CROSS JOIN pl LEFT JOIN h USING (doc_id, what, place) GROUP BY v.doc_id, v.what),
+a AS (SELECT e.doc_id, e.n::BIGINT AS n_chars, sha256(edited) AS edited_sha256, o.f AS fingerprint, d.f AS edited_fingerprint,
+    coalesce(lead(o.f) OVER (ORDER BY e.doc_id), first(o.f) OVER (ORDER BY e.doc_id)) AS nf
+  FROM e JOIN f o ON o.doc_id = e.doc_id AND o.what = 'own' JOIN f d ON d.doc_id = e.doc_id AND d.what = 'edited'),
+p AS (SELECT *, list_transform(range(28), lambda i: substr(fingerprint, 8 * i + 1, 8)) AS fl, list_transform(range(28), lambda i: substr(edited_fingerprint, 8 * i + 1, 8)) AS el,
+  list_transform(range(28), lambda i: substr(nf, 8 * i + 1, 8)) AS nl FROM a)
+SELECT doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
+  CASE WHEN fingerprint = edited_fingerprint THEN 1.0::DOUBLE ELSE len(list_filter(range(1, 29), lambda i: fl[i] = el[i] AND fl[i] <> '--------')) / len(list_filter(range(1, 29), lambda i: fl[i] <> '--------' OR el[i] <> '--------')) END AS near_edited,
+  CASE WHEN fingerprint = nf THEN 1.0::DOUBLE ELSE len(list_filter(range(1, 29), lambda i: fl[i] = nl[i] AND fl[i] <> '--------')) / len(list_filter(range(1, 29), lambda i: fl[i] <> '--------' OR nl[i] <> '--------')) END AS near_next
+FROM p
+"""
+
+ORACLES = {"op13_imatch": OP13, "op12_merkle": OP12, "op11_collocations": OP11, "op6_warc": OP6, "op9_winnow": OP9, "op10_jaccard_join": OP10, "op1_url_filter": OP1, "op4_host_quality": OP4, "op7_mix": OP7}

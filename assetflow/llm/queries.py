@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import collocations, decontaminate, jaccard_join, mixing, quality, secret_scan, sharding, suffix_dedup, token_counts, url_filter, warc
+from . import collocations, decontaminate, imatch, jaccard_join, merkle, mixing, quality, secret_scan, sharding, suffix_dedup, token_counts, url_filter, warc
 from .common import table
 
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -65,6 +65,17 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
 
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # Tampering: the line feeds of every other text, by checksum of the id, are gone.
+    hit = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
+    tampered = {"text": F.when(hit, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))}
+    return merkle.verified(merkle.merkle_manifest(table(spark, sf_dir, "documents"), altered=tampered))
+
+
+def op13_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_token_lengths": op2_token_lengths,
@@ -77,4 +88,6 @@ QUERIES = {
     "op9_winnow": op9_winnow,
     "op10_jaccard_join": op10_jaccard_join,
     "op11_collocations": op11_collocations,
+    "op12_merkle": op12_merkle,
+    "op13_imatch": op13_imatch,
 }

@@ -4,11 +4,11 @@ Counts live in sorted streams, never in one task's table:
 
 1. *Table of counters.* Words and pairs of neighbouring words are counted by keyed hash in ``COUNTERS`` saturating counters.
    Where a counter stays below the least count, the word or pair surely does too; a collision only costs rows.
-2. *Runs.* Each place of a text gives one row: the up to five words that start there, cut before the first pair that the
-   counters rule out. Every phrase that starts at the place is a prefix of that row, so one row stands for five phrases.
-   Equal rows of a task's stretch of text are one row with a count.
-3. *Prefix order.* Runs are dealt by ranges and sorted; one pass with a stack of open prefixes adds up the counts of all
-   phrases. A prefix that a range's edge parts comes out of each range with its part, and the parts are added.
+2. *Runs.* Each place of a text gives one run: the up to five words that start there, cut before the first pair that the
+   counters rule out. Every phrase that starts at the place is a prefix of that run, so one run stands for five phrases. A task
+   sorts a stretch of runs, adds up equal ones and hands them on by ranges, as packed columns of word numbers.
+3. *Prefix order.* A range's sorted stretches are merged, and the counts of all phrases are added up along the order. A prefix
+   that a range's edge parts comes out of each range with its part, and the parts are added.
 4. *Lockstep joins.* The stream of frequent phrases is sorted by their reversed words: there the parts that a phrase ends
    with come before it on the stack, which gives the right counts, and its longer phrases to the left come after it. Then it is sorted by its words,
    which gives the left counts and longer phrases to the right. A range begins with copies of the phrases that its first key
@@ -17,9 +17,9 @@ Counts live in sorted streams, never in one task's table:
 A phrase inside a longer one of at least its share is dropped. It is enough to look at phrases longer by one word: the longer
 one holds such a phrase, and that one is at least as frequent.
 
-Scale: texts are read twice and never shuffled; runs are combined before they are. Ranges part a hot word's or pair's phrases.
-The counters are of one size for any table; when many pairs are frequent they rule out less, which costs rows and no results.
-What comes to the driver are the counters' bits and the split points, ``SPLIT_SAMPLE`` keys at most. The highest scores
+Scale: texts are read three times and never shuffled; runs are, packed, after they are combined. Ranges part a hot word's or pair's
+phrases. The counters are of one size for any table; when many pairs are frequent they rule out less, which costs runs and no results.
+What comes to the driver are the counters' bits and samples of about ``SPLIT_SAMPLE`` keys for split points. The highest scores
 are found in two levels, so a language may hold all phrases.
 
 Defined results: a null text is empty; texts of any length are taken whole; a null language is ``und``, together with rows
@@ -32,9 +32,11 @@ from __future__ import annotations
 
 import bisect
 from collections.abc import Callable, Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,8 +46,8 @@ LEAST, LONGEST, TOP = 100, 5, 2000
 UNKNOWN = "und"
 #: Counters of words and pairs, one byte each, and those of one row of the table.
 COUNTERS, BLOCK = 1 << 23, 1 << 16
-#: Different runs that a task combines before it hands them on.
-HELD_RUNS = 500_000
+#: Runs that a task sorts and combines before it hands them on, and places of the texts, about, whose runs are one range.
+HELD_RUNS, RANGE_PLACES = 1_500_000, 2_500_000
 #: Phrases of one range, about, and the most keys that split points are taken from. Only the ranges' sizes depend on them.
 RANGE_ROWS, SPLIT_SAMPLE = 200_000, 20_000
 _PIECE_ENDS = word_table(b".,;:!?\n\x0b\x0c\r")
@@ -129,78 +131,163 @@ def _bits(texts: DataFrame, key: int, least: int, counters: int) -> np.ndarray:
     return out
 
 
-def run_maker(key: int, bits: np.ndarray, longest: int) -> Callable:
+def _frequent(bits: np.ndarray) -> Callable:
     counters = len(bits) * 8
 
-    def may_be_frequent(h: np.ndarray) -> np.ndarray:
+    def may_be(h: np.ndarray) -> np.ndarray:
         at = h % np.uint64(counters)
         return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
 
+    return may_be
+
+
+#: Of one language's runs in one range: words (each with a blank behind it), a column of word numbers for each place of a run (0
+#: is none), counts. Rows without words give the language's number of words.
+RUNS = "range int, lang string, words binary, columns binary, counts binary"
+_RUNS = pa.schema([("range", pa.int32()), ("lang", pa.string()), ("words", pa.binary()), ("columns", pa.binary()), ("counts", pa.binary())])
+_CODEC = pa.Codec("zstd")
+
+
+def _sorted_runs(columns: list[np.ndarray], counts: np.ndarray | None = None) -> tuple[list[np.ndarray], np.ndarray]:
+    """Different runs, sorted, with their counts added up. Three word numbers of 21 bits are compared as one."""
+    keys = []
+    for k in range(0, len(columns), 3):
+        key = np.zeros(len(columns[0]), np.uint64)
+        for c in columns[k : k + 3]:
+            key = key << np.uint64(21) | c.astype(np.uint64)
+        keys.append(key)
+    order = np.lexsort(keys[::-1])
+    new = np.ones(len(order), bool)
+    new[1:] = np.logical_or.reduce([k[order[1:]] != k[order[:-1]] for k in keys])
+    at = np.flatnonzero(new)
+    total = np.diff(np.append(at, len(order))) if counts is None else np.add.reduceat(counts[order], at)
+    return [c[order[at]] for c in columns], total
+
+
+def run_maker(key: int, bits: np.ndarray, longest: int, splits: list[tuple[str, bytes]]) -> Callable:
+    may_be_frequent = _frequent(bits)
+
+    def flush(held: list[tuple], known: dict[int, bytes], langs: list[str]) -> Iterator[tuple]:
+        lang, *columns = (np.concatenate(c) for c in zip(*held, strict=True))
+        for k in np.unique(lang).tolist():
+            own = [c[lang == k] for c in columns]
+            # Hashes give way to ranks in the order of the words' bytes; 0 stands for no word.
+            names = np.unique(own[0])  # every word of a run begins one itself
+            text = [known[h] for h in names.tolist()]
+            order = sorted(range(len(text)), key=text.__getitem__)
+            text = [text[i] for i in order]
+            rank = np.empty(len(order), np.int32)
+            rank[order] = np.arange(1, len(order) + 1)
+            own, counts = _sorted_runs([np.where(c == 0, 0, rank[np.minimum(np.searchsorted(names, c), len(names) - 1)]) for c in own])
+            run = lambda i, own=own, text=text: b"".join([text[c[i] - 1] for c in own if c[i]])
+            lo = bisect.bisect_left(splits, (langs[k], b""))
+            hi = bisect.bisect_right(splits, (langs[k], b"\xff"))
+            edges = [0, *[bisect.bisect_left(range(len(counts)), s, key=run) for _, s in splits[lo:hi]], len(counts)]
+            for r, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+                if a == b:
+                    continue
+                part = np.stack([c[a:b] for c in own])
+                used = np.unique(part)
+                used = used[used > 0]
+                local = np.where(part == 0, 0, np.searchsorted(used, part) + 1).astype(np.uint16 if len(used) < 65536 else np.uint32)
+                yield lo + r, langs[k], *(_packed(x) for x in (b"".join([text[i - 1] for i in used.tolist()]), local.tobytes(), counts[a:b].astype(np.uint32).tobytes()))
+
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray, list, list]] = []
-        total: dict[str, int] = {}
+        return _batched(rows(batches), _RUNS, 500)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        held: list[tuple] = []
+        known: dict[int, bytes] = {}
+        langs: list[str] = []
+        total: list[int] = []
         for batch in batches:
             for names, data, start, end, lang, h, joined in _tokens(batch, key):
                 if not len(h):
                     continue
+                for name in names:
+                    if name not in langs:
+                        langs.append(name)
+                        total.append(0)
+                number = np.array([langs.index(n) for n in names], np.int32)
                 for i, n in enumerate(np.bincount(lang, minlength=len(names)).tolist()):
-                    total[names[i]] = total.get(names[i], 0) + n
+                    total[number[i]] += n
+                h[h == 0] = 1  # 0 stands for no word
                 ok = may_be_frequent(h)
                 goes_on = np.zeros(len(h), bool)
                 goes_on[:-1] = joined[1:] & ok[:-1] & ok[1:]
                 at = np.flatnonzero(goes_on)
                 goes_on[at] = may_be_frequent(_pairs(h)[at])
                 at = np.flatnonzero(ok)
-                reach, name, open_ = np.ones(len(at), np.int64), mix(h[at]), goes_on[at]
+                name, first = np.unique(h[at], return_index=True)
+                raw = data.tobytes()
+                known.update((x, raw[a:b] + b" ") for x, a, b in zip(name.tolist(), start[at[first]].tolist(), end[at[first]].tolist(), strict=True) if x not in known)
+                columns, open_ = [h[at]], goes_on[at]
                 for k in range(1, longest):
                     more = np.flatnonzero(open_)
-                    name[more] = mix(name[more] + h[at[more] + k])
-                    reach[more] += 1
+                    column = np.zeros(len(at), np.uint64)
+                    column[more] = h[at[more] + k]
                     open_[more] = goes_on[at[more] + k]
-                name ^= mix(reach.astype(np.uint64))
-                name, first, n = np.unique(name, return_index=True, return_counts=True)
-                # Words one after the other, each with a blank behind it, so that a run is one stretch of bytes.
-                size = end - start + 1
-                begin = np.concatenate([[0], np.cumsum(size)])
-                spread = np.repeat(start - begin[:-1], size) + np.arange(begin[-1])
-                spread[begin[1:] - 1] = 0
-                spaced = data[spread]
-                spaced[begin[1:] - 1] = 32
-                raw, at, reach = spaced.tobytes(), at[first], reach[first]
-                keys = [raw[a:b] for a, b in zip(begin[at].tolist(), begin[at + reach].tolist(), strict=True)]
-                held.append((name, n, keys, [names[i] for i in lang[at].tolist()]))
+                    columns.append(column)
+                held.append((number[lang[at]], *columns))
                 if sum(len(x[0]) for x in held) > HELD_RUNS:
-                    held = [_combined(held)]
-                    if len(held[0][0]) > HELD_RUNS // 2:
-                        yield _run_batch(*held.pop()[1:])
+                    yield from flush(held, known, langs)
+                    held, known = [], {}
         if held:
-            yield _run_batch(*_combined(held)[1:])
-        if total:
-            yield _run_batch(list(total.values()), [b""] * len(total), list(total))
+            yield from flush(held, known, langs)
+        for name, n in zip(langs, total, strict=True):
+            yield 0, name, None, None, np.array([n], np.int64).tobytes()
 
     return runs
 
 
-def _combined(held: list[tuple]) -> tuple:
-    name, first, inverse = np.unique(np.concatenate([x[0] for x in held]), return_index=True, return_inverse=True)
-    n = np.bincount(inverse, np.concatenate([x[1] for x in held])).astype(np.int64)
-    keys, langs = [k for x in held for k in x[2]], [k for x in held for k in x[3]]
-    first = first.tolist()
-    return name, n, [keys[i] for i in first], [langs[i] for i in first]
+def _packed(raw: bytes) -> bytes:
+    return len(raw).to_bytes(8, "little") + _CODEC.compress(raw, asbytes=True)
 
 
-def _run_batch(n, keys: list, langs: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(keys, pa.binary()), pa.array(n, pa.int64())], ["lang", "key", "n"])
+def _unpacked(raw: bytes) -> bytes:
+    return _CODEC.decompress(raw[8:], int.from_bytes(raw[:8], "little"), asbytes=True)
 
 
-def _shared(a: list, b: list) -> int:
-    """Words that both begin with."""
-    k = 0
-    for x, y in zip(a, b, strict=False):
-        if x != y:
-            break
-        k += 1
-    return k
+COUNTS = "lang string, key binary, k int, f long, parted boolean"
+_COUNTS = pa.schema([("lang", pa.string()), ("key", pa.binary()), ("k", pa.int32()), ("f", pa.int64()), ("parted", pa.bool_())])
+
+
+def prefix_counter(least: int, longest: int) -> Callable:
+    """Counts of all prefixes of each range's runs, of rows sorted by range and language. What may go on in a neighbouring range
+    is marked ``parted``."""
+
+    def phrases(rows: Iterator[tuple]) -> Iterator[tuple]:
+        for (_, lang), own in groupby(rows, key=lambda r: r[:2]):
+            parts = []
+            for _, _, text, columns, counts in own:
+                if text is None:
+                    yield lang, b"", 0, int(np.frombuffer(counts, np.int64)[0]), True
+                    continue
+                text, counts = _unpacked(text).split(b" ")[:-1], np.frombuffer(_unpacked(counts), np.uint32)
+                columns = np.frombuffer(_unpacked(columns), np.uint16 if len(text) < 65536 else np.uint32)
+                parts.append((text, columns.reshape(longest, -1), counts))
+            if parts:
+                yield from counted(lang, parts)
+
+    def counted(lang: str, parts: list[tuple]) -> Iterator[tuple]:
+        # By the bytes that follow a word, which are a blank.
+        text = sorted({w for t, _, _ in parts for w in t}, key=lambda w: w + b" ")
+        rank = {w: i + 1 for i, w in enumerate(text)}
+        maps = [np.array([0, *[rank[w] for w in t]], np.int32) for t, _, _ in parts]
+        columns = [np.concatenate([m[c[j]] for m, (_, c, _) in zip(maps, parts, strict=True)]) for j in range(longest)]
+        columns, counts = _sorted_runs(columns, np.concatenate([n for _, _, n in parts]).astype(np.int64))
+        new = np.zeros(len(counts), bool)
+        new[0] = True
+        for k in range(1, longest + 1):
+            new[1:] |= columns[k - 1][1:] != columns[k - 1][:-1]
+            at = np.flatnonzero(new)
+            total = np.add.reduceat(counts, at)
+            edge = np.zeros(len(at), bool)
+            edge[[0, -1]] = True
+            for i, n, parted in zip(*(x[(columns[k - 1][at] > 0) & ((total >= least) | edge)].tolist() for x in (at, total, edge)), strict=True):
+                yield lang, b"".join([text[c[i] - 1] + b" " for c in columns[:k]]), k, n, parted
+
+    return lambda batches: _batched(phrases(_rows(batches)), _COUNTS)
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
@@ -219,47 +306,37 @@ def _batched(rows: Iterator[tuple], schema: pa.Schema, size: int = 20_000) -> It
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
 
-COUNTS = "lang string, key binary, k int, f long, parted boolean"
-_COUNTS = pa.schema([("lang", pa.string()), ("key", pa.binary()), ("k", pa.int32()), ("f", pa.int64()), ("parted", pa.bool_())])
-
-
-def prefix_counter(least: int) -> Callable:
-    """Counts of all prefixes of a partition's sorted runs. What may go on in a neighbouring partition is marked ``parted``."""
+def _sampled(texts: DataFrame, key: int, longest: int, ranges: int, rate: float) -> list[tuple[str, bytes]]:
+    """Split points of the runs, from a sample of places at ``rate``. Only the ranges' sizes depend on it."""
 
-    def phrases(rows: Iterator[tuple]) -> Iterator[tuple]:
-        lang, stack, first = None, [], True  # of each open prefix: word, count, parted
-
-        def close(depth: int, parted: bool) -> Iterator[tuple]:
-            while len(stack) > depth:
-                word, n, edge = stack.pop()
-                if edge or parted or n >= least:
-                    yield lang, b"".join([x[0] for x in stack] + [word]), len(stack), n, edge or parted
-                if len(stack) > 1:  # a phrase's count is in its prefixes'; the root has the number of words
-                    stack[-1][1] += n
-
-        for name, key, n in rows:
-            own = [b"", *key.split(b" ")[:-1]]
-            own = own[:1] + [w + b" " for w in own[1:]]
-            same = _shared([x[0] for x in stack], own) if name == lang else 0
-            yield from close(same, False)
-            lang = name
-            stack += [[w, 0, first] for w in own[same:]]
-            stack[-1][1] += n
-            first = False
-        yield from close(0, True)
+    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        draw = np.random.default_rng(TaskContext.get().partitionId())
+        out: list[tuple] = []
+        for batch in batches:
+            for names, data, start, end, lang, h, joined in _tokens(batch, key):
+                raw = data.tobytes()
+                for i in np.flatnonzero(draw.random(len(h)) < rate).tolist():
+                    stop = i + 1
+                    while stop < min(len(h), i + longest) and joined[stop]:
+                        stop += 1
+                    out.append((names[lang[i]], b"".join([raw[start[j] : end[j]] + b" " for j in range(i, stop)])))
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in ((0, pa.string()), (1, pa.binary()))], ["lang", "key"])
 
-    return lambda batches: _batched(phrases(_rows(batches)), _COUNTS)
+    found = sorted((a, bytes(b)) for a, b in texts.mapInArrow(some, "lang string, key binary").limit(2 * SPLIT_SAMPLE).collect())
+    return sorted({found[len(found) * i // ranges] for i in range(1, ranges)}) if found else []
 
 
-def phrase_counts(docs: DataFrame, lang: str, text: str, least: int, longest: int, counters: int = COUNTERS) -> DataFrame:
+def phrase_counts(docs: DataFrame, lang: str, text: str, least: int, longest: int, counters: int = COUNTERS, range_places: int = RANGE_PLACES) -> DataFrame:
     """(lang, key, k, f): each phrase of up to ``longest`` words that comes ``least`` times, every word with a blank behind it,
     and per language the number of all words as the phrase of none."""
     key = secret()
     texts = to_python(docs.select(F.coalesce(F.col(lang).cast("string"), F.lit(UNKNOWN)).alias("lang"), F.col(text).alias("text")))
     bits = _bits(texts, key, least, counters)
-    runs = kept_table(texts.mapInArrow(run_maker(key, bits, longest), "lang string, key binary, n long"))
-    ordered = runs.repartitionByRange("lang", "key").sortWithinPartitions("lang", "key")
-    found = kept_table(ordered.mapInArrow(prefix_counter(least), COUNTS))
+    places = (texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 5 + 1  # about
+    ranges = 1 + places // range_places
+    splits = _sampled(texts, key, longest, ranges, min(1.0, SPLIT_SAMPLE / places)) if ranges > 1 else []
+    runs = texts.mapInArrow(run_maker(key, bits, longest, splits), RUNS).repartition(len(splits) + 1, "range").sortWithinPartitions("range", "lang")
+    found = kept_table(runs.mapInArrow(prefix_counter(least, longest), COUNTS))
     whole = found.where("parted").groupBy("lang", "key", "k").agg(F.sum("f").alias("f"))
     return found.where("NOT parted").select("lang", "key", "k", "f").unionByName(whole).where((F.col("f") >= least) | (F.col("k") == 0))
 
@@ -342,11 +419,11 @@ def _streamed(phrases: DataFrame, order_key, ranges: int) -> DataFrame:
     return dealt.sortWithinPartitions("range", "lang", "order_key", "copy").mapInArrow(lockstep, JOINED)
 
 
-def collocations(docs: DataFrame, lang: str = "lang", text: str = "text", least: int = LEAST, longest: int = LONGEST, top: int = TOP, absorbed_percent: int = 100, counters: int = COUNTERS, range_rows: int = RANGE_ROWS) -> DataFrame:
+def collocations(docs: DataFrame, lang: str = "lang", text: str = "text", least: int = LEAST, longest: int = LONGEST, top: int = TOP, absorbed_percent: int = 100, counters: int = COUNTERS, range_places: int = RANGE_PLACES, range_rows: int = RANGE_ROWS) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): each language's ``top`` phrases of two to ``longest`` words that come ``least``
     times. ``score`` is floor(1000 * a * n / (l * r)) at the phrase's weakest cut; a phrase inside a longer one that has
     ``absorbed_percent`` of its count is left out."""
-    counts = kept_table(phrase_counts(docs, lang, text, least, longest, counters))
+    counts = kept_table(phrase_counts(docs, lang, text, least, longest, counters, range_places))
     phrases = counts.where("k > 0").withColumns({"parts": F.lit(None).cast("array<long>"), "longer": F.lit(None).cast("long"), "copy": F.lit(False)})
     ranges = 1 + phrases.count() // range_rows
     # Blanks end words, so the reversed words end the same way.

@@ -4,6 +4,8 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from assetflow.llm import collocations as c
@@ -46,31 +48,34 @@ def texts(seed, rows=150):
     return [*out, ("en", None), (None, None), ("en", ""), ("en", " \n ."), *out[:5]]
 
 
-@pytest.mark.parametrize(("least", "longest", "top", "percent", "counters", "range_rows"), [(3, 5, 2000, 100, 1 << 16, 7), (20, 4, 6, 60, 64, 100_000), (5, 2, 3, 100, 1 << 17, 40), (300, 5, 9, 100, 64, 3)])
-def test_plain_count(spark, least, longest, top, percent, counters, range_rows):
+@pytest.mark.parametrize(("least", "longest", "top", "percent", "counters", "places", "range_rows"), [(3, 5, 2000, 100, 1 << 16, 300, 7), (20, 4, 6, 60, 64, 10**6, 100_000), (5, 2, 3, 100, 1 << 17, 90, 40), (300, 5, 9, 100, 64, 1000, 3)])
+def test_plain_count(spark, least, longest, top, percent, counters, places, range_rows):
     rows = texts(least)
     df = spark.createDataFrame([(l, t, b"x", i, "y", i) for i, (l, t) in enumerate(rows)], SCHEMA).repartition(5)
-    got = c.collocations(df, least=least, longest=longest, top=top, absorbed_percent=percent, counters=counters, range_rows=range_rows)
+    got = c.collocations(df, least=least, longest=longest, top=top, absorbed_percent=percent, counters=counters, range_places=places, range_rows=range_rows)
     assert sorted(map(tuple, got.collect())) == brute(rows, least, longest, top, percent)
 
 
 def test_runs_leave_a_task_in_parts(spark, monkeypatch):
-    rows = texts(1, 60)
-    monkeypatch.setattr(c, "HELD_RUNS", 3)
-    maker = c.run_maker(5, __import__("numpy").full(8, 255, "uint8"), 5)
-    import pyarrow as pa
-
-    batch = pa.RecordBatch.from_pydict({"lang": [l or "und" for l, _ in rows], "text": [t for _, t in rows]})
-    found = Counter()
-    for out in maker(iter([batch, batch])):
-        for lang, key, n in zip(*[out.column(i).to_pylist() for i in range(3)], strict=True):
-            found[lang, key] += n
-    once = Counter()
-    monkeypatch.setattr(c, "HELD_RUNS", 1 << 20)
-    for out in maker(iter([batch])):
-        for lang, key, n in zip(*[out.column(i).to_pylist() for i in range(3)], strict=True):
-            once[lang, key] += 2 * n
-    assert found == once
+    """Stretches of a few runs and ranges of a few places give the counts of one stretch and range."""
+    rows = [(l or "und", t) for l, t in texts(1, 60)]
+    batch = pa.RecordBatch.from_pydict({"lang": [l for l, _ in rows], "text": [t for _, t in rows]})
+    splits = sorted([("de", b"ab "), ("en", b""), ("en", b"a ab "), ("en", b"b "), ("en", b"b b b b b "), ("und", b"one two ")])
+
+    def counts(held, splits):
+        monkeypatch.setattr(c, "HELD_RUNS", held)
+        out = c.run_maker(5, np.full(8, 255, np.uint8), 5, splits)(iter([batch, batch]))
+        packed = sorted((r for b in out for r in zip(*[b.column(i).to_pylist() for i in range(5)], strict=True)), key=lambda r: r[:2])
+        found = Counter()
+        for k in range(len(splits) + 1):
+            own = [r for r in packed if r[0] == k]
+            rows = pa.RecordBatch.from_arrays([pa.array([r[i] for r in own], f.type) for i, f in enumerate(c._RUNS)], schema=c._RUNS)
+            for b in c.prefix_counter(1, 5)(iter([rows])):
+                for lang, key, n, f in zip(*[b.column(i).to_pylist() for i in range(4)], strict=True):
+                    found[lang, key, n] += f
+        return found
+
+    assert counts(1 << 20, []) == counts(3, splits) == counts(40, splits[2:4])
 
 
 def test_long_text_and_exact_scores(spark):

@@ -23,11 +23,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.windows import ranked
-from .common import cut, kept_table, small
+from .common import PARTITION_ROWS, cut, kept_table, small
 
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 FANOUT = 3
@@ -51,6 +51,7 @@ def leaf(fields: Sequence[Column]) -> Column:
 def _shifted(level: DataFrame, fanout: int) -> DataFrame:
     """Nodes with their siblings to the left and to the right, in order, as bytes."""
     slot, joined, none = F.col("idx") % fanout, level, F.unhex(F.lit(""))
+    level = level.hint("merge")  # sorted and merged: what a level would broadcast grows with the table
     for s in range(1, fanout):
         place = F.col("idx").bitwiseXOR(F.lit(1)) if fanout == 2 else F.col("idx") - slot + (slot + s) % fanout
         other = level.select(F.col("tree").alias(f"__t{s}"), F.col("idx").alias(f"__i{s}"), F.col("h").alias(f"__h{s}"))
@@ -60,13 +61,18 @@ def _shifted(level: DataFrame, fanout: int) -> DataFrame:
     return joined.select("tree", "idx", "n", "h", side(True).alias("left"), side(False).alias("right"))
 
 
+def _one_task(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` in one partition if it has few rows, so that its joins need no shuffle."""
+    return df.coalesce(1) if rows <= PARTITION_ROWS else df
+
+
 def climb(nodes: DataFrame, rows: int, most: int, fanout: int = FANOUT) -> tuple[list[DataFrame], DataFrame]:
     """Levels (tree, idx, left, right) from the leaves up, and the trees' roots (tree, h). ``nodes``: tree, idx from 0, n (the
     tree's number of nodes) and h; ``rows`` are its rows, ``most`` the largest n."""
     levels, roots = [], nodes.where("n = 1").select("tree", "h")
     while most > 1:
-        level = small(_shifted(nodes.where("n > 1"), fanout), rows)
-        levels.append(level.select("tree", "idx", "left", "right"))
+        level = small(_shifted(_one_task(nodes.where("n > 1"), rows), fanout), rows)
+        levels.append(_one_task(level.select("tree", "idx", "left", "right"), rows))
         first = level.where(F.col("idx") % fanout == 0)
         nodes = first.select("tree", F.expr(f"idx div {fanout}").alias("idx"), F.expr(f"(n + {fanout - 1}) div {fanout}").alias("n"), digest(F.col("left"), F.col("h"), F.col("right")).alias("h"))
         roots = roots.unionByName(nodes.where("n = 1").select("tree", "h"))
@@ -83,7 +89,7 @@ def proofs(levels: list[DataFrame], fanout: int = FANOUT) -> DataFrame | None:
         if above is None:
             above = level.select("tree", "idx", step.alias("path"))
             continue
-        up = above.select(F.col("tree").alias("__tree"), F.col("idx").alias("__idx"), F.col("path").alias("__path"))
+        up = above.hint("merge").select(F.col("tree").alias("__tree"), F.col("idx").alias("__idx"), F.col("path").alias("__path"))
         joined = level.join(up, (F.col("tree") == F.col("__tree")) & (F.expr(f"idx div {fanout}") == F.col("__idx")), "left")
         above = joined.select("tree", "idx", F.when(F.col("__path").isNull(), step).otherwise(F.concat(step, "__path")).alias("path"))
     return above
@@ -115,15 +121,21 @@ def merkle_manifest(docs: DataFrame, fields: Sequence[str] = FIELDS, id: str = "
     leaves = docs.select(F.col(id).alias("id"), F.col(source).cast("string").alias("source"), leaf([F.col(c) for c in fields]).alias("leaf"), leaf([changed.get(c, F.col(c)) for c in fields]).alias("altered_leaf"))
     # The altered leaf is kept only where it differs.
     leaves = kept_table(leaves.withColumn("altered_leaf", F.when(F.col("altered_leaf") != F.col("leaf"), F.col("altered_leaf"))))
-    placed = cut(ranked(leaves, [F.asc_nulls_first("source"), F.asc_nulls_first("id"), F.asc("leaf")], "place"))
-    sources = ranked(placed.groupBy("source").agg(F.count("*").alias("n"), F.min("place").alias("start")), [F.asc_nulls_first("source")], "tree")
-    sources = cut(sources.withColumnRenamed("source", "__source"))
+    placed = ranked(leaves, [F.asc_nulls_first("source"), F.asc_nulls_first("id"), F.asc("leaf")], "place")
+    sources = cut(placed.groupBy("source").agg(F.count("*").alias("n"), F.min("place").alias("start")))
     n_sources, most, rows = sources.agg(F.count("*"), F.max("n"), F.sum("n")).first()
+    by_name = [F.asc_nulls_first("source")]
+    if n_sources <= PARTITION_ROWS:
+        sources = sources.coalesce(1).withColumn("tree", F.row_number().over(Window.orderBy(*by_name)).cast("long") - 1)
+    else:
+        sources = cut(ranked(sources, by_name, "tree"))
+    sources = sources.withColumnRenamed("source", "__source")
     if not rows:
         return placed.select(F.col("id").alias(id), "leaf", "altered_leaf", F.array().cast("array<struct<left: binary, right: binary>>").alias("path"), F.col("leaf").alias("subroot"), F.col("leaf").alias("root"))
     own = placed.join(sources, F.col("source").eqNullSafe(F.col("__source"))).select("id", "leaf", "altered_leaf", "tree", (F.col("place") - F.col("start")).alias("idx"), "n")
     own = cut(own)
     levels, subroots = climb(own.select("tree", "idx", "n", F.col("leaf").alias("h")), rows, most, fanout)
+    subroots = _one_task(subroots, n_sources)
     tops = subroots.select(F.lit(0).cast("long").alias("tree"), F.col("tree").alias("idx"), F.lit(n_sources).alias("n"), "h")
     top_levels, roots = climb(tops, n_sources, n_sources, fanout)
     ((root,),) = roots.select("h").collect()  # one row

@@ -9,11 +9,13 @@
    passage, however common.
 3. *Suffix sort.* First contexts that share an anchor but differ somewhere (the edges of passages) are fetched, and the
    suffixes that start in them are sorted by a mergesort whose comparisons find the common extension of two suffixes by
-   binary search over prefix polynomial hashes, in a logarithmic number of steps. Neighbours that agree on 100 bytes are
-   verified byte by byte; of each run of equals the earliest stays.
+   binary search over keyed prefix polynomial hashes, in a logarithmic number of steps. The order is then verified by bytes,
+   neighbour by neighbour, and where hashes have misled the sort, the group is sorted by bytes; of each run of equals the
+   earliest stays.
 4. The repeats of each document are united and cut out.
 
-The hashes are keyed anew in each call, so no text can be made to collide; results don't depend on the key.
+The hashes are keyed anew in each call, so no text can be made to collide beforehand. What the suffix sort finds doesn't depend
+on its hashes at all; equal contexts are told by 128-bit keyed digests.
 
 Scale: contexts are dealt as packed hashes, once, and texts are shuffled once, for the edges and for the cutting. An anchor
 that too many different contexts share (one passage with ever other surroundings) isn't sorted in one task: the strings
@@ -21,7 +23,7 @@ around it are dealt by their own keyed digest, 16 bytes each and never the strin
 reduced to their first. Tables in between are Parquet in the shared folder.
 
 Defined results: a null text is empty; texts under 100 bytes lose nothing; a text of any length is taken whole, in pieces of
-``CHUNK_BYTES`` that overlap; rows are ordered by id, then by a checksum of the text (rows of one id and text are one
+``CHUNK_BYTES`` that overlap (up to 2 GB, which is Spark's limit for a value); rows are ordered by id, then by a checksum of the text (rows of one id and text are one
 document, others are different ones); a null id comes before all others; an empty table gives an empty table; other columns
 of ``docs``, whatever their names, are neither read nor returned. Bytes are removed without regard to characters.
 """
@@ -312,10 +314,26 @@ def repeats_of_strings(packs: list[tuple[int, bytes]]) -> list[tuple[int, int, i
 
 
 class Suffixes:
-    """The 100-byte strings that start at ``place`` in ``data``, compared by hash."""
-
-    def __init__(self, data: np.ndarray, place: np.ndarray):
-        self.data, self.place, self.roll = data, place, Rolling(data)
+    """The 100-byte strings that start at ``place`` in ``data``, sorted by hash and verified by bytes."""
+
+    def __init__(self, data: np.ndarray, place: np.ndarray, key: int):
+        self.data, self.place, self.roll = data, place, Rolling(data, key | 1)
+        padded = np.concatenate([data, np.zeros(8, np.uint8)])
+        self.eight = np.ndarray((len(data) + 1,), ">u8", padded, strides=(1,))
+
+    def lane(self, i: np.ndarray, k: int) -> np.ndarray:
+        """Bytes 8k to 8k + 7 of suffixes i as one number; what goes beyond the string is cut off."""
+        x = self.eight[self.place[i] + 8 * k].astype(np.uint64)
+        return x >> np.uint64(8 * max(0, 8 * (k + 1) - SPAN))
+
+    def compared(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """-1, 0 or 1 as the bytes of string i are less than, equal to or greater than those of j."""
+        out, open_ = np.zeros(len(i), np.int8), np.arange(len(i))
+        for k in range(-(-SPAN // 8)):
+            a, b = self.lane(i[open_], k), self.lane(j[open_], k)
+            out[open_] = (a > b).astype(np.int8) - (a < b).astype(np.int8)
+            open_ = open_[a == b]
+        return out
 
     def extension(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         """Length of the common extension of suffixes i and j, 100 at most, by binary search over equal hashes."""
@@ -362,8 +380,25 @@ class Suffixes:
             width *= 2
         return order
 
-
-def repeats_among(h: np.ndarray, ids: np.ndarray, ties: np.ndarray, lo: np.ndarray, reach: np.ndarray, texts: list) -> tuple[np.ndarray, np.ndarray]:
+    def verified(self, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The order of ``sort`` and whether each string equals the one before it in its group, by bytes. Where hashes have
+        misled the sort, the group is sorted by bytes."""
+        order = self.sort(group)
+        misled = group[np.bincount(order, minlength=len(order)) != 1]  # a merge by contradictory hashes loses strings
+        for _ in range(2):
+            if len(misled):
+                slot = np.flatnonzero(np.isin(group, misled))
+                order[slot] = slot[np.lexsort([*(self.lane(slot, k) for k in reversed(range(-(-SPAN // 8)))), group[slot]])]
+            one, two = order[:-1], order[1:]
+            within = group[one] == group[two]
+            by_bytes = self.compared(one, two)
+            misled = group[one][within & (by_bytes > 0)]
+            if not len(misled):
+                break
+        return order, within & (by_bytes == 0)
+
+
+def repeats_among(h: np.ndarray, ids: np.ndarray, ties: np.ndarray, lo: np.ndarray, reach: np.ndarray, texts: list, key: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """(context, start) of the strings that an earlier equal one in the same bucket precedes."""
     size = np.array([len(t) for t in texts]) - SPAN + 1
     data = np.frombuffer(b"".join(texts), np.uint8)
@@ -374,16 +409,7 @@ def repeats_among(h: np.ndarray, ids: np.ndarray, ties: np.ndarray, lo: np.ndarr
     order = np.lexsort((depth, h[context]))
     context, step, depth = context[order], step[order], depth[order]
     group = np.repeat(np.arange(len(at := _runs(h[context], depth)) - 1), np.diff(at))
-    suffixes = Suffixes(data, begin[context] + step)
-    order = suffixes.sort(group)
-    one, two = order[:-1], order[1:]
-    same = (group[one] == group[two]) & (suffixes.extension(one, two) == SPAN)
-    at = np.flatnonzero(same)
-    # Verification: hashes proposed the pair, bytes decide.
-    span = np.arange(SPAN)
-    for k in range(0, len(at), 20_000):
-        i = at[k : k + 20_000]
-        same[i] = (data[suffixes.place[one[i]][:, None] + span] == data[suffixes.place[two[i]][:, None] + span]).all(axis=1)
+    order, same = Suffixes(data, begin[context] + step, key).verified(group)
     run = np.concatenate([[0], np.cumsum(~same)]) if len(order) else np.zeros(0, np.int64)
     c, p = context[order], lo[context[order]] + step[order]
     by = np.lexsort((p, ties[c], ids[c], run))
@@ -404,7 +430,11 @@ def _repeat_batch(spans: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["id", "tie", "lo", "hi"])
 
 
-def sort_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def edge_sorter(key: int) -> Callable:
+    return lambda batches: sort_edges(batches, key)
+
+
+def sort_edges(batches: Iterator[pa.RecordBatch], key: int) -> Iterator[pa.RecordBatch]:
     """Rows sorted by hash, whole buckets at a time, in pieces of bounded size."""
     kept: list[pa.RecordBatch] = []
     held = 0
@@ -419,16 +449,16 @@ def sort_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             h = arrays(t, "hash")[0]
             last = int(_runs(h)[-2])  # the last bucket may go on
             for a, b in _pieces(h[:last], _weights(t)[:last]):
-                yield _settle(t.slice(a, b - a))
+                yield _settle(t.slice(a, b - a), key)
             t = t.slice(last)
             kept, held = t.to_batches(), int(_weights(t).sum())
     if held:
         t = pa.Table.from_batches(kept)
         for a, b in _pieces(arrays(t, "hash")[0], _weights(t)):
-            yield _settle(t.slice(a, b - a))
+            yield _settle(t.slice(a, b - a), key)
 
 
-def _settle(t: pa.Table) -> pa.RecordBatch:
+def _settle(t: pa.Table, key: int) -> pa.RecordBatch:
     """Repeats among the rows of whole buckets."""
     kind = arrays(t, "kind")[0]
     spans = []
@@ -439,7 +469,7 @@ def _settle(t: pa.Table) -> pa.RecordBatch:
     if (kind == CONTEXT).any():
         t = t.filter(pa.array(kind == CONTEXT))
         h, ids, ties, lo, reach = arrays(t, "hash", "id", "tie", "lo", "reach")
-        c, p = repeats_among(h, ids, ties, lo, reach, t.column("bytes").to_pylist())
+        c, p = repeats_among(h, ids, ties, lo, reach, t.column("bytes").to_pylist(), key)
         spans += _merged(ids[c], ties[c], p)
     return _repeat_batch(spans)
 
@@ -499,7 +529,7 @@ def suffix_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", most_c
     edges = listed(found.where("length(hash) > 0"), "hash", "reach", "hot")
     # The same columns as in the last join, so that Spark shuffles the texts once for both.
     contexts = own.join(edges, same_document).select("key", "check", "text", "spans", "__id").mapInArrow(edge_maker(string_buckets, hidden), EDGES)
-    sorted_edges = contexts.repartition("hash").sortWithinPartitions("hash").mapInArrow(sort_edges, REPEATS)
+    sorted_edges = contexts.repartition("hash").sortWithinPartitions("hash").mapInArrow(edge_sorter(hidden), REPEATS)
     repeats = found.where("length(hash) = 0").select("id", "tie", "lo", "hi").unionByName(sorted_edges)
     return (
         own.join(listed(repeats), same_document, "left").select("key", "check", "text", "spans", "__id")

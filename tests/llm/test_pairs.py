@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 from assetflow.llm import jaccard_join, oracles, queries, suffix_dedup
-from assetflow.llm.common import Rolling
+from assetflow.llm.common import BASE, Rolling
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -140,12 +140,61 @@ def test_suffix_sort_orders_groups():
     data = rng.integers(97, 99, 4000).astype(np.uint8)
     place = rng.integers(0, 3900, 300)
     group = np.sort(rng.integers(0, 9, 300))
-    order = suffix_dedup.Suffixes(data, place).sort(group)
+    order = suffix_dedup.Suffixes(data, place, 5).sort(group)
     raw = data.tobytes()
     got = [(group[i], raw[place[i] : place[i] + 100]) for i in order]
     assert got == sorted(got) and sorted(order.tolist()) == list(range(300))
 
 
+def test_suffix_sort_does_not_trust_its_hashes(monkeypatch):
+    """With hashes that tell nothing, or only the first letters, bytes still decide."""
+    rng = np.random.default_rng(5)
+    for words in (2, 5, 40):
+        own = [bytes(rng.integers(97, 99, 100).astype(np.uint8)) for _ in range(words)]
+        texts = [own[i] + bytes(rng.integers(97, 99, 20).astype(np.uint8)) for i in rng.integers(0, words, 120)]
+        n = len(texts)
+        ids, zero = rng.permutation(n), np.zeros(n, np.int64)
+        want = set()
+        seen = {}
+        for k in np.argsort(ids):
+            for step in range(21):
+                if (step, texts[k][step : step + 100]) in seen:
+                    want.add((int(k), step))
+                seen[step, texts[k][step : step + 100]] = k
+        for of in (lambda self, a, b: np.zeros(len(a), np.uint64), lambda self, a, b: self.prefix[np.minimum(a + 1, b)] - self.prefix[a], None):
+            with monkeypatch.context() as m:
+                if of is not None:
+                    m.setattr(Rolling, "of", of)
+                c, p = suffix_dedup.repeats_among(zero.astype(np.uint64), ids, zero, zero, np.full(n, 20), texts, 3)
+            assert set(zip(c.tolist(), p.tolist(), strict=True)) == want
+
+
+@pytest.mark.parametrize("most", [4096, 2])
+def test_texts_that_collide_under_a_public_base(spark, most):
+    """Two different strings with equal polynomial hashes under the base that ``Rolling`` has by default, alternating in random
+    surroundings: every string after its first is removed, in every run."""
+    one, two = colliding_strings()
+    roll = Rolling(np.frombuffer(one + two, np.uint8))
+    a, b = roll.of(np.array([0, 100]), np.array([100, 200]))
+    assert one != two and a == b
+    rng = random.Random(2)
+    word = lambda n: "".join(rng.choice("uvwxyz") for _ in range(n))
+    rows = [(i, word(60) + (one, two)[i % 2].decode() + word(60)) for i in range(20)]
+    want = brute_dedup(rows)
+    for _ in range(3):
+        got = suffix_dedup.suffix_dedup(docs_of(spark, rows), most_contexts=most).drop("kept")
+        assert sorted(tuple(r) for r in got.collect()) == want
+
+
+def colliding_strings():
+    """Two strings of 100 letters with one hash: small multiples of the first powers of BASE that cancel modulo 2**64, found by
+    lattice reduction."""
+    step = [2, -4, -3, 2, 0, 0, -1, 0, -3, -3, 1, -4, -2, -2, 3, -3, 2, 0, 0, 2, 4, 1, 1, -1]
+    assert sum(d * pow(BASE, i, 1 << 64) for i, d in enumerate(step)) % (1 << 64) == 0
+    tail = b"the rest of both strings is the same, and they are cut where they have a hundred letters"[: 100 - len(step)]
+    return bytes(105 + max(0, -d) for d in step) + tail, bytes(105 + max(0, d) for d in step) + tail
+
+
 def test_rolling_hash_is_of_content():
     data = np.frombuffer(b"abcabcabd", np.uint8)
     r = Rolling(data)

@@ -66,13 +66,14 @@ def _numbered(terms: Column) -> Column:
 
 
 def _level(name: str, k: int) -> Column:
-    """The subsets of a level, one for each byte. Each level takes from the one before: its subsets lie in those."""
+    """The subsets of a level, one for each byte. Each level takes from the one before: its subsets lie in those. No column is
+    named within a lambda, where Spark would work it out again for each element."""
 
     def within(terms: Column | str, byte: Column) -> Column:
         return F.filter(terms, lambda x: F.call_function("shiftright", x["number"], byte * 8).bitwiseAND(F.lit(MASKS[k])) == 0)
 
     if k == 0:
-        return F.transform(F.sequence(F.lit(0), F.lit(BYTES - 1)), lambda b: within(f"__0{name}", b))
+        return F.array(*[within(f"__0{name}", F.lit(b)) for b in range(BYTES)])
     return F.transform(f"__{k}{name}", lambda terms, b: within(terms, b))
 
 

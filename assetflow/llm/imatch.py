@@ -105,27 +105,35 @@ def fingerprints(docs: DataFrame, id: str = "doc_id", text: str = "text", rarest
     return fingerprinted(own, {"fingerprint": "text"}, _constant(lexicon(own, "text", rarest, commonest))).select(F.col("id").alias(id), "fingerprint")
 
 
+#: A document's key: its id as text, whether it has none, and the checksum of its text. All are never null, so joins and groups
+#: by them share one partitioning.
+_KEY = ["id_text", "no_id", "check"]
+
+
 def _neighbours(own: DataFrame) -> DataFrame:
-    """(id, check, before_id, before_check, before_n): each document and the one before it; before the first comes the last."""
-    placed = cut(ranked(own.groupBy("id", "check").agg(F.first("n").alias("n")), [F.asc_nulls_first("id"), F.asc("check")], "place"))
+    """Key, id and n of each document, and key and n of the one before it (``before_*``); before the first comes the last."""
+    placed = cut(ranked(own.groupBy(*_KEY, "id").agg(F.first("n").alias("n")), [F.asc_nulls_first("id"), F.asc("check")], "place"))
     total = placed.count()
-    before = placed.select(((F.col("place") + 1) % max(total, 1)).alias("place"), F.col("id").alias("before_id"), F.col("check").alias("before_check"), F.col("n").alias("before_n"))
-    return cut(placed.join(before, "place").drop("place", "n"))
+    before = placed.select(((F.col("place") + 1) % max(total, 1)).alias("place"), *[F.col(c).alias(f"before_{c}") for c in (*_KEY, "n")])
+    return cut(placed.join(before, "place").drop("place"))
 
 
 def edited_fingerprints(docs: DataFrame, id: str = "doc_id", text: str = "text", rarest: int = RAREST, commonest: int = COMMONEST) -> DataFrame:
     """(``id``, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next): each document beside itself with
     the latter half of its characters replaced by the first ones of the next document."""
     own = docs.select(F.col(id).alias("id"), F.coalesce(text, F.lit("")).alias("text"))
-    own = own.withColumns({"check": F.xxhash64("text"), "n": F.char_length("text").cast("long")})
+    own = own.withColumns({"id_text": F.coalesce(F.col("id").cast("string"), F.lit("")), "no_id": F.col("id").isNull(), "check": F.xxhash64("text")})
     lists = _constant(lexicon(own, "text", rarest, commonest))
-    around = _neighbours(own).withColumnsRenamed({"id": "__id", "check": "__check"})
-    placed = fingerprinted(own.join(around, F.col("id").eqNullSafe(F.col("__id")) & (F.col("check") == F.col("__check"))), {"fingerprint": "text"}, lists)
+    around = _neighbours(own.withColumn("n", F.char_length("text").cast("long"))).withColumnsRenamed({c: f"__{c}" for c in _KEY})
+    same = lambda a, b: [F.col(f"{a}{c}") == F.col(f"{b}{c}") for c in _KEY]
+    # Both uses of the join read the same columns of the texts, so that Spark shuffles these once.
+    placed = fingerprinted(own.drop("id").join(around, same("", "__")), {"fingerprint": "text"}, lists)
     # Each document's first characters and fingerprint go to the document before it, as many as that one replaces.
-    heads = placed.select("before_id", "before_check", F.expr("substring(text, 1, cast(before_n div 2 as int))").alias("head"), F.col("fingerprint").alias("next_fingerprint"))
-    heads = heads.groupBy("before_id", "before_check").agg(F.first("head").alias("head"), F.first("next_fingerprint").alias("next_fingerprint"))
-    kept = placed.select("id", "check", "n", F.expr("substring(text, 1, cast(n - n div 2 as int))").alias("begin"), "fingerprint")
-    edited = kept.join(heads, F.col("id").eqNullSafe(F.col("before_id")) & (F.col("check") == F.col("before_check")))
+    before = [f"before_{c}" for c in _KEY]
+    heads = placed.select(*before, F.expr("substring(text, 1, cast(before_n div 2 as int))").alias("head"), F.col("fingerprint").alias("next_fingerprint"))
+    heads = heads.groupBy(*before).agg(F.first("head").alias("head"), F.first("next_fingerprint").alias("next_fingerprint"))
+    kept = placed.select(*_KEY, "id", "n", F.expr("substring(text, 1, cast(n - n div 2 as int))").alias("begin"), "fingerprint")
+    edited = kept.join(heads, same("", "before_"))
     edited = edited.select("id", F.col("n").alias("n_chars"), F.concat("begin", "head").alias("edited"), "fingerprint", "next_fingerprint")
     out = fingerprinted(edited, {"edited_fingerprint": "edited"}, lists)
     return out.select(

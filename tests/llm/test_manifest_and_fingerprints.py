@@ -63,13 +63,13 @@ def plain_manifest(rows, fanout):
             yield i, leaf, subroot, root, sha("".join("".join(left + right) for left, right in path)), h, h == root
 
 
-@pytest.mark.parametrize("fanout", [2, 3, 4])
-def test_manifest(spark, fanout):
+@pytest.mark.parametrize(("fanout", "upper"), [(2, 8), (3, 0), (3, 5), (4, 50_000)])
+def test_manifest(spark, fanout, upper):
     rng = random.Random(fanout)
     rows = [(i, rng.choice(["a", "a", "a", "b", None, "", "ü"]), rng.choice(["x\ny", "", None, "é" * rng.randint(0, 9), "z" * 70_000 + "\n"])) for i in rng.sample(range(-99, 999), 60)]
     rows += [(5000, "one", "alone\n"), (None, "a", "no id"), (None, None, None), *rows[:4]]
     altered = {"text": F.replace("text", F.lit("\n"), F.lit(""))}
-    got = merkle.verified(merkle.merkle_manifest(rows_of(spark, rows), altered=altered, fanout=fanout)).collect()
+    got = merkle.verified(merkle.merkle_manifest(rows_of(spark, rows), altered=altered, fanout=fanout, upper_nodes=upper)).collect()
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, plain_manifest(rows, fanout)))
     assert {r["verified"] for r in got} == {True, False}
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from ..plans.template import Template
 from ..schema import FORCED
 from .aggregates import combine_all, combine_all_quoted, first_input, needs_build_any
 from .predicates import filter_match, filter_not_match, named_captures, overlay
+from .windows import ranked
 
 
 def _outputs(destinations: Mapping[str, str], scope: Mapping[str, Column], temporary: frozenset[str]) -> Column:
@@ -60,10 +62,11 @@ def forward(assets: DataFrame) -> DataFrame:
 
 
 def as_inputs(outputs: DataFrame, mtime: Column | None = None) -> DataFrame:
-    """Outputs as the next block's inputs: same order, captures and flags."""
-    return outputs.select(
-        F.col("output").alias("path"), "transition_id", "out_ord", (mtime if mtime is not None else F.lit(None).cast("timestamp")).alias("mtime"), "flags", "captures"
-    ).withColumn("ord", F.col("transition_id") * 1000 + F.col("out_ord")).select("path", "ord", "mtime", "flags", "captures")
+    """Outputs as the next block's inputs: same captures and flags, and their places in the order of transitions and, in each,
+    of its outputs. Places are ranks from 0, so neither many outputs nor long chains make them clash or overflow."""
+    time = (mtime if mtime is not None else F.lit(None).cast("timestamp")).alias("mtime")
+    rows = outputs.select(F.col("output").alias("path"), "transition_id", "out_ord", time, "flags", "captures")
+    return ranked(rows, [F.col("transition_id"), F.col("out_ord"), F.col("path")], "ord").select("path", "ord", "mtime", "flags", "captures")
 
 
 Block = Callable[[DataFrame], DataFrame]
@@ -81,13 +84,15 @@ def then(*blocks: Block) -> Block:
 
 
 def also(*blocks: Block) -> Block:
-    """Blocks side by side on the same input; their outputs are put together."""
+    """Blocks side by side on the same input; their outputs are put together. Where these have places (``ord``), those of a
+    block come after those of the block before."""
 
     def run(df: DataFrame) -> DataFrame:
-        out = blocks[0](df)
-        for b in blocks[1:]:
-            out = out.unionByName(b(df))
-        return out
+        made = [b(df) for b in blocks]
+        if len(made) == 1 or "ord" not in made[0].columns:
+            return reduce(DataFrame.unionByName, made)
+        out = reduce(DataFrame.unionByName, [d.withColumn("__block", F.lit(i)) for i, d in enumerate(made)])
+        return ranked(out.withColumnRenamed("ord", "__ord"), [F.col("__block"), F.col("__ord")], "ord").select(*made[0].columns)
 
     return run
 

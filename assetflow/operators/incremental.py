@@ -45,10 +45,13 @@ def reason_bits(flags: Column) -> Column:
 
 
 def needs_build_reasons(transitions: DataFrame, members: DataFrame, force: bool = False) -> DataFrame:
-    """(transition_id, reason, all_reasons) per transition. ``members``: transition_id, role, ord, flags."""
+    """(transition_id, reason, all_reasons) per transition. ``members``: transition_id, role, ord, flags, and where a row stands
+    for several, bits and all_bits, which then say why rather than its flags."""
     if force:
         return transitions.select("transition_id", F.lit(REASON_FORCED).alias("reason"), F.lit(REASON_FORCED).alias("all_reasons"))
     bits = members.select("transition_id", "role", "ord", reason_bits(F.col("flags")).alias("bits"))
+    if "bits" in members.columns:
+        bits = members.select("transition_id", "role", "ord", F.coalesce("bits", reason_bits(F.col("flags"))).alias("bits"), "all_bits")
     found = first_reason(bits)
     outputs = members.where("role = 'output'").groupBy("transition_id").agg(F.lit(1).alias("__out"))
     joined = transitions.select("transition_id").join(outputs, "transition_id", "left").join(found, "transition_id", "left")
@@ -81,13 +84,21 @@ class _Rounds:
         return reduce(DataFrame.unionByName, [df for _, df in self.parts])
 
 
-def propagate_forced(nodes: DataFrame, edges: DataFrame, most_rounds: int | None = None) -> DataFrame:
+#: Rounds that a walk takes step by step before it goes along chains by doubled steps.
+PLAIN_ROUNDS = 8
+
+
+def propagate_forced(nodes: DataFrame, edges: DataFrame, most_rounds: int | None = None, plain_rounds: int = PLAIN_ROUNDS) -> DataFrame:
     """(path, forced): everything that depends on a forced asset is forced. ``nodes``: path, forced; ``edges``: output,
-    dependency. Each round joins only the assets that the round before has reached, until there are none; a walk that isn't
-    over after ``most_rounds``, if given, is an error."""
+    dependency. Each round joins only the assets that the round before has reached, until there are none. A walk that isn't over
+    after ``plain_rounds`` goes on with the chains in one piece (``_along_chains``): a chain of n assets takes log n rounds. With
+    ``most_rounds`` there are only plain rounds, and a walk that isn't over after them is an error."""
     front = checkpointed(nodes.where("forced").select("path").distinct())
     reached = _Rounds(front)
     for done in count():
+        if most_rounds is None and done == plain_rounds:
+            reached.add(_along_chains(edges, reached.all()))
+            break
         front = edges.join(front, edges["dependency"] == front["path"], "left_semi").select(F.col("output").alias("path")).distinct()
         front = checkpointed(front.join(reached.all(), "path", "left_anti"))
         if not front.limit(1).count():
@@ -98,28 +109,73 @@ def propagate_forced(nodes: DataFrame, edges: DataFrame, most_rounds: int | None
     return nodes.select("path").join(reached.all().withColumn("__f", F.lit(True)), "path", "left").select("path", F.coalesce("__f", F.lit(False)).alias("forced"))
 
 
+def chain_heads(edges: DataFrame, reached: DataFrame) -> DataFrame:
+    """(path, head, hit) for each unreached asset with a single dependency: the first asset up its chain that has several
+    dependencies or none, and whether the chain up to there, head included, is reached. Each round takes over the pointers of the
+    asset pointed to, which doubles all steps. What is still under way when a step is as long as all chains together runs in a
+    cycle that nothing has reached."""
+    known = reached.select(F.col("path").alias("__reached")).distinct()
+    single = edges.groupBy(F.col("output").alias("path")).agg(F.min("dependency").alias("head"), F.count("*").alias("__n")).where("__n = 1").drop("__n")
+    single = single.join(known, F.col("path") == F.col("__reached"), "left_anti").join(known, F.col("head") == F.col("__reached"), "left")
+    hit = F.col("__reached").isNotNull()
+    state = single.select("path", "head", hit.alias("hit")).alias("s").join(single.select(F.col("path").alias("__next")), F.col("head") == F.col("__next"), "left")
+    state = checkpointed(state.select("path", "head", "hit", (~F.col("hit") & F.col("__next").isNotNull()).alias("open")))
+    n = state.count()
+    step = 1
+    while step <= n and state.where("open").limit(1).count():
+        ahead = state.select(F.col("path").alias("__at"), F.col("head").alias("__head"), F.col("hit").alias("__hit"), F.col("open").alias("__open"))
+        joined = state.join(ahead, F.col("open") & (F.col("head") == F.col("__at")), "left")
+        over = lambda c: F.coalesce(F.col(f"__{c}"), F.col(c)).alias(c)
+        state = checkpointed(joined.select("path", over("head"), over("hit"), over("open")))
+        step *= 2
+    return state.select("path", "head", "hit")
+
+
+def _along_chains(edges: DataFrame, reached: DataFrame) -> DataFrame:
+    """Assets, beyond the reached ones, that depend on them: chains are one step to their head, and what is left are rounds over
+    the assets with several dependencies."""
+    edges = checkpointed(edges.select("output", "dependency").distinct())
+    chains = checkpointed(chain_heads(edges, reached))
+    known = reached.select(F.col("path").alias("__reached")).distinct()
+    several = edges.groupBy("output").agg(F.count("*").alias("__n")).where("__n > 1").select("output").join(known, F.col("output") == F.col("__reached"), "left_anti")
+    heads = chains.select(F.col("path").alias("__chain"), F.col("head").alias("__head"), F.col("hit").alias("__hit"))
+    steps = edges.join(several, "output", "left_semi").join(heads, F.col("dependency") == F.col("__chain"), "left").join(known, F.col("dependency") == F.col("__reached"), "left")
+    steps = checkpointed(steps.select("output", F.coalesce("__head", "dependency").alias("dependency"), (F.coalesce("__hit", F.lit(False)) | F.col("__reached").isNotNull()).alias("hit")))
+    front = checkpointed(steps.where("hit").select(F.col("output").alias("path")).distinct())
+    found = _Rounds(front)
+    while front.limit(1).count():
+        front = steps.join(front, steps["dependency"] == front["path"], "left_semi").select(F.col("output").alias("path")).distinct()
+        front = checkpointed(front.join(found.all(), "path", "left_anti"))
+        found.add(front)
+    several = checkpointed(found.all())
+    behind = chains.join(several.select(F.col("path").alias("__several")), F.col("head") == F.col("__several"), "left").where(F.col("hit") | F.col("__several").isNotNull())
+    return checkpointed(several.unionByName(behind.select("path")))
+
+
 def dag_level(edges: DataFrame, most_rounds: int | None = None) -> DataFrame:
-    """(node, level): the longest way from a node without dependencies. Each round extends the ways that are longest so far.
-    A way with as many steps as there are nodes is a cycle, which is an error, as is a graph without such a node or one that
-    goes on after ``most_rounds``, if given."""
-    all_nodes = checkpointed(edges.select(F.col("output").alias("node")).unionByName(edges.select(F.col("dependency").alias("node"))).distinct())
-    front = checkpointed(all_nodes.join(edges, F.col("node") == F.col("output"), "left_anti"))
-    n = all_nodes.count()
-    if n and not front.limit(1).count():
-        raise ValueError("the graph is a cycle")
+    """(node, level): the longest way from a node without dependencies. Nodes are peeled off: each knows how many dependencies
+    it has, each round takes off those that the round before has settled, and what has none left is the next level. Rounds are
+    as many as levels, and a node has one row. If nothing is next and nodes are left, there is a cycle among or above these,
+    which is an error, as is a graph that goes on after ``most_rounds``, if given."""
+    edges = edges.select("output", "dependency").distinct()
+    needs = edges.groupBy(F.col("output").alias("__output")).agg(F.count("*").alias("needs"))
+    edges = checkpointed(edges.join(needs, F.col("output") == F.col("__output")).drop("__output"))
+    front = checkpointed(edges.select(F.col("dependency").alias("node")).distinct().join(edges, F.col("node") == F.col("output"), "left_anti"))
     levels = _Rounds(front.withColumn("level", F.lit(0)))
+    waiting = checkpointed(edges.select(F.col("output").alias("node"), "needs", F.lit(0).cast("long").alias("settled")).limit(0))
     for level in count(1):
-        front = checkpointed(edges.join(front, F.col("dependency") == F.col("node"), "left_semi").select(F.col("output").alias("node")).distinct())
+        now = edges.join(front, F.col("dependency") == F.col("node"), "left_semi").groupBy(F.col("output").alias("node"), "needs").agg(F.count("*").alias("settled"))
+        state = checkpointed(waiting.unionByName(now).groupBy("node", "needs").agg(F.sum("settled").alias("settled")))
+        front, waiting = state.where("settled = needs").select("node"), state.where("settled < needs")
         if not front.limit(1).count():
             break
-        if level >= n:
-            raise ValueError("the graph has a cycle")
         if most_rounds is not None and level >= most_rounds:
             raise ValueError(f"the graph has a cycle or a way of over {most_rounds} steps")
         levels.add(front.withColumn("level", F.lit(level)))
-    found = levels.all().groupBy("node").agg(F.max("level").alias("level"))
-    if found.count() < n:  # nodes that no way from a root reaches
-        raise ValueError("the graph has a cycle")
+    found = levels.all()
+    left = edges.join(found, F.col("output") == F.col("node"), "left_anti").select("output").distinct().orderBy("output").limit(3).collect()
+    if left:
+        raise ValueError(f"the graph has a cycle among or above: {', '.join(str(r[0]) for r in left)}")
     return found
 
 
@@ -216,7 +272,7 @@ def deletable_temporaries(temporaries: DataFrame, pending: DataFrame) -> DataFra
 
 
 def incomplete_outputs(outputs: DataFrame, log: DataFrame, missing: DataFrame) -> DataFrame:
-    """Outputs of needed transitions, no input missing, with a command that is idle or still running."""
+    """Outputs of needed transitions, no input missing, with a command that is idle or still running. One that failed is over."""
     open_ = log.groupBy("transition_id").agg(F.bool_or(F.col("state").isin("IDLE", "RUNNING")).alias("open")).where("open")
     return outputs.join(open_, "transition_id", "left_semi").join(missing, "transition_id", "left_anti").select("transition_id", "output")
 

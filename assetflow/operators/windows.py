@@ -8,10 +8,6 @@ from pyspark.sql import functions as F
 from ..sources.store import checkpointed
 
 
-def _samples(series: str, ts: str) -> Window:
-    return Window.partitionBy(series).orderBy(ts, "event_id")
-
-
 def with_progress(df: DataFrame, history: int = 3, series: str = "series", ts: str = "ts", value: str = "value", total: str = "total", tie: str = "event_id") -> DataFrame:
     """current, recent_speed, global_speed, eta_ms and percent after each sample of a series.
 
@@ -65,10 +61,12 @@ def stop_at_first_failure(commands: DataFrame, order: list[str], transition: str
 
 def first_reason(reasons: DataFrame, by: str = "transition_id") -> DataFrame:
     """(``by``, reason, all_reasons): the bits of the first flagged dependency, else of the first flagged output; and all
-    bits. ``reasons``: role (``dependency`` or ``output``), ord, bits."""
+    bits. ``reasons``: role (``dependency`` or ``output``), ord, bits; where a row stands for several, bits are those of the
+    first flagged one and all_bits those of all."""
+    all_bits = F.coalesce("all_bits", "bits") if "all_bits" in reasons.columns else F.col("bits")
     flagged = F.col("bits") != 0
     first = lambda role: F.min_by(F.when(flagged & (F.col("role") == role), F.col("bits")), F.when(flagged & (F.col("role") == role), F.col("ord")))
-    return reasons.groupBy(by).agg(F.coalesce(first("dependency"), first("output"), F.lit(0)).alias("reason"), F.bit_or("bits").alias("all_reasons"))
+    return reasons.groupBy(by).agg(F.coalesce(first("dependency"), first("output"), F.lit(0)).alias("reason"), F.bit_or(all_bits).alias("all_reasons"))
 
 
 def ranked(df: DataFrame, order: list[Column], name: str) -> DataFrame:

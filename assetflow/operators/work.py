@@ -2,19 +2,33 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from datetime import UTC, datetime
 
 import pandas as pd
 from pyspark.sql import DataFrame
 
-LOG = "state string, exit_code int, started timestamp, ended timestamp, result string, error string"
+LOG = "state string, exit_code int, started timestamp, ended timestamp, result string, error string, ran int"
 
 
-def _attempt(work: Callable, argument, checking: bool) -> dict:
+def commands_of(work: Callable | Sequence[Callable]) -> list[Callable]:
+    return [work] if callable(work) else list(work)
+
+
+def _attempt(work: Callable | Sequence[Callable], argument, checking: bool) -> dict:
+    """The outcome of one or more commands, which run in order up to the first failure: that of the last one that ran, and how
+    many ran."""
+    out, started, ran = {"state": "FINISHED", "exit_code": 0, "result": None, "error": None}, datetime.now(UTC), 0
+    for command in commands_of(work):
+        out, ran = _command(command, argument, checking), ran + 1
+        if out["state"] == "FAILED":
+            break
+    return out | {"started": started, "ended": datetime.now(UTC), "ran": ran}
+
+
+def _command(work: Callable, argument, checking: bool) -> dict:
     """State and exit code as a command's: negative codes count as 1, a code other than 0 fails only under checking, and work
     that can't be started at all fails with -1."""
-    started = datetime.now(UTC)
     result, error, code = None, None, 0
     try:
         out = work(argument)
@@ -23,12 +37,12 @@ def _attempt(work: Callable, argument, checking: bool) -> dict:
         state = "FAILED" if code and checking else "FINISHED"
     except Exception as e:  # the row's own failure is its outcome
         state, code, error = "FAILED", -1, f"{type(e).__name__}: {e}"
-    return {"state": state, "exit_code": code, "started": started, "ended": datetime.now(UTC), "result": None if result is None else str(result), "error": error}
+    return {"state": state, "exit_code": code, "result": None if result is None else str(result), "error": error}
 
 
-def run_foreach(transitions: DataFrame, work: Callable, checking: bool = True) -> DataFrame:
-    """``work`` gets each row as a named tuple and returns a result, or (exit code, result). Columns: those of
-    ``transitions`` and the outcome."""
+def run_foreach(transitions: DataFrame, work: Callable | Sequence[Callable], checking: bool = True) -> DataFrame:
+    """``work``, one command or several, gets each row as a named tuple and returns a result, or (exit code, result). Columns:
+    those of ``transitions`` and the outcome, with the number of commands that ran."""
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in transitions.schema] + [LOG])
     names = [x.split()[0] for x in LOG.split(", ")]
 

@@ -17,7 +17,7 @@ from ..operators import joins as jn
 from ..operators import manifest as mf
 from ..operators import work as wk
 from ..sources import store
-from ..streaming.progress import incremental_arrivals, throttled_progress
+from ..streaming.progress import incremental_arrivals, manifest_sink, throttled_progress, write_listing
 from . import views as v
 from .catalog import directories_of, full, manifest_of, query, seconds
 from .pipeline import foreach_step, incremental_run, pipeline_run
@@ -426,14 +426,12 @@ def x1(spark, sf):
     return seconds(throttled_progress(v.progress(spark, sf)), "second")
 
 
-@query("x2_incremental_arrivals", "SELECT user_id, event_type, max(event_id) AS event_id FROM events GROUP BY user_id, event_type")
+@query("x2_incremental_arrivals", "SELECT path, size, mtime AS last_modified FROM v_manifest_new UNION ALL SELECT path, size, mtime FROM v_manifest_old WHERE path NOT IN (SELECT path FROM v_manifest_new)")
 def x2(spark, sf):
+    # Two listings, of which the second shows other times, and a run of the stream for each; the last run finds nothing new.
     root = f"{store.shared_folder(spark).rstrip('/')}/arrivals-{uuid.uuid4().hex}"
-    v.read(spark, sf, "events").select("user_id", "event_type", "event_id").repartition(4).write.parquet(f"{root}/in")
-
-    def apply(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{root}/out/batch={number}")
-
-    incremental_arrivals(spark, f"{root}/in", "user_id long, event_type string, event_id long", f"{root}/checkpoint", apply).awaitTermination()
-    arrived = spark.read.parquet(f"{root}/out").select("user_id", "event_type", "event_id")
-    return arrived.groupBy("user_id", "event_type").agg(F.max("event_id").alias("event_id"))
+    sink = manifest_sink(spark, f"{root}/manifest")
+    for number, listing in enumerate((v.manifest_old(spark, sf), v.manifest_new(spark, sf), v.manifest_new(spark, sf))):
+        write_listing(listing, f"{root}/listings", number)
+        incremental_arrivals(spark, f"{root}/listings", f"{root}/checkpoint", sink).awaitTermination()
+    return full(*store.read_manifest(spark, f"{root}/manifest")).drop("flags")

@@ -6,7 +6,7 @@ with any number of dependencies and outputs, in chains, with temporaries.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -17,7 +17,8 @@ from ..functions.flags import add_flags, has_flags
 from ..operators import incremental, joins
 from ..operators.aggregates import needs_build, reject_duplicates
 from ..operators.manifest import extend_directories, split_path
-from ..operators.work import LOG, run_foreach
+from ..operators.windows import first_reason
+from ..operators.work import LOG, commands_of, run_foreach
 from ..schema import EXISTS, FORCED, MODIFIED, TEMPORARY
 from ..sources.store import checkpointed, write_manifest
 
@@ -78,6 +79,15 @@ def all_step(name: str, made: DataFrame, inputs: DataFrame, by: tuple[str, ...]
     return _rows(name, joined, F.col("__place"))
 
 
+def foreach_of_all_step(name: str, made: DataFrame, inputs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(transitions, groups) of ``blocks.foreach`` whose work reads all inputs: each transition depends on every row of ``inputs``
+    (path, ord). The group stands for all of them, so there are as many rows as transitions and inputs, and not their product.
+    ``work`` finds the group's name among its dependencies."""
+    group = f"{name}/*"
+    members = inputs.select(F.lit(group).alias("group"), F.col("path").alias("dependency"), F.col("ord").cast("long").alias("dep_ord"))
+    return _rows(name, made.withColumn("dependency", F.lit(group)), F.lit(0)), members
+
+
 def none_step(name: str, made: DataFrame) -> DataFrame:
     """The transition of ``blocks.none``, which depends on nothing."""
     return _rows(name, made.withColumn("dependency", F.lit(None).cast("string")), F.lit(0))
@@ -104,21 +114,32 @@ class PipelineRun:
     missing: DataFrame
 
 
-def _levels(ids: DataFrame, deps: DataFrame, outs: DataFrame) -> DataFrame:
-    """(transition_id, level): a transition comes after all that make its dependencies."""
-    above = outs.select(F.col("output").alias("dependency"), F.col("transition_id").alias("above"))
-    links = deps.join(above, "dependency").where("transition_id <> above").select(F.col("transition_id").alias("output"), F.col("above").alias("dependency")).distinct()
-    found = incremental.dag_level(links).select(F.col("node").alias("transition_id"), "level")
-    return checkpointed(ids.join(found, "transition_id", "left").select("transition_id", F.coalesce("level", F.lit(0)).cast("long").alias("level")))
+def _levels(ids: DataFrame, deps: DataFrame, outs: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """((transition_id, level), (group, level), depth): a transition comes after all that make its dependencies, and a group is
+    known when all that make its members are: as early as the first transition that needs it. Levels that hold only groups
+    don't count."""
+    nodes = deps.unionByName(groups.select(F.col("group").alias("transition_id"), "dependency", "dep_ord"))
+    above = outs.select(F.col("output").alias("dependency"), F.col("transition_id").alias("above")).unionByName(groups.select(F.col("group").alias("dependency"), F.col("group").alias("above")).distinct())
+    links = nodes.join(above, "dependency").where("transition_id <> above").select(F.col("transition_id").alias("output"), F.col("above").alias("dependency")).distinct()
+    found = checkpointed(incremental.dag_level(links).select(F.col("node").alias("transition_id"), "level"))
+    raw = checkpointed(ids.join(found, "transition_id", "left").select("transition_id", F.coalesce("level", F.lit(0)).alias("__level")))
+    used = sorted(r[0] for r in raw.select("__level").distinct().collect())  # as many as the pipeline has steps
+    place = F.create_map(*[F.lit(x) for i, k in enumerate(used) for x in (k, i)]) if used else F.create_map(F.lit(0), F.lit(0))
+    own = checkpointed(raw.select("transition_id", place[F.col("__level")].cast("long").alias("level")))
+    first = deps.join(own, "transition_id").groupBy(F.col("dependency").alias("group")).agg(F.min("level").alias("level"))
+    return own, first.join(groups.select("group").distinct(), "group", "left_semi"), len(used) - 1 if used else 0
 
 
-def _states(deps: DataFrame, outs: DataFrame, levels: DataFrame, depth: int, assets: DataFrame, force: bool) -> DataFrame:
+def _states(deps: DataFrame, outs: DataFrame, levels: DataFrame, depth: int, assets: DataFrame, force: bool, groups: DataFrame, group_levels: DataFrame) -> DataFrame:
     """(path, flags, mtime) of all assets and outputs before the run, level by level: what an output takes over from its
     dependencies is known when its own level comes. There are as many rounds as the pipeline has steps."""
     there = assets.select(F.col("path").alias("output"), F.col("mtime").alias("out_mtime"))
     known = assets.join(outs.select(F.col("output").alias("path")), "path", "left_anti").select("path", add_flags(F.col("flags"), EXISTS).alias("flags"), "mtime")
     for level in range(depth + 1):
         now = levels.where(F.col("level") == level).select("transition_id")
+        if groups is not None:
+            of_now = groups.join(group_levels.where(F.col("level") == level).select("group"), "group")
+            known = checkpointed(known.unionByName(_of_group(of_now, known)))
         seen = deps.join(now, "transition_id").join(known, F.col("dependency") == F.col("path"), "left")
         flags = F.coalesce("flags", F.lit(0))
         took = seen.groupBy("transition_id").agg(F.max("mtime").alias("in_mtime"), F.bool_or(needs_build(flags)).alias("__build"), F.bool_or(has_flags(flags, FORCED)).alias("__forced"))
@@ -131,12 +152,25 @@ def _states(deps: DataFrame, outs: DataFrame, levels: DataFrame, depth: int, ass
     return known
 
 
-def _with_temporaries(known: DataFrame, edges: DataFrame) -> DataFrame:
-    """``known`` with the temporaries that have to be made again, and all that depends on them, forced."""
+def _of_group(members: DataFrame, known: DataFrame) -> DataFrame:
+    """Groups as rows of ``known``: the newest time of their members, MODIFIED if one needs a build, FORCED if one is."""
+    seen = members.join(known, F.col("dependency") == F.col("path"), "left")
+    flags = F.coalesce("flags", F.lit(0))
+    one = seen.groupBy(F.col("group").alias("path")).agg(F.bool_or(needs_build(flags)).alias("__build"), F.bool_or(has_flags(flags, FORCED)).alias("__forced"), F.max("mtime").alias("mtime"))
+    bits = F.when(F.col("__build"), MODIFIED).otherwise(EXISTS) + F.when(F.col("__forced"), FORCED).otherwise(0)
+    return one.select("path", bits.cast("long").alias("flags"), "mtime")
+
+
+def _with_temporaries(known: DataFrame, edges: DataFrame, groups: DataFrame | None) -> DataFrame:
+    """``known`` with the temporaries that have to be made again, and all that depends on them, forced. A group hands on what
+    its members say, as a temporary does."""
     temporary = known.where(has_flags(F.col("flags"), TEMPORARY))
     if not temporary.limit(1).count():
         return known
     marks = temporary.select("path", F.lit(True).alias("__temp"))
+    if groups is not None:
+        edges = edges.unionByName(groups.select(F.col("group").alias("output"), "dependency"))
+        marks = marks.unionByName(groups.select(F.col("group").alias("path"), F.lit(True).alias("__temp")).distinct())
     both = edges.join(marks.withColumnsRenamed({"path": "output", "__temp": "out_temp"}), "output", "left").join(marks.withColumnsRenamed({"path": "dependency", "__temp": "dep_temp"}), "dependency", "left")
     both = checkpointed(both.select("output", "dependency", *[F.coalesce(c, F.lit(False)).alias(c) for c in ("out_temp", "dep_temp")]))
     decided = incremental.decide_temporaries(temporary, *incremental.temporary_states(both, known))
@@ -146,26 +180,39 @@ def _with_temporaries(known: DataFrame, edges: DataFrame) -> DataFrame:
     return checkpointed(known.join(reached, "path").select("path", F.when(F.col("forced"), add_flags(F.col("flags"), FORCED)).otherwise(F.col("flags")).alias("flags"), "mtime"))
 
 
-def pipeline_run(transitions: DataFrame, assets: DataFrame, stored: DataFrame, work: Callable, force: bool = False, dry: bool = False, checking: bool = True, root: str | None = None) -> PipelineRun:
+def pipeline_run(
+    transitions: DataFrame, assets: DataFrame, stored: DataFrame, work: Callable | Sequence[Callable], force: bool = False, dry: bool = False, checking: bool = True,
+    root: str | None = None, groups: DataFrame | None = None, clean_incompletes: bool = True,
+) -> PipelineRun:
     """One run of a pipeline. ``transitions``: transition_id, dependency (null for none), dep_ord, output, out_ord, flags, a row
     for each pair (see ``foreach_step``, ``all_step``, ``none_step``); ``assets``: path, mtime, flags of what exists, outputs of
-    earlier runs among it; ``stored``: path, flags of the last manifest. ``work`` gets a row with ``dependencies`` and
-    ``outputs`` in their order. Levels run one after the other; under ``checking`` a failure leaves the later ones idle. With
-    ``root`` the manifest is written there."""
+    earlier runs among it; ``stored``: path, flags of the last manifest. ``work``, one command or several, gets a row with
+    ``dependencies`` and ``outputs`` in their order. Levels run one after the other; under ``checking`` a failure leaves the
+    later ones idle, and the later commands of its transition. With ``root`` the manifest is written there. ``groups``: group,
+    dependency, dep_ord, whose group a transition may name as a dependency in place of all its members (see
+    ``foreach_of_all_step``). Without ``clean_incompletes`` outputs of work that broke off stay."""
     t = checkpointed(transitions.select("transition_id", "dependency", "dep_ord", "output", "out_ord", "flags").distinct())
     outs = t.where("output IS NOT NULL").select("transition_id", "output", "out_ord", "flags").distinct()
     deps = t.where("dependency IS NOT NULL").groupBy("transition_id", "dependency").agg(F.min("dep_ord").alias("dep_ord"))
     reject_duplicates(outs.select(F.lit("run").alias("process"), F.lit("output").alias("role"), F.col("output").alias("path")))
     ids = t.select("transition_id").distinct()
-    levels = _levels(ids, deps, outs)
-    depth = levels.agg(F.max("level")).first()[0] or 0
+    grouped = checkpointed(groups.select("group", "dependency", "dep_ord").distinct()) if groups is not None else t.select(F.col("output").alias("group"), "dependency", "dep_ord").limit(0)
+    groups = grouped if groups is not None else None
+    levels, group_levels, depth = _levels(ids, deps, outs, grouped)
     edges = checkpointed(outs.select("transition_id", "output").join(deps.select("transition_id", "dependency"), "transition_id"))
-    known = _with_temporaries(_states(deps, outs, levels, depth, assets, force), edges.select("output", "dependency"))
+    known = _with_temporaries(_states(deps, outs, levels, depth, assets, force, groups, group_levels), edges.select("output", "dependency"), groups)
 
     flags = known.select(F.col("path").alias("__path"), F.col("flags").alias("__flags"))
     needed = deps.join(flags, F.col("dependency") == F.col("__path"), "left").select("transition_id", "dependency", "dep_ord", F.coalesce("__flags", F.lit(0).cast("long")).alias("flags"))
     marked = outs.join(flags, F.col("output") == F.col("__path")).select("transition_id", "output", "out_ord", F.col("__flags").alias("flags"))
-    members = needed.select("transition_id", F.lit("dependency").alias("role"), F.col("dep_ord").alias("ord"), "flags").unionByName(marked.select("transition_id", F.lit("output").alias("role"), F.col("out_ord").alias("ord"), "flags"))
+    members = needed.select("transition_id", F.lit("dependency").alias("role"), F.col("dep_ord").alias("ord"), "flags")
+    if groups is not None:
+        of_group = groups.join(flags, F.col("dependency") == F.col("__path"), "left").select("group", "dependency", "dep_ord", F.coalesce("__flags", F.lit(0).cast("long")).alias("flags"))
+        why = checkpointed(first_reason(of_group.select("group", F.lit("dependency").alias("role"), F.col("dep_ord").alias("ord"), incremental.reason_bits(F.col("flags")).alias("bits")), "group"))
+        why = why.select(F.col("group").alias("__group"), F.col("reason").alias("bits"), F.col("all_reasons").alias("all_bits"))
+        grouped_rows = needed.join(why, F.col("dependency") == F.col("__group"), "left")
+        members = grouped_rows.select("transition_id", F.lit("dependency").alias("role"), F.col("dep_ord").alias("ord"), "flags", "bits", "all_bits")
+    members = members.unionByName(marked.select("transition_id", F.lit("output").alias("role"), F.col("out_ord").alias("ord"), "flags"), allowMissingColumns=True)
     due = checkpointed(incremental.needs_build_reasons(ids, members, force).where("reason <> 0").join(levels, "transition_id"))
     plan = due.select("transition_id", "level", "reason", "all_reasons")
 
@@ -175,7 +222,14 @@ def pipeline_run(transitions: DataFrame, assets: DataFrame, stored: DataFrame, w
     exists, logs, lost, idle = assets.select("path", "mtime"), [], [], dry
     for level in range(depth + 1):
         now = rows.where(F.col("level") == level).drop("level")
-        missing = joins.missing_inputs(needed.join(now.select("transition_id"), "transition_id", "left_semi"), exists)
+        own = needed.join(now.select("transition_id"), "transition_id", "left_semi")
+        if groups is not None:
+            # A group is missing if one of its members is; else it counts as there.
+            gone = joins.missing_inputs(of_group.withColumnRenamed("group", "transition_id"), exists).select(F.col("transition_id").alias("__group")).distinct()
+            alone = own.join(groups.select(F.col("group").alias("__group")).distinct(), F.col("dependency") == F.col("__group"), "left_anti")
+            missing = joins.missing_inputs(alone, exists).unionByName(own.join(gone, F.col("dependency") == F.col("__group"), "left_semi").select("transition_id", "dependency"))
+        else:
+            missing = joins.missing_inputs(own, exists)
         lost.append(checkpointed(missing.select("transition_id").distinct()))
         now = now.join(lost[-1], "transition_id", "left_anti")
         if idle:
@@ -195,11 +249,17 @@ def pipeline_run(transitions: DataFrame, assets: DataFrame, stored: DataFrame, w
     asked = outs.join(due.select("transition_id"), "transition_id", "left_semi")
     finished = edges.join(log.where("state = 'FINISHED'").select("transition_id"), "transition_id", "left_semi")
     pending = incremental.settle_dependents(edges.join(due.select("transition_id"), "transition_id", "left_semi").select("output", "dependency"), finished)
+    if groups is not None:
+        members = groups.join(pending.select(F.col("dependency").alias("group")).distinct(), "group", "left_semi")
+        pending = pending.select("dependency").unionByName(members.select("dependency"))
     temporary = known.join(exists.select("path"), "path", "left_semi").where(has_flags(F.col("flags"), TEMPORARY))
     deletable = checkpointed(incremental.deletable_temporaries(temporary, pending))
-    # A transition's work stands for all its commands: one that fails leaves the rest of them idle.
-    states = log.select("transition_id", F.when(F.col("state") == "FAILED", "IDLE").otherwise(F.col("state")).alias("state"))
+    # A command that fails is over, but leaves the transition's later ones idle.
+    open_ = (F.col("state") == "FAILED") & (F.col("ran") < len(commands_of(work)))
+    states = log.select("transition_id", F.when(open_, "IDLE").otherwise(F.col("state")).alias("state"))
     incomplete = checkpointed(incremental.incomplete_outputs(asked, states, without).select(F.col("output").alias("path")))
+    if not clean_incompletes:
+        incomplete = incomplete.limit(0)
     absent = incremental.missing_outputs(asked, exists, without).select("transition_id", F.col("output").alias("path"))
 
     left = exists.join(deletable.unionByName(incomplete), "path", "left_anti")

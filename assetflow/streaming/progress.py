@@ -1,17 +1,23 @@
-"""Progress at most once a second, and changed files as they arrive."""
+"""Progress at most once a second, and new and changed files as listings show them."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from ..operators.manifest import extend_directories, split_path, upsert
+from ..sources.store import checkpointed, newest_batch, newest_snapshot, read_manifest, write_manifest
 
 
 def throttled_progress(samples: DataFrame, series: str = "series", ts: str = "ts", value: str = "value", delay: str | None = None) -> DataFrame:
     """(series, second, n, value): one update per series and second. With ``delay`` the input is a stream and late samples are
-    waited for that long."""
+    waited for that long; the last second of a series comes when the watermark has passed it, so see ``timed_progress`` for
+    streams that may fall silent."""
     stamped = samples.withColumn(ts, F.col(ts).cast("timestamp"))
     if delay is not None:
         stamped = stamped.withWatermark(ts, delay)
@@ -19,8 +25,87 @@ def throttled_progress(samples: DataFrame, series: str = "series", ts: str = "ts
     return each.select(series, F.col("window.start").alias("second"), "n", "value")
 
 
-def incremental_arrivals(spark: SparkSession, folder: str, schema: str, checkpoint: str, apply: Callable[[DataFrame, int], None]) -> StreamingQuery:
-    """Files that are new in ``folder`` since the last run, each once, through ``apply`` (batch, number). ``apply`` has to
-    give the same result when a number is repeated, which an upsert by key and sequence does."""
-    source = spark.readStream.schema(schema).parquet(folder)
-    return source.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def timed_progress(samples: DataFrame, series: str = "series", ts: str = "ts", value: str = "value", delay_s: int = 1, idle_ms: int = 1000) -> DataFrame:
+    """``throttled_progress`` of a stream, by a state for each series: a second comes when a sample is later than its end by
+    ``delay_s``, and what is pending, the last second included, when the series has been silent for ``idle_ms``. A sample that
+    comes later than both gives its second a further row. Needs a trigger by processing time, since only that has timers."""
+    kind = samples.schema[series].dataType.simpleString()
+
+    def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        pending = {s: (n, v) for s, n, v in zip(*state.get, strict=True)} if state.exists else {}
+        if state.hasTimedOut:
+            state.remove()
+            due = sorted(pending)
+        else:
+            for rows in frames:
+                for second, n, v in rows.groupby("second")["value"].agg(["size", "sum"]).itertuples():
+                    known = pending.get(second, (0, 0.0))
+                    pending[second] = (known[0] + int(n), known[1] + float(v))
+            due = sorted(s for s in pending if s + 1 + delay_s <= max(pending))
+            left = sorted(pending.keys() - set(due))
+            state.update((left, [pending[s][0] for s in left], [pending[s][1] for s in left]))
+            state.setTimeoutDuration(idle_ms)
+        yield pd.DataFrame({series: [key[0]] * len(due), "second": due, "n": [pending[s][0] for s in due], "value": [pending[s][1] for s in due]})
+
+    seconds = samples.select(series, F.unix_seconds(F.col(ts).cast("timestamp")).alias("second"), F.col(value).cast("double").alias("value"))
+    out = seconds.groupBy(series).applyInPandasWithState(
+        update, f"`{series}` {kind}, second long, n long, value double", "seconds array<long>, counts array<long>, sums array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout
+    )
+    return out.withColumn("second", F.timestamp_seconds("second"))
+
+
+LISTING = "path string, size long, mtime timestamp, listed long"
+
+
+def write_listing(assets: DataFrame, folder: str, number: int) -> None:
+    """Adds a listing (path, size, mtime) to ``folder``. ``number`` grows from listing to listing."""
+    assets.select("path", F.col("size").cast("long").alias("size"), F.col("mtime").cast("timestamp").alias("mtime"), F.lit(number).cast("long").alias("listed")).write.mode("append").parquet(folder)
+
+
+def changed_assets(listings: DataFrame) -> DataFrame:
+    """Rows of a stream of listings (LISTING) whose path is new, whose time is later by a second or more than when the path last
+    came out, or whose size is another. The stream keeps the time and size of each path."""
+
+    def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        known = state.get if state.exists else None
+        out = []
+        for row in pd.concat(list(frames)).sort_values(["listed", "mtime", "size"]).itertuples(index=False):
+            size, time = (-1 if pd.isna(row.size) else int(row.size)), (None if pd.isna(row.mtime) else row.mtime.value // 1000)
+            later = known is not None and time is not None and known[0] is not None and time >= known[0] + 1_000_000
+            if known is None or later or size != known[1] or (known[0] is None) != (time is None):
+                known = (time, size)
+                out.append(row)
+        if out:
+            state.update(known)
+        yield pd.DataFrame(out, columns=["path", "size", "mtime", "listed"]).astype({"size": "Int64"})
+
+    return listings.groupBy("path").applyInPandasWithState(update, LISTING, "time long, size long", "append", GroupStateTimeout.NoTimeout)
+
+
+def incremental_arrivals(spark: SparkSession, folder: str, checkpoint: str, apply: Callable[[DataFrame, int], None]) -> StreamingQuery:
+    """New and changed files of the listings in ``folder`` since the last run, each once, through ``apply`` (batch, number).
+    ``apply`` has to give the same result when a number is repeated, which ``manifest_sink`` does."""
+    changed = changed_assets(spark.readStream.schema(LISTING).parquet(folder))
+    return changed.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def manifest_sink(spark: SparkSession, root: str, flags: int = 0) -> Callable[[DataFrame, int], None]:
+    """An ``apply`` that upserts each batch into the manifest at ``root``. The batch's number is stored with the snapshot it
+    gives, so a batch that comes again changes nothing."""
+
+    def apply(batch: DataFrame, number: int) -> None:
+        session = batch.sparkSession
+        last = newest_batch(session, root)
+        if last is not None and number <= last:
+            return
+        files = session.createDataFrame([], "dir_id long, file string, size long, last_modified timestamp, flags long")
+        directories = session.createDataFrame([], "dir_id long, dir string")
+        if newest_snapshot(session, root) is not None:
+            files, directories = read_manifest(session, root)
+        rows = checkpointed(batch)
+        directories = checkpointed(extend_directories(directories, rows))
+        dir, file = split_path(F.col("path"))
+        new = rows.select(dir.alias("dir"), file.alias("file"), "size", F.col("mtime").alias("last_modified"), F.lit(flags).cast("long").alias("flags"), F.col("listed").alias("seq"))
+        write_manifest(upsert(files, new.join(directories, "dir")), directories, root, number)
+
+    return apply

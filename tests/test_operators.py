@@ -1,6 +1,7 @@
 """Behaviour that the queries don't show: errors, real files, repeated runs, streams."""
 
 import datetime
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,7 +10,7 @@ from assetflow.operators import aggregates, blocks, incremental, joins, manifest
 from assetflow.plans.pipeline import incremental_run
 from assetflow.plans.template import Template
 from assetflow.sources import scan, store
-from assetflow.streaming.progress import throttled_progress
+from assetflow.streaming.progress import incremental_arrivals, manifest_sink, throttled_progress, timed_progress, write_listing
 
 T0 = datetime.datetime(2024, 1, 1)
 
@@ -234,6 +235,72 @@ def test_throttled_stream_equals_batch(spark, tmp_path):
     assert got == want
 
 
+def test_timed_stream_gives_the_last_second_too(spark, tmp_path):
+    rows = [("a", at(i / 4), 1.0) for i in range(20)] + [("a", at(100), 1.0), ("b", at(3.5), 2.0)]
+    df = spark.createDataFrame(rows, "series string, ts timestamp, value double")
+    df.repartition(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+    q = timed_progress(stream).writeStream.outputMode("append").format("memory").queryName("timed").trigger(processingTime="500 milliseconds").start()
+    want = {tuple(r) for r in throttled_progress(df).collect()}
+    for _ in range(60):
+        got = [tuple(r) for r in spark.sql("SELECT * FROM timed").collect()]
+        if len(got) >= len(want):
+            break
+        time.sleep(1)
+    q.stop()
+    assert set(got) == want and len(got) == len(want)
+
+
+def test_files_arrive_again_when_they_change(spark, tmp_path):
+    root, came = str(tmp_path), []
+    sink = manifest_sink(spark, f"{root}/manifest")
+
+    def apply(batch, number):
+        came.append(sorted(r["path"] for r in batch.select("path").collect()))
+        sink(batch, number)
+        before = store.newest_snapshot(spark, f"{root}/manifest")
+        sink(batch, number)  # a batch that comes again changes nothing
+        assert store.newest_snapshot(spark, f"{root}/manifest") == before
+
+    def listed(number, *rows):
+        write_listing(spark.createDataFrame(rows, "path string, size long, mtime timestamp"), f"{root}/in", number)
+
+    def run():
+        came.clear()
+        incremental_arrivals(spark, f"{root}/in", f"{root}/checkpoint", apply).awaitTermination()
+        return [x for x in came if x]
+
+    listed(0, ("d/a", 1, at(0)), ("d/b", 2, at(0)), ("e/c", None, None))
+    assert run() == [["d/a", "d/b", "e/c"]]
+    listed(1, ("d/a", 1, at(0)), ("d/b", 2, at(5)), ("e/c", None, None))
+    assert run() == [["d/b"]] and run() == []
+    # Less than a second later counts as the same time, another size doesn't.
+    listed(2, ("d/a", 1, at(0.5)), ("d/b", 9, at(5)), ("e/c", 4, at(7)))
+    listed(3, ("d/a", 1, at(0.9)), ("d/b", 9, at(5)), ("e/c", 4, at(7)), ("new", 1, at(1)))
+    assert run() == [["d/b", "e/c", "new"]]
+    files, directories = store.read_manifest(spark, f"{root}/manifest")
+    got = {r["path"]: (r["size"], r["last_modified"]) for r in joins.manifest_join(files, directories).collect()}
+    assert got == {"d/a": (1, at(0)), "d/b": (9, at(5)), "e/c": (4, at(7)), "/new": (1, at(1))}
+
+
+def test_two_writers_of_one_snapshot_are_found_out(spark, tmp_path, monkeypatch):
+    files = spark.createDataFrame([(1, "f", 3, at(0), 0)], "dir_id long, file string, size long, last_modified timestamp, flags long")
+    dirs = spark.createDataFrame([(1, "d/")], "dir_id long, dir string")
+    root = str(tmp_path / "m")
+    store.write_manifest(files, dirs, root)
+    real, seen = store._pointers, []
+    old = spark.createDataFrame(real(spark, root).collect(), "number long, name string, batch long")
+    # The second writer looks before the first one has written.
+    monkeypatch.setattr(store, "_pointers", lambda s, r: old if not seen and not seen.append(1) else real(s, r))
+    store.write_manifest(files, dirs, root)
+    seen.clear()
+    with pytest.raises(RuntimeError, match="two writers"):
+        store.write_manifest(files, dirs, root)
+    monkeypatch.undo()
+    with pytest.raises(RuntimeError, match="two writers"):
+        store.read_manifest(spark, root)
+
+
 def test_patterns_with_and_without_literal_directories(spark):
     a = spark.createDataFrame([("a/b/c1.txt",), ("d.txt",)], "path string")
     p = spark.createDataFrame([(r"a/b/c[0-9]\.txt",), (r"a/x/.*",), (r".*\.txt",), (r"[d]\.txt",), ("d.txt",), ("b/.*",)], "pattern string")

@@ -1,12 +1,13 @@
 """Whole pipelines over several runs: chains, all and none, temporaries, touched inputs, failures, remains."""
 
 import datetime
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from assetflow.operators import blocks, incremental, joins
-from assetflow.plans.pipeline import all_step, foreach_step, incremental_run, none_step, pipeline_run
+from assetflow.plans.pipeline import all_step, foreach_of_all_step, foreach_step, incremental_run, none_step, pipeline_run
 from assetflow.sources import scan, store
 
 ASSET = "path string, ord long, mtime timestamp, flags long, captures map<string,string>"
@@ -105,23 +106,89 @@ def test_touched_dependency_behind_a_temporary(spark):
     assert again(steps(given.where("path <> 'dep.txt'")), given, run.manifest, force=True, dry=True).plan.count() == 9
 
 
-def test_failures_stop_later_steps(spark):
-    given = inputs(spark, "in0", "in1")
+def two_steps(spark, given):
     one = blocks.foreach(given, {"destination": "out{num}.txt"}, names=("num",))
     last = blocks.as_inputs(one)
-    steps = foreach_step("A", one).unionByName(all_step("B", blocks.all_of(last, {"destination": "sum.txt"}), last))
+    return foreach_step("A", one).unionByName(all_step("B", blocks.all_of(last, {"destination": "sum.txt"}), last))
+
+
+def test_failures_stop_later_steps(spark):
+    given = inputs(spark, "in0", "in1")
+    steps = two_steps(spark, given)
     fails = lambda row: (int(row.outputs[0] == "out1.txt"), None)
     run = again(steps, given, nothing(spark), fails)
-    assert there(run) == ["out0.txt"]
-    assert paths(run.incomplete) == ["out1.txt", "sum.txt"] or paths(run.incomplete) == ["out1.txt"]
-    assert "out1.txt" in paths(run.missing)
-    # A rebuild that fails takes its old output along.
+    assert there(run) == ["out0.txt"] and "out1.txt" in paths(run.missing)
+    # The step after the failure wasn't begun.
     whole = again(steps, given, nothing(spark))
     assert there(whole) == ["out0.txt", "out1.txt", "sum.txt"]
     touched = inputs(spark, "in0", "in1", touched=["in1"])
     broken = again(steps, touched, whole.manifest, fails)
-    assert paths(broken.incomplete) == ["out1.txt", "sum.txt"] and there(broken) == ["out0.txt"]
-    assert built(again(steps, given, broken.manifest)) == ["out1.txt", "sum.txt"]
+    assert paths(broken.incomplete) == ["sum.txt"] and there(broken) == ["out0.txt", "out1.txt"]
+    assert built(again(steps, touched, broken.manifest)) == ["out1.txt", "sum.txt"]
+    kept = again(steps, touched, whole.manifest, fails, clean_incompletes=False)
+    assert paths(kept.incomplete) == [] and there(kept) == ["out0.txt", "out1.txt", "sum.txt"]
+
+
+@pytest.mark.parametrize(("failing", "ran", "incomplete"), [(1, 2, ["out1.txt", "sum.txt"]), (2, 3, ["sum.txt"])])
+def test_a_failed_command_is_over_and_leaves_later_ones_idle(spark, failing, ran, incomplete):
+    given = inputs(spark, "in0", "in1")
+    whole = again(two_steps(spark, given), given, nothing(spark))
+    touched = inputs(spark, "in0", "in1", touched=["in1"])
+    commands = [lambda row, k=k: (int(k == failing and row.outputs[0] == "out1.txt"), k) for k in range(3)]
+    run = again(two_steps(spark, given), touched, whole.manifest, commands)
+    assert paths(run.incomplete) == incomplete
+    one = run.log.where("transition_id = 'A/1'").first()
+    assert (one["ran"], one["state"], one["result"]) == (ran, "FINISHED" if failing is None else "FAILED", str(ran - 1))
+
+
+def on_all_steps(spark, given, as_group):
+    """Each output depends on all temporaries, by a group or by the edges themselves."""
+    tmp = blocks.foreach(given, {"destination": "l1_{num}.txt"}, names=("num",), temporary=frozenset({"destination"}))
+    one = blocks.foreach(given, {"destination": "p1_{num}.txt"}, names=("num",))
+    both = blocks.as_inputs(tmp.unionByName(one))
+    out = blocks.foreach(given, {"destination": "out_{num}.txt"}, names=("num",))
+    steps = foreach_step("A", tmp).unionByName(foreach_step("P", one))
+    if as_group:
+        rows, groups = foreach_of_all_step("B", out, both)
+    else:
+        rows = foreach_step("B", out).drop("dependency", "dep_ord").crossJoin(both.select(F.col("path").alias("dependency"), F.col("ord").alias("dep_ord")))
+        groups = None
+    last = blocks.as_inputs(out)
+    return steps.unionByName(rows).unionByName(all_step("C", blocks.all_of(last, {"destination": "sum.txt"}), last)), groups
+
+
+def test_groups_equal_their_edges(spark):
+    names = ("in1", "in2", "in3")
+    cases = [(names, (), {}), (names, ("in2",), {}), (("in1", "in3"), ("in1",), {"work": lambda row: (int(row.outputs[0] == "p1_1.txt"), 0)})]
+    manifests = [nothing(spark), nothing(spark)]
+    for here, touched, more in cases:
+        runs = []
+        for k, as_group in enumerate((True, False)):
+            steps, groups = on_all_steps(spark, inputs(spark, *names, touched=touched), as_group)
+            runs.append(again(steps, inputs(spark, *names, touched=touched).where(F.col("path").isin([f"{n}.txt" for n in here])), manifests[k], groups=groups, **more))
+        one, two = runs
+        for table in ("plan", "manifest", "remains", "deletable", "incomplete", "missing"):
+            a, b = (getattr(r, table) for r in runs)
+            b = b.select(*a.columns)
+            drop = ["mtime"] if "mtime" in a.columns else []
+            assert sorted(map(str, a.drop(*drop).collect())) == sorted(map(str, b.drop(*drop).collect())), (table, here, touched)
+        assert built(one) == built(two)
+        if not more and here == names:
+            manifests = [one.manifest, two.manifest]
+
+
+def test_groups_of_many_assets_make_no_product(spark):
+    n = 100_000
+    given = spark.range(n).select(F.concat(F.lit("in/"), "id").alias("path"), F.col("id").alias("ord"), F.lit(datetime.datetime(2024, 1, 1)).alias("mtime"), F.lit(17).cast("long").alias("flags"), F.create_map().cast("map<string,string>").alias("captures"))
+    steps, groups = foreach_of_all_step("B", blocks.foreach(given, {"destination": "out/{?}"}), given)
+    assert steps.count() == groups.count() == n
+    run = pipeline_run(steps, given.select("path", "mtime", "flags"), nothing(spark), lambda row: 0, dry=True, groups=groups)
+    assert run.plan.count() == n
+    old = given.select(F.concat(F.lit("out/"), "path").alias("path"), F.lit(datetime.datetime(2025, 1, 1)).alias("mtime"), F.lit(16).cast("long").alias("flags"))
+    late = given.withColumn("mtime", F.when(F.col("ord") == 77, F.lit(FAR)).otherwise(F.col("mtime")))
+    for assets, want in ((given, 0), (late, n)):
+        run = pipeline_run(steps, assets.select("path", "mtime", "flags").unionByName(old), old.select("path", "flags"), lambda row: 0, dry=True, groups=groups)
+        assert run.plan.count() == want
 
 
 def test_failed_rebuild_loses_exists(spark):
@@ -155,12 +222,64 @@ def test_long_chains_have_all_levels(spark):
     assert {r["node"]: r["level"] for r in incremental.dag_level(edges).collect()} == want
     with pytest.raises(ValueError, match="over 5 steps"):
         incremental.dag_level(edges, most_rounds=5)
+    assert incremental.dag_level(edges.unionByName(edges)).count() == len(want)
     for rows in ([("a", "b"), ("b", "a")], [("a", "r"), ("b", "a"), ("a", "b")], [("a", "r"), ("c", "d"), ("d", "c")]):
         with pytest.raises(ValueError, match="cycle"):
             incremental.dag_level(spark.createDataFrame(rows, "output string, dependency string"))
     assert incremental.dag_level(edges.limit(0)).collect() == []
 
 
+def test_a_cycle_behind_a_root_ends_the_walk(spark, monkeypatch):
+    rows = [(f"c{(k + 1) % 43}", f"c{k}") for k in range(43)] + [("c0", "r"), ("b", "c5"), ("x", "r"), ("y", "x")]
+    rounds = []
+    monkeypatch.setattr(incremental, "checkpointed", lambda df: rounds.append(1) or df.checkpoint())
+    store.shared_folder(spark)
+    with pytest.raises(ValueError, match="cycle among or above: b, c0, c1"):
+        incremental.dag_level(spark.createDataFrame(rows, "output string, dependency string"))
+    assert len(rounds) <= 6
+
+
+def test_forced_assets_reach_down_chains_by_doubling(spark, monkeypatch):
+    n = 10_000
+    edges = spark.range(1, n).selectExpr("concat('n', id) AS output", "concat('n', id - 1) AS dependency")
+    more = spark.createDataFrame([("n7", "m"), ("tail", "n9999"), ("tail", "m"), ("end", "tail"), ("q", "n3"), ("c0", "c1"), ("c1", "c0"), ("c2", "c1")], edges.schema)
+    nodes = spark.range(n).selectExpr("concat('n', id) AS path", "id = 5 AS forced").unionByName(spark.createDataFrame([(x, False) for x in ("m", "tail", "end", "q", "c0", "c1", "c2")], "path string, forced boolean"))
+    rounds = []
+    monkeypatch.setattr(incremental, "checkpointed", lambda df: rounds.append(1) or df.checkpoint())
+    store.shared_folder(spark)
+    got = {r["path"] for r in incremental.propagate_forced(nodes, edges.unionByName(more)).where("forced").collect()}
+    assert got == {f"n{k}" for k in range(5, n)} | {"tail", "end"} and len(rounds) < 40
+
+
+def test_forced_assets_in_any_graph(spark):
+    rng = random.Random(1)
+    for n in (12, 40):
+        pairs = {(k, k - 1) for k in range(1, n) if rng.random() < 0.8} | {(k, rng.randrange(k)) for k in range(1, n) if rng.random() < 0.2} | {(n, n + 1), (n + 1, n), (n + 2, n)}
+        forced = {rng.randrange(n), n // 2}
+        want = set(forced)
+        while more := {o for o, d in pairs if d in want} - want:
+            want |= more
+        nodes = spark.createDataFrame([(k, k in forced) for k in range(n + 3)], "path long, forced boolean")
+        edges = spark.createDataFrame(sorted(pairs), "output long, dependency long")
+        for plain in (0, 2, 99):
+            assert {r["path"] for r in incremental.propagate_forced(nodes, edges, plain_rounds=plain).where("forced").collect()} == want
+
+
+def test_places_of_many_outputs_and_long_chains(spark):
+    given = inputs(spark, "in0", "in1").withColumn("ord", F.xxhash64("path"))
+    first, second = [r["path"] for r in given.orderBy("ord").collect()]
+    made = blocks.foreach(given, {f"destination[{k:04d}]": f"{{?}}.{k:04d}" for k in range(1500)})
+    assert [r["path"] for r in blocks.as_inputs(made).orderBy("ord").collect()] == [f"{p}.{k:04d}" for p in (first, second) for k in range(1500)]
+    step = lambda df: blocks.as_inputs(blocks.foreach(df, {"destination": "{?}a", "destination[0]": "{?}b"}))
+    out = blocks.then(*[step] * 8)(given).orderBy("ord").collect()
+    names = [first, second]
+    for _ in range(8):
+        names = [n + x for n in names for x in "ab"]
+    assert [r["path"] for r in out] == names and [r["ord"] for r in out] == list(range(512))
+    beside = blocks.also(step, lambda df: df.select("path", "ord", "mtime", "flags", "captures"))(given).orderBy("ord").collect()
+    assert [r["path"] for r in beside] == [first + "a", first + "b", second + "a", second + "b", first, second]
+
+
 def test_patterns_that_undo_their_directories(spark):
     assets = spark.createDataFrame([("lib/y.txt",), ("srcfoo",), ("a/b/c.txt",)], "path string")
     cases = {r"src/x\.txt|lib/y\.txt": "true", "src/?foo": "true", "src/*foo": "true", "src/{0,1}foo": "true", "src/+foo": "false", r"a/(x|b/c)\.txt": "true", r"a/[|]|lib/y.txt": "true", r"a/b/[(]|srcfoo": "true", r"a/b/\(|srcfoo": "true", r"lib/(((((((((x|y)))))))))\.txt": "true", r"lib/x\.txt": "false"}

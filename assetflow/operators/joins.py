@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import EXISTS, FORCED, TEMPORARY
+from ..sources.store import checkpointed
 
 
 def join_dependencies(outputs: DataFrame, dependencies: DataFrame, key: str = "transition_id") -> DataFrame:
@@ -71,27 +76,69 @@ def with_exists(df: DataFrame, assets: DataFrame, value: str, name: str = "exist
     return df.join(seen, F.col(value) == F.col("__path"), "left").withColumn(name, F.when(F.col("__path").isNotNull(), "true").otherwise("false")).drop("__path")
 
 
-def _literal_directory(pattern: Column) -> Column:
-    """The directories that every match of the pattern begins with: plain elements whose slash isn't repeated or optional, and
-    none if the pattern has alternatives at its top level (what is left without escapes, classes and groups has a bar)."""
-    bare = F.regexp_replace(F.regexp_replace(pattern, r"(?s)\\.", ""), r"\[\^?\]?[^\]]*\]", "")
-    for _ in range(8):  # groups in groups; what is nested deeper counts as top level, which only costs speed
-        bare = F.regexp_replace(bare, r"\([^()]*\)", "")
-    plain = F.regexp_extract(pattern, r"\A((?:[A-Za-z0-9_-]+/(?![?*+{]))*)", 1)
-    return F.when(bare.contains("|"), "").otherwise(plain)
+def required_literal(pattern: str) -> str:
+    """The longest text that every match of the pattern holds, or none if it isn't plain to see: what stands outside groups and
+    classes without a quantifier, in a pattern without alternatives at its top level, flags, quotes, and escapes that go on
+    after their letter."""
+    if re.search(r"\(\?(?![:<=!])|\\[QxuUNpPkc0-9]", pattern):
+        return ""
+    runs, run, depth, i = [], "", 0, 0
+    while i < len(pattern):
+        c, token, i = pattern[i], None, i + 1
+        if c == "\\":
+            token, i = pattern[i : i + 1], i + 1
+            token = token if token and not token.isalnum() else None
+        elif c == "[":
+            i += pattern[i : i + 1] == "^"
+            i += pattern[i : i + 1] == "]"
+            while i < len(pattern) and pattern[i] != "]":
+                if pattern[i] in "[&":  # classes in classes
+                    return ""
+                i += 2 if pattern[i] == "\\" else 1
+            i += 1
+        elif c in "()":
+            depth += 1 if c == "(" else -1
+        elif c == "|" and depth == 0:
+            return ""
+        elif c in "*+?{":
+            run = run[:-1]
+            i = pattern.find("}", i) + 1 or len(pattern) if c == "{" else i
+        elif c not in ".^$|":
+            token = c
+        if token is not None and depth == 0:
+            run += token
+        else:
+            runs.append(run)
+            run = ""
+    return max([*runs, run], key=len)
+
+
+def _with_literals(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for rows in batches:
+        yield rows.assign(__literal=rows["__pattern"].map(required_literal))
+
+
+def _trigrams(text: Column) -> Column:
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.char_length(text) - 2), lambda i: F.substring(text, i, F.lit(3))))
 
 
 def with_pattern_exists(patterns: DataFrame, assets: DataFrame, pattern: str = "pattern", name: str = "rexists") -> DataFrame:
-    """Does any asset match the row's own pattern, whole? A pattern is tried on the assets below its literal directories, which
-    is a join on the directory. Patterns that begin with no literal directory are tried on all assets, each on each: keep them
-    few."""
-    tried = patterns.select(F.col(pattern).alias("__pattern")).distinct().withColumn("__below", _literal_directory(F.col("__pattern")))
+    """Does any asset match the row's own pattern, whole? An inverted index: of the text that every match of a pattern holds, the
+    trigram that the fewest assets have names the assets on which the pattern is tried, by an equijoin. Patterns without such a
+    text of three letters are tried on all assets, each on each: keep them few. A null pattern has no match."""
+    tried = patterns.select(F.col(pattern).cast("string").alias("__pattern")).where("__pattern IS NOT NULL").distinct()
+    tried = checkpointed(tried.mapInPandas(_with_literals, "__pattern string, __literal string"))
     fits = F.expr(r"path rlike concat('(?s)\\A(?:', __pattern, ')\\z')")
-    parts = F.split("path", "/")
-    above = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.concat(F.array_join(F.slice(parts, F.lit(1), n), "/"), F.lit("/")))
-    rooted = assets.where(F.size(parts) > 1).select("path", F.explode(above).alias("__below")).join(tried.where("__below <> ''"), "__below").where(fits)
-    anywhere = assets.select("path").join(tried.where("__below = ''"), fits)
-    hit = rooted.select("__pattern").unionByName(anywhere.select("__pattern")).groupBy("__pattern").agg(F.lit(1).alias("__hit"))
+    plain = tried.where("char_length(__literal) >= 3").select("__pattern", F.explode(_trigrams(F.col("__literal"))).alias("__gram"))
+    grams = assets.where("char_length(path) >= 3").select("path", F.explode(_trigrams(F.col("path"))).alias("__gram"))
+    index = grams.join(plain.select("__gram").distinct(), "__gram", "left_semi")
+    often = index.groupBy("__gram").agg(F.count("*").alias("__n"))
+    rarest = plain.join(often, "__gram", "left").groupBy("__pattern").agg(F.min_by("__gram", F.struct(F.coalesce("__n", F.lit(0)), "__gram")).alias("__gram"))
+    hit = index.join(rarest, "__gram").where(fits).select("__pattern")
+    anywhere = tried.where("char_length(__literal) < 3")
+    if anywhere.limit(1).count():
+        hit = hit.unionByName(assets.select("path").join(anywhere, fits).select("__pattern"))
+    hit = hit.groupBy("__pattern").agg(F.lit(1).alias("__hit"))
     return patterns.join(hit, F.col(pattern) == F.col("__pattern"), "left").withColumn(name, F.when(F.col("__hit").isNotNull(), "true").otherwise("false")).drop("__pattern", "__hit")
 
 

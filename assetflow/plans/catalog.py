@@ -319,6 +319,20 @@ def j11_alternatives(spark, sf):
     return jn.with_pattern_exists(patterns, v.manifest_old(spark, sf))
 
 
+@query("j11_rexists_absolute", """
+WITH f AS (SELECT '/' || regexp_replace(path, '//+', '/', 'g') AS path FROM v_paths UNION SELECT '/data/' || path FROM v_assets),
+q AS (SELECT DISTINCT '/' || split_part(path, '/', 1) || '/[a-z]+/[0-9]+.*' AS pattern FROM v_paths UNION SELECT DISTINCT '/data/' || source || '/(en|fr)/doc_[0-9]*9\\.txt' FROM v_assets UNION SELECT DISTINCT '/data/' || source || '/x?.*' FROM v_assets)
+SELECT pattern, CASE WHEN EXISTS (SELECT 1 FROM f WHERE regexp_full_match(f.path, q.pattern)) THEN 'true' ELSE 'false' END AS rexists FROM q""")
+def j11_absolute(spark, sf):
+    # Absolute paths, as scans give them: of pages and of documents.
+    pages, docs = v.paths(spark, sf).select("path"), v.assets(spark, sf)
+    files = pages.select(F.concat(F.lit("/"), F.regexp_replace("path", "//+", "/")).alias("path")).unionByName(docs.select(F.concat(F.lit("/data/"), "path").alias("path")))
+    host = pages.select(F.concat(F.lit("/"), F.split("path", "/")[0], F.lit("/[a-z]+/[0-9]+.*")).alias("pattern"))
+    kinds = ["/data/%s/(en|fr)/doc_[0-9]*9\\.txt", "/data/%s/x?.*"]
+    patterns = host.unionByName(docs.select(F.explode(F.array(*[F.format_string(k, "source") for k in kinds])).alias("pattern"))).distinct()
+    return jn.with_pattern_exists(patterns, files)
+
+
 # ---- aggregates
 
 

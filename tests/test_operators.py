@@ -1,6 +1,8 @@
 """Behaviour that the queries don't show: errors, real files, repeated runs, streams."""
 
 import datetime
+import random
+import re
 import time
 
 import pytest
@@ -308,6 +310,28 @@ def test_patterns_with_and_without_literal_directories(spark):
     assert [got[r[0]] for r in p.collect()] == ["true", "false", "true", "true", "true", "false"]
 
 
+def test_patterns_by_their_literals(spark):
+    assert [joins.required_literal(p) for p in (r"/data/in/[0-9]+\.txt", r"x/a?bc{2}def+gh", r"(?:ab|c)/d[\]x]efg\.h", r"[]a]xyz[^]b]", r"a|bcd", r"(?i)abc", r"\x41bcd", r"\Qabc\E", r"ab(c|d)", "")] == [
+        "/data/in/", "x/", "efg.h", "xyz", "", "", "", "", "ab", ""
+    ]
+    rng = random.Random(4)
+    names = ["".join(rng.choice("ab/.1é") for _ in range(rng.randint(0, 9))) for _ in range(60)]
+    piece = lambda: rng.choice(["a", "b", "/", r"\.", ".", "1?", "a*", "b+", "[ab1]", "(a|b/)", "(?:1|)", "é{1,2}", "ab/", r"\d", "[^/]+"])
+    patterns = sorted({"".join(piece() for _ in range(rng.randint(1, 6))) for _ in range(200)})
+    a = spark.createDataFrame([(n,) for n in names], "path string")
+    p = spark.createDataFrame([(x,) for x in [*patterns, None]], "pattern string")
+    got = {r["pattern"]: r["rexists"] for r in joins.with_pattern_exists(p, a).collect()}
+    assert got == {x: str(any(re.fullmatch(x, n, re.ASCII | re.DOTALL) for n in names)).lower() for x in patterns} | {None: "false"}
+
+
+def test_absolute_patterns_make_no_nested_loop(spark):
+    a = spark.range(5000).select(F.concat(F.lit("/data/in/"), "id", F.lit(".txt")).alias("path"))
+    p = spark.range(1, 300).select(F.concat(F.lit("/data/in/"), "id", F.lit(r"[0-9]\.txt")).alias("pattern"))
+    out = joins.with_pattern_exists(p, a)
+    assert {r["rexists"] for r in out.collect()} == {"true"}
+    assert "NestedLoop" not in out._jdf.queryExecution().executedPlan().toString() and "Cartesian" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_cycles_are_an_error(spark):
     edges = spark.createDataFrame([("a", "r"), ("b", "a"), ("a", "b")], "output string, dependency string")
     with pytest.raises(ValueError, match="cycle"):

@@ -191,12 +191,13 @@ def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     archive = members["archive/" + name.removeprefix("indexes/").removesuffix(".cdxj") + ".warc"]
                     base = data_start(read, archive)
                     lines = read(data_start(read, index), index["size"]).decode().split("\n")
-                    start, lengths = base, []
+                    start, lengths, held = base, [], 0
                     for x in map(json.loads, filter(None, lines)):
-                        if lengths and sum(lengths) + x["length"] > READ_BYTES:
+                        if lengths and held + x["length"] > READ_BYTES:
                             out.append((path, start, lengths))
-                            start, lengths = base + x["offset"], []
+                            start, lengths, held = base + x["offset"], [], 0
                         lengths.append(x["length"])
+                        held += x["length"]
                     if lengths:
                         out.append((path, start, lengths))
             cols = list(zip(*out, strict=True)) or [(), (), ()]

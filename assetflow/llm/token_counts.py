@@ -50,7 +50,9 @@ def encoder(path: str, pattern: str):
 
 def encoded_length(encoding, text: str) -> int:
     """Number of tokens of ``text``. A run of blanks is a piece of its own but for its last character, which may belong to
-    what follows; at the end of the text it is a piece whole."""
+    what follows; at the end of the text it is a piece whole. A text shorter than such a run has none."""
+    if len(text) < LONG_BLANKS:
+        return len(encoding.encode_ordinary(text))
     total, at = 0, 0
     for run in _BLANKS.finditer(text):
         end = run.end() if run.end() == len(text) else run.end() - 1

@@ -16,7 +16,7 @@ A document's set is its distinct 5-word shingles, told apart by keyed 64-bit has
 3. *Exact join.* Within a region or cell, overlaps are counted on posting lists and linked sets are united at once, from the
    components known so far; only a spanning forest of links leaves the task, never all pairs of a group.
 
-A region that is still too large after three rounds is joined in blocks: the sets outside its largest component with all of
+A region that is still too large after four rounds, or sooner where rounds don't unite it, is joined in blocks: the sets outside its largest component with all of
 its sets. If its sets are close to each other without being linked, that is most of them, at a cost that grows with the
 square of their number; no bound of a metric can tell such sets apart.
 

@@ -8,7 +8,7 @@ Scale: repeats are found inside each row by sorting its own 5-word hashes (64 bi
 counts are summed by host, with partial sums before the shuffle, and the host table is joined back to them.
 
 Defined results: a null text has no words and fails; a null host is a host of its own; documents repeated or with equal ids
-are judged each; an empty table gives an empty table; columns named like the results are replaced.
+are judged each; texts of any length are counted whole; an empty table gives an empty table; columns named like the results are replaced.
 """
 
 from __future__ import annotations

@@ -15,9 +15,13 @@ def with_progress(df: DataFrame, history: int = 3, series: str = "series", ts: s
     single sample it is measured from the start, which is the series' first time."""
     w = Window.partitionBy(series).orderBy(ts, tie)
     so_far = w.rowsBetween(Window.unboundedPreceding, 0)
-    recent = w.rowsBetween(-(history - 1), 0)
-    millis = lambda c: F.unix_millis(c.cast("timestamp"))
     out = df.withColumn("current", F.sum(value).over(so_far)).withColumn("__start", F.first(ts).over(so_far))
+    return _speeds(out, w.rowsBetween(-(history - 1), 0), ts, value, total)
+
+
+def _speeds(out: DataFrame, recent: Window, ts: str, value: str, total: str) -> DataFrame:
+    """What follows from current, the series' start (``__start``) and the frame of recent samples."""
+    millis = lambda c: F.unix_millis(c.cast("timestamp"))
     many = F.count("*").over(recent) > 1
     moved = F.when(many, F.sum(value).over(recent) - F.first(value).over(recent)).otherwise(F.col(value))
     since = F.when(many, F.first(ts).over(recent)).otherwise(F.col("__start"))
@@ -32,6 +36,31 @@ def with_progress(df: DataFrame, history: int = 3, series: str = "series", ts: s
     return out.withColumn("percent", progress_percent(current, whole)).drop("__start", "__moved", "__ms", "__all_ms")
 
 
+def with_progress_by_ranges(df: DataFrame, history: int = 3, series: str = "series", ts: str = "ts", value: str = "value", total: str = "total", tie: str = "event_id") -> DataFrame:
+    """``with_progress`` for series that don't fit one task. The samples are dealt by ranges of series and time; each range adds
+    up its own, from the sums and the start that the ranges before it carry over, and begins with a halo: the last
+    ``history`` - 1 samples of its first series before it. What is carried is a row for each range and series."""
+    dealt = checkpointed(df.repartitionByRange(F.col(series), F.col(ts), F.col(tie)).withColumn("__range", F.spark_partition_id()))
+    keep, own = history - 1, ["__range", series]
+    last = Window.partitionBy(*own).orderBy(F.desc(ts), F.desc(tie))
+    tail = F.array_sort(F.collect_list(F.when(F.col("__back") <= keep, F.struct(ts, tie, value))))
+    sums = dealt.withColumn("__back", F.row_number().over(last)).groupBy(*own).agg(F.sum(value).alias("__sum"), F.min(ts).alias("__first"), tail.alias("__tail"))
+    ranges = Window.partitionBy(series).orderBy("__range")
+    before = ranges.rowsBetween(Window.unboundedPreceding, -1)
+    halo = F.flatten(F.collect_list("__tail").over(ranges.rowsBetween(-max(keep, 1), -1)))
+    carried = checkpointed(sums.select(
+        F.col("__range").alias("__of"), F.col(series).alias("__series"), F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__carried"),
+        F.min("__first").over(ranges.rowsBetween(Window.unboundedPreceding, 0)).alias("__start"), F.slice(halo, F.greatest(F.size(halo) - keep + 1, F.lit(1)), F.lit(keep)).alias("__halo"),
+    ))
+    here = lambda d: d.join(carried, (F.col("__range") == F.col("__of")) & F.col(series).eqNullSafe(F.col("__series"))).drop("__of", "__series")
+    rows = here(dealt).drop("__halo").withColumn("__own", F.lit(True))
+    halos = carried.select(F.col("__of").alias("__range"), F.col("__series").alias(series), F.explode("__halo").alias("__h")).select("__range", series, "__h.*", F.lit(False).alias("__own"))
+    w = Window.partitionBy(*own).orderBy(ts, tie)
+    out = rows.unionByName(halos, allowMissingColumns=True)
+    out = out.withColumn("current", F.col("__carried") + F.sum(F.when(F.col("__own"), F.col(value))).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return _speeds(out, w.rowsBetween(-keep, 0), ts, value, total).where("__own").drop("__own", "__range", "__carried").select(*df.columns, "current", "recent_speed", "global_speed", "eta_ms", "percent")
+
+
 def eta_ms(left: Column, speed: Column, done: Column) -> Column:
     """Milliseconds to go, rounded half up; infinite if nothing moves; null if unknown."""
     return F.when(done, 0.0).when(speed == float("inf"), F.lit(float("inf"))).otherwise(F.floor(1000.0 * left / speed + 0.5).cast("double"))

@@ -404,9 +404,21 @@ s AS (SELECT *, CASE WHEN total = 0 OR current = 0 THEN NULL WHEN current = tota
 """
 
 
-@query("w1_w4_progress", _SPEED + "SELECT event_id, round(recent, 9) AS recent_speed, round(overall, 9) AS global_speed, CASE WHEN current = total THEN 0.0 WHEN recent = 'inf'::DOUBLE THEN recent ELSE floor(1000.0 * (total - current) / recent + 0.5) END AS eta_ms, round(CASE WHEN total <= 0 THEN 100.0 ELSE 100.0 * current / total END, 6) AS percent FROM s")
+_PROGRESS = _SPEED + "SELECT event_id, round(recent, 9) AS recent_speed, round(overall, 9) AS global_speed, CASE WHEN current = total THEN 0.0 WHEN recent = 'inf'::DOUBLE THEN recent ELSE floor(1000.0 * (total - current) / recent + 0.5) END AS eta_ms, round(CASE WHEN total <= 0 THEN 100.0 ELSE 100.0 * current / total END, 6) AS percent FROM s"
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.select("event_id", F.round("recent_speed", 9).alias("recent_speed"), F.round("global_speed", 9).alias("global_speed"), "eta_ms", F.round("percent", 6).alias("percent"))
+
+
+@query("w1_w4_progress", _PROGRESS)
 def w1(spark, sf):
-    return wn.with_progress(v.progress(spark, sf)).select("event_id", F.round("recent_speed", 9).alias("recent_speed"), F.round("global_speed", 9).alias("global_speed"), "eta_ms", F.round("percent", 6).alias("percent"))
+    return _rounded(wn.with_progress(v.progress(spark, sf)))
+
+
+@query("w1_w4_progress_by_ranges", _PROGRESS)
+def w1_ranges(spark, sf):
+    return _rounded(wn.with_progress_by_ranges(v.progress(spark, sf)))
 
 
 @query("w5_keep_latest", "SELECT user_id, event_type, max(event_id) AS event_id FROM events GROUP BY user_id, event_type")

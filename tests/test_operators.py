@@ -225,6 +225,22 @@ def test_single_sample_is_measured_from_the_start(spark):
     assert got == [(float("inf"), float("inf"), 20.0), (2.0, 2000.0, 60.0), (0.0, 0.0, 100.0)]
 
 
+@pytest.mark.parametrize("history", [1, 3, 8])
+def test_progress_by_ranges_is_that_of_whole_series(spark, history):
+    rng = random.Random(history)
+    rows = [(("hot", "b", None)[0 if k % 3 else rng.randrange(3)], k, at(k // 4), float(rng.randrange(5)), 400.0) for k in range(200)]
+    df = spark.createDataFrame(rows, "series string, event_id long, ts timestamp, value double, total double")
+    want = windows.with_progress(df, history).orderBy("event_id").collect()
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "9")
+    try:
+        got = windows.with_progress_by_ranges(df, history).orderBy("event_id").collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert got == want and len(got) == 200
+
+
 def test_throttled_stream_equals_batch(spark, tmp_path):
     rows = [("a", at(i / 4), 1.0) for i in range(20)] + [("a", at(100), 1.0)]
     df = spark.createDataFrame(rows, "series string, ts timestamp, value double")

@@ -88,6 +88,16 @@ def stop_at_first_failure(commands: DataFrame, order: list[str], transition: str
     return commands.withColumn("executed", ~F.coalesce(F.bool_or(F.col(exit_code) != 0).over(before), F.lit(False)))
 
 
+def stop_at_first_failure_by_minimum(commands: DataFrame, order: list[str], transition: str = "transition_id", exit_code: str = "exit_code") -> DataFrame:
+    """``stop_at_first_failure`` for transitions with more commands than one task takes: the place of the first failure is a
+    minimum, reduced before it is shuffled, and commands are compared with it where the join brings them. Places that tie with
+    the first failure count as before it."""
+    place = F.struct(*order)
+    failed = commands.where(F.coalesce(F.col(exit_code) != 0, F.lit(False))).groupBy(F.col(transition).alias("__of")).agg(F.min(place).alias("__first"))
+    joined = commands.join(failed, F.col(transition).eqNullSafe(F.col("__of")), "left")
+    return joined.withColumn("executed", F.col("__first").isNull() | (place <= F.col("__first"))).drop("__of", "__first")
+
+
 def first_reason(reasons: DataFrame, by: str = "transition_id") -> DataFrame:
     """(``by``, reason, all_reasons): the bits of the first flagged dependency, else of the first flagged output; and all
     bits. ``reasons``: role (``dependency`` or ``output``), ord, bits; where a row stands for several, bits are those of the

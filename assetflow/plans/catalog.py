@@ -78,7 +78,7 @@ def s3(spark, sf):
     return seconds(scan.as_assets(v.assets(spark, sf).select("path", "ord", "size", "mtime"), pr.wildcard_regex("*/e?/doc_##.txt")).drop("captures"), "mtime")
 
 
-@query("s1_s3_scan_files", "SELECT k AS scan, source, lang FROM (SELECT DISTINCT source, lang FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL), (VALUES ('regex'), ('recursive'), ('wildcard')) s(k) WHERE k <> 'wildcard' OR lang = 'en'")
+@query("s1_s3_scan_files", "SELECT k AS scan, source, lang FROM (SELECT DISTINCT source, lang FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL), (VALUES ('regex'), ('levels'), ('recursive'), ('wildcard')) s(k) WHERE k <> 'wildcard' OR lang = 'en'")
 def s1_files(spark, sf):
     # Real files: one or more for each source and language, found again by each kind of scan.
     root = f"{store.shared_folder(spark).rstrip('/')}/files-{uuid.uuid4().hex}"
@@ -88,11 +88,12 @@ def s1_files(spark, sf):
     named = spark.range(1).select(plain.alias("p")).first()[0]
     out = {
         "regex": scan.scan_regex(spark, re.sub(r"([^A-Za-z0-9/])", r"\\\1", named) + "/" + below),
+        "levels": scan.scan_by_levels(spark, re.sub(r"([^A-Za-z0-9/])", r"\\\1", named) + "/" + below),
         "recursive": scan.scan_recursive(spark, root, below),
         "wildcard": scan.scan_wildcard(spark, root, "source=*/lang=en/*.parquet").withColumn("captures", F.create_map(F.lit("source"), F.regexp_extract("path", "source=([^/]+)", 1), F.lit("lang"), F.lit("en"))),
     }
     made = [df.select(F.lit(k).alias("scan"), F.col("captures")["source"].alias("source"), F.col("captures")["lang"].alias("lang")) for k, df in out.items()]
-    return made[0].unionByName(made[1]).unionByName(made[2]).distinct()
+    return st.union_all(*made).distinct()
 
 
 @query("s4_scan_list", f"SELECT {_ASSET} FROM v_assets WHERE path IN (SELECT replace(path, '.out', '.txt') FROM v_outputs)")
@@ -426,10 +427,21 @@ def w5(spark, sf):
     return wn.keep_latest(v.read(spark, sf, "events").select("user_id", "event_type", "event_id"), ["user_id", "event_type"], ["event_id"])
 
 
-@query("w6_stop_at_first_failure", "SELECT transition_id, count(*) FILTER (executed) AS executed, count(*) FILTER (NOT executed) AS skipped FROM (SELECT transition_id, NOT coalesce(bool_or(exit_code <> 0) OVER (PARTITION BY transition_id ORDER BY cmd_ord, part, supp, price, exit_code ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS executed FROM v_commands) GROUP BY transition_id")
+_EXECUTED = "SELECT transition_id, count(*) FILTER (executed) AS executed, count(*) FILTER (NOT executed) AS skipped FROM (SELECT transition_id, NOT coalesce(bool_or(exit_code <> 0) OVER (PARTITION BY transition_id ORDER BY cmd_ord, part, supp, price, exit_code ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS executed FROM v_commands) GROUP BY transition_id"
+
+
+def _executed(df: DataFrame) -> DataFrame:
+    return df.groupBy("transition_id").agg(F.count_if("executed").alias("executed"), F.count_if(~F.col("executed")).alias("skipped"))
+
+
+@query("w6_stop_at_first_failure", _EXECUTED)
 def w6(spark, sf):
-    out = wn.stop_at_first_failure(v.commands(spark, sf), ["cmd_ord", "part", "supp", "price", "exit_code"])
-    return out.groupBy("transition_id").agg(F.count_if("executed").alias("executed"), F.count_if(~F.col("executed")).alias("skipped"))
+    return _executed(wn.stop_at_first_failure(v.commands(spark, sf), ["cmd_ord", "part", "supp", "price", "exit_code"]))
+
+
+@query("w6_first_failure_by_minimum", _EXECUTED)
+def w6_minimum(spark, sf):
+    return _executed(wn.stop_at_first_failure_by_minimum(v.commands(spark, sf), ["cmd_ord", "part", "supp", "price", "exit_code"]))
 
 
 @query("w7_first_reason", "WITH b AS (SELECT transition_id, dep_ord * 4 + CASE l_returnflag WHEN 'R' THEN 1 WHEN 'N' THEN 2 ELSE 3 END AS ord, CASE l_returnflag WHEN 'R' THEN 1 WHEN 'N' THEN 4 ELSE 0 END AS bits FROM v_edges WHERE dependency IS NOT NULL) SELECT transition_id, coalesce(min_by(bits, ord) FILTER (bits <> 0), 0)::BIGINT AS reason, bit_or(bits)::BIGINT AS all_reasons FROM b GROUP BY transition_id")

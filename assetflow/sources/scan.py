@@ -7,13 +7,18 @@ assets is that of their paths.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from urllib.parse import quote
 
+import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.predicates import named_captures, overlay, positional_captures, whole, wildcard_regex
 from ..operators.windows import ranked
 from ..schema import EXISTS, PERMANENT
+from .store import checkpointed
 
 _SPECIAL = re.compile(r"[\\.^$*+?()\[\]{}|]")
 
@@ -74,6 +79,48 @@ def scan_regex(spark: SparkSession, pattern: str) -> DataFrame:
     return match_elements(listing(spark, root, not flat), pattern)
 
 
+def _entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """What each directory holds, one row an entry. A directory that is gone by now holds nothing."""
+    for rows in batches:
+        for uri in rows["uri"]:
+            system, path = fs.FileSystem.from_uri(uri)
+            found = system.get_file_info(fs.FileSelector(path, allow_not_found=True))
+            out = [(f"{uri.rstrip('/')}/{quote(x.base_name)}", x.base_name, x.type == fs.FileType.Directory, x.size, x.mtime_ns) for x in found]
+            yield pd.DataFrame(out, columns=["uri", "name", "is_directory", "size", "time"]).astype({"size": "Int64", "time": "Int64"})
+
+
+def frontiers(spark: SparkSession, pattern: str) -> tuple[DataFrame, list[DataFrame]]:
+    """(path, size, mtime, uri) of the files at the pattern's depth, and the directories that were listed for it, level by level.
+    Each level is listed in tasks and cut by its own element of the pattern, so what the pattern rules out isn't listed, and
+    the listing is never with the driver. An element that isn't a pattern by itself (a group that spans several) cuts
+    nothing here. For file systems that Arrow opens by URI."""
+    root = literal_prefix(pattern)
+    parts = pattern.split("/")[len(root.split("/")) if root not in ("/", ".") else (1 if root == "/" else 0) :]
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    top = re.sub(r"\Afile:/*", "file:///", system.makeQualified(path).toUri().toString())
+    level, listed = spark.createDataFrame([(top,)], "uri string"), []
+    for i, part in enumerate(parts):
+        listed.append(level)
+        spread = level.repartition(spark.sparkContext.defaultParallelism) if i else level
+        found = spread.mapInPandas(_entries, "uri string, name string, is_directory boolean, size long, time long")
+        try:
+            re.compile(re.sub(r"\(\?<([a-zA-Z])", r"(?P<\1", part))
+            found = found.where(F.col("name").rlike(whole(part)))
+        except re.error:
+            pass
+        last = i == len(parts) - 1
+        found = checkpointed(found.where(~F.col("is_directory") if last else F.col("is_directory")))
+        level = found.select("uri")
+    stem = plain_path(F.url_decode(F.regexp_replace("uri", r"\+", "%2B")))
+    return found.select(stem.alias("path"), "size", F.timestamp_micros((F.col("time") / 1000).cast("long")).alias("mtime"), "uri"), listed
+
+
+def scan_by_levels(spark: SparkSession, pattern: str) -> DataFrame:
+    """``scan_regex`` for trees with many directories that the pattern rules out. The path is absolute."""
+    return match_elements(frontiers(spark, pattern)[0], pattern)
+
+
 def _below(spark: SparkSession, root: str) -> DataFrame:
     """Files with their path below ``root``, which may be a URI."""
     plain = re.sub(r"\A[A-Za-z][A-Za-z0-9+.-]*:(?://[^/]*)?/*", "/", root).rstrip("/")

@@ -147,8 +147,9 @@ def test_temporary_states_are_those_of_the_closure(spark):
 
 def test_commands_up_to_the_first_failure(spark):
     rows = [("a", 1, 0), ("a", 2, 3), ("a", 3, 0), ("b", 1, 0), ("b", 2, None), (None, 1, 1), (None, 2, 0)]
-    got = windows.stop_at_first_failure(spark.createDataFrame(rows, "transition_id string, cmd_ord int, exit_code int"), ["cmd_ord"])
-    assert {(r["transition_id"], r["cmd_ord"]): r["executed"] for r in got.collect()} == {("a", 1): True, ("a", 2): True, ("a", 3): False, ("b", 1): True, ("b", 2): True, (None, 1): True, (None, 2): False}
+    for stop in (windows.stop_at_first_failure, windows.stop_at_first_failure_by_minimum):
+        got = stop(spark.createDataFrame(rows, "transition_id string, cmd_ord int, exit_code int"), ["cmd_ord"])
+        assert {(r["transition_id"], r["cmd_ord"]): r["executed"] for r in got.collect()} == {("a", 1): True, ("a", 2): True, ("a", 3): False, ("b", 1): True, ("b", 2): True, (None, 1): True, (None, 2): False}
 
 
 def test_combined_parts_are_pieces_of_the_whole(spark):

@@ -2,6 +2,7 @@
 
 import datetime
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -296,6 +297,21 @@ def test_edges_on_demand(spark):
     assert one[0]["n_dependencies"] == 2 and one[0]["digest"] != other[0]["digest"]
 
 
+def test_directories_that_the_pattern_rules_out_are_not_listed(spark, tmp_path):
+    for a in ("en", "fr", "de", "e+n %"):
+        for k in range(6):
+            (tmp_path / a / f"d{k}" / "deep").mkdir(parents=True)
+            (tmp_path / a / f"d{k}" / f"x {k}.txt").write_text("abc")
+    root = str(tmp_path)
+    pattern = re.sub(r"([^A-Za-z0-9/])", r"\\\1", root) + r"/(?<lang>e.*)/d[12]/.*\.txt"
+    files, listed = scan.frontiers(spark, pattern)
+    assert [df.count() for df in listed] == [1, 2, 4]
+    got = scan.scan_by_levels(spark, pattern).orderBy("path").collect()
+    want = scan.scan_regex(spark, pattern).orderBy("path").collect()
+    assert [(r["path"], r["size"], r["captures"]["lang"], r["ord"]) for r in got] == [(r["path"], r["size"], r["captures"]["lang"], r["ord"]) for r in want] and len(got) == 4
+    assert all(abs(a["mtime"] - b["mtime"]) < datetime.timedelta(seconds=1) for a, b in zip(got, want, strict=True))
+
+
 def test_scans_are_in_order_of_paths(spark, tmp_path):
     names = [f"f{k}.txt" for k in (10, 2, 1, 33, 4)]
     for n in names:

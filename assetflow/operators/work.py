@@ -6,7 +6,11 @@ from collections.abc import Callable, Iterator, Sequence
 from datetime import UTC, datetime
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..sources.store import checkpointed
 
 LOG = "state string, exit_code int, started timestamp, ended timestamp, result string, error string, ran int"
 
@@ -65,20 +69,37 @@ def run_all(inputs: DataFrame, by: list[str], work: Callable, checking: bool = T
     return inputs.groupBy(*by).applyInPandas(run, schema)
 
 
-def run_all_merged(inputs: DataFrame, by: list[str], part: Callable, merge: Callable, checking: bool = True) -> DataFrame:
+#: Results that one call of a merge takes.
+MERGED_AT_ONCE = 1000
+
+
+def run_all_merged(inputs: DataFrame, by: list[str], part: Callable, merge: Callable, checking: bool = True, order: list[str] | None = None, width: int = MERGED_AT_ONCE) -> DataFrame:
     """``run_all`` for groups that don't fit one task, where the work can be parted: ``part`` gets the rows of a group in each
-    Arrow batch where they lie, and ``merge`` the list of the parts' results as strings, in no order. Rows aren't shuffled. A
-    part that fails is its group's outcome."""
-    schema = ", ".join([f"`{k}` {inputs.schema[k].dataType.simpleString()}" for k in by] + [LOG])
+    Arrow batch where they lie, and ``merge`` lists of up to ``width`` results as strings, of parts and then of merges, until a
+    group has one; so no task holds all of a group's parts. With ``order`` the rows are dealt by ranges of these columns first,
+    and results stay in that order; without, rows aren't shuffled and results come in the order of partitions. A part that
+    fails is its group's outcome."""
+    schema = ", ".join([f"`{k}` {inputs.schema[k].dataType.simpleString()}" for k in by] + [LOG, "__place long"])
+    names = [*by, *(x.split()[0] for x in LOG.split(", ")), "__place"]
 
     def parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            out = [{k: None if pd.isna(v) else v for k, v in zip(by, key, strict=True)} | _attempt(part, own, checking) for key, own in rows.groupby(by, dropna=False, sort=False)]
-            yield pd.DataFrame(out, columns=[*by, *(x.split()[0] for x in LOG.split(", "))])
+        for number, rows in enumerate(batches):
+            place = (TaskContext.get().partitionId() << 32) + number
+            out = [{k: None if pd.isna(v) else v for k, v in zip(by, key, strict=True)} | _attempt(part, own, checking) | {"__place": place} for key, own in rows.groupby(by, dropna=False, sort=False)]
+            yield pd.DataFrame(out, columns=names)
 
     def whole(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("__place")
         failed = rows[rows["state"] == "FAILED"].sort_values("started")
         outcome = failed.iloc[0].to_dict() if len(failed) else _attempt(merge, rows["result"].tolist(), checking)
-        return pd.DataFrame([outcome | dict(zip(by, key, strict=True)) | {"started": rows["started"].min()}])
-
-    return inputs.mapInPandas(parts, schema).groupBy(*by).applyInPandas(whole, schema)
+        return pd.DataFrame([outcome | dict(zip([*by, "__place"], key, strict=True)) | {"started": rows["started"].min()}], columns=names)
+
+    if order:
+        inputs = inputs.repartitionByRange(*order).sortWithinPartitions(*order)
+    results = checkpointed(inputs.mapInPandas(parts, schema))
+    while True:
+        rank = F.row_number().over(Window.partitionBy(*by).orderBy("__place")) - 1
+        results = results.withColumn("__run", F.floor(rank / width).cast("long"))
+        results = checkpointed(results.groupBy(*by, "__run").applyInPandas(lambda key, rows: whole(key, rows.drop(columns="__run")), schema))
+        if not results.where("__place > 0").limit(1).count():
+            return results.drop("__place")

@@ -421,6 +421,19 @@ def v2_merged(spark, sf):
     return wk.run_all_merged(docs, ["source"], lambda rows: int(rows["n_chars"].sum()), lambda sums: sum(map(int, sums))).select("source", "state", "result")
 
 
+@query("v2_merged_in_order", "SELECT source, 'FINISHED' AS state, min(doc_id) || ':' || max(doc_id) || ':' || count(*) || ':True' AS result FROM documents GROUP BY source")
+def v2_in_order(spark, sf):
+    # First and last document of each source, and whether they come in order throughout.
+    def joined(results: list[str]) -> str:
+        cut = [r.split(":") for r in results]
+        fits = all(c[3] == "True" for c in cut) and all(int(a[1]) < int(b[0]) for a, b in zip(cut[:-1], cut[1:], strict=True))
+        return f"{cut[0][0]}:{cut[-1][1]}:{sum(int(c[2]) for c in cut)}:{fits}"
+
+    part = lambda rows: joined([f"{i}:{i}:1:True" for i in rows["doc_id"]])
+    docs = v.read(spark, sf, "documents").select("source", "doc_id")
+    return wk.run_all_merged(docs, ["source"], part, joined, order=["source", "doc_id"]).select("source", "state", "result")
+
+
 @query("x1_throttled_progress", "SELECT series, epoch(date_trunc('second', ts))::BIGINT AS second, count(*) AS n, sum(value) AS value FROM v_progress GROUP BY 1, 2")
 def x1(spark, sf):
     return seconds(throttled_progress(v.progress(spark, sf)), "second")

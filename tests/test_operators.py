@@ -177,6 +177,24 @@ def test_work_on_groups_in_parts(spark):
     assert got["b"]["state"] == "FAILED" and got["b"]["exit_code"] == -1 and "broken" in got["b"]["error"]
 
 
+def test_work_in_parts_keeps_its_order_over_levels(spark):
+    n = 1000
+    df = spark.range(n).select((F.col("id") % 2).alias("g"), F.when(F.col("id") % 10 == 0, "x").otherwise("y").alias("h"), F.col("id").alias("n")).repartition(7)
+    sizes = spark.sparkContext.accumulator(0)
+
+    def merge(results):
+        assert len(results) <= 3
+        sizes.add(1)
+        return "".join(results)
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20")
+    try:
+        got = work.run_all_merged(df, ["g"], lambda rows: "".join(f"{k} " for k in rows["n"]), merge, order=["n"], width=3).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {r["g"]: r["result"].split() for r in got} == {g: [str(k) for k in range(g, n, 2)] for g in (0, 1)} and sizes.value > 10
+
+
 def test_all_compares_every_input(spark):
     row = spark.createDataFrame([("o", 0, at(5), 17, at(9), None, False)], "output string, flags long, out_mtime timestamp, in_flags long, in_mtime timestamp, dep_mtime timestamp, any_build boolean")
     assert incremental.mark_outputs(row, kind="all").first()["flags"] == 20

@@ -263,7 +263,8 @@ def test_forced_assets_in_any_graph(spark):
 def test_places_of_many_outputs_and_long_chains(spark):
     given = inputs(spark, "in0", "in1").withColumn("ord", F.xxhash64("path"))
     first, second = [r["path"] for r in given.orderBy("ord").collect()]
-    made = blocks.foreach(given, {f"destination[{k:04d}]": f"{{?}}.{k:04d}" for k in range(1500)})
+    made = given.select(F.col("ord").alias("transition_id"), "path", "flags", "captures").crossJoin(spark.range(1500).select(F.col("id").cast("int").alias("out_ord")))
+    made = made.withColumn("output", F.format_string("%s.%04d", "path", "out_ord")).repartition(5)
     assert [r["path"] for r in blocks.as_inputs(made).orderBy("ord").collect()] == [f"{p}.{k:04d}" for p in (first, second) for k in range(1500)]
     step = lambda df: blocks.as_inputs(blocks.foreach(df, {"destination": "{?}a", "destination[0]": "{?}b"}))
     out = blocks.then(*[step] * 8)(given).orderBy("ord").collect()

@@ -12,9 +12,10 @@ def with_progress(df: DataFrame, history: int = 3, series: str = "series", ts: s
     """current, recent_speed, global_speed, eta_ms and percent after each sample of a series.
 
     The recent speed is what the last ``history`` samples add, the first of them left out, over the time they span; with a
-    single sample it is measured from the start, which is the series' first time."""
+    single sample it is measured from the start, which is the series' first time. Samples that ``ts`` and ``tie`` don't tell
+    apart count together: each of them has the sum that is reached after all."""
     w = Window.partitionBy(series).orderBy(ts, tie)
-    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    so_far = w.rangeBetween(Window.unboundedPreceding, Window.currentRow)
     out = df.withColumn("current", F.sum(value).over(so_far)).withColumn("__start", F.first(ts).over(so_far))
     return _speeds(out, w.rowsBetween(-(history - 1), 0), ts, value, total)
 

@@ -244,6 +244,14 @@ def test_single_sample_is_measured_from_the_start(spark):
     assert got == [(float("inf"), float("inf"), 20.0), (2.0, 2000.0, 60.0), (0.0, 0.0, 100.0)]
 
 
+@pytest.mark.parametrize("progress", [windows.with_progress])
+def test_samples_that_tie_count_together(spark, progress):
+    rows = [("s", 1, at(0), 2.0, 20.0)] * 2 + [("s", 2, at(2), 3.0, 20.0)] * 3 + [("s", 3, at(2), 7.0, 20.0)]
+    df = spark.createDataFrame(rows, "series string, event_id long, ts timestamp, value double, total double")
+    got = progress(df).select("event_id", "current", "percent", "global_speed").collect()
+    assert sorted(map(tuple, got)) == [(1, 4.0, 20.0, float("inf"))] * 2 + [(2, 13.0, 65.0, 6.5)] * 3 + [(3, 20.0, 100.0, 0.0)]
+
+
 @pytest.mark.parametrize("history", [1, 3, 8])
 def test_progress_by_ranges_is_that_of_whole_series(spark, history):
     rng = random.Random(history)

@@ -40,7 +40,8 @@ def _speeds(out: DataFrame, recent: Window, ts: str, value: str, total: str) ->
 def with_progress_by_ranges(df: DataFrame, history: int = 3, series: str = "series", ts: str = "ts", value: str = "value", total: str = "total", tie: str = "event_id") -> DataFrame:
     """``with_progress`` for series that don't fit one task. The samples are dealt by ranges of series and time; each range adds
     up its own, from the sums and the start that the ranges before it carry over, and begins with a halo: the last
-    ``history`` - 1 samples of its first series before it. What is carried is a row for each range and series."""
+    ``history`` - 1 samples of its first series before it. What is carried is a row for each range and series. Samples that tie
+    are in one range, so their sum is complete there."""
     dealt = checkpointed(df.repartitionByRange(F.col(series), F.col(ts), F.col(tie)).withColumn("__range", F.spark_partition_id()))
     keep, own = history - 1, ["__range", series]
     last = Window.partitionBy(*own).orderBy(F.desc(ts), F.desc(tie))
@@ -58,7 +59,7 @@ def with_progress_by_ranges(df: DataFrame, history: int = 3, series: str = "seri
     halos = carried.select(F.col("__of").alias("__range"), F.col("__series").alias(series), F.explode("__halo").alias("__h")).select("__range", series, "__h.*", F.lit(False).alias("__own"))
     w = Window.partitionBy(*own).orderBy(ts, tie)
     out = rows.unionByName(halos, allowMissingColumns=True)
-    out = out.withColumn("current", F.col("__carried") + F.sum(F.when(F.col("__own"), F.col(value))).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    out = out.withColumn("current", F.col("__carried") + F.sum(F.when(F.col("__own"), F.col(value))).over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow)))
     return _speeds(out, w.rowsBetween(-keep, 0), ts, value, total).where("__own").drop("__own", "__range", "__carried").select(*df.columns, "current", "recent_speed", "global_speed", "eta_ms", "percent")
 
 

@@ -244,7 +244,7 @@ def test_single_sample_is_measured_from_the_start(spark):
     assert got == [(float("inf"), float("inf"), 20.0), (2.0, 2000.0, 60.0), (0.0, 0.0, 100.0)]
 
 
-@pytest.mark.parametrize("progress", [windows.with_progress])
+@pytest.mark.parametrize("progress", [windows.with_progress, windows.with_progress_by_ranges])
 def test_samples_that_tie_count_together(spark, progress):
     rows = [("s", 1, at(0), 2.0, 20.0)] * 2 + [("s", 2, at(2), 3.0, 20.0)] * 3 + [("s", 3, at(2), 7.0, 20.0)]
     df = spark.createDataFrame(rows, "series string, event_id long, ts timestamp, value double, total double")

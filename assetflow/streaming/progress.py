@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -62,31 +62,49 @@ def write_listing(assets: DataFrame, folder: str, number: int) -> None:
     assets.select("path", F.col("size").cast("long").alias("size"), F.col("mtime").cast("timestamp").alias("mtime"), F.lit(number).cast("long").alias("listed")).write.mode("append").parquet(folder)
 
 
-def changed_assets(listings: DataFrame) -> DataFrame:
-    """Rows of a stream of listings (LISTING) whose path is new, whose time is later by a second or more than when the path last
-    came out, or whose size is another. The stream keeps the time and size of each path."""
+def changed_assets(known: DataFrame, listings: DataFrame) -> DataFrame:
+    """(path, time, size, came): the state of each path after a batch of listings (LISTING), from that before (path, time in
+    microseconds, size, -1 for none). ``came`` has the rows, in the order of listings, whose path is new, whose time is later by
+    a second or more than when the path last came out, or whose size is another."""
+    places = [F.col("listed"), F.col("mtime").isNull(), F.col("mtime"), F.col("size").isNull(), F.col("size")]
+    row = F.struct(*[p.alias(f"p{k}") for k, p in enumerate(places)], F.unix_micros("mtime").alias("time"), F.coalesce("size", F.lit(-1)).alias("bytes"))
+    rows = listings.groupBy("path").agg(F.sort_array(F.collect_list(row)).alias("__rows"))
+    before = known.select("path", "time", "size", F.lit(True).alias("known"))
+    one = lambda x: F.struct(x["p4"].alias("size"), x["p2"].alias("mtime"), x["p0"].alias("listed"))
+
+    def step(state: Column, x: Column) -> Column:
+        later = F.coalesce(x["time"] >= state["time"] + 1_000_000, F.lit(False))
+        comes = ~state["known"] | later | (x["bytes"] != state["size"]) | (state["time"].isNull() != x["time"].isNull())
+        after = F.struct(F.lit(True).alias("known"), x["time"].alias("time"), x["bytes"].alias("size"), F.concat(state["came"], F.array(one(x))).alias("came"))
+        return F.when(comes, after).otherwise(state)
+
+    none = F.array().cast("array<struct<size: bigint, mtime: timestamp, listed: bigint>>")
+    start = F.struct(F.coalesce("known", F.lit(False)).alias("known"), F.col("time"), F.coalesce("size", F.lit(-1).cast("long")).alias("size"), none.alias("came"))
+    joined = before.join(rows, "path", "full").withColumn("__start", start)
+    state = F.when(F.col("__rows").isNull(), F.col("__start")).otherwise(F.aggregate("__rows", F.col("__start"), step))
+    return joined.select("path", state.alias("__state")).select("path", "__state.time", "__state.size", "__state.came")
 
-    def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        known = state.get if state.exists else None
-        out = []
-        for row in pd.concat(list(frames)).sort_values(["listed", "mtime", "size"]).itertuples(index=False):
-            size, time = (-1 if pd.isna(row.size) else int(row.size)), (None if pd.isna(row.mtime) else row.mtime.value // 1000)
-            later = known is not None and time is not None and known[0] is not None and time >= known[0] + 1_000_000
-            if known is None or later or size != known[1] or (known[0] is None) != (time is None):
-                known = (time, size)
-                out.append(row)
-        if out:
-            state.update(known)
-        yield pd.DataFrame(out, columns=["path", "size", "mtime", "listed"]).astype({"size": "Int64"})
 
-    return listings.groupBy("path").applyInPandasWithState(update, LISTING, "time long, size long", "append", GroupStateTimeout.NoTimeout)
+STATE = "path string, time long, size long, came array<struct<size: bigint, mtime: timestamp, listed: bigint>>"
 
 
 def incremental_arrivals(spark: SparkSession, folder: str, checkpoint: str, apply: Callable[[DataFrame, int], None]) -> StreamingQuery:
-    """New and changed files of the listings in ``folder`` since the last run, each once, through ``apply`` (batch, number).
-    ``apply`` has to give the same result when a number is repeated, which ``manifest_sink`` does."""
-    changed = changed_assets(spark.readStream.schema(LISTING).parquet(folder))
-    return changed.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """New and changed files of the listings in ``folder`` since the last run, each once, through ``apply`` (batch, number); a
+    batch without any isn't handed on. ``apply`` has to give the same result when a number is repeated, which ``manifest_sink``
+    does. The state of all paths lies beside the checkpoint, in two folders that take turns, so a batch that is repeated finds
+    that of the batch before; it is joined with each batch and written anew."""
+
+    def each(batch: DataFrame, number: int) -> None:
+        session = batch.sparkSession
+        slot = lambda n: f"{checkpoint.rstrip('/')}-known/{n % 2}"
+        known = session.createDataFrame([], STATE) if number == 0 else session.read.schema(STATE).parquet(slot(number - 1))
+        changed_assets(known, batch).write.mode("overwrite").parquet(slot(number))
+        came = session.read.schema(STATE).parquet(slot(number)).select("path", F.explode("came").alias("__row")).select("path", "__row.*")
+        if came.limit(1).count():
+            apply(came, number)
+
+    listings = spark.readStream.schema(LISTING).parquet(folder)
+    return listings.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def manifest_sink(spark: SparkSession, root: str, flags: int = 0) -> Callable[[DataFrame, int], None]:

@@ -12,7 +12,7 @@ from assetflow.operators import aggregates, blocks, incremental, joins, manifest
 from assetflow.plans.pipeline import incremental_run
 from assetflow.plans.template import Template
 from assetflow.sources import scan, store
-from assetflow.streaming.progress import incremental_arrivals, manifest_sink, throttled_progress, timed_progress, write_listing
+from assetflow.streaming.progress import LISTING, STATE, changed_assets, incremental_arrivals, manifest_sink, throttled_progress, timed_progress, write_listing
 
 T0 = datetime.datetime(2024, 1, 1)
 
@@ -379,3 +379,22 @@ def test_cycles_are_an_error(spark):
     edges = spark.createDataFrame([("a", "r"), ("b", "a"), ("a", "b")], "output string, dependency string")
     with pytest.raises(ValueError, match="cycle"):
         incremental.dag_level(edges, most_rounds=6)
+
+
+def test_changes_of_a_batch_of_listings_without_python(spark, capsys):
+    rng = random.Random(7)
+    rows = [(f"p{k % 9}", rng.choice([None, 1, 2]), rng.choice([None, at(0), at(0.5), at(1), at(3)]), k // 9) for k in range(108)]
+    seen, want = {"p0": (at(0), 1), "old": (None, -1)}, []
+    known = spark.createDataFrame([("p0", None, 1, []), ("old", None, -1, [])], STATE).withColumn("time", F.when(F.col("path") == "p0", F.unix_micros(F.lit(at(0)))))
+    for path, size, time_, number in rows:
+        last, bytes_ = seen.get(path), -1 if size is None else size
+        later = last is not None and None not in (time_, last[0]) and (time_ - last[0]).total_seconds() >= 1
+        if last is None or later or bytes_ != last[1] or (last[0] is None) != (time_ is None):
+            seen[path] = (time_, bytes_)
+            want.append((path, size, time_, number))
+    out = changed_assets(known, spark.createDataFrame(rows, LISTING))
+    out.explain()
+    assert not any(x in capsys.readouterr().out for x in ("Python", "Pandas"))
+    got = out.collect()
+    assert sorted(((r["path"], *x) for r in got for x in r["came"]), key=lambda x: (x[0], x[3])) == sorted(want, key=lambda x: (x[0], x[3]))
+    assert {r["path"]: r["size"] for r in got} == {k: v[1] for k, v in seen.items()}

@@ -6,14 +6,20 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def _before(c: Column, end: Column) -> Column:
+    """``c`` without ``end``, which it ends in."""
+    return F.left(c, F.length(c) - F.length(end))
+
+
 def directory(c: Column) -> Column:
     """Parent: without the last element; ``/a`` has ``/``, ``/`` and a bare name have none."""
-    return F.when(c == "/", "").when(c.rlike(r"\A/[^/]+\z"), "/").otherwise(F.regexp_extract(c, r"(?s)\A(.*[^/])/+[^/]*\z", 1))
+    head = _before(c, F.substring_index(c, "/", -1))
+    return F.when(c == "/", "").when(head == "/", "/").otherwise(F.rtrim(head, F.lit("/")))
 
 
 def filename(c: Column) -> Column:
     """Last element; ``.`` behind a trailing slash."""
-    return F.when(c.isin("/", ""), c).when(c.endswith("/"), ".").otherwise(F.regexp_extract(c, r"(?s)([^/]*)\z", 1))
+    return F.when(c.isin("/", ""), c).when(c.endswith("/"), ".").otherwise(F.substring_index(c, "/", -1))
 
 
 def _dotted(name: Column) -> Column:
@@ -23,13 +29,13 @@ def _dotted(name: Column) -> Column:
 def stem(c: Column) -> Column:
     """File name without its extension."""
     name = filename(c)
-    return F.when(_dotted(name), F.regexp_extract(name, r"(?s)\A(.*)\.", 1)).otherwise(name)
+    return F.when(_dotted(name), _before(name, F.concat(F.lit("."), F.substring_index(name, ".", -1)))).otherwise(name)
 
 
 def extension(c: Column) -> Column:
     """From the last dot on, the dot included; none is empty."""
     name = filename(c)
-    return F.when(_dotted(name), F.regexp_extract(name, r"(?s)(\.[^.]*)\z", 1)).when(c.isNotNull(), "")
+    return F.when(_dotted(name), F.concat(F.lit("."), F.substring_index(name, ".", -1))).when(c.isNotNull(), "")
 
 
 def correct_separator(c: Column) -> Column:

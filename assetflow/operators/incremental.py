@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from functools import reduce
 from itertools import count
 
@@ -67,7 +67,7 @@ def build_plan(reasons: DataFrame) -> DataFrame:
     return reasons.where("reason <> 0").withColumn("text", F.concat(F.lit("["), reason_string(F.col("reason")), F.lit("]")))
 
 
-class _Rounds:
+class Rounds:
     """What the rounds of a walk have found. Each round adds its own rows; eight tables of about one size become one, so rows
     are written again as often as the logarithm of the number of rounds says, and plans stay short."""
 
@@ -90,11 +90,17 @@ PLAIN_ROUNDS = 8
 
 def propagate_forced(nodes: DataFrame, edges: DataFrame, most_rounds: int | None = None, plain_rounds: int = PLAIN_ROUNDS) -> DataFrame:
     """(path, forced): everything that depends on a forced asset is forced. ``nodes``: path, forced; ``edges``: output,
-    dependency. Each round joins only the assets that the round before has reached, until there are none. A walk that isn't over
+    dependency. See ``forced_paths`` for the rounds."""
+    reached = forced_paths(nodes, edges, most_rounds, plain_rounds)
+    return nodes.select("path").join(reached.withColumn("__f", F.lit(True)), "path", "left").select("path", F.coalesce("__f", F.lit(False)).alias("forced"))
+
+
+def forced_paths(nodes: DataFrame, edges: DataFrame, most_rounds: int | None = None, plain_rounds: int = PLAIN_ROUNDS) -> DataFrame:
+    """The paths, each once, of ``propagate_forced`` that are forced. Each round joins only the assets that the round before has reached, until there are none. A walk that isn't over
     after ``plain_rounds`` goes on with the chains in one piece (``_along_chains``): a chain of n assets takes log n rounds. With
     ``most_rounds`` there are only plain rounds, and a walk that isn't over after them is an error."""
     front = checkpointed(nodes.where("forced").select("path").distinct())
-    reached = _Rounds(front)
+    reached = Rounds(front)
     for done in count():
         if most_rounds is None and done == plain_rounds:
             reached.add(_along_chains(edges, reached.all()))
@@ -106,7 +112,7 @@ def propagate_forced(nodes: DataFrame, edges: DataFrame, most_rounds: int | None
         if done == most_rounds:
             raise ValueError(f"forced assets reach further than {most_rounds} steps")
         reached.add(front)
-    return nodes.select("path").join(reached.all().withColumn("__f", F.lit(True)), "path", "left").select("path", F.coalesce("__f", F.lit(False)).alias("forced"))
+    return reached.all()
 
 
 def chain_heads(edges: DataFrame, reached: DataFrame) -> DataFrame:
@@ -142,7 +148,7 @@ def _along_chains(edges: DataFrame, reached: DataFrame) -> DataFrame:
     steps = edges.join(several, "output", "left_semi").join(heads, F.col("dependency") == F.col("__chain"), "left").join(known, F.col("dependency") == F.col("__reached"), "left")
     steps = checkpointed(steps.select("output", F.coalesce("__head", "dependency").alias("dependency"), (F.coalesce("__hit", F.lit(False)) | F.col("__reached").isNotNull()).alias("hit")))
     front = checkpointed(steps.where("hit").select(F.col("output").alias("path")).distinct())
-    found = _Rounds(front)
+    found = Rounds(front)
     while front.limit(1).count():
         front = steps.join(front, steps["dependency"] == front["path"], "left_semi").select(F.col("output").alias("path")).distinct()
         front = checkpointed(front.join(found.all(), "path", "left_anti"))
@@ -161,7 +167,7 @@ def dag_level(edges: DataFrame, most_rounds: int | None = None) -> DataFrame:
     needs = edges.groupBy(F.col("output").alias("__output")).agg(F.count("*").alias("needs"))
     edges = checkpointed(edges.join(needs, F.col("output") == F.col("__output")).drop("__output"))
     front = checkpointed(edges.select(F.col("dependency").alias("node")).distinct().join(edges, F.col("node") == F.col("output"), "left_anti"))
-    levels = _Rounds(front.withColumn("level", F.lit(0)))
+    levels = Rounds(front.withColumn("level", F.lit(0)))
     waiting = checkpointed(edges.select(F.col("output").alias("node"), "needs", F.lit(0).cast("long").alias("settled")).limit(0))
     for level in count(1):
         now = edges.join(front, F.col("dependency") == F.col("node"), "left_semi").groupBy(F.col("output").alias("node"), "needs").agg(F.count("*").alias("settled"))
@@ -184,7 +190,7 @@ def _closure(edges: DataFrame, start: str, end: str) -> DataFrame:
     dep_temp."""
     pairs = edges.where(F.col(f"{start[:3]}_temp")).select(F.col(start).alias("temporary"), F.col(end).alias("end"), F.col(f"{end[:3]}_temp").alias("end_temp")).distinct()
     steps = front = checkpointed(pairs)
-    seen = _Rounds(steps)
+    seen = Rounds(steps)
     hop = steps.select(F.col("temporary").alias("end"), F.col("end").alias("next"), F.col("end_temp").alias("next_temp"))
     while True:
         front = front.where("end_temp").join(hop, "end").select("temporary", F.col("next").alias("end"), F.col("next_temp").alias("end_temp")).distinct()
@@ -223,15 +229,17 @@ def temporary_outputs(edges: DataFrame, assets: DataFrame) -> DataFrame:
 def _folded(edges: DataFrame, assets: DataFrame, start: str, end: str, time: Callable, due: Column) -> DataFrame:
     """(temporary, time, exist, due) over all that each temporary ``start`` reaches through temporaries. Each takes over from
     those next to it when their own values are whole, level by level, so rows are as many as edges and not as pairs."""
-    mine = edges.where(F.col(f"{start[:3]}_temp")).select(F.col(start).alias("temporary"), F.col(end).alias("end"), F.col(f"{end[:3]}_temp").alias("end_temp")).distinct()
+    mine = edges.where(F.col(f"{start[:3]}_temp")).select(F.col(start).alias("temporary"), F.col(end).alias("end"), F.col(f"{end[:3]}_temp").alias("end_temp"))
     fold = lambda df: df.groupBy("temporary").agg(time("time").alias("time"), F.bool_and("exist").alias("exist"), F.bool_or("due").alias("due"))
     seen = mine.join(assets, F.col("end") == F.col("path"), "left")
     exists = F.coalesce(has_flags(F.col("flags"), EXISTS), F.lit(False))
     own = checkpointed(fold(seen.select("temporary", F.col("mtime").alias("time"), (F.col("end_temp") | exists).alias("exist"), (~F.col("end_temp") & due).alias("due"))))
-    links = checkpointed(mine.where("end_temp").select(F.col("temporary").alias("output"), F.col("end").alias("dependency")))
+    links = checkpointed(mine.where("end_temp").select(F.col("temporary").alias("output"), F.col("end").alias("dependency")).distinct())
+    if not links.limit(1).count():  # no temporary depends on another
+        return own
     levels = checkpointed(dag_level(links).withColumnRenamed("node", "temporary"))
     depth = levels.agg(F.max("level")).first()[0] or 0
-    found = _Rounds(checkpointed(own.join(levels.where("level > 0"), "temporary", "left_anti")))
+    found = Rounds(checkpointed(own.join(levels.where("level > 0"), "temporary", "left_anti")))
     for level in range(1, depth + 1):
         now = levels.where(F.col("level") == level).select("temporary")
         below = links.join(now, F.col("output") == F.col("temporary"), "left_semi").join(found.all(), F.col("dependency") == F.col("temporary"))
@@ -252,13 +260,13 @@ def temporary_states(edges: DataFrame, assets: DataFrame) -> tuple[DataFrame, Da
     )
 
 
-def decide_temporaries(temporaries: DataFrame, inputs: DataFrame, outputs: DataFrame) -> DataFrame:
-    """(path, flags): temporaries that have to be made again are FORCED, and MODIFIED if a change is the reason."""
+def decide_temporaries(temporaries: DataFrame, inputs: DataFrame, outputs: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """(path, flags, and the columns ``keep``): temporaries that have to be made again are FORCED, and MODIFIED if a change is the reason."""
     all_of = temporaries.join(inputs, F.col("path") == inputs["temporary"], "left").drop("temporary").join(outputs, F.col("path") == outputs["temporary"], "left")
     absent = ~(F.coalesce("all_input_exists", F.lit(True)) & F.coalesce("all_output_exists", F.lit(True)))
     changed = was_modified(F.col("newest_input"), F.col("oldest_output")) | F.coalesce("input_was_modified", F.lit(False)) | F.coalesce("output_will_be_modified", F.lit(False))
     flags = F.col("flags")
-    return all_of.select("path", F.when(has_flags(flags, FORCED), flags).when(absent, add_flags(flags, FORCED)).when(changed, add_flags(flags, FORCED | MODIFIED)).otherwise(flags).alias("flags"))
+    return all_of.select("path", F.when(has_flags(flags, FORCED), flags).when(absent, add_flags(flags, FORCED)).when(changed, add_flags(flags, FORCED | MODIFIED)).otherwise(flags).alias("flags"), *keep)
 
 
 def settle_dependents(pending: DataFrame, finished: DataFrame) -> DataFrame:

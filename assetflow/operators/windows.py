@@ -100,14 +100,14 @@ def stop_at_first_failure_by_minimum(commands: DataFrame, order: list[str], tran
     return joined.withColumn("executed", F.col("__first").isNull() | (place <= F.col("__first"))).drop("__of", "__first")
 
 
-def first_reason(reasons: DataFrame, by: str = "transition_id") -> DataFrame:
-    """(``by``, reason, all_reasons): the bits of the first flagged dependency, else of the first flagged output; and all
+def first_reason(reasons: DataFrame, by: str = "transition_id", *more: Column) -> DataFrame:
+    """(``by``, reason, all_reasons, and ``more`` aggregates): the bits of the first flagged dependency, else of the first flagged output; and all
     bits. ``reasons``: role (``dependency`` or ``output``), ord, bits; where a row stands for several, bits are those of the
     first flagged one and all_bits those of all."""
     all_bits = F.coalesce("all_bits", "bits") if "all_bits" in reasons.columns else F.col("bits")
     flagged = F.col("bits") != 0
     first = lambda role: F.min_by(F.when(flagged & (F.col("role") == role), F.col("bits")), F.when(flagged & (F.col("role") == role), F.col("ord")))
-    return reasons.groupBy(by).agg(F.coalesce(first("dependency"), first("output"), F.lit(0)).alias("reason"), F.bit_or(all_bits).alias("all_reasons"))
+    return reasons.groupBy(by).agg(F.coalesce(first("dependency"), first("output"), F.lit(0)).alias("reason"), F.bit_or(all_bits).alias("all_reasons"), *more)
 
 
 def ranked(df: DataFrame, order: list[Column], name: str) -> DataFrame:

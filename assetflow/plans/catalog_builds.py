@@ -342,10 +342,10 @@ def i15_chain(spark, sf):
     tmp = bl.foreach(a, {"destination": "{?:directory}/{?:file}.tmp"}, temporary=frozenset({"destination"}))
     first = a.groupBy("source").agg(F.min_by("path", "ord").alias("first"))
     out = foreach_step("out", bl.foreach(bl.as_inputs(tmp), {"destination": "{?:directory}/{?:file}.out"}))
-    own = out.select("transition_id", "output", "out_ord", "flags", F.split("output", "/")[0].alias("source")).join(first, "source")
-    more = own.select("transition_id", F.col("first").alias("dependency"), F.lit(1).cast("long").alias("dep_ord"), "output", "out_ord", "flags")
+    both = out.withColumn("source", F.split("output", "/")[0]).join(first, "source", "left").select("transition_id", F.posexplode(F.array("dependency", "first")).alias("dep_ord", "dependency"), "output", "out_ord", "flags")
+    both = both.where("dependency IS NOT NULL").withColumn("dep_ord", F.col("dep_ord").cast("long"))
     there = v.outputs(spark, sf).select("path", "mtime", F.lit(16).cast("long").alias("flags"))
-    run = pipeline_run(foreach_step("tmp", tmp).unionByName(out).unionByName(more), a.select("path", "mtime", "flags").unionByName(there), there.select("path", "flags"), lambda row: len(row.outputs))
+    run = pipeline_run(foreach_step("tmp", tmp).unionByName(both), a.select("path", "mtime", "flags").unionByName(there), there.select("path", "flags"), lambda row: len(row.outputs))
     built = run.log.select(F.explode("outputs").alias("path"), F.lit(True).alias("b"))
     gone = run.deletable.select("path", F.lit(True).alias("d"))
     return run.manifest.select("path", "flags").join(built, "path", "left").join(gone, "path", "left").select("path", F.coalesce("b", F.lit(False)).alias("built"), "flags", F.coalesce("d", F.lit(False)).alias("deleted"))

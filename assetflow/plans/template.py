@@ -41,11 +41,13 @@ class Template:
                 raise KeyError(name)
             value = F.lit("")
         elif self.strict:
-            value = F.when(scope[name].isNull(), F.raise_error(F.lit(f"unresolved variable: {name}"))).otherwise(scope[name])
+            value = scope[name]
         else:
             value = F.coalesce(scope[name], F.lit(""))
         for call in calls:
             value = apply_function(value, call)
+        if self.strict and name in scope:  # around the functions, which repeat their argument
+            value = F.when(scope[name].isNull(), F.raise_error(F.lit(f"unresolved variable: {name}"))).otherwise(value)
         return value
 
     def unresolved(self, scope: Mapping[str, Column]) -> list[str]:

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from assetflow.functions import flags, paths, text, times
+from assetflow.plans.template import Template
 
 
 def one(spark, column, **values):
@@ -96,3 +97,10 @@ def test_flags(spark):
     assert one(spark, flags.has_flags(F.col("x"), 3), x=5) is False
     assert one(spark, flags.remove_flags(F.col("x"), 3), x=7) == 4
     assert one(spark, flags.reason_string(F.col("x")), x=6) == " MC"
+
+
+def test_a_variable_is_checked_once_where_it_is_used(spark):
+    # Functions repeat their argument, so a check inside them is there many times.
+    made = spark.createDataFrame([("a/doc_0.txt",), ("a/b.c/d",)], "path string").select(Template("{?:directory}/{?:file}.tmp").render({"?": F.col("path")}).alias("output"))
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("raise_error") == 2
+    assert [r["output"] for r in made.collect()] == ["a/doc_0.tmp", "a/b.c/d.tmp"]

@@ -7,7 +7,8 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from assetflow.operators import blocks, incremental, joins
+from assetflow.operators import blocks, incremental, joins, windows
+from assetflow.plans import pipeline
 from assetflow.plans.pipeline import all_step, foreach_of_all_step, foreach_step, incremental_run, none_step, pipeline_run
 from assetflow.sources import scan, store
 
@@ -317,3 +318,13 @@ def test_scans_are_in_order_of_paths(spark, tmp_path):
         assert [r["ord"] for r in found] == list(range(5))
     uris = spark.createDataFrame([("hdfs://host:9000/a/b",), ("s3a://bucket/a b/c",), ("file:/x/y",), ("file:///x/y",), ("/plain/p",)], "u string")
     assert [r[0] for r in uris.select(scan.plain_path(F.col("u"))).collect()] == ["/a/b", "/a b/c", "/x/y", "/x/y", "/plain/p"]
+
+
+def test_two_steps_take_few_recovery_points(spark, tiny, monkeypatch):
+    # What is found is written once: neither all that is known again at each level, nor walks over temporaries that don't meet.
+    from assetflow.plans.catalog_builds import i15_chain
+
+    made, write = [], incremental.checkpointed
+    for module in (incremental, pipeline, windows):
+        monkeypatch.setattr(module, "checkpointed", lambda df: made.append(1) or write(df))
+    assert i15_chain(spark, tiny).count() > 0 and len(made) <= 36
